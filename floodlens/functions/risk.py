@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from floodlens.functions.scalars import ColumnLike, as_col, clip01, round_exact, threshold_class
+from floodlens.functions.scalars import ColumnLike, as_col, clip01, pin, round_exact, threshold_class
 
 # Level names in ascending order of risk.
 LEVELS = ("bajo", "medio", "alto", "critico")
@@ -124,9 +124,9 @@ def with_risk(df: DataFrame, p: RiskParams = DEFAULT_PARAMS) -> DataFrame:
         + F.col("rain_tide_interaction"),
     ).withColumn("__score", clip01("__sum"))
     rounded = ("rain_norm", "tide_norm", "reservoir_norm", "ground_norm", "rain_tide_interaction")
-    return summed.select(
-        *df.columns,
-        round_exact("__score", p.digits).alias("risk_score"),
-        risk_level("__score", p).alias("risk_level"),
-        *[round_exact(c, p.digits).alias(c) if c in rounded else F.col(c) for c in RISK_COLUMNS[2:]],
+    return pin(
+        summed, df.columns,
+        risk_score=round_exact("__score", p.digits),
+        risk_level=risk_level("__score", p),
+        **{c: round_exact(c, p.digits) if c in rounded else F.col(c) for c in RISK_COLUMNS[2:]},
     )

@@ -190,3 +190,14 @@ def explode_rows(df: DataFrame, keep: Sequence[str], rows: Column, pos: str | No
     exploded = df.select(*keep, F.posexplode_outer(rows).alias("__pos", "__row"))
     shown = [F.col("__pos").alias(pos)] if pos else []
     return exploded.where(F.col("__pos").isNotNull()).select(*keep, *shown, "__row.*")
+
+
+def pin(df: DataFrame, keep: Sequence[str], **computed: Column) -> DataFrame:
+    """Compute expensive columns once.
+
+    A filter above a projection is pushed below it together with copies of every expression it
+    mentions. A one-element generator is a fence for that: filters on the pinned columns stay above
+    it, those on the kept columns still reach the scan.
+    """
+    row = F.struct(*[c.alias(name) for name, c in computed.items()])
+    return df.select(*keep, F.explode_outer(F.array(row)).alias("__pin")).select(*keep, "__pin.*")

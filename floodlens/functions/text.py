@@ -109,16 +109,12 @@ def join_parts(*parts: ColumnLike) -> Column:
 
 
 def mentions_any(text: ColumnLike, words: Sequence[str] = RESERVOIR_WORDS) -> Column:
-    lowered = F.lower(as_col(text))
-    hit = F.lit(False)
-    for word in words:
-        hit = hit | F.contains(lowered, F.lit(word))
-    return hit
+    return F.lower(as_col(text)).rlike("|".join(re.escape(w) for w in words))
 
 
 def first_mention(text: ColumnLike, table: Sequence[tuple[str, str]], default: str | None = None) -> Column:
-    """Label of the first entry of ``table`` whose needle occurs in the lower-cased text."""
-    lowered = F.lower(as_col(text))
+    """Label of the first entry of ``table`` whose needle occurs in a text already in lower case."""
+    lowered = as_col(text)
     expr = F.when(lowered.isNull(), F.lit(default).cast("string"))
     for needle, label in table:
         expr = expr.when(F.contains(lowered, F.lit(needle)), F.lit(label))
@@ -126,10 +122,10 @@ def first_mention(text: ColumnLike, table: Sequence[tuple[str, str]], default: s
 
 
 def canton_of(text: ColumnLike, fold_accents: bool = False) -> Column:
-    """Canton named in the text; accents matter unless ``fold_accents``."""
+    """Canton named in a lower-case text; accents matter unless ``fold_accents``."""
     if not fold_accents:
         return first_mention(text, [(c.lower(), c) for c in CANTONS])
-    plain = F.translate(F.lower(as_col(text)), "áéíóúüñ", "aeiouun")
+    plain = F.translate(as_col(text), "áéíóúüñ", "aeiouun")
     folded = str.maketrans("áéíóúüñ", "aeiouun")
     return first_mention(plain, [(c.lower().translate(folded), c) for c in CANTONS])
 

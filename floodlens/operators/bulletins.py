@@ -8,22 +8,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from floodlens.functions import text as tx
+from floodlens.functions.scalars import pin
 
 
 def alerts(posts: DataFrame, title: Column, excerpt: Column, content: Column, keep: Sequence[str] = ()) -> DataFrame:
     """Canton, event type and severity of each bulletin; bulletins without a canton are dropped."""
-    clean_title = tx.html_strip(title)
-    body = tx.letters_only(tx.join_parts(clean_title, tx.html_strip(excerpt), tx.html_strip(content)))
-    return (
-        posts.select(*keep, clean_title.alias("description"), body.alias("__body"))
-        .withColumn("canton", tx.canton_of("__body"))
-        .where(F.col("canton").isNotNull())
-        .select(
-            *keep, "canton",
-            tx.event_type_of("__body").alias("event_type"),
-            tx.severity_of("__body").alias("severity"),
-            "description",
-        )
+    parts = pin(posts, keep, __t=tx.html_strip(title), __e=tx.html_strip(excerpt), __c=tx.html_strip(content))
+    body = F.lower(tx.letters_only(tx.join_parts("__t", "__e", "__c")))
+    read = pin(parts, [*keep, "__t"], __body=body)
+    return read.withColumn("canton", tx.canton_of("__body")).where(F.col("canton").isNotNull()).select(
+        *keep, "canton",
+        tx.event_type_of("__body").alias("event_type"),
+        tx.severity_of("__body").alias("severity"),
+        F.col("__t").alias("description"),
     )
 
 
@@ -36,14 +33,14 @@ def reservoir_levels(
     NULL level.
     """
     unescape = tx.html_unescape if exact else tx.html_unescape_common
-    parts = [tx.html_strip(unescape(c)) for c in (title, excerpt, content)]
-    return (
-        posts.select(*keep, parts[0].alias("description"), tx.join_parts(*parts).alias("__text"))
-        .where(tx.mentions_any(tx.letters_only("__text")))
-        .select(
-            *keep, "description",
-            tx.reservoir_level("__text").alias("level_m"),
-            tx.reservoir_max_level("__text").alias("max_level_m"),
-        )
-        .where(F.col("level_m").isNotNull() | F.col("max_level_m").isNotNull())
+    plain = posts.select(*keep, *[unescape(c).alias(n) for n, c in (("__t", title), ("__e", excerpt), ("__c", content))])
+    parts = pin(plain, keep, **{n: tx.html_strip(n) for n in ("__t", "__e", "__c")})
+    joined = pin(parts, [*keep, "__t"], __text=tx.join_parts("__t", "__e", "__c"))
+    relevant = joined.where(tx.mentions_any(tx.letters_only("__text")))
+    levels = pin(
+        relevant, [*keep, "__t"],
+        level_m=tx.reservoir_level("__text"), max_level_m=tx.reservoir_max_level("__text"),
+    )
+    return levels.where(F.col("level_m").isNotNull() | F.col("max_level_m").isNotNull()).select(
+        *keep, F.col("__t").alias("description"), "level_m", "max_level_m"
     )

@@ -143,7 +143,7 @@ conditions AS (
 
 
 def snapshots(spark: SparkSession, sf: str) -> DataFrame:
-    """Scored snapshots: one per order, for the zone of its customer, in month-end partitions."""
+    """Scored snapshots: one per order, for the zone of its customer, in quarter-end partitions."""
     orders = table(spark, sf, "orders").select(
         F.concat(F.lit("Z"), F.col("o_custkey").cast("string")).alias("__zone"),
         (F.col("o_totalprice") % 200.0).alias("rain_mm"),
@@ -151,7 +151,7 @@ def snapshots(spark: SparkSession, sf: str) -> DataFrame:
         (F.col("o_totalprice") % 130.0).alias("flow_m3s"),
         (F.col("o_orderstatus") != "P").alias("__scored"),
         F.timestamp_micros(F.unix_micros(F.col("o_orderdate").cast("timestamp")) + F.col("o_orderkey")).alias("computed_at"),
-        F.last_day("o_orderdate").alias("date"),
+        F.last_day(F.add_months(F.trunc("o_orderdate", "quarter"), 2)).alias("date"),
     )
     scored = with_risk(orders.join(zones(spark, sf), F.col("__zone") == F.col("zone_id")))
     return scored.select(
@@ -182,7 +182,7 @@ SNAPSHOTS_SQL = f"""
 snapshot_inputs AS (
   SELECT z.*, o_totalprice % 200e0 AS rain_mm, (o_orderkey % 50) / 10e0 AS tide_m, o_totalprice % 130e0 AS flow_m3s,
          o_orderstatus <> 'P' AS scored, o_orderdate + to_microseconds(o_orderkey) AS computed_at,
-         last_day(o_orderdate) AS date
+         last_day(date_trunc('quarter', o_orderdate) + INTERVAL 2 MONTH) AS date
   FROM orders JOIN zones z ON z.zone_id = 'Z' || o_custkey),
 snapshots AS (
   SELECT zone_id, sector_name, lat, lon, rain_mm, tide_m, flow_m3s,
