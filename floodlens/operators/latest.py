@@ -11,6 +11,19 @@ from floodlens.functions.scalars import unwrap_data
 from floodlens.schemas import FILE_SOURCES
 
 
+def _newest_days(df: DataFrame, key: str, day: str) -> DataFrame:
+    """Rows of each key's newest day.
+
+    On a table partitioned by key and day the first pass reads partition values only, and the small
+    broadcast of newest days prunes the partitions of the scan at run time, so a source that fell
+    silent long ago does not widen the scan of the others.
+    """
+    days = df.groupBy(key).agg(F.max(day).alias("__day")).select(F.col(key).alias("__key"), "__day")
+    return df.join(F.broadcast(days), (F.col(key) == F.col("__key")) & (F.col(day) == F.col("__day"))).drop(
+        "__key", "__day"
+    )
+
+
 def latest_by_key(
     df: DataFrame,
     keys: Sequence[str],
@@ -18,6 +31,7 @@ def latest_by_key(
     tie_break: Sequence[str] = (),
     columns: Sequence[str] | None = None,
     key_values: Sequence | None = None,
+    day: str | None = None,
 ) -> DataFrame:
     """One whole row per key: greatest ``order_by``, then greatest ``tie_break``.
 
@@ -27,11 +41,15 @@ def latest_by_key(
     the wide payload columns are never sorted or shuffled before that filter.
 
     ``key_values`` names the possible values of a single key (for instance the configured sources);
-    only then is the maxima table, which cannot outgrow that list, hinted for broadcast.
+    only then are the maxima tables, which cannot outgrow that list, hinted for broadcast. ``day``
+    names a date column derived from ``order_by``; with ``key_values`` it narrows the work to each
+    key's newest day first.
     """
     columns = [c for c in (columns or df.columns) if c not in keys]
     if key_values is not None:
         df = df.where(F.col(keys[0]).isin(list(key_values)))
+        if day is not None:
+            df = _newest_days(df, keys[0], day)
     newest = df.groupBy(*keys).agg(F.max(order_by).alias("__newest"))
     floor = newest.agg(F.min("__newest")).scalar()
     renamed = newest.select(*[F.col(k).alias(f"__{k}") for k in keys], "__newest")
@@ -91,7 +109,8 @@ def partition_range(df: DataFrame, partition: str = "date", start=None, end=None
 def latest_payload(raw: DataFrame, sources: Sequence[str], unwrap: bool = False) -> DataFrame:
     """Newest record of each source's newest instant, for the named sources."""
     rows = latest_by_key(
-        raw, ["source"], "kafka_timestamp", ["json_str"], ["kafka_timestamp", "json_str"], key_values=sources
+        raw, ["source"], "kafka_timestamp", ["json_str"], ["kafka_timestamp", "json_str"], key_values=sources,
+        day="date" if "date" in raw.columns else None,
     )
     return rows.withColumn("json_str", unwrap_data("json_str")) if unwrap else rows
 
