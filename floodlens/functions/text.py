@@ -13,8 +13,11 @@ from pyspark.sql import types as T
 
 from floodlens.functions.scalars import ColumnLike, as_col
 
-# Unicode blanks: Java's bare \s knows the ASCII ones only.
-BLANK = r"\t-\r\x1c-\x20\x{85}\p{Z}"
+# Unicode blanks: what scripting languages strip. Java's bare \s knows the ASCII ones only.
+BLANKS = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
 
 # Letters that survive `letters_only`.
 LETTERS = "A-Za-zÁÉÍÓÚÜÑáéíóúüñ"
@@ -65,7 +68,7 @@ _COMMON_NAMES = "|".join(re.escape(e[1:-1]) for e, _ in COMMON_ENTITIES)
 
 
 def strip_blanks(text: ColumnLike) -> Column:
-    return F.regexp_replace(as_col(text), f"^[{BLANK}]+|[{BLANK}]+$", "")
+    return F.btrim(as_col(text), F.lit(BLANKS))
 
 
 def html_strip(text: ColumnLike) -> Column:
@@ -75,10 +78,11 @@ def html_strip(text: ColumnLike) -> Column:
 
 def html_unescape_common(text: ColumnLike) -> Column:
     """Entities of the common set only; everything else is left as it is."""
-    expr = as_col(text)
+    text = as_col(text)
+    expr = text
     for entity, char in COMMON_ENTITIES:
         expr = F.replace(expr, F.lit(entity), F.lit(char))
-    return expr
+    return F.when(F.contains(text, F.lit("&")), expr).otherwise(text)
 
 
 @F.pandas_udf(T.StringType())
@@ -94,13 +98,13 @@ def html_unescape(text: ColumnLike) -> Column:
     """
     text = as_col(text)
     leftover = F.regexp_replace(text, f"&(?:{_COMMON_NAMES});", "")
-    rare = leftover.rlike("&[#A-Za-z]")
+    rare = F.contains(text, F.lit("&")) & leftover.rlike("&[#A-Za-z]")
     return F.when(rare, _unescape_exact(F.when(rare, text))).otherwise(html_unescape_common(text))
 
 
 def letters_only(text: ColumnLike) -> Column:
-    spaced = F.regexp_replace(as_col(text), f"[^{LETTERS}{BLANK}]", " ")
-    return strip_blanks(F.regexp_replace(spaced, f"[{BLANK}]+", " "))
+    """Letters kept, every run of anything else turned into one blank, both ends trimmed."""
+    return F.trim(F.regexp_replace(as_col(text), f"[^{LETTERS}]+", " "))
 
 
 def join_parts(*parts: ColumnLike) -> Column:
@@ -109,7 +113,15 @@ def join_parts(*parts: ColumnLike) -> Column:
 
 
 def mentions_any(text: ColumnLike, words: Sequence[str] = RESERVOIR_WORDS) -> Column:
-    return F.lower(as_col(text)).rlike("|".join(re.escape(w) for w in words))
+    """True if any of ``words`` is a substring of a text already in lower case.
+
+    Words made of plain letters are found in a raw text exactly when they are found in its
+    :func:`letters_only` form, which therefore need not be built.
+    """
+    text, hit = as_col(text), F.lit(False)
+    for word in words:
+        hit = hit | F.contains(text, F.lit(word))
+    return hit
 
 
 def first_mention(text: ColumnLike, table: Sequence[tuple[str, str]], default: str | None = None) -> Column:
@@ -144,9 +156,16 @@ def _level(text: Column, pattern: str) -> Column:
 
 
 def reservoir_level(text: ColumnLike) -> Column:
-    """Level in metres above sea: the first pattern that matches wins."""
-    return F.coalesce(*[_level(as_col(text), p) for p in LEVEL_PATTERNS])
+    """Level in metres above sea: the first pattern that matches wins.
+
+    All patterns need the word they share, so texts without it skip the expressions. The stem
+    leaves out letters with unusual case pairs.
+    """
+    text = as_col(text)
+    found = F.coalesce(*[_level(text, p) for p in LEVEL_PATTERNS])
+    return F.when(text.rlike("(?i)embal"), found)
 
 
 def reservoir_max_level(text: ColumnLike) -> Column:
-    return _level(as_col(text), MAX_LEVEL_PATTERN)
+    text = as_col(text)
+    return F.when(text.rlike("(?i)vel"), _level(text, MAX_LEVEL_PATTERN))

@@ -36,7 +36,8 @@ def reservoir_levels(
     plain = posts.select(*keep, *[unescape(c).alias(n) for n, c in (("__t", title), ("__e", excerpt), ("__c", content))])
     parts = pin(plain, keep, **{n: tx.html_strip(n) for n in ("__t", "__e", "__c")})
     joined = pin(parts, [*keep, "__t"], __text=tx.join_parts("__t", "__e", "__c"))
-    relevant = joined.where(tx.mentions_any(tx.letters_only("__text")))
+    lowered = pin(joined, [*keep, "__t", "__text"], __lower=F.lower("__text"))
+    relevant = lowered.where(tx.mentions_any("__lower"))
     levels = pin(
         relevant, [*keep, "__t"],
         level_m=tx.reservoir_level("__text"), max_level_m=tx.reservoir_max_level("__text"),

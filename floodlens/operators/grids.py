@@ -41,7 +41,9 @@ def region_daily_mean(
     and NULL cells are skipped. Averages combine map-side before the one shuffle.
     """
     cells = between_days(grid, date, start, end)
-    members = cells.select(date, *values, F.explode(regions_of(lat, lon, boxes)).alias("region"))
+    members = cells.select(date, *values, F.explode_outer(regions_of(lat, lon, boxes)).alias("region")).where(
+        F.col("region").isNotNull()
+    )
     means = [F.round(F.avg(c) / F.lit(float(scale)), digits).alias(f"mean_{c}") for c, scale in values.items()]
     return members.groupBy("region", date).agg(*means, F.count(F.lit(1)).alias("n_cells"))
 

@@ -3,9 +3,9 @@
 Places are put into a hierarchy of cubes around the unit sphere (each level splits an edge by
 four). Every point walks down the hierarchy and keeps only the cubes that can still hold its
 nearest place: a cube survives when its closest possible distance does not exceed the distance to
-the best representative place seen so far. Geometry bounds the number of surviving cubes, so the
-work per point grows with the depth, not with the number of places, and dense clusters of places
-or points cannot multiply into each other. Straight-line distance on the sphere orders places
+the best representative place seen so far. Only cubes at about the distance of the nearest place
+survive, so the work per point grows with the depth, not with the number of places, and dense
+clusters of places or points do not multiply into each other. Straight-line distance on the sphere orders places
 exactly like ground distance; the final choice is made by the haversine distance itself.
 """
 

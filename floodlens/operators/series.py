@@ -11,19 +11,52 @@ from floodlens.functions.scalars import round_exact
 from floodlens.functions.tide_model import (
     DEFAULT_MODEL, FALLING, ORIGIN_MODEL, ORIGIN_TABLE, RISING, TideModel, with_harmonic_tide,
 )
+from floodlens.session import ensure_checkpoint_dir
+
+
+# A window task sorts at most this many rows; fuller slots are cut by position instead of by time.
+MAX_SLOT_ROWS = 5_000_000
+
+
+def _too_full(df: DataFrame, keys: Sequence[str], slot: Column, limit: int) -> bool:
+    """Whether a slot of one key exceeds ``limit`` (narrow scan, counted map-side, one row back)."""
+    fullest = df.groupBy(*keys, slot.alias("__slot")).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
+    return (fullest or 0) > limit
+
+
+def _even_slots(df: DataFrame, order: Sequence[Column], limit: int) -> DataFrame:
+    """Add ``__slot``: consecutive ranges of the whole order with about equal numbers of rows.
+
+    Range bounds come from a sample, so the ranges are written down once (reliable checkpoint): a
+    task repeated after a loss must not see other bounds than its siblings.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    ranges = max(1, -(-df.count() * 2 // limit))
+    ranged = df.repartitionByRange(ranges, *order)
+    return ranged.withColumn("__slot", F.spark_partition_id().cast("long")).checkpoint()
 
 
 def carry_forward(
-    df: DataFrame, keys: Sequence[str], order_by: Sequence[str], column: str, slot: Column, into: str
+    df: DataFrame,
+    keys: Sequence[str],
+    order_by: Sequence[str],
+    column: str,
+    slot: Column,
+    into: str,
+    max_slot_rows: int = MAX_SLOT_ROWS,
 ) -> DataFrame:
     """Last known value of ``column`` at or before each row of the same key, as column ``into``.
 
     ``slot`` must grow with ``order_by`` (a time or line bucket). The running window covers one key
     and slot at a time, so a hot key is spread over its slots; what enters a slot from earlier ones
-    comes from a summary that holds one row per key and slot.
+    comes from a summary that holds one row per key and slot. If a slot still holds more than
+    ``max_slot_rows`` rows of a key, even ranges of the sorted rows take the place of the slots.
     """
     order = [F.col(c) for c in order_by]
-    slotted = df.withColumn("__slot", slot)
+    if _too_full(df, keys, slot, max_slot_rows):
+        slotted = _even_slots(df, [*map(F.col, keys), *order], max_slot_rows)
+    else:
+        slotted = df.withColumn("__slot", slot)
     running = (
         Window.partitionBy(*keys, "__slot").orderBy(*order)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -58,30 +91,36 @@ def bracket(
     ts: str = "ts",
     value: str = "height_m",
     slot_hours: float = 24.0,
+    max_slot_rows: int = MAX_SLOT_ROWS,
 ) -> DataFrame:
     """Attach the last event at or before each probe and the first one after it.
 
     Adds ``t0, h0, t1, h1`` (instants in epoch microseconds), NULL where a side is missing. Of
     several events at one instant the greatest value counts as the last and the least as the first.
 
-    Only distinct instants of probes and events meet in the windows (copies collapse map-side);
-    the full probe rows take part in a single equi-join at the end, which adaptive execution can
-    split when one instant is hot. No row ever meets more than its own two neighbours.
+    Only distinct instants of probes and events meet in the windows (copies collapse map-side), one
+    key and time slot at a time; slots of more than ``max_slot_rows`` rows are replaced by even
+    ranges. The full probe rows take part in a single equi-join at the end, which adaptive execution
+    can split when one instant is hot. No row ever meets more than its own two neighbours.
     """
     at = F.unix_micros(F.col(ts).cast("timestamp"))
-    instants = probes.select(F.col(key).alias("__key"), at.alias("__at")).distinct()
-    known = (
-        events.select(F.col(key).alias("__key"), at.alias("__at"), F.col(value).cast("double").alias("__h"))
-        .where(F.col("__key").isNotNull() & F.col("__at").isNotNull() & F.col("__h").isNotNull())
-        .groupBy("__key", "__at")
-        .agg(F.max("__h").alias("__high"), F.min("__h").alias("__low"))
-    )
     width = F.lit(int(slot_hours * 3_600_000_000))
-    slot = F.floor(F.col("__at") / width).alias("__slot")
-    timeline = instants.select(
-        "__key", "__at", slot, F.lit(1).alias("__probe"),
-        F.lit(None).cast("double").alias("__high"), F.lit(None).cast("double").alias("__low"),
-    ).unionByName(known.select("__key", "__at", slot, F.lit(0).alias("__probe"), "__high", "__low"))
+    slot = F.floor(F.col("__at") / width)
+    instants = probes.select(F.col(key).alias("__key"), at.alias("__at"))
+    seen = events.select(F.col(key).alias("__key"), at.alias("__at"), F.col(value).cast("double").alias("__h")).where(
+        F.col("__key").isNotNull() & F.col("__at").isNotNull() & F.col("__h").isNotNull()
+    )
+    known = seen.groupBy("__key", "__at").agg(F.max("__h").alias("__high"), F.min("__h").alias("__low"))
+    nothing = F.lit(None).cast("double")
+    timeline = (
+        instants.distinct().select("__key", "__at", F.lit(1).alias("__probe"), nothing.alias("__high"), nothing.alias("__low"))
+        .unionByName(known.select("__key", "__at", F.lit(0).alias("__probe"), "__high", "__low"))
+    )
+    counted = instants.unionByName(seen.select("__key", "__at"))
+    if _too_full(counted, ["__key"], slot, max_slot_rows):
+        timeline = _even_slots(timeline, [F.col(c) for c in ("__key", "__at", "__probe")], max_slot_rows)
+    else:
+        timeline = timeline.withColumn("__slot", slot)
 
     here = Window.partitionBy("__key", "__slot")
     upto = (Window.unboundedPreceding, Window.currentRow)
@@ -97,22 +136,24 @@ def bracket(
     ).where("__probe = 1")
 
     # One row per key and slot: what the neighbouring slots hand over.
+    event_at = F.when(is_event, F.col("__at"))
     per_slot = timeline.groupBy("__key", "__slot").agg(
-        F.max(F.when(is_event, F.col("__at"))).alias("__t_last"),
-        F.max_by("__high", F.when(is_event, F.col("__at"))).alias("__h_last"),
-        F.min(F.when(is_event, F.col("__at"))).alias("__t_first"),
-        F.min_by("__low", F.when(is_event, F.col("__at"))).alias("__h_first"),
-    )
-    last_of = F.when(F.col("__t_last").isNotNull(), F.struct(F.col("__t_last").alias("__at"), F.col("__h_last").alias("__h")))
-    first_of = F.when(
-        F.col("__t_first").isNotNull(), F.struct(F.col("__t_first").alias("__at"), F.col("__h_first").alias("__h"))
+        F.max(event_at).alias("__t_last"),
+        F.max_by("__high", event_at).alias("__h_last"),
+        F.min(event_at).alias("__t_first"),
+        F.min_by("__low", event_at).alias("__h_first"),
     )
+
+    def pair(t: str, h: str) -> Column:
+        return F.when(F.col(t).isNotNull(), F.struct(F.col(t).alias("__at"), F.col(h).alias("__h")))
+
     others = (Window.unboundedPreceding, -1)
     along = Window.partitionBy("__key")
     handed = per_slot.select(
         F.col("__key").alias("__k"), F.col("__slot").alias("__s"),
-        F.last(last_of, ignorenulls=True).over(along.orderBy("__slot").rowsBetween(*others)).alias("__from_left"),
-        F.last(first_of, ignorenulls=True)
+        F.last(pair("__t_last", "__h_last"), ignorenulls=True)
+        .over(along.orderBy("__slot").rowsBetween(*others)).alias("__from_left"),
+        F.last(pair("__t_first", "__h_first"), ignorenulls=True)
         .over(along.orderBy(F.col("__slot").desc()).rowsBetween(*others)).alias("__from_right"),
     )
     found = (

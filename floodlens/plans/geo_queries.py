@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from floodlens.functions import geometry as geo
+from floodlens.functions.scalars import explode_rows
 from floodlens.operators import features, ways
 from floodlens.operators.nearest import nearest_place
 from floodlens.plans import views as v
@@ -118,7 +119,7 @@ def region_outlines(spark, sf):
         for b in geo.OCEAN_REGIONS
     ])
     return (
-        v.grid(spark, sf).select(F.inline(F.filter(per_box, lambda b: b["hit"])))
+        explode_rows(v.grid(spark, sf), [], F.filter(per_box, lambda b: b["hit"]))
         .groupBy("region", "ring").agg(F.count(F.lit(1)).alias("n_cells"))
     )
 

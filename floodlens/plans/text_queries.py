@@ -65,7 +65,8 @@ _WORDS = ("heron", "sobre", "nach", "maison", "ouea")
 @query("keyword_relevance", "SELECT doc_id, " + " OR ".join(
     f"contains(lower(text), '{w}')" for w in _WORDS) + " AS relevant FROM documents")
 def keyword_relevance(spark, sf):
-    return v.table(spark, sf, "documents").select("doc_id", tx.mentions_any("text", _WORDS).alias("relevant"))
+    lowered = v.table(spark, sf, "documents").select("doc_id", F.lower("text").alias("text"))
+    return lowered.select("doc_id", tx.mentions_any("text", _WORDS).alias("relevant"))
 
 
 # Sentences put in front of each document's whole text, by document number.

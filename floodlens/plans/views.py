@@ -246,17 +246,16 @@ places AS (
 
 
 def nodes_and_ways(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """Nodes from parts (the largest sizes are unknown nodes), ways from the lines of an order."""
+    """Nodes from parts (the largest sizes are unknown nodes), ways with a few node ids per order."""
     lat, lon = lonlat("p_partkey", 120, 60, 13)
     nodes = table(spark, sf, "part").where("p_size <= 45").select(
         F.col("p_partkey").alias("node_id"), lon.alias("lon"), lat.alias("lat")
     )
-    lines = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")))
-    ids = F.transform(lines, lambda x: x["l_partkey"])
-    closed = F.concat("ids", F.array(F.get("ids", F.lit(0))))
-    ways = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(ids.alias("ids")).select(
-        F.col("l_orderkey").alias("way_id"),
-        F.when(F.col("l_orderkey") % 3 == 0, closed).otherwise(F.col("ids")).alias("node_ids"),
+    n = (F.col("o_orderkey") % 6).cast("int")
+    ids = F.transform(F.sequence(F.lit(0), n), lambda i: F.col("o_custkey") + i * 11)
+    closed = F.concat(ids, F.array("o_custkey"))
+    ways = table(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("way_id"), F.when(F.col("o_orderstatus") == "F", closed).otherwise(ids).alias("node_ids")
     )
     return nodes, ways
 
@@ -266,10 +265,9 @@ nodes AS (
   SELECT p_partkey AS node_id, (p_partkey * 13 % 360 - 180)::DOUBLE AS lon, (p_partkey % 120 - 60)::DOUBLE AS lat
   FROM part WHERE p_size <= 45),
 way_lists AS (
-  SELECT l_orderkey AS way_id, list(l_partkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS ids
-  FROM lineitem GROUP BY l_orderkey),
+  SELECT o_orderkey AS way_id, o_custkey, o_orderstatus, list_transform(range(o_orderkey % 6 + 1), lambda i: o_custkey + i * 11) AS ids FROM orders),
 ways AS (
-  SELECT way_id, CASE WHEN way_id % 3 = 0 THEN list_append(ids, ids[1]) ELSE ids END AS node_ids FROM way_lists)"""
+  SELECT way_id, CASE WHEN o_orderstatus = 'F' THEN list_append(ids, o_custkey) ELSE ids END AS node_ids FROM way_lists)"""
 
 
 def with_sql(*ctes: str, body: str) -> str:

@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from floodlens.functions.scalars import explode_rows, round_exact
+from floodlens.functions.scalars import explode_rows, pin, round_exact
 from floodlens.functions.text import strip_blanks
 
 # Columns of the monthly ocean-index table, after numbering repeated headings.
@@ -45,9 +45,8 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 
 def document_lines(documents: DataFrame, text: str = "text", keep: Sequence[str] = ("doc",)) -> DataFrame:
     """Non-empty trimmed lines with their number within the document."""
-    return documents.select(*keep, F.posexplode(F.split(text, r"\r\n|\r|\n")).alias("line_no", "line")).select(
-        *keep, "line_no", strip_blanks("line").alias("line")
-    ).where(F.col("line") != "")
+    lines = documents.select(*keep, F.posexplode_outer(F.split(text, r"\r\n|\r|\n")).alias("line_no", "__line"))
+    return pin(lines, [*keep, "line_no"], line=strip_blanks("__line")).where(F.col("line") != "")
 
 
 def parse_blank_table(
@@ -60,7 +59,7 @@ def parse_blank_table(
     """
     cells = F.split(strip_blanks(line), r"\s+")
     head = header if header is not None else columns[0]
-    rows = lines.select(*keep, cells.alias("__cells")).where(F.get("__cells", F.lit(0)) != head)
+    rows = pin(lines, keep, __cells=cells).where(F.get("__cells", F.lit(0)) != head)
     return rows.select(
         *keep, *[F.get("__cells", F.lit(i)).try_cast("double").alias(name) for i, name in enumerate(columns)]
     )
@@ -103,8 +102,7 @@ def parse_tide_lines(
         )
 
     cells = (
-        lines.where(~heading)
-        .withColumn("tokens", tokens)
+        pin(lines.where(~heading), [*doc, year, quarter, "line_no"], tokens=tokens)
         .where(F.size("tokens") >= 3)
         .transform(explode_rows, [*doc, year, quarter, "line_no"], F.transform(F.sequence(F.lit(0), groups - 1), group))
         .withColumn("__number", F.col("mark").rlike(r"^\d+$"))

@@ -17,8 +17,8 @@ def minute(m):
     return T0 + dt.timedelta(minutes=m)
 
 
-@pytest.mark.parametrize("slot_hours", [1.0, 24.0, 2400.0])
-def test_bracket_against_brute_force(spark, slot_hours):
+@pytest.mark.parametrize("slot_hours, max_slot_rows", [(1.0, 10**6), (24.0, 10**6), (2400.0, 10**6), (24.0, 50)])
+def test_bracket_against_brute_force(spark, slot_hours, max_slot_rows):
     rng = random.Random(11)
     # One station holds a third of the rows; instants repeat; some stations have no events.
     station = lambda: "hot" if rng.random() < 0.34 else f"s{rng.randrange(6)}"
@@ -27,7 +27,7 @@ def test_bracket_against_brute_force(spark, slot_hours):
     probes = [(i, station(), minute(rng.randrange(-100, 9200, 5))) for i in range(900)]
     pdf = spark.createDataFrame(probes, "id INT, station STRING, ts TIMESTAMP")
     edf = spark.createDataFrame(events, "station STRING, ts TIMESTAMP, height_m DOUBLE")
-    got = {r.id: (r.t0, r.h0, r.t1, r.h1) for r in series.bracket(pdf, edf, "station", slot_hours=slot_hours).collect()}
+    got = {r.id: (r.t0, r.h0, r.t1, r.h1) for r in series.bracket(pdf, edf, "station", slot_hours=slot_hours, max_slot_rows=max_slot_rows).collect()}
     us = lambda t: int((t - dt.datetime(1970, 1, 1)).total_seconds() * 1_000_000)
     for i, s, t in probes:
         before = [(e[1], e[2]) for e in events if e[0] == s and e[1] <= t]
@@ -73,8 +73,8 @@ def test_carry_forward_over_slots(spark):
     rng = random.Random(5)
     rows = [(rng.choice(["a", "b", None]), i, rng.choice([None, None, None, float(i)])) for i in range(400)]
     df = spark.createDataFrame(rows, "k STRING, i INT, v DOUBLE")
-    for width in (1, 7, 1000):
-        out = series.carry_forward(df, ["k"], ["i"], "v", F.floor(F.col("i") / width), "f")
+    for width, limit in ((1, 1000), (7, 1000), (1000, 1000), (1000, 20)):
+        out = series.carry_forward(df, ["k"], ["i"], "v", F.floor(F.col("i") / width), "f", limit)
         got = {r.i: r.f for r in out.collect()}
         last = {}
         for k, i, val in rows:
