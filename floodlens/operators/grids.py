@@ -19,6 +19,12 @@ def between_days(df: DataFrame, date: str, start=None, end=None) -> DataFrame:
     return df
 
 
+def first_days(df: DataFrame, date: str, n: int) -> DataFrame:
+    """Rows of the ``n`` oldest distinct dates; the last of them bounds the scan."""
+    oldest = df.select(date).distinct().orderBy(date).limit(n)
+    return df.where(F.col(date) <= oldest.agg(F.max(date)).scalar())
+
+
 def surface_only(df: DataFrame, depth: str = "depth") -> DataFrame:
     """Cells of the shallowest depth."""
     return df.where(F.col(depth) == df.agg(F.min(depth)).scalar())
@@ -33,14 +39,19 @@ def region_daily_mean(
     lon: str = "lon",
     start=None,
     end=None,
+    n_days: int | None = None,
     digits: int = 6,
 ) -> DataFrame:
     """Mean per region and day; ``values`` maps a column to the divisor of its stored integers.
 
+    ``n_days`` keeps the first days of the range only.
+
     A cell finds its regions by comparing with a handful of literal boxes, without a range join,
     and NULL cells are skipped. Averages combine map-side before the one shuffle.
     """
     cells = between_days(grid, date, start, end)
+    if n_days is not None:
+        cells = first_days(cells, date, n_days)
     members = cells.select(date, *values, F.explode_outer(regions_of(lat, lon, boxes)).alias("region")).where(
         F.col("region").isNotNull()
     )

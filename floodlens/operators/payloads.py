@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from floodlens.functions.scalars import explode_rows
-from floodlens.operators.series import last_days
+from floodlens.operators.series import first_of_last_days
 
 MISSING = -999.0  # fixed value: sentinel of absent parameters
 
@@ -103,9 +103,8 @@ def merge_daily(
     def means(df: DataFrame, values: Mapping[str, str]) -> DataFrame:
         return df.groupBy(date).agg(*[F.round(F.avg(c), digits).alias(name) for c, name in values.items()])
 
-    kept = last_days(base, date, n_days)
-    first_day = kept.agg(F.min(date)).scalar()
-    merged = means(kept, base_values)
+    first_day = first_of_last_days(base, date, n_days)
+    merged = means(base.where(F.col(date) >= first_day), base_values)
     for other, values in others:
         merged = merged.join(means(other.where(F.col(date) >= first_day), values), date, "left")
     return merged

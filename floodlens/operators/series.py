@@ -205,10 +205,12 @@ def tide_with_fallback(bracketed: DataFrame, ts: str = "ts", model: TideModel =
     )
 
 
-def last_days(df: DataFrame, date: str = "date", n: int = 5) -> DataFrame:
-    """Rows of the ``n`` newest distinct dates.
-
-    The oldest of those dates is a scalar subquery, so it prunes partitions and row groups; no join.
-    """
+def first_of_last_days(df: DataFrame, date: str = "date", n: int = 5) -> Column:
+    """Oldest of the ``n`` newest distinct dates, as a scalar that can bound any scan."""
     newest = df.select(date).distinct().orderBy(F.col(date).desc()).limit(n)
-    return df.where(F.col(date) >= newest.agg(F.min(date)).scalar())
+    return newest.agg(F.min(date)).scalar()
+
+
+def last_days(df: DataFrame, date: str = "date", n: int = 5) -> DataFrame:
+    """Rows of the ``n`` newest distinct dates: one pruning filter, no join."""
+    return df.where(F.col(date) >= first_of_last_days(df, date, n))

@@ -131,6 +131,17 @@ def region_daily_mean(spark, sf):
     )
 
 
+@query("region_first_days", v.with_sql(v.GRID_SQL, v.REGIONS_SQL, body="""
+    , days AS (SELECT DISTINCT date FROM grid WHERE date >= DATE '1997-03-01' ORDER BY date LIMIT 15)
+    SELECT region, date, round(avg(sst) / 100e0, 6) AS mean_sst, count(*) AS n_cells
+    FROM (SELECT DISTINCT region, g.* FROM (SELECT row_number() OVER () AS rid, * FROM grid) g JOIN regions r
+          ON lat BETWEEN south AND north AND lon BETWEEN west AND east)
+    WHERE date IN (SELECT date FROM days) GROUP BY region, date"""))
+def region_first_days(spark, sf):
+    """The first fifteen days from a start date on, as the satellite source asks for them."""
+    return grids.region_daily_mean(v.grid(spark, sf), {"sst": 100.0}, start="1997-03-01", n_days=15)
+
+
 @query("daily_rain", v.with_sql(v.GRID_SQL, body="""
     , cells AS (SELECT date, lat, lon, sum(rate) AS s FROM grid
                 WHERE lat BETWEEN -10 AND 0 AND lon BETWEEN -90 AND -80 GROUP BY 1, 2, 3),

@@ -80,7 +80,7 @@ def stream_risk(spark, sf):
     """Topic files consumed in several ticks; the last tick's scores are those of all data."""
     base = shared_dir(spark, "monitor")
     records = v.topic_records(v.table(spark, sf, "events"))
-    records.repartition(3, "key").write.parquet(f"{base}/topics")
+    records.repartitionByRange(3, "timestamp").write.parquet(f"{base}/topics")
     write_zones(v.zones(spark, sf), f"{base}/zones")
     run_monitor(spark, MonitorConfig(
         base=base, zones_path=f"{base}/zones", topic_files=f"{base}/topics", max_files_per_trigger=1,

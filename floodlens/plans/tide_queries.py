@@ -115,6 +115,21 @@ def tide_table_parse(spark, sf):
     return events.select("doc", "line_no", "column", v.ntz("event_ts").alias("event_ts"), "height_m")
 
 
+@query("tide_history", """
+    WITH cells AS (
+      SELECT event_id, event_id % 4 + 1 AS quarter, c AS col FROM events, (SELECT unnest(range(6)) AS c)
+      UNION ALL SELECT event_id, event_id % 4 + 1, c FROM events, (SELECT unnest(range(3)) AS c)
+      UNION ALL SELECT event_id, event_id % 4 + 1, 1 FROM events),
+    dated AS (SELECT *, (event_id + col * 7) % 31 + 1 AS day, (quarter - 1) * 3 + col // 2 + 1 AS month FROM cells)
+    SELECT 2024 AS year, quarter::INTEGER AS quarter, count(*) AS n_events, 'INOCAR_pdf' AS origin FROM dated
+    WHERE quarter <= 3 AND try_cast('2024-' || lpad(month::VARCHAR, 2, '0') || '-' || lpad(day::VARCHAR, 2, '0') AS DATE) IS NOT NULL
+    GROUP BY 2""")
+def tide_history(spark, sf):
+    """All quarters up to the one of a given day."""
+    rows = tt.tide_events(tt.tide_history(tide_documents(spark, sf), 2022, F.lit("2024-08-15").cast("date")))
+    return rows.groupBy("year", "quarter", "origin").agg(F.count(F.lit(1)).alias("n_events"))
+
+
 @query("tide_table_rejects", """
     WITH cells AS (
       SELECT event_id, event_id % 4 + 1 AS quarter, 3 AS line_no, c AS col FROM events, (SELECT unnest(range(6)) AS c)

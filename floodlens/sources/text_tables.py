@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from floodlens.functions.scalars import explode_rows, pin, round_exact
 from floodlens.functions.text import strip_blanks
+from floodlens.functions.tide_model import ORIGIN_TABLE
 
 # Columns of the monthly ocean-index table, after numbering repeated headings.
 OCEAN_TABLE_COLUMNS = (
@@ -138,3 +139,14 @@ def tide_events(parsed: DataFrame, digits: int = 3) -> DataFrame:
 def tide_rejects(parsed: DataFrame) -> DataFrame:
     """Groups set aside; the rest of their document is kept."""
     return parsed.where(F.col("problem").isNotNull())
+
+
+def tide_history(documents: DataFrame, start_year: int, as_of: Column, doc: Sequence[str] = ("doc",)) -> DataFrame:
+    """Events of every quarter's table from ``start_year`` up to the quarter of ``as_of``, with their instants.
+
+    Groups that do not parse carry a ``problem``; they cost neither their table nor the others.
+    """
+    last = F.year(as_of) * 4 + F.quarter(as_of)
+    wanted = documents.where((F.col("year") >= start_year) & (F.col("year") * 4 + F.col("quarter") <= last))
+    lines = document_lines(wanted, keep=(*doc, "year", "quarter"))
+    return parse_tide_lines(lines, doc).withColumn("origin", F.lit(ORIGIN_TABLE))

@@ -10,12 +10,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from floodlens.functions.risk import DEFAULT_PARAMS, RiskParams
-from floodlens.operators.latest import latest_payload
+from floodlens.operators.latest import latest_by_key
 from floodlens.operators.scoring import READINGS, Reading, conditions_from_latest, score_zones
 from floodlens.schemas import TOPIC_SOURCES
 from floodlens.sources.sinks import write_snapshots
 from floodlens.sources.topics import topic_stream
 from floodlens.sources.zones import read_zones
+from floodlens.streaming.windows import latest_by_source
 
 STATE_SCHEMA = "source STRING, kafka_timestamp TIMESTAMP, json_str STRING"
 
@@ -74,10 +75,12 @@ def land_and_score(batch: DataFrame, epoch_id: int, zones: DataFrame, config: Mo
         )
         sources = sorted({r.source for r in config.readings} | set(TOPIC_SOURCES.values()))
         fields = ["source", "kafka_timestamp", "json_str"]
-        fresh = latest_payload(batch, sources).select(*fields)
+        fresh = latest_by_key(
+            batch, ["source"], "kafka_timestamp", ["json_str"], fields[1:], key_values=sources
+        ).select(*fields)
         if epoch_id > 0:
             before = spark.read.schema(STATE_SCHEMA).parquet(_slot(config, epoch_id - 1))
-            fresh = latest_payload(before.select(*fields).unionByName(fresh), sources).select(*fields)
+            fresh = latest_by_source(before.select(*fields).unionByName(fresh)).select(*fields)
         fresh.coalesce(1).write.mode("overwrite").parquet(_slot(config, epoch_id))
 
         state = spark.read.schema(STATE_SCHEMA).parquet(_slot(config, epoch_id))
