@@ -1,19 +1,20 @@
 """Exact nearest place by great-circle distance without comparing all pairs.
 
 Places are put into a hierarchy of cubes around the unit sphere (each level splits an edge by
-four). Every point walks down the hierarchy and keeps only the cubes that can still hold its
-nearest place: a cube survives when its closest possible distance does not exceed the distance to
-the best representative place seen so far. Only cubes at about the distance of the nearest place
-survive, so the work per point grows with the depth, not with the number of places, and dense
-clusters of places or points do not multiply into each other. Straight-line distance on the sphere orders places
-exactly like ground distance; the final choice is made by the haversine distance itself.
+four), with one place of each cube as its representative. A point first takes the distance to the
+representatives of the cubes it lies in as an upper bound. Then it walks down the hierarchy and
+keeps only the cubes whose closest possible distance does not exceed the bound, which shrinks with
+every representative it meets. Only cubes at about the distance of the nearest place survive, so
+the work per point grows with the depth, not with the number of places, and dense clusters of
+places or points do not multiply into each other. Straight-line distance on the sphere orders
+places exactly like ground distance; the final choice is made by the haversine distance itself.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from floodlens.functions.geometry import has_place, haversine_km, unit_vector
@@ -50,8 +51,9 @@ def _gap2(x: Column, y: Column, z: Column, cube: Column, level: int) -> Column:
     return gx * gx + gy * gy + gz * gz
 
 
-def _dist2(x: Column, y: Column, z: Column, p: Column) -> Column:
-    dx, dy, dz = x - p["x"], y - p["y"], z - p["z"]
+def _dist2(rx: str, ry: str, rz: str) -> Column:
+    """Square of the straight-line distance from the point to another position."""
+    dx, dy, dz = F.col("x") - F.col(rx), F.col("y") - F.col(ry), F.col("z") - F.col(rz)
     return dx * dx + dy * dy + dz * dz
 
 
@@ -60,51 +62,53 @@ def _reach2(bound: Column) -> Column:
     return reach * reach
 
 
-def _depth(places: DataFrame, max_leaf: int) -> int:
-    """Least depth at which no cube holds more than ``max_leaf`` places (one job, ten rows back)."""
-    cubes = F.array(*[
-        F.struct(F.lit(n).alias("level"), _cube(F.col("x"), F.col("y"), F.col("z"), n).alias("cube"))
-        for n in range(1, MAX_DEPTH + 1)
-    ])
-    fullest = (
-        places.select(F.inline(cubes)).groupBy("level", "cube").agg(F.count(F.lit(1)).alias("n"))
-        .groupBy("level").agg(F.max("n").alias("n")).orderBy("level").collect()
-    )
-    return next((r["level"] for r in fullest if r["n"] <= max_leaf), MAX_DEPTH)
+def _within(square: str | Column) -> Column:
+    """Not farther than the bound. No not-null filters are inferred from a coalesced condition;
+    pushed down, they would recompute the walk."""
+    square = F.col(square) if isinstance(square, str) else square
+    return F.coalesce(square <= _reach2(F.col("bound")), F.lit(False))
 
 
-def _children(places: DataFrame, level: int) -> DataFrame:
-    """Non-empty cubes of ``level`` by parent cube (at most 64 each), with one place of each."""
+def _levels(depth: int) -> Column:
+    """Cube of the row's position on every level down to ``depth``."""
     x, y, z = F.col("x"), F.col("y"), F.col("z")
-    cubes = places.groupBy(_cube(x, y, z, level).alias("cube")).agg(
-        *[F.max_by(c, "pid").alias(c) for c in "xyz"]  # fixed-width buffers: a hash aggregate
-    ).select("cube", F.struct("x", "y", "z").alias("at"))
-    parent = _cube(F.col("at.x"), F.col("at.y"), F.col("at.z"), level - 1)
-    return cubes.groupBy(parent.alias("parent")).agg(F.collect_list(F.struct("cube", "at")).alias("children"))
+    return F.array(*[
+        F.struct(F.lit(n).alias("level"), _cube(x, y, z, n).alias("cube")) for n in range(1, depth + 1)
+    ])
 
 
-def _true(condition: Column) -> Column:
-    """A condition from which no not-null filters are inferred (they would recompute the walk)."""
-    return F.coalesce(condition, F.lit(False))
+def _depth(places: DataFrame, max_leaf: int) -> int:
+    """Least depth at which no cube holds more than ``max_leaf`` places (one job, ten rows back)."""
+    fullest = (
+        places.select(F.inline(_levels(MAX_DEPTH))).groupBy("level", "cube").agg(F.count(F.lit(1)).alias("n"))
+        .groupBy("level").agg(F.max("n").alias("n")).orderBy("level").collect()
+    )
+    deep = MAX_DEPTH if fullest else 1
+    return next((r["level"] for r in fullest if r["n"] <= max_leaf), deep)
 
 
-def _candidates(children: Column, level: int) -> Column:
-    x, y, z = F.col("x"), F.col("y"), F.col("z")
-    return F.transform(
-        children,
-        lambda c: F.struct(
-            c["cube"].alias("cube"), _gap2(x, y, z, c["cube"], level).alias("gap2"),
-            _dist2(x, y, z, c["at"]).alias("far2"),
-        ),
+def _cells(places: DataFrame, depth: int) -> DataFrame:
+    """Non-empty cubes of all levels with their parent and representative (fixed-width hash aggregate)."""
+    return (
+        places.select("pid", "x", "y", "z", F.inline(_levels(depth)))
+        .groupBy("level", "cube").agg(*[F.max_by(c, "pid").alias(f"r{c}") for c in "xyz"])
     )
 
 
-def _best(candidates: Column) -> Column:
-    return F.array_min(F.transform(candidates, lambda c: c["far2"]))
+def _narrow(opened: DataFrame, level: int) -> DataFrame:
+    """Drop the cubes that cannot hold a nearest place, before and after tightening the bound."""
+    per_spot = Window.partitionBy("slat", "slon")
+    gap = _gap2(F.col("x"), F.col("y"), F.col("z"), F.col("cube"), level)
+    return (
+        opened.withColumns({"gap2": gap, "far2": _dist2("rx", "ry", "rz")})
+        .where(_within("gap2"))
+        .withColumn("bound", F.least("bound", F.min("far2").over(per_spot)))
+        .where(_within("gap2"))
+        .select(*_SPOT, "bound", "cube")
+    )
 
 
-def _within(candidates: str, bound: str) -> Column:
-    return F.filter(candidates, lambda c: c["gap2"] <= _reach2(F.col(bound)))
+_SPOT = ("slat", "slon", "x", "y", "z")
 
 
 def nearest_place(
@@ -135,44 +139,42 @@ def nearest_place(
         .checkpoint()
     )
     depth = _depth(index, max_leaf)
+    cells = _cells(index, depth).checkpoint()
 
     # The answer depends on the coordinates alone: copies of a point are looked up once.
     spots = (
         points.where(has_place(lat, lon)).select(F.col(lat).alias("slat"), F.col(lon).alias("slon")).distinct()
         .select("slat", "slon", *[c.alias(n) for n, c in zip("xyz", unit_vector("slat", "slon"))])
     )
-    spot = ["slat", "slon", "x", "y", "z"]
+    # First bound: the best representative of the cubes around the point; 4 is the square of the diameter.
+    around = spots.select(*_SPOT, F.inline(_levels(depth))).join(cells, ["level", "cube"], "left")
+    bounded = around.groupBy(*_SPOT).agg(F.coalesce(F.min(_dist2("rx", "ry", "rz")), F.lit(4.0)).alias("bound"))
 
     # Level one has at most 64 cubes: they travel as one array value.
-    top = _children(index, 1).agg(F.first("children")).scalar()
-    walk = (
-        spots.withColumn("__top", top).withColumn("__c", _candidates(F.col("__top"), 1)).withColumn("bound", _best(F.col("__c")))
-        .withColumn("cubes", _within("__c", "bound")).drop("__c", "__top")
+    top = cells.where("level = 1").agg(F.collect_list(F.struct("cube", "rx", "ry", "rz"))).scalar()
+    walk = _narrow(
+        bounded.withColumn("__top", top).select(*_SPOT, "bound", F.explode_outer("__top").alias("c"))
+        .select(*_SPOT, "bound", "c.*"),
+        1,
     )
     for level in range(2, depth + 1):
-        opened = (
-            walk.select(*spot, "bound", F.explode_outer("cubes").alias("open"))
-            .join(_children(index, level), F.col("open.cube") == F.col("parent"))
-            .withColumn("__c", _candidates(F.col("children"), level))
-            .withColumn("bound", F.least("bound", _best(F.col("__c"))))
-            .select(*spot, "bound", _within("__c", "bound").alias("__c"))
-        )
-        walk = (
-            opened.groupBy(*spot).agg(F.min("bound").alias("bound"), F.flatten(F.collect_list("__c")).alias("__c"))
-            .withColumn("cubes", _within("__c", "bound")).drop("__c")
+        rep = [F.col(c) for c in ("rx", "ry", "rz")]
+        below = cells.where(F.col("level") == level).select(
+            _cube(*rep, level - 1).alias("parent"), F.col("cube").alias("child"), *rep
         )
+        opened = walk.join(below, F.col("cube") == F.col("parent")).withColumn("cube", F.col("child"))
+        walk = _narrow(opened, level)
 
-    here = index.withColumn("leaf", _cube(F.col("x"), F.col("y"), F.col("z"), depth)).select(
-        "leaf", F.struct("pid", "plat", "plon", "x", "y", "z").alias("p")
+    here = index.select(
+        _cube(F.col("x"), F.col("y"), F.col("z"), depth).alias("leaf"), "pid", "plat", "plon",
+        *[F.col(c).alias(f"r{c}") for c in "xyz"],
     )
-    x, y, z = F.col("x"), F.col("y"), F.col("z")
     nearest = (
-        walk.select(*spot, "bound", F.explode_outer("cubes").alias("open"))
-        .join(here, F.col("open.cube") == F.col("leaf"))
-        .where(_true(_dist2(x, y, z, F.col("p")) <= _reach2(F.col("bound"))))
-        .withColumn("d", F.round(haversine_km("slat", "slon", "p.plat", "p.plon"), digits))
+        walk.join(here, F.col("cube") == F.col("leaf"))
+        .where(_within(_dist2("rx", "ry", "rz")))
+        .withColumn("d", F.round(haversine_km("slat", "slon", "plat", "plon"), digits))
         .groupBy("slat", "slon")
-        .agg(F.min(F.struct("d", "p.pid", "p.plat", "p.plon")).alias("best"))
+        .agg(F.min(F.struct("d", "pid", "plat", "plon")).alias("best"))
         .select(
             "slat", "slon",
             F.col("best.pid").alias(place_id), F.col("best.plat").alias("place_lat"),

@@ -106,7 +106,7 @@ def tide_documents(spark, sf):
       SELECT event_id, event_id % 4 + 1, 6, 1, '06:30', 0.55e0 FROM events),
     dated AS (
       SELECT *, (event_id + col * 7) % 31 + 1 AS day, (quarter - 1) * 3 + col // 2 + 1 AS month FROM cells)
-    SELECT event_id AS doc, line_no, col AS "column", event_ts, round(CAST(h AS DECIMAL(12,2))::DOUBLE, 3) AS height_m
+    SELECT event_id AS doc, line_no, col::INTEGER AS "column", event_ts, round(CAST(h AS DECIMAL(12,2))::DOUBLE, 3) AS height_m
     FROM (SELECT *, try_cast('2024-' || lpad(month::VARCHAR, 2, '0') || '-' || lpad(day::VARCHAR, 2, '0') || ' ' || hm || ':00' AS TIMESTAMP) AS event_ts FROM dated)
     WHERE event_ts IS NOT NULL""")
 def tide_table_parse(spark, sf):

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-RAW_SCHEMA = "json_str STRING, kafka_timestamp TIMESTAMP, source STRING, date DATE"
 
 # Column order of the zone file; the reader renames to the English names used everywhere else.
 ZONE_FILE_SCHEMA = (

@@ -5,7 +5,6 @@ import random
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
-from pyspark.sql import functions as F
 
 from floodlens.functions.risk import RiskParams, with_risk
 from floodlens.functions.scalars import clip01, round_exact, signed_label, threshold_class
