@@ -28,13 +28,25 @@ def _edge(level: int) -> float:
     return 2.0 / 4**level
 
 
-def _index(x: Column, level: int) -> Column:
-    return F.least(F.floor((x + F.lit(1.0)) / F.lit(_edge(level))), F.lit(4**level - 1)).cast("long")
+def _place_on_sphere(lat: str, lon: str) -> list[Column]:
+    """Unit vector and its cube indices on the deepest level; coarser cubes are shifts of those."""
+    vector = unit_vector(lat, lon)
+    finest = F.lit(_edge(MAX_DEPTH))
+    steps = [F.least(F.floor((v + F.lit(1.0)) / finest), F.lit(4**MAX_DEPTH - 1)).cast("long") for v in vector]
+    return [c.alias(n) for n, c in zip(("x", "y", "z", "ix", "iy", "iz"), (*vector, *steps))]
 
 
-def _cube(x: Column, y: Column, z: Column, level: int) -> Column:
-    span = F.lit(1 << 21)
-    return (_index(x, level) * span + _index(y, level)) * span + _index(z, level)
+def _cube(level: int | str) -> Column:
+    """Cube holding the row's position on a level: three 21-bit indices in one long."""
+    shift = f"2 * ({MAX_DEPTH} - {level})"
+    ix, iy, iz = (f"shiftright({i}, {shift})" for i in ("ix", "iy", "iz"))
+    return F.expr(f"shiftleft({ix}, 42) | shiftleft({iy}, 21) | {iz}")
+
+
+def _parent(cube: Column) -> Column:
+    mask = F.lit(((1 << 21) - 1) >> 2)
+    ix, iy, iz = F.shiftright(cube, 44), F.shiftright(cube, 23).bitwiseAND(mask), F.shiftright(cube, 2).bitwiseAND(mask)
+    return F.shiftleft(ix, 42).bitwiseOR(F.shiftleft(iy, 21)).bitwiseOR(iz)
 
 
 def _axis_gap(v: Column, index: Column, edge: float) -> Column:
@@ -69,18 +81,16 @@ def _within(square: str | Column) -> Column:
     return F.coalesce(square <= _reach2(F.col("bound")), F.lit(False))
 
 
-def _levels(depth: int) -> Column:
-    """Cube of the row's position on every level down to ``depth``."""
-    x, y, z = F.col("x"), F.col("y"), F.col("z")
-    return F.array(*[
-        F.struct(F.lit(n).alias("level"), _cube(x, y, z, n).alias("cube")) for n in range(1, depth + 1)
-    ])
+def _on_levels(df: DataFrame, depth: int, columns: Sequence[str]) -> DataFrame:
+    """One row per level down to ``depth`` with the cube holding the row's position."""
+    levels = df.select(*columns, "ix", "iy", "iz", F.explode(F.sequence(F.lit(1), F.lit(depth))).alias("level"))
+    return levels.select(*columns, "level", _cube("level").alias("cube"))
 
 
 def _depth(places: DataFrame, max_leaf: int) -> int:
     """Least depth at which no cube holds more than ``max_leaf`` places (one job, ten rows back)."""
     fullest = (
-        places.select(F.inline(_levels(MAX_DEPTH))).groupBy("level", "cube").agg(F.count(F.lit(1)).alias("n"))
+        _on_levels(places, MAX_DEPTH, []).groupBy("level", "cube").agg(F.count(F.lit(1)).alias("n"))
         .groupBy("level").agg(F.max("n").alias("n")).orderBy("level").collect()
     )
     deep = MAX_DEPTH if fullest else 1
@@ -88,9 +98,9 @@ def _depth(places: DataFrame, max_leaf: int) -> int:
 
 
 def _cells(places: DataFrame, depth: int) -> DataFrame:
-    """Non-empty cubes of all levels with their parent and representative (fixed-width hash aggregate)."""
+    """Non-empty cubes of all levels with their representative (fixed-width hash aggregate)."""
     return (
-        places.select("pid", "x", "y", "z", F.inline(_levels(depth)))
+        _on_levels(places, depth, ["pid", "x", "y", "z"])
         .groupBy("level", "cube").agg(*[F.max_by(c, "pid").alias(f"r{c}") for c in "xyz"])
     )
 
@@ -135,7 +145,7 @@ def nearest_place(
         places.where(has_place(lat, lon, drop_zero_coords))
         .groupBy(F.col(lat).alias("plat"), F.col(lon).alias("plon"))
         .agg(F.min(place_id).alias("pid"))
-        .select("pid", "plat", "plon", *[c.alias(n) for n, c in zip("xyz", unit_vector("plat", "plon"))])
+        .select("pid", "plat", "plon", *_place_on_sphere("plat", "plon"))
         .checkpoint()
     )
     depth = _depth(index, max_leaf)
@@ -144,10 +154,10 @@ def nearest_place(
     # The answer depends on the coordinates alone: copies of a point are looked up once.
     spots = (
         points.where(has_place(lat, lon)).select(F.col(lat).alias("slat"), F.col(lon).alias("slon")).distinct()
-        .select("slat", "slon", *[c.alias(n) for n, c in zip("xyz", unit_vector("slat", "slon"))])
+        .select("slat", "slon", *_place_on_sphere("slat", "slon"))
     )
     # First bound: the best representative of the cubes around the point; 4 is the square of the diameter.
-    around = spots.select(*_SPOT, F.inline(_levels(depth))).join(cells, ["level", "cube"], "left")
+    around = _on_levels(spots, depth, _SPOT).join(cells, ["level", "cube"], "left")
     bounded = around.groupBy(*_SPOT).agg(F.coalesce(F.min(_dist2("rx", "ry", "rz")), F.lit(4.0)).alias("bound"))
 
     # Level one has at most 64 cubes: they travel as one array value.
@@ -158,15 +168,14 @@ def nearest_place(
         1,
     )
     for level in range(2, depth + 1):
-        rep = [F.col(c) for c in ("rx", "ry", "rz")]
         below = cells.where(F.col("level") == level).select(
-            _cube(*rep, level - 1).alias("parent"), F.col("cube").alias("child"), *rep
+            _parent(F.col("cube")).alias("parent"), F.col("cube").alias("child"), "rx", "ry", "rz"
         )
         opened = walk.join(below, F.col("cube") == F.col("parent")).withColumn("cube", F.col("child"))
         walk = _narrow(opened, level)
 
     here = index.select(
-        _cube(F.col("x"), F.col("y"), F.col("z"), depth).alias("leaf"), "pid", "plat", "plon",
+        _cube(depth).alias("leaf"), "pid", "plat", "plon",
         *[F.col(c).alias(f"r{c}") for c in "xyz"],
     )
     nearest = (
