@@ -3,9 +3,9 @@
 import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
+from floodlens.plans.catalog import ORACLES, QUERIES
 from tools.compare import connect, rows_of
 
-QUERIES, ORACLES = queries(), oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -15,6 +15,7 @@ def db(sf):
 
 def test_every_query_has_an_oracle():
     assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(queries()) and set(oracle_sql()) <= set(queries())
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
