@@ -78,7 +78,8 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path or vocabulary(name))
-        self.find = re.compile(PIECES[name]).findall if name in PIECES else None
+        self.pattern = re.compile(PIECES[name]) if name in PIECES else None
+        self.find = self.pattern.findall if self.pattern else None
         self.lower = name == "word_bpe_49k.json"
         self.remembered = remembered
         self._forget()
@@ -149,10 +150,13 @@ class PieceEncoder:
         bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(pieces)])]
         return ids, np.diff(bounds)
 
-    def count(self, texts: Sequence[str]) -> np.ndarray:
-        """Number of ids of each piece of ``texts``, one after another."""
-        codes, _ = self.piece_codes(texts)
-        return self.length[codes]
+    def piece_lengths(self, pieces: Sequence[str]) -> np.ndarray:
+        """Number of ids of each piece that ``find`` cut out."""
+        if len(self.codes) > self.remembered:
+            self._forget()
+        codes = list(map(self.codes.__getitem__, pieces))
+        self._learn()
+        return self.length[np.asarray(codes, dtype=np.int64)]
 
 
 _encoders: dict[tuple[str, str | None], PieceEncoder] = {}

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from floodlens.llm import exact_dedup, mixing, packing, simhash, toxicity
+from floodlens.llm import edit_counts, exact_dedup, html_text, mixing, packing, paragraph_dedup, pivot_search, simhash, token_store, toxicity
 from floodlens.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,6 +29,26 @@ def simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_dedup(read(spark, sf_dir, "documents"))
 
 
+@query("op2_html_extraction")
+def html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_text(read(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+@query("op3_substring_dedup")
+def substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraph_dedup.repeated_spans(read(spark, sf_dir, "documents")).drop("text_key")
+
+
+@query("op4_exact_top_k", pivot_search.top_k_sql())
+def exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivot_search.top_k(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+@query("op5_token_store")
+def token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_store.read_back(token_store.write(read(spark, sf_dir, "documents")))
+
+
 @query("op6_exact_dedup", """
 WITH d AS (SELECT doc_id, sha256(coalesce(text, '')) AS text_sha256 FROM documents),
 g AS (SELECT text_sha256, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY text_sha256)
@@ -36,6 +57,22 @@ def exact_dedup_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(read(spark, sf_dir, "documents"))
 
 
+@query("op7_edit_counts")
+def edited_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document gets two edits: some characters give way to the name of its source, and its beginning is put in again."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "source")
+    n, h = F.length("text"), F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+
+    def change(start, length, text):
+        return F.struct(start.cast("int").alias("start"), length.cast("int").alias("length"), text.alias("text"))
+
+    edits = F.array(
+        change(F.floor(n * (h % 97) / 97), h % 41, F.coalesce("source", F.lit(""))),
+        change(F.floor(n * (h % 89) / 89), F.lit(0), F.substring("text", 1, 80)))
+    docs = edit_counts.with_trees(docs.withColumn("edits", edits))
+    return edit_counts.apply_edits(docs, "edits").select("doc_id", "n_tokens_before", "n_tokens", "n_encoded")
+
+
 @query("op8_toxicity")
 def toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
