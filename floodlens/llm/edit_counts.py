@@ -137,13 +137,14 @@ def _tree_array(trees: list[CountTree]) -> pa.StructArray:
 def with_trees(docs: DataFrame, text_col: str = "text", tree_col: str = "tree", tokenizer: str = TOKENIZER) -> DataFrame:
     """``docs`` with the tree of each text in a column of its own (replacing one of that name)."""
     docs = docs.drop(tree_col)
-    at = docs.columns.index(text_col)
+    names = docs.columns
+    at = names.index(text_col)
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoding.encoder(tokenizer)
         for batch in batches:
             trees = [CountTree.of_text(t or "", encoder) for t in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, _tree_array(trees)], [*docs.columns, tree_col])
+            yield pa.RecordBatch.from_arrays([*batch.columns, _tree_array(trees)], [*names, tree_col])
 
     return in_arrow(docs, build, StructType([*docs.schema.fields, StructField(tree_col, TREE)]))
 
