@@ -42,7 +42,7 @@ class DigestIndex:
 
         A plain read lets a join on a digest that many rows share be split; the bucketed table is for :meth:`append`.
         """
-        return self.spark.read.parquet(self.path)
+        return self.spark.read.schema(self.spark.table(self.name).schema).parquet(self.path)
 
     def append(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> None:
         """Add the texts of a batch that the index does not hold. Of equal texts in the batch the largest id stays."""

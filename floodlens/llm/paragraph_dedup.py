@@ -204,22 +204,20 @@ def _pairs(cut_up: DataFrame) -> DataFrame:
     return placed.join(centres, "band").where("place > centre").select(F.col("line").alias("u"), "v").distinct()
 
 
-def _bloom(ids: DataFrame) -> bytes:
-    """A bit per hash of an id, ``FILTER_BITS`` in all, put together in the cluster."""
-    at = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
-    rows = ids.select(at.alias("at")).groupBy(F.expr("bitmap_bucket_number(at + 1)").alias("part")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(at + 1))").alias("bits"))
-    held = {r["part"] - 1: bytes(r["bits"]) for r in rows.collect()}  # at most FILTER_BITS / 32768 rows of 4 KB
-    return b"".join(held.get(i, bytes(4096)) for i in range(FILTER_BITS // 32768))
+def _filter_bits(ids: DataFrame) -> DataFrame:
+    """``part, bits``: a bit per hash of an id, ``FILTER_BITS`` in all, in at most FILTER_BITS / 32768 rows of 4 KB."""
+    return ids.select((F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)) + 1).alias("at")).groupBy(F.expr("bitmap_bucket_number(at)").alias("part")).agg(
+        F.expr("bitmap_construct_agg(bitmap_bit_position(at))").alias("bits"))
 
 
 def _shingle_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``line, shingles`` for lines ``wanted`` (``line, doc_id, text_key, start, end``)."""
-    bits = _bloom(wanted)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     # A document is left out here only if its bit is not set, so none that is wanted is lost.
-    at = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
-    word = F.conv(F.hex(F.substring(F.lit(bits), (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    rows = rows.where(word.bitwiseAND(F.expr(f"shiftleft(1, cast(pmod(xxhash64(doc_id), {FILTER_BITS}) % 8 as int))")) != 0)
+    rows = rows.withColumn("at", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)) + 1).withColumn("part", F.expr("bitmap_bucket_number(at)"))
+    rows = rows.join(F.broadcast(_filter_bits(wanted)), "part").withColumn("bit", F.expr("bitmap_bit_position(at)"))
+    byte = F.expr("cast(conv(hex(substring(bits, cast(bit div 8 as int) + 1, 1)), 16, 10) as int)")
+    rows = rows.where(byte.bitwiseAND(F.expr("shiftleft(1, cast(bit % 8 as int))")) != 0).select("doc_id", "text")
     rows = rows.withColumn("text_key", F.xxhash64("text"))
     text = F.expr("substring(text, start + 1, end - start)")
     lines = rows.join(wanted, ["doc_id", "text_key"]).select("line", text.alias("text"))
