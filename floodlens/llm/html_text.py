@@ -211,9 +211,10 @@ class _Layout:
                 self.apart(rng.choice(["div", "aside", "section"]))
         if rng.random() < 0.9:
             self.out.append(closed)
-        for kind in rng.sample(["section", "aside", "div", "footer", "form", "nav"], rng.randint(0, 4)):
-            self.apart(kind)
-        self.apart("footer")
+        if rng.random() < 0.8:
+            for kind in rng.sample(["section", "aside", "div", "footer", "form", "nav"], rng.randint(0, 4)):
+                self.apart(kind)
+            self.apart("footer")
         self.out.append(rng.choice(["</body></html>", ""]))
         return "".join(self.out)
 
