@@ -32,6 +32,8 @@ MOST_LABELLED = 20_000
 MOST_TERMS = 2_000
 MOST_FORMS = 20_000
 MOST_CONTEXT = 500
+#: A term is at least so many times as frequent in toxic documents as in clean ones.
+TIMES = 20
 WINDOW = 6
 FEATURES = 5
 REMEMBERED = 500_000
@@ -167,7 +169,7 @@ def _lexicon(words: DataFrame, n1: int, n0: int) -> dict[str, float]:
     stems = words.where("length(word) > 4").select("a", "b", F.explode(F.expr("transform(sequence(4, least(8, length(word) - 1)), n -> concat(left(word, n), '*'))")).alias("word"))
     stems = stems.groupBy("word").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.count("*").alias("forms")).where("forms > 2")
     both = words.where("length(word) > 2").select("word", "a", "b").unionByName(stems.select("word", "a", "b"))
-    likely = both.where(F.col("a") * n0 > 5 * F.col("b") * n1).where("a > 2").orderBy(F.desc(F.col("a") - F.col("b")), "word").limit(4 * MOST_TERMS).collect()
+    likely = both.where(F.col("a") * n0 > TIMES * F.col("b") * n1).where("a > 2").orderBy(F.desc(F.col("a") - F.col("b")), "word").limit(4 * MOST_TERMS).collect()
     # A word must stand out among as many words as there are.
     bar = 2 * math.log(max(2, words.count())) + 6
     ratio = {r["word"]: likelihood_ratio(min(r["a"], n1), min(r["b"], n0), n1, n0) for r in likely}
