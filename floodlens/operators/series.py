@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,87 +11,72 @@ from floodlens.functions.scalars import round_exact
 from floodlens.functions.tide_model import (
     DEFAULT_MODEL, FALLING, ORIGIN_MODEL, ORIGIN_TABLE, RISING, TideModel, with_harmonic_tide,
 )
-from floodlens.session import ensure_checkpoint_dir
+# Slots are gathered into spans of this many, so that no window holds all slots of a long-lived key.
+SLOTS_PER_SPAN = 1_000
 
 
-# A window task sorts at most this many rows; fuller slots are cut by position instead of by time.
-MAX_SLOT_ROWS = 5_000_000
-
-
-def _too_full(df: DataFrame, keys: Sequence[str], slot: Column, limit: int) -> bool:
-    """Whether a slot of one key exceeds ``limit`` (narrow scan, counted map-side, one row back)."""
-    fullest = df.groupBy(*keys, slot.alias("__slot")).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
-    return (fullest or 0) > limit
+def _hand_over(per_slot: DataFrame, keys: Sequence[str], columns: Mapping[str, bool]) -> DataFrame:
+    """``keys, __slot`` and, per column, the value that the nearest other slot of the key hands over.
 
+    A column marked True is handed from later slots to earlier ones. ``per_slot`` has one row per
+    key and slot. Slots are carried within their span, spans along the key: a window never holds
+    more than ``SLOTS_PER_SPAN`` slots, nor more spans than the key's whole time has.
+    """
+    others = (Window.unboundedPreceding, -1)
+    per_slot = per_slot.withColumn("__span", F.floor(F.col("__slot") / SLOTS_PER_SPAN))
 
-def _even_slots(df: DataFrame, order: Sequence[Column], limit: int) -> DataFrame:
-    """Add ``__slot``: consecutive ranges of the whole order with about equal numbers of rows.
+    def carried(name: str, later: bool, groups: Sequence[str], by: str) -> Column:
+        order = F.col(by).desc() if later else F.col(by)
+        return F.last(name, ignorenulls=True).over(Window.partitionBy(*groups).orderBy(order).rowsBetween(*others))
 
-    Range bounds come from a sample, so the ranges are written down once (reliable checkpoint): a
-    task repeated after a loss must not see other bounds than its siblings.
-    """
-    ensure_checkpoint_dir(df.sparkSession)
-    ranges = max(1, -(-df.count() * 2 // limit))
-    ranged = df.repartitionByRange(ranges, *order)
-    return ranged.withColumn("__slot", F.spark_partition_id().cast("long")).checkpoint()
+    inside = per_slot.select(
+        *keys, "__span", "__slot", *[carried(c, later, [*keys, "__span"], "__slot").alias(c) for c, later in columns.items()]
+    )
+    known = {c: F.when(F.col(c).isNotNull(), F.col("__slot")) for c in columns}
+    spans = per_slot.groupBy(*keys, "__span").agg(
+        *[(F.min_by if later else F.max_by)(c, known[c]).alias(c) for c, later in columns.items()]
+    )
+    spans = spans.select(
+        *[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col("__span").alias("__s"),
+        *[carried(c, later, keys, "__span").alias(f"__span_{c}") for c, later in columns.items()],
+    )
+    on = [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)] + [F.col("__span") == F.col("__s")]
+    return inside.join(spans, on).select(*keys, "__slot", *[F.coalesce(c, f"__span_{c}").alias(c) for c in columns])
 
 
 def carry_forward(
-    df: DataFrame,
-    keys: Sequence[str],
-    order_by: Sequence[str],
-    column: str,
-    slot: Column,
-    into: str,
-    max_slot_rows: int = MAX_SLOT_ROWS,
+    df: DataFrame, keys: Sequence[str], order_by: Sequence[str], column: str, slot: Column, into: str
 ) -> DataFrame:
     """Last known value of ``column`` at or before each row of the same key, as column ``into``.
 
-    ``slot`` must grow with ``order_by`` (a time or line bucket). The running window covers one key
-    and slot at a time, so a hot key is spread over its slots; what enters a slot from earlier ones
-    comes from a summary that holds one row per key and slot. If a slot still holds more than
-    ``max_slot_rows`` rows of a key, even ranges of the sorted rows take the place of the slots.
+    ``slot`` is a whole number that grows with ``order_by`` (a time or line bucket). Rows alike in
+    key and order are reduced to one first, the greatest value counting, so a hot instant is one row
+    of its window; the running window covers one key and slot, and what enters a slot from earlier
+    ones comes from a summary of one row per key and slot. The rows take part in one equi-join.
     """
+    at = [*keys, *order_by]
+    instants = df.groupBy(*at, slot.cast("long").alias("__slot")).agg(F.max(column).alias("__value"))
     order = [F.col(c) for c in order_by]
-    if _too_full(df, keys, slot, max_slot_rows):
-        slotted = _even_slots(df, [*map(F.col, keys), *order], max_slot_rows)
-    else:
-        slotted = df.withColumn("__slot", slot)
     running = (
-        Window.partitionBy(*keys, "__slot").orderBy(*order)
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        Window.partitionBy(*keys, "__slot").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    local = slotted.withColumn("__local", F.last(column, ignorenulls=True).over(running))
-
-    position = F.when(F.col(column).isNotNull(), F.struct(*order))
-    earlier = (
-        Window.partitionBy(*keys).orderBy("__slot").rowsBetween(Window.unboundedPreceding, -1)
+    local = instants.withColumn("__local", F.last("__value", ignorenulls=True).over(running))
+    position = F.when(F.col("__value").isNotNull(), F.struct(*order))
+    per_slot = instants.groupBy(*keys, "__slot").agg(F.max_by("__value", position).alias("__entering"))
+    entering = _hand_over(per_slot, keys, {"__entering": False}).select(
+        *[F.col(k).alias(f"__e{i}") for i, k in enumerate(keys)], F.col("__slot").alias("__es"), "__entering"
     )
-    entering = (
-        slotted.groupBy(*keys, "__slot")
-        .agg(F.max_by(column, position).alias("__last"))
-        .select(
-            *[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)],
-            F.col("__slot").alias("__s"),
-            F.last("__last", ignorenulls=True).over(earlier).alias("__carried"),
-        )
-    )
-    on = [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)] + [F.col("__slot") == F.col("__s")]
-    return (
-        local.join(entering, on, "left")
-        .withColumn(into, F.coalesce("__local", "__carried"))
-        .select(*[c for c in df.columns if c != into], into)
+    on = [F.col(k).eqNullSafe(F.col(f"__e{i}")) for i, k in enumerate(keys)] + [F.col("__slot").eqNullSafe(F.col("__es"))]
+    filled = local.join(entering, on, "left").select(
+        *[F.col(c).alias(f"__a{i}") for i, c in enumerate(at)], F.coalesce("__local", "__entering").alias("__filled")
     )
+    same = [F.col(c).eqNullSafe(F.col(f"__a{i}")) for i, c in enumerate(at)]
+    kept = [c for c in df.columns if c != into]
+    return df.join(filled, same, "left").select(*kept, F.col("__filled").alias(into))
 
 
 def bracket(
-    probes: DataFrame,
-    events: DataFrame,
-    key: str,
-    ts: str = "ts",
-    value: str = "height_m",
-    slot_hours: float = 24.0,
-    max_slot_rows: int = MAX_SLOT_ROWS,
+    probes: DataFrame, events: DataFrame, key: str, ts: str = "ts", value: str = "height_m", slot_hours: float = 1.0
 ) -> DataFrame:
     """Attach the last event at or before each probe and the first one after it.
 
@@ -99,13 +84,12 @@ def bracket(
     several events at one instant the greatest value counts as the last and the least as the first.
 
     Only distinct instants of probes and events meet in the windows (copies collapse map-side), one
-    key and time slot at a time; slots of more than ``max_slot_rows`` rows are replaced by even
-    ranges. The full probe rows take part in a single equi-join at the end, which adaptive execution
-    can split when one instant is hot. No row ever meets more than its own two neighbours.
+    key and time slot at a time; a summary per slot hands the neighbouring events over. The full
+    probe rows take part in a single equi-join at the end, which adaptive execution can split when
+    one instant is hot. No row ever meets more than its own two neighbours.
     """
     at = F.unix_micros(F.col(ts).cast("timestamp"))
-    width = F.lit(int(slot_hours * 3_600_000_000))
-    slot = F.floor(F.col("__at") / width)
+    slot = F.floor(F.col("__at") / F.lit(int(slot_hours * 3_600_000_000)))
     instants = probes.select(F.col(key).alias("__key"), at.alias("__at"))
     seen = events.select(F.col(key).alias("__key"), at.alias("__at"), F.col(value).cast("double").alias("__h")).where(
         F.col("__key").isNotNull() & F.col("__at").isNotNull() & F.col("__h").isNotNull()
@@ -115,12 +99,8 @@ def bracket(
     timeline = (
         instants.distinct().select("__key", "__at", F.lit(1).alias("__probe"), nothing.alias("__high"), nothing.alias("__low"))
         .unionByName(known.select("__key", "__at", F.lit(0).alias("__probe"), "__high", "__low"))
+        .withColumn("__slot", slot)
     )
-    counted = instants.unionByName(seen.select("__key", "__at"))
-    if _too_full(counted, ["__key"], slot, max_slot_rows):
-        timeline = _even_slots(timeline, [F.col(c) for c in ("__key", "__at", "__probe")], max_slot_rows)
-    else:
-        timeline = timeline.withColumn("__slot", slot)
 
     here = Window.partitionBy("__key", "__slot")
     upto = (Window.unboundedPreceding, Window.currentRow)
@@ -135,9 +115,9 @@ def bracket(
         .over(here.orderBy(F.col("__at").desc(), F.col("__probe").desc()).rowsBetween(*upto)).alias("__after"),
     ).where("__probe = 1")
 
-    # One row per key and slot: what the neighbouring slots hand over.
+    # One row per key and slot: what it hands to its neighbours.
     event_at = F.when(is_event, F.col("__at"))
-    per_slot = timeline.groupBy("__key", "__slot").agg(
+    ends = timeline.groupBy("__key", "__slot").agg(
         F.max(event_at).alias("__t_last"),
         F.max_by("__high", event_at).alias("__h_last"),
         F.min(event_at).alias("__t_first"),
@@ -147,19 +127,16 @@ def bracket(
     def pair(t: str, h: str) -> Column:
         return F.when(F.col(t).isNotNull(), F.struct(F.col(t).alias("__at"), F.col(h).alias("__h")))
 
-    others = (Window.unboundedPreceding, -1)
-    along = Window.partitionBy("__key")
-    handed = per_slot.select(
-        F.col("__key").alias("__k"), F.col("__slot").alias("__s"),
-        F.last(pair("__t_last", "__h_last"), ignorenulls=True)
-        .over(along.orderBy("__slot").rowsBetween(*others)).alias("__from_left"),
-        F.last(pair("__t_first", "__h_first"), ignorenulls=True)
-        .over(along.orderBy(F.col("__slot").desc()).rowsBetween(*others)).alias("__from_right"),
+    per_slot = ends.select(
+        "__key", "__slot", pair("__t_last", "__h_last").alias("__left"), pair("__t_first", "__h_first").alias("__right")
+    )
+    handed = _hand_over(per_slot, ["__key"], {"__left": False, "__right": True}).select(
+        F.col("__key").alias("__k"), F.col("__slot").alias("__s"), "__left", "__right"
     )
     found = (
         local.join(handed, (F.col("__key") == F.col("__k")) & (F.col("__slot") == F.col("__s")), "left")
-        .withColumn("__before", F.coalesce("__before", "__from_left"))
-        .withColumn("__after", F.coalesce("__after", "__from_right"))
+        .withColumn("__before", F.coalesce("__before", "__left"))
+        .withColumn("__after", F.coalesce("__after", "__right"))
         .select(
             F.col("__key").alias("__bk"), F.col("__at").alias("__bt"),
             F.col("__before.__at").alias("t0"), F.col("__before.__h").alias("h0"),

@@ -13,8 +13,8 @@ from floodlens.sources import text_tables as tt
 
 _TIDE_SQL = """
     known AS (SELECT user_id AS station, ts, max(value / 100e0) AS hi, min(value / 100e0) AS lo
-              FROM events WHERE event_type = 'purchase' GROUP BY 1, 2),
-    probes AS (SELECT event_id, user_id AS station, ts FROM events WHERE event_type = 'view'),
+              FROM events WHERE event_type IN ('purchase', 'signup') GROUP BY 1, 2),
+    probes AS (SELECT event_id, user_id AS station, ts FROM events WHERE event_type NOT IN ('purchase', 'signup')),
     before AS (SELECT p.event_id, p.station, p.ts, k.ts AS t0, k.hi AS h0
                FROM probes p ASOF LEFT JOIN known k ON p.station = k.station AND p.ts >= k.ts),
     bracketed AS (SELECT b.*, k.ts AS t1, k.lo AS h1
@@ -65,7 +65,7 @@ def forward_fill(spark, sf):
         "event_id", "user_id", "ts", F.when(F.col("event_type") == "purchase", F.col("value")).alias("reading")
     )
     filled = series.carry_forward(
-        rows, ["user_id"], ["ts", "event_id"], "reading", F.date_trunc("day", F.col("ts").cast("timestamp")), "filled"
+        rows, ["user_id"], ["ts", "event_id"], "reading", F.unix_date(F.to_date("ts")), "filled"
     )
     return filled.select("event_id", "user_id", "filled")
 

@@ -192,12 +192,13 @@ snapshots AS (
 
 
 def tide_series(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """Tide events (purchases) and probes (views) of the same stations."""
+    """Tide events (purchases and signups) and probes (all others) of the same stations."""
     events = table(spark, sf, "events")
-    known = events.where(F.col("event_type") == "purchase").select(
+    is_tide = F.col("event_type").isin("purchase", "signup")
+    known = events.where(is_tide).select(
         F.col("user_id").alias("station"), "ts", (F.col("value") / 100.0).alias("height_m")
     )
-    probes = events.where(F.col("event_type") == "view").select(
+    probes = events.where(~is_tide).select(
         "event_id", F.col("user_id").alias("station"), "ts"
     )
     return probes, known

@@ -17,8 +17,9 @@ def minute(m):
     return T0 + dt.timedelta(minutes=m)
 
 
-@pytest.mark.parametrize("slot_hours, max_slot_rows", [(1.0, 10**6), (24.0, 10**6), (2400.0, 10**6), (24.0, 50)])
-def test_bracket_against_brute_force(spark, slot_hours, max_slot_rows):
+@pytest.mark.parametrize("slot_hours, per_span", [(1.0, 1000), (24.0, 2), (2400.0, 1000), (0.1, 7)])
+def test_bracket_against_brute_force(spark, monkeypatch, slot_hours, per_span):
+    monkeypatch.setattr(series, "SLOTS_PER_SPAN", per_span)
     rng = random.Random(11)
     # One station holds a third of the rows; instants repeat; some stations have no events.
     station = lambda: "hot" if rng.random() < 0.34 else f"s{rng.randrange(6)}"
@@ -27,7 +28,7 @@ def test_bracket_against_brute_force(spark, slot_hours, max_slot_rows):
     probes = [(i, station(), minute(rng.randrange(-100, 9200, 5))) for i in range(900)]
     pdf = spark.createDataFrame(probes, "id INT, station STRING, ts TIMESTAMP")
     edf = spark.createDataFrame(events, "station STRING, ts TIMESTAMP, height_m DOUBLE")
-    got = {r.id: (r.t0, r.h0, r.t1, r.h1) for r in series.bracket(pdf, edf, "station", slot_hours=slot_hours, max_slot_rows=max_slot_rows).collect()}
+    got = {r.id: (r.t0, r.h0, r.t1, r.h1) for r in series.bracket(pdf, edf, "station", slot_hours=slot_hours).collect()}
     us = lambda t: int((t - dt.datetime(1970, 1, 1)).total_seconds() * 1_000_000)
     for i, s, t in probes:
         before = [(e[1], e[2]) for e in events if e[0] == s and e[1] <= t]
@@ -69,17 +70,36 @@ def test_harmonic_flags(spark):
         assert r.high_tide == (at(h) >= 2.8)
 
 
-def test_carry_forward_over_slots(spark):
+@pytest.mark.parametrize("width, per_span", [(1, 1000), (7, 1000), (1000, 1000), (1, 5)])
+def test_carry_forward_over_slots(spark, monkeypatch, width, per_span):
+    """One key holds a third of the rows and a fifth of these stand at one instant."""
+    monkeypatch.setattr(series, "SLOTS_PER_SPAN", per_span)
     rng = random.Random(5)
-    rows = [(rng.choice(["a", "b", None]), i, rng.choice([None, None, None, float(i)])) for i in range(400)]
-    df = spark.createDataFrame(rows, "k STRING, i INT, v DOUBLE")
-    for width, limit in ((1, 1000), (7, 1000), (1000, 1000), (1000, 20)):
-        out = series.carry_forward(df, ["k"], ["i"], "v", F.floor(F.col("i") / width), "f", limit)
-        got = {r.i: r.f for r in out.collect()}
-        last = {}
-        for k, i, val in rows:
-            last[k] = val if val is not None else last.get(k)
-            assert got[i] == last[k]
+    rows = [(rng.choice(["a", "a", "b", None]), i if rng.random() < 0.8 else 200, rng.choice([None, None, None, float(i)])) for i in range(400)]
+    df = spark.createDataFrame([(n, *r) for n, r in enumerate(rows)], "n INT, k STRING, i INT, v DOUBLE")
+    out = series.carry_forward(df, ["k"], ["i"], "v", F.floor(F.col("i") / width), "f")
+    got = {r.n: r.f for r in out.collect()}
+    assert len(got) == len(rows)
+    for n, (k, i, _) in enumerate(rows):
+        known = [(j, x) for q, j, x in rows if q == k and j <= i and x is not None]
+        assert got[n] == (max(known)[1] if known else None)
+
+
+def test_carry_forward_without_keys(spark):
+    df = spark.createDataFrame([(i, float(i) if i % 40 == 0 else None) for i in range(200)], "i INT, v DOUBLE")
+    out = series.carry_forward(df, [], ["i"], "v", F.col("i"), "f").collect()
+    assert all(r.f == r.i // 40 * 40 for r in out)
+
+
+def test_series_plans_start_no_job(spark):
+    """Building the plans reads nothing: no counts, no checkpoints."""
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("series-plan", "plan only")
+    df = spark.range(1000).selectExpr("id", "id % 3 AS k", "cast(id AS timestamp) AS ts", "cast(id AS double) AS height_m")
+    series.carry_forward(df, ["k"], ["id"], "height_m", F.col("id"), "f")
+    series.bracket(df, df, "k")
+    assert not tracker.getJobIdsForGroup("series-plan")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
 
 
 def test_last_days_and_merge(spark):
