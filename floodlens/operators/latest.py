@@ -11,6 +11,10 @@ from floodlens.functions.scalars import unwrap_data
 from floodlens.schemas import FILE_SOURCES
 
 
+# Keys that may be named one by one; the tables made of them are broadcast.
+MOST_KEY_VALUES = 10_000
+
+
 def _newest_days(df: DataFrame, key: str, day: str) -> DataFrame:
     """Rows of each key's newest day.
 
@@ -35,30 +39,33 @@ def latest_by_key(
 ) -> DataFrame:
     """One whole row per key: greatest ``order_by``, then greatest ``tie_break``.
 
-    Pass one reads the key and order columns only; its buffers are fixed-width, so it stays a hash
+    In general this is one aggregate: every task ships one row per key it has seen, a NULL key
+    being a key like any other. Rows whose ``order_by`` is NULL count only if ``tie_break`` tells.
+
+    ``key_values`` names the possible values of a single key (for instance the configured sources),
+    whose payloads may be wide; rows of other keys, NULL included, are left out. Then pass one reads the key and order columns only; its buffers are fixed-width, so it stays a hash
     aggregate with map-side combine however large one key is. Pass two keeps the rows at the newest
     instant: the oldest of the per-key maxima is pushed into the scan as a row-group filter, and
     the wide payload columns are never sorted or shuffled before that filter.
 
-    ``key_values`` names the possible values of a single key (for instance the configured sources);
-    only then are the maxima tables, which cannot outgrow that list, hinted for broadcast. ``day``
-    names a date column derived from ``order_by``; with ``key_values`` it narrows the work to each
-    key's newest day first.
+    The maxima, which cannot outgrow the list, are broadcast. ``day`` names a date column derived
+    from ``order_by``; it narrows the work to each key's newest day first.
     """
     columns = [c for c in (columns or df.columns) if c not in keys]
-    if key_values is not None:
-        df = df.where(F.col(keys[0]).isin(list(key_values)))
-        if day is not None:
-            df = _newest_days(df, keys[0], day)
+    rank = F.struct(*[F.col(c) for c in (order_by, *tie_break)])
+    winner = F.max_by(F.struct(*columns), rank).alias("__row")
+    if key_values is None:
+        return df.groupBy(*keys).agg(winner).select(*keys, "__row.*")
+    if len(key_values) > MOST_KEY_VALUES:
+        raise ValueError(f"more than {MOST_KEY_VALUES} key values are not a list to broadcast")
+    df = df.where(F.col(keys[0]).isin(list(key_values)))
+    if day is not None:
+        df = _newest_days(df, keys[0], day)
     newest = df.groupBy(*keys).agg(F.max(order_by).alias("__newest"))
     floor = newest.agg(F.min("__newest")).scalar()
-    renamed = newest.select(*[F.col(k).alias(f"__{k}") for k in keys], "__newest")
-    if key_values is not None:
-        renamed = F.broadcast(renamed)
+    renamed = F.broadcast(newest.select(*[F.col(k).alias(f"__{k}") for k in keys], "__newest"))
     on = [F.col(k) == F.col(f"__{k}") for k in keys] + [F.col(order_by) == F.col("__newest")]
     at_newest = df.where(F.col(order_by) >= floor).join(renamed, on)
-    rank = F.struct(*[F.col(c) for c in (order_by, *tie_break)])
-    winner = F.max_by(F.struct(*columns), rank).alias("__row")
     return at_newest.groupBy(*keys).agg(winner).select(*keys, "__row.*")
 
 
@@ -68,11 +75,12 @@ def latest_nonnull_by_key(
     order_by: str,
     columns: Sequence[str],
     domains: Mapping[str, Sequence[str]] | None = None,
+    tie_break: Sequence[str] = (),
 ) -> DataFrame:
     """Latest value per column, skipping NULLs column by column; rows without a key are dropped.
 
-    A result row may therefore mix several snapshots. Columns with a small ``domain`` of texts are
-    carried as their position in it, which keeps every buffer fixed-width (hash aggregation).
+    Of values of one instant the greatest by ``tie_break`` counts, then the greatest. A result row may therefore mix several snapshots. Columns with a small ``domain`` of texts are
+    carried as their position in it, which keeps what a task ships small.
     """
     domains = dict(domains or {})
     aggs: list[Column] = []
@@ -80,7 +88,7 @@ def latest_nonnull_by_key(
         value = F.col(name)
         if name in domains:
             value = F.nullif(F.array_position(F.array(*map(F.lit, domains[name])), value), F.lit(0))
-        seen_at = F.when(F.col(name).isNotNull(), F.col(order_by))
+        seen_at = F.when(F.col(name).isNotNull(), F.struct(order_by, *tie_break, value))
         aggs.append(F.max_by(value, seen_at).alias(name))
     grouped = df.where(F.col(key).isNotNull()).groupBy(key).agg(*aggs)
     decoded = [
@@ -151,11 +159,11 @@ HISTORY_COLUMNS = ("computed_at", "risk_score", "risk_level", "rain_mm", "tide_m
 
 
 def zone_history(snapshots: DataFrame, zone_id: str | None = None, start=None, end=None) -> DataFrame:
-    """Snapshots of one zone (or of all zones) in time order."""
+    """Snapshots of one zone in time order, or of all zones in no order: sorting them all is for who reads them."""
     rows = partition_range(snapshots, "date", start, end)
     if zone_id is not None:
         return rows.where(F.col("zone_id") == zone_id).select(*HISTORY_COLUMNS).orderBy("computed_at")
-    return rows.select("zone_id", *HISTORY_COLUMNS).orderBy("zone_id", "computed_at")
+    return rows.select("zone_id", *HISTORY_COLUMNS)
 
 
 def history_series(history: DataFrame) -> DataFrame:

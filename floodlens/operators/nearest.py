@@ -153,7 +153,7 @@ def nearest_place(
 
     # The answer depends on the coordinates alone: copies of a point are looked up once.
     spots = (
-        points.where(has_place(lat, lon)).select(F.col(lat).alias("slat"), F.col(lon).alias("slon")).distinct()
+        points.where(has_place(lat, lon, drop_zero_coords)).select(F.col(lat).alias("slat"), F.col(lon).alias("slon")).distinct()
         .select("slat", "slon", *_place_on_sphere("slat", "slon"))
     )
     # First bound: the best representative of the cubes around the point; 4 is the square of the diameter.

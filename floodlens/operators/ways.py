@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def assemble_ways(
@@ -31,6 +35,50 @@ def assemble_ways(
     )
 
 
+_WAY = T.ArrayType(T.StructType([
+    T.StructField("way_id", T.LongType()),
+    T.StructField("geometry_type", T.StringType()),
+    T.StructField("points", T.ArrayType(T.ArrayType(T.DoubleType()))),
+    T.StructField("properties", T.MapType(T.StringType(), T.StringType())),
+]))
+
+
+def _whole(value) -> bool:
+    return isinstance(value, int) and not isinstance(value, bool)
+
+
+def shape_ways(text: str | None) -> list[dict]:
+    """Ways of one element-list document; of nodes with one id the greatest position counts.
+
+    Nodes without a position are unknown. A text that is no such document has no ways.
+    """
+    try:
+        elements = json.loads(text or "null")["elements"]
+    except (ValueError, TypeError, KeyError):
+        return []
+    elements = [e for e in elements if isinstance(e, dict) and _whole(e.get("id"))] if isinstance(elements, list) else []
+    at: dict[int, list[float]] = {}
+    for e in elements:
+        if e.get("type") == "node" and all(isinstance(e.get(c), (int, float)) for c in ("lon", "lat")):
+            place = [float(e["lon"]), float(e["lat"])]
+            at[e["id"]] = max(at.get(e["id"], place), place)
+    out = []
+    for e in elements:
+        if e.get("type") == "way":
+            points = [at[n] for n in e.get("nodes") or () if _whole(n) and n in at]
+            if len(points) >= 2:
+                tags = {k: v if isinstance(v, str) else json.dumps(v) for k, v in (e.get("tags") or {}).items() if v is not None}
+                kind = "Polygon" if points[0] == points[-1] else "LineString"
+                out.append({"way_id": e["id"], "geometry_type": kind, "points": points, "properties": tags})
+    return out
+
+
+@F.pandas_udf(_WAY)
+def document_ways(texts: pd.Series) -> pd.Series:
+    """Ways of each document, by a look-up of its nodes: linear in the document, and nothing is shuffled."""
+    return texts.map(shape_ways)
+
+
 def water_tags(tags: Column) -> Column:
     """Rivers and water bodies."""
     river = F.try_element_at(tags, F.lit("waterway")) == "river"

@@ -14,9 +14,10 @@ from floodlens.session import shared_dir
 from floodlens.sources.layers import read_layers, write_layers
 
 
-@query("bbox_filter", v.with_sql(v.NODES_SQL, body="""
-    SELECT node_id, lat, lon FROM nodes JOIN part ON p_partkey = node_id
-    WHERE lat BETWEEN -20 AND 30 AND lon BETWEEN -100 AND 50 AND (p_type = 'LARGE' OR p_type = 'PROMO')"""))
+@query("bbox_filter", """
+    WITH all_nodes AS (SELECT p_partkey AS node_id, p_type, (p_partkey * 13 % 360 - 180)::DOUBLE AS lon, (p_partkey % 120 - 60)::DOUBLE AS lat FROM part)
+    SELECT node_id, lat, lon FROM all_nodes
+    WHERE lat BETWEEN -20 AND 30 AND lon BETWEEN -100 AND 50 AND (p_type = 'LARGE' OR p_type = 'PROMO')""")
 def bbox_filter(spark, sf):
     lat, lon = v.lonlat("p_partkey", 120, 60, 13)
     tags = (
@@ -24,7 +25,7 @@ def bbox_filter(spark, sf):
         .when(F.col("p_type") == "PROMO", F.create_map(F.lit("natural"), F.lit("water")))
         .when(F.col("p_type") == "SMALL", F.create_map(F.lit("waterway"), F.lit("canal")))
     )
-    nodes = v.table(spark, sf, "part").where("p_size <= 45").select(
+    nodes = v.table(spark, sf, "part").select(
         F.col("p_partkey").alias("node_id"), lat.alias("lat"), lon.alias("lon"), tags.alias("tags")
     )
     return ways.in_bounds(nodes, -20.0, -100.0, 30.0, 50.0).where(ways.water_tags(F.col("tags"))).select(

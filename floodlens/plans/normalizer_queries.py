@@ -22,19 +22,23 @@ def _json(column):
 
 @query("normalize_weather_archive", """
     SELECT o_orderkey, strftime(o_orderdate + to_days(k::INTEGER), '%Y-%m-%d') AS date, o_totalprice + k AS mean_air_temp_c,
-           CASE WHEN k = 0 OR o_orderstatus = 'F' THEN o_custkey::DOUBLE END AS precipitation_sum_mm, o_orderstatus <> 'F' AS is_ragged
+           CASE WHEN k = 0 OR o_orderstatus = 'F' THEN o_custkey::DOUBLE END AS precipitation_sum_mm, o_orderstatus <> 'F' AS is_ragged,
+           (o_custkey + k)::DOUBLE AS max_wind_speed_ms, (o_custkey % 360 + k)::DOUBLE AS dominant_wind_direction_deg, k + 0.5e0 AS shortwave_radiation_mj_m2
     FROM orders, (SELECT unnest(range(2)) AS k)""")
 def weather_archive(spark, sf):
     """Parallel arrays; the rain array is short unless the order is final."""
     day = [F.date_format(F.date_add(F.to_date("o_orderdate"), k), "yyyy-MM-dd") for k in range(2)]
     price, rain = F.col("o_totalprice"), F.col("o_custkey").cast("double")
-    two = F.array(F.lit(1.0), F.lit(2.0))
+    two = lambda c: F.array(c, c + 1)
+    turn = (F.col("o_custkey") % 360).cast("double")
     docs = v.table(spark, sf, "orders").select("o_orderkey", _json(F.struct(F.struct(
         F.array(*day).alias("time"), F.array(price, price + 1).alias("temperature_2m_mean"),
         F.when(F.col("o_orderstatus") == "F", F.array(rain, rain)).otherwise(F.array(rain)).alias("precipitation_sum"),
-        two.alias("wind_speed_10m_max"), two.alias("wind_direction_10m_dominant"), two.alias("shortwave_radiation_sum"),
+        two(rain).alias("wind_speed_10m_max"), two(turn).alias("wind_direction_10m_dominant"), two(F.lit(0.5)).alias("shortwave_radiation_sum"),
     ).alias("daily"))))
-    return n.weather_archive(docs).select("o_orderkey", "date", "mean_air_temp_c", "precipitation_sum_mm", "is_ragged")
+    return n.weather_archive(docs).select(
+        "o_orderkey", "date", "mean_air_temp_c", "precipitation_sum_mm", "is_ragged", "max_wind_speed_ms", "dominant_wind_direction_deg",
+        "shortwave_radiation_mj_m2")
 
 
 @query("normalize_local_daily", """
@@ -108,19 +112,37 @@ def ocean_payload(spark, sf):
     return n.ocean_index_payload(v.table(spark, sf, "lineitem").select(*_LINE, _json(envelope)))
 
 
-@query("normalize_satellite", v.with_sql(v.GRID_SQL, v.REGIONS_SQL, body="""
-    , m AS (SELECT DISTINCT region, g.* FROM (SELECT row_number() OVER () AS rid, * FROM grid) g JOIN regions r
-            ON lat BETWEEN south AND north AND lon BETWEEN west AND east),
-    w AS (SELECT date, """ + ", ".join(
-        f"round(avg({c}) FILTER (WHERE region = '{r}') / 100e0, 6) AS {r}_mean_{name}"
-        for r in ("nino34", "nino12", "nino3", "nino4") for c, name in (("sst", "sst"), ("anom", "anomaly"))) + """
-          FROM m GROUP BY date),
+def _satellite_sql(days: str) -> str:
+    """Expected rows, the region boxes written out. ``days`` selects the image days."""
+    boxes = {
+        "nino34": "lat BETWEEN -5 AND 5 AND lon BETWEEN -170 AND -120", "nino12": "lat BETWEEN -10 AND 0 AND lon BETWEEN -90 AND -80",
+        "nino3": "lat BETWEEN -5 AND 5 AND lon BETWEEN -150 AND -90",
+        "nino4": "lat BETWEEN -5 AND 5 AND (lon BETWEEN 160 AND 180 OR lon BETWEEN -180 AND -150)",
+    }
+    means = ", ".join(
+        f"round(avg({c}) FILTER (WHERE {box}) / 100e0, 6) AS {r}_mean_{name}"
+        for r, box in boxes.items() for c, name in (("sst", "sst"), ("anom", "anomaly")))
+    return v.with_sql(v.GRID_SQL, body=f"""
+    , days AS ({days}),
+    w AS (SELECT date, {means} FROM grid JOIN days USING (date) GROUP BY date),
     cells AS (SELECT date, lat, lon, sum(rate) AS s FROM grid WHERE lat BETWEEN -10 AND 0 AND lon BETWEEN -90 AND -80 GROUP BY 1, 2, 3),
     rain AS (SELECT date, round(avg(s) / 2e0, 6) AS r FROM cells GROUP BY date)
-    SELECT w.*, coalesce(r, 0e0) AS coast_precipitation_mm FROM w LEFT JOIN rain USING (date)"""))
+    SELECT w.*, coalesce(r, 0e0) AS coast_precipitation_mm FROM w LEFT JOIN rain USING (date)""")
+
+
+@query("normalize_satellite", _satellite_sql("SELECT DISTINCT date FROM grid"))
 def satellite(spark, sf):
+    """Every image day, whether it has cells in a region or not."""
+    cells = v.grid(spark, sf)
+    return n.satellite_daily(cells, cells, n_days=None)
+
+
+@query("satellite_request", _satellite_sql(
+    "SELECT DISTINCT date FROM grid WHERE date >= DATE '1995-03-01' AND date < DATE '1997-03-01' ORDER BY date LIMIT 15"))
+def satellite_request(spark, sf):
+    """A date range and its first fifteen days."""
     cells = v.grid(spark, sf)
-    return n.satellite_daily(cells, cells)
+    return n.satellite_daily(cells, cells, start="1995-03-01", end="1997-03-01")
 
 
 @query("normalize_pressure", """
@@ -138,20 +160,23 @@ def pressure(spark, sf):
 
 
 @query("normalize_ocean_model", v.with_sql(v.GRID_SQL, body="""
-    , days AS (SELECT DISTINCT date FROM grid WHERE l_returnflag = 'A' ORDER BY date DESC LIMIT 5)
-    SELECT a.date, round(avg(sst), 6) AS zos_meters, round(avg(anom), 6) AS mlotst_meters,
-           any_value(t) AS "thetao_degC", any_value(s) AS so_psu, any_value(u) AS uo_velocity_m_s, any_value(w) AS vo_velocity_m_s
-    FROM grid a JOIN days USING (date)
-    LEFT JOIN (SELECT date, round(avg(sst), 6) AS t FROM grid WHERE l_returnflag = 'N' GROUP BY 1) USING (date)
-    LEFT JOIN (SELECT date, round(avg(anom), 6) AS s FROM grid WHERE l_returnflag = 'R' GROUP BY 1) USING (date)
-    LEFT JOIN (SELECT date, round(avg(rate), 6) AS u, round(avg(l_tax), 6) AS w FROM grid GROUP BY 1) USING (date)
-    WHERE l_returnflag = 'A' GROUP BY a.date"""))
+    , days AS (SELECT DISTINCT date FROM grid WHERE l_returnflag = 'A' ORDER BY date DESC LIMIT 5),
+    box AS (SELECT * FROM grid JOIN days USING (date) WHERE lat >= -5 AND lat <= 5 AND lon >= -170 AND lon <= -120),
+    two AS (SELECT date, round(avg(sst), 6) AS z, round(avg(anom), 6) AS m FROM box WHERE l_returnflag = 'A' GROUP BY date),
+    temp AS (SELECT date, round(avg(sst), 6) AS t FROM box
+             WHERE l_returnflag = 'N' AND depth = (SELECT min(depth) FROM grid WHERE l_returnflag = 'N') GROUP BY date),
+    salt AS (SELECT date, round(avg(anom), 6) AS s FROM box
+             WHERE l_returnflag = 'R' AND depth = (SELECT min(depth) FROM grid WHERE l_returnflag = 'R') GROUP BY date),
+    flow AS (SELECT date, round(avg(rate), 6) AS u, round(avg(l_tax), 6) AS w FROM box WHERE depth = (SELECT min(depth) FROM grid) GROUP BY date)
+    SELECT date, z AS zos_meters, m AS mlotst_meters, t AS "thetao_degC", s AS so_psu, u AS uo_velocity_m_s, w AS vo_velocity_m_s
+    FROM days LEFT JOIN two USING (date) LEFT JOIN temp USING (date) LEFT JOIN salt USING (date) LEFT JOIN flow USING (date)"""))
 def ocean_model(spark, sf):
     cells = v.grid(spark, sf)
+    place = ["date", "lat", "lon", "depth"]
     pick = lambda flag, **names: cells.where(F.col("l_returnflag") == flag).select(
-        "date", *[F.col(c).alias(name) for name, c in names.items()]
+        *place, *[F.col(c).alias(name) for name, c in names.items()]
     )
-    currents = cells.select("date", F.col("rate").alias("uo"), F.col("l_tax").alias("vo"))
+    currents = cells.select(*place, F.col("rate").alias("uo"), F.col("l_tax").alias("vo"))
     return n.ocean_model(pick("A", zos="sst", mlotst="anom"), pick("N", thetao="sst"), pick("R", so="anom"), currents)
 
 
@@ -171,7 +196,7 @@ def _station_payloads(spark, sf):
         for p in ("Mañana", "Tarde")
     ])
     forecast = F.struct(
-        F.lit("2024-01-31").alias("fecha"), F.when(k % 5 == 1, "timeout").alias("error"),
+        F.lit("2024-01-31").alias("fecha"), (k % 3).cast("int").alias("total_localidades"), F.when(k % 5 == 1, "timeout").alias("error"),
         F.array(F.struct(
             F.col("c_name").alias("locality_name"), F.lit(21.5).alias("min_temperature"), F.abs("c_acctbal").alias("max_temperature"),
             (k % 12).cast("double").alias("uv_radiation"), (k % 2 == 0).alias("rain"), periods.alias("forecast"),
@@ -186,21 +211,31 @@ def _station_payloads(spark, sf):
     )
 
 
+@query("normalize_station_counts", """
+    SELECT c_custkey, CASE WHEN c_custkey % 5 <> 0 THEN 1 END::INTEGER AS total_estaciones, CASE WHEN c_custkey % 5 <> 0 THEN 1 END::INTEGER AS n_estaciones,
+           CASE WHEN c_custkey % 5 <> 1 THEN c_custkey % 3 END::INTEGER AS total_localidades, CASE WHEN c_custkey % 5 <> 1 THEN 1 END::INTEGER AS n_localidades
+    FROM customer""")
+def station_counts(spark, sf):
+    return n.station_counts(_station_payloads(spark, sf))
+
+
 @query("normalize_stations", """
-    SELECT c_custkey, c_name AS punto_obs, c_mktsegment AS canton, abs(c_acctbal) AS altitud FROM customer WHERE c_custkey % 5 <> 0""")
+    SELECT c_custkey, c_name AS punto_obs, c_mktsegment AS canton, abs(c_acctbal) AS altitud,
+           'METEOROLÓGICA' AS categoria, 'TRANSMITIENDO' AS estado_transmision FROM customer WHERE c_custkey % 5 <> 0""")
 def stations(spark, sf):
-    return n.stations(_station_payloads(spark, sf)).select("c_custkey", "punto_obs", "canton", "altitud")
+    return n.stations(_station_payloads(spark, sf)).select(
+        "c_custkey", "punto_obs", "canton", "altitud", "categoria", "estado_transmision")
 
 
 @query("normalize_forecasts", """
     SELECT c_custkey, '2024-01-31' AS forecast_date, abs(c_acctbal) AS max_temperature, (c_custkey % 12)::DOUBLE AS uv_radiation,
-           c_custkey % 2 = 0 AS rain, 'Tarde ' || c_mktsegment AS afternoon FROM customer WHERE c_custkey % 5 <> 1""")
+           c_name AS locality_name, 21.5e0 AS min_temperature, c_custkey % 2 = 0 AS rain, 'Tarde ' || c_mktsegment AS afternoon FROM customer WHERE c_custkey % 5 <> 1""")
 def forecasts(spark, sf):
     from floodlens.operators.payloads import first_match_or_head
 
     rows = n.forecasts(_station_payloads(spark, sf))
     afternoon = first_match_or_head("forecast", lambda f: f["period_name"] == "Tarde")["condition_name"]
-    return rows.select("c_custkey", "forecast_date", "max_temperature", "uv_radiation", "rain", afternoon.alias("afternoon"))
+    return rows.select("c_custkey", "forecast_date", "max_temperature", "uv_radiation", "locality_name", "min_temperature", "rain", afternoon.alias("afternoon"))
 
 
 @query("normalize_failed_halves", """
@@ -266,14 +301,22 @@ def buoys(spark, sf):
 
 @query("normalize_rain_events", """
     SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'Evento SGR' ELSE c_name END AS event, 'N/A' AS event_date, 'DAULE' AS canton,
-           CASE WHEN c_custkey % 4 = 0 THEN '0' ELSE c_custkey::VARCHAR END AS people_affected
+           CASE WHEN c_custkey % 4 = 0 THEN '0' ELSE c_custkey::VARCHAR END AS people_affected,
+           CASE WHEN c_custkey % 2 = 0 THEN 'note ' || c_nationkey ELSE '' END AS details,
+           'Point' AS geometry_type, '[-79.9,-2.1]' AS coordinates
     FROM customer WHERE c_nationkey < 12""")
 def rain_events(spark, sf):
+    rows = n.rain_events(_rain_documents(spark, sf))
+    return rows.select("c_custkey", "event", "event_date", "canton", "people_affected", "details", "geometry_type", "coordinates")
+
+
+def _rain_documents(spark, sf):
     k = F.col("c_custkey")
     properties = F.struct(
         F.when(k % 3 == 0, "").otherwise(F.col("c_name")).alias("evento"),
         F.when(F.col("c_nationkey") < 12, "DAULE").otherwise("QUITO").alias("canton"),
         F.when(k % 4 != 0, k).alias("personasafectadasdirectamente"),
+        F.when(k % 2 == 0, F.concat(F.lit("note "), F.col("c_nationkey"))).alias("descripciongeneraldeevento"),
     )
     feature = F.struct(
         F.lit("Feature").alias("type"),
@@ -281,14 +324,42 @@ def rain_events(spark, sf):
         properties.alias("properties"),
     )
     collection = F.struct(F.lit("FeatureCollection").alias("type"), F.array(feature).alias("features"))
-    docs = v.table(spark, sf, "customer").select("c_custkey", _json(F.struct(collection.alias("data"))))
-    return n.rain_events(docs).select("c_custkey", "event", "event_date", "canton", "people_affected")
+    return v.table(spark, sf, "customer").select("c_custkey", _json(F.struct(collection.alias("data"))))
+
+
+@query("rain_event_envelopes", """
+    SELECT c_custkey, 'SGR Eventos Lluvia' AS source, CASE WHEN c_nationkey < 12 THEN 1 ELSE 0 END::INTEGER AS n_features,
+           CASE WHEN c_nationkey < 12 THEN c_custkey % 3 = 0 END AS unnamed FROM customer""")
+def rain_event_envelopes(spark, sf):
+    """The published record of every document, with the features of the chosen cantons."""
+    rows = n.rain_event_envelope(_rain_documents(spark, sf))
+    first = F.get("data.features", F.lit(0))["properties"]
+    return rows.select(
+        "c_custkey", F.col("metadata.source").alias("source"), F.size("data.features").alias("n_features"),
+        (F.try_element_at(first, F.lit("evento")) == "").alias("unnamed"),
+    )
+
+
+@query("unreadable_payloads", """
+    SELECT CASE WHEN event_id % 7 = 0 THEN 'noaa' ELSE 'sngr_alertas' END AS source,
+           CASE event_id % 5 WHEN 0 THEN 'broken' WHEN 1 THEN 'missing' WHEN 2 THEN 'no_object' END AS problem, count(*) AS n
+    FROM events WHERE event_id % 5 < 3 GROUP BY 1, 2""")
+def unreadable_payloads(spark, sf):
+    """Of five payloads one is cut off, one empty, one a bare number; two are whole."""
+    k = F.col("event_id")
+    whole = F.to_json(F.struct(F.lit("alta").alias("severidad"), k.alias("valor")))
+    text = F.when(k % 5 == 0, F.expr("substring('{\"severidad\":\"alta\",\"valor\":12}', 1, 10 + cast(event_id % 9 as int))")).when(
+        k % 5 == 1, F.lit(" ")).when(k % 5 == 2, k.cast("string")).otherwise(whole)
+    raw = v.table(spark, sf, "events").select(
+        F.when(k % 7 == 0, "noaa").otherwise("sngr_alertas").alias("source"), text.alias("json_str"))
+    return n.unreadable_payloads(raw).groupBy("source", "problem").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("normalize_waterways", """
     SELECT o_orderkey, 7::BIGINT AS way_id, CASE WHEN o_orderstatus = 'F' THEN 'Polygon' ELSE 'LineString' END AS geometry_type,
-           CASE WHEN o_orderstatus = 'F' THEN 4 ELSE 3 END AS n_points, 'river' AS waterway
-    FROM orders""")
+           CASE WHEN o_orderstatus = 'F' THEN 4 ELSE 3 END AS n_points, 'river' AS waterway,
+           CASE WHEN o_orderstatus = 'F' THEN CAST(to_json([[p1, p2, p3, p1]]) AS VARCHAR) ELSE CAST(to_json([p1, p2, p3]) AS VARCHAR) END AS coordinates
+    FROM (SELECT *, [1e0, o_custkey % 50 + 1e0] AS p1, [2e0, o_custkey % 50 + 2e0] AS p2, [3e0, o_custkey % 50 + 3e0] AS p3 FROM orders)""")
 def waterways(spark, sf):
     """An element list per order: three nodes, one way (closed when final) and one way of unknown nodes."""
     element = "struct<type:string,id:bigint,lon:double,lat:double,nodes:array<bigint>,tags:map<string,string>>"
@@ -306,7 +377,7 @@ def waterways(spark, sf):
     elements = F.array(node(1), node(2), node(3), way(7, closed), way(8, ids(98, 99, 1)))
     docs = v.table(spark, sf, "orders").select("o_orderkey", F.to_json(F.struct(elements.alias("elements"))).alias("json_str"))
     rows = n.waterways(docs, "o_orderkey")
-    return rows.select("o_orderkey", "way_id", "geometry_type", "n_points", F.col("properties")["waterway"].alias("waterway"))
+    return rows.select("o_orderkey", "way_id", "geometry_type", "n_points", F.col("properties")["waterway"].alias("waterway"), "coordinates")
 
 
 @query("normalize_layers", f"""

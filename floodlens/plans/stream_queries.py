@@ -87,7 +87,7 @@ def stream_risk(spark, sf):
         as_of="2024-01-31 00:00:00",
     ))
     rows = spark.read.parquet(f"{base}/snapshots")
-    last = rows.agg(F.max("epoch_id")).scalar()
+    last = rows.agg(F.max("epoch_id")).scalar()  # one run
     return rows.where(F.col("epoch_id") == last).select(
         "zone_id", "sector_name", "lat", "lon", "rain_mm", "tide_m", "flow_m3s", "risk_score", "risk_level"
     )
@@ -106,12 +106,12 @@ def stream_latest_by_source(spark, sf):
 
 @query("rain_24h_window", """
     WITH hours AS (SELECT user_id AS station, date_trunc('hour', ts) AS hour, sum(value) AS s, count(*) AS n
-                   FROM events WHERE event_type = 'purchase' GROUP BY 1, 2)
+                   FROM events GROUP BY 1, 2)
     SELECT station, hour - to_hours(k::BIGINT) AS window_start, hour - to_hours(k::BIGINT) + INTERVAL 24 HOUR AS window_end,
            round(sum(s), 4) AS rain_24h_mm, sum(n)::BIGINT AS n_readings
     FROM hours, (SELECT unnest(range(24)) AS k) GROUP BY 1, 2, 3""")
 def rain_24h_window(spark, sf):
-    readings = v.table(spark, sf, "events").where("event_type = 'purchase'").select(
+    readings = v.table(spark, sf, "events").select(
         F.col("user_id").alias("station"), F.col("ts").cast("timestamp").alias("ts"), "value"
     )
     rows = rain_24h(readings, "station", "ts", "value")

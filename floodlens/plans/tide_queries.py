@@ -9,6 +9,7 @@ from floodlens.functions.tide_model import with_harmonic_tide
 from floodlens.operators import payloads, series
 from floodlens.plans import views as v
 from floodlens.plans.registry import query
+from floodlens.sources import normalizers
 from floodlens.sources import text_tables as tt
 
 _TIDE_SQL = """
@@ -71,7 +72,8 @@ def forward_fill(spark, sf):
 
 
 def tide_documents(spark, sf):
-    """A small printed table per event: headings, a dated line, weekday lines, unreadable groups."""
+    """A small printed table per event: headings, a dated line with a group too many, weekday lines with one cut short,
+    unreadable groups."""
     e = v.table(spark, sf, "events")
     hhmm = F.date_format("ts", "HHmm")
     quarter = (F.col("event_id") % 4 + 1).cast("int")
@@ -81,13 +83,13 @@ def tide_documents(spark, sf):
 
     dated = [
         F.concat_ws(" ", (F.pmod(F.col("event_id") + c * 7, F.lit(31)) + 1).cast("string"), hhmm, height(c))
-        for c in range(6)
+        for c in range(7)
     ]
     weekday = [F.concat_ws(" ", F.lit("LU"), hhmm, height(c)) for c in range(3)]
     first_month = F.get(F.array(*map(F.lit, tt.MONTHS)), (quarter - 1) * 3)
     lines = [
         F.lit("TABLA DE MAREAS"), first_month, F.lit("HORA ALTURA"),
-        F.concat_ws("  ", *dated), F.concat_ws(" ", *weekday), F.lit(""),
+        F.concat_ws("  ", *dated), F.concat_ws(" ", *weekday, F.lit("MI 1200")), F.lit(""),
         F.lit("XX 1200 1.00 MA 0630 0.55 SA 12a0 0.7"), F.lit("* nota"),
     ]
     return e.select(
@@ -110,8 +112,7 @@ def tide_documents(spark, sf):
     FROM (SELECT *, try_cast('2024-' || lpad(month::VARCHAR, 2, '0') || '-' || lpad(day::VARCHAR, 2, '0') || ' ' || hm || ':00' AS TIMESTAMP) AS event_ts FROM dated)
     WHERE event_ts IS NOT NULL""")
 def tide_table_parse(spark, sf):
-    lines = tt.document_lines(tide_documents(spark, sf), keep=("doc", "year", "quarter"))
-    events = tt.tide_events(tt.parse_tide_lines(lines))
+    events = tt.tide_events(tt.parse_tide_tables(tide_documents(spark, sf)))
     return events.select("doc", "line_no", "column", v.ntz("event_ts").alias("event_ts"), "height_m")
 
 
@@ -138,13 +139,42 @@ def tide_history(spark, sf):
     dated AS (SELECT *, (event_id + col * 7) % 31 + 1 AS day, (quarter - 1) * 3 + col // 2 + 1 AS month FROM cells)
     SELECT 'bad_date' AS problem, count(*) AS n_groups FROM dated
     WHERE try_cast('2024-' || lpad(month::VARCHAR, 2, '0') || '-' || lpad(day::VARCHAR, 2, '0') AS DATE) IS NULL
-    UNION ALL SELECT 'bad_time', count(*) FROM events""")
+    UNION ALL SELECT 'bad_time', count(*) FROM events
+    UNION ALL SELECT 'bad_layout', 2 * count(*) FROM events""")
 def tide_table_rejects(spark, sf):
-    lines = tt.document_lines(tide_documents(spark, sf), keep=("doc", "year", "quarter"))
-    rejects = tt.tide_rejects(tt.parse_tide_lines(lines))
+    rejects = tt.tide_rejects(tt.parse_tide_tables(tide_documents(spark, sf)))
     return rejects.groupBy("problem").agg(F.count(F.lit(1)).alias("n_groups"))
 
 
+@query("normalize_tide", f"""
+    WITH cells AS (
+      SELECT event_id, event_id % 4 + 1 AS quarter, c AS col, strftime(ts, '%H:%M') AS hm, value + c AS h FROM events, (SELECT unnest(range(6)) AS c)
+      UNION ALL SELECT event_id, event_id % 4 + 1, c, strftime(ts, '%H:%M'), value + c FROM events, (SELECT unnest(range(3)) AS c)
+      UNION ALL SELECT event_id, event_id % 4 + 1, 1, '06:30', 0.55e0 FROM events),
+    printed AS (
+      SELECT 1 AS port, try_cast('2024-' || lpad(((quarter - 1) * 3 + col // 2 + 1)::VARCHAR, 2, '0') || '-' || lpad(((event_id + col * 7) % 31 + 1)::VARCHAR, 2, '0')
+             || ' ' || hm || ':00' AS TIMESTAMP) AS ts, round(CAST(h AS DECIMAL(12,2))::DOUBLE, 3) AS h FROM cells),
+    known AS (SELECT port, ts, max(h) AS hi, min(h) AS lo FROM printed WHERE ts IS NOT NULL GROUP BY 1, 2),
+    probes AS (SELECT event_id, 1 AS port, TIMESTAMP '2023-12-25 00:00:00' + to_minutes((event_id * 37 % 560000)::BIGINT) AS ts FROM events),
+    before AS (SELECT p.*, k.ts AS t0, k.hi AS h0 FROM probes p ASOF LEFT JOIN known k ON p.port = k.port AND p.ts >= k.ts),
+    around AS (SELECT b.*, k.ts AS t1, k.lo AS h1 FROM before b ASOF LEFT JOIN known k ON b.port = k.port AND b.ts < k.ts),
+    interp AS (SELECT *, CASE WHEN t0 IS NOT NULL AND t1 IS NOT NULL THEN
+                 h0 + (h1 - h0) * ((epoch_us(ts) - epoch_us(t0)) / (epoch_us(t1) - epoch_us(t0))) END AS h FROM around)
+    SELECT event_id, CASE WHEN h IS NOT NULL THEN 'INOCAR_pdf' ELSE 'modelo_armonico_fallback' END AS fuente, 'Guayaquil' AS puerto,
+           CAST(printf('%.3f', coalesce(h, {_NOW})) AS DOUBLE) AS altura_marea_m,
+           CASE WHEN h IS NOT NULL THEN CASE WHEN h1 > h0 THEN 'subiendo' ELSE 'bajando' END
+                WHEN {_LATER} > {_NOW} THEN 'subiendo' ELSE 'bajando' END AS tendencia,
+           CASE WHEN h IS NOT NULL THEN h >= greatest(h0, h1) - 0.3e0 ELSE {_NOW} >= 2.8e0 END AS pleamar
+    FROM interp""")
+def normalize_tide(spark, sf):
+    """Printed tables and probe instants in, published records out; some instants lie outside the tables."""
+    minutes = F.col("event_id") * 37 % 560_000
+    start = F.lit("2023-12-25 00:00:00").cast("timestamp")
+    probes = v.table(spark, sf, "events").select(
+        "event_id", F.timestamp_micros(F.unix_micros(start) + minutes * 60_000_000).alias("ts"))
+    return normalizers.tide_records(tide_documents(spark, sf), probes).drop("ts")
+
+
 @query("quarter_calendar", """
     WITH days AS (SELECT year(o_orderdate) AS y, quarter(o_orderdate) AS q, count(*) AS n, max(o_orderdate) AS last FROM orders GROUP BY 1, 2),
     ends AS (SELECT year(max(o_orderdate)) * 4 + quarter(max(o_orderdate)) - 1 AS stop FROM orders),

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 
-# Column order of the zone file; the reader renames to the English names used everywhere else.
+# Column order of the zone file; the reader renames to the English names used everywhere else.
 ZONE_FILE_SCHEMA = (
     "zona_id STRING, nombre_sector STRING, lat_centroide DOUBLE, lon_centroide DOUBLE, "
     "cota_media_msnm DOUBLE, pendiente_clase STRING, historicamente_inundable STRING, "
@@ -65,7 +65,7 @@ FEATURE_COLLECTION_SCHEMA = (
     "geometry STRUCT<type STRING, coordinates STRING>, properties MAP<STRING, STRING>>>"
 )
 
-# Inner layout of the published payloads, one entry per source.
+# Inner layout of the published payloads, one entry per source.
 PAYLOAD_SCHEMAS = {
     "noaa": (
         "metadata STRUCT<source: STRING, timestamp: STRING>, data ARRAY<STRUCT<year: INT, month: INT, "
@@ -118,6 +118,7 @@ PAYLOAD_SCHEMAS = {
         "url_fuente STRING, hora_evento STRING"
     ),
     "ndbc_buoys": FEATURE_COLLECTION_SCHEMA,
+    "seguraep": FEATURE_COLLECTION_SCHEMA,
     "sgr_eventos": f"data STRUCT<{FEATURE_COLLECTION_SCHEMA.replace('type STRING, features', 'type: STRING, features:')}>",
     "guayas_osm": f"data STRUCT<{FEATURE_COLLECTION_SCHEMA.replace('type STRING, features', 'type: STRING, features:')}>",
 }

@@ -10,21 +10,30 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from floodlens.functions.geometry import OCEAN_REGIONS, Box, point_feature
+from floodlens.functions.geometry import OCEAN_REGIONS, Box, in_box, point_feature
 from floodlens.functions.scalars import explode_rows, falsy_to, pressure_phase
 from floodlens.operators import bulletins
 from floodlens.operators.features import enrich_features, explode_features, feature_collections
-from floodlens.operators.grids import daily_region_rain, region_daily_mean, with_daily_rain
+from floodlens.operators.grids import between_days, daily_region_rain, first_days, region_daily_mean, surface_only, with_daily_rain
 from floodlens.operators.payloads import align_params, merge_daily, pair_difference, unpivot_regions, zip_rows
-from floodlens.operators.ways import assemble_ways
-from floodlens.schemas import PAYLOAD_SCHEMAS
-from floodlens.sources.text_tables import OCEAN_TABLE_COLUMNS, document_lines, parse_blank_table
+from floodlens.operators.series import bracket, tide_with_fallback
+from floodlens.operators.ways import document_ways
+from floodlens.schemas import FEATURE_COLLECTION_SCHEMA, PAYLOAD_SCHEMAS
+from floodlens.sources.text_tables import OCEAN_TABLE_COLUMNS, document_lines, parse_blank_table, parse_tide_tables, tide_events
 
 POST_SCHEMA = (
     "title STRUCT<rendered: STRING>, excerpt STRUCT<rendered: STRING>, content STRUCT<rendered: STRING>, "
     "link STRING, date_gmt STRING"
 )
 
+# Region of the ocean-model request.
+OCEAN_MODEL_REGION = Box("nino34", -170.0, -5.0, -120.0, 5.0)
+
+# Origins and reservoir named in published records, and the port of the tide tables.
+RESERVOIR_ORIGIN, RESERVOIR = "CELEC_wp_api", "Daule-Peripa"
+ALERT_ORIGIN = "SNGR_wp_api"
+TIDE_PORT = "Guayaquil"
+
 # Cantons of the rain-event service.
 EVENT_CANTONS = ("GUAYAQUIL", "DAULE", "SAMBORONDON", "DURAN")
 
@@ -54,13 +63,34 @@ def _parsed(raw: DataFrame, schema: str) -> DataFrame:
     return raw.select(*_keep(raw), F.from_json("json_str", schema).alias("r")).select(*_keep(raw), "r.*")
 
 
+def _readable(text: str = "json_str") -> Column:
+    """Whether a text is a JSON object."""
+    return F.coalesce(F.expr(f"schema_of_variant(try_parse_json({text}))").startswith("OBJECT"), F.lit(False))
+
+
 def published(raw: DataFrame, source: str) -> DataFrame:
-    """Rows of a published payload: one per ``data`` element, or the flat record itself."""
+    """Rows of a published payload: one per ``data`` element, or the flat record itself.
+
+    Texts that are no JSON object give no row; :func:`unreadable_payloads` has them.
+    """
     schema = PAYLOAD_SCHEMAS[source]
-    rows = _parsed(raw, schema)
     if "data ARRAY" in schema:
-        return explode_rows(rows, _keep(raw), F.col("data"))
-    return rows
+        return explode_rows(_parsed(raw, schema), _keep(raw), F.col("data"))
+    return _parsed(raw.where(_readable()), schema)
+
+
+def unreadable_payloads(raw: DataFrame, source: str | None = None) -> DataFrame:
+    """Payloads that no normaliser can read, whole, with a ``problem``: ``missing``, ``broken`` or ``no_object``.
+
+    ``source`` restricts a raw table that has that column.
+    """
+    rows = raw if source is None else raw.where(F.col("source") == source)
+    problem = (
+        F.when(F.col("json_str").isNull() | (F.btrim("json_str") == ""), "missing")
+        .when(F.expr("try_parse_json(json_str)").isNull(), "broken")
+        .when(~_readable(), "no_object")
+    )
+    return rows.withColumn("problem", problem).where(F.col("problem").isNotNull())
 
 
 def ocean_indices(documents: DataFrame, text: str = "json_str") -> DataFrame:
@@ -91,15 +121,25 @@ def ocean_index_payload(raw: DataFrame) -> DataFrame:
     )
 
 
-def satellite_daily(grid: DataFrame, rain_rates: DataFrame, rain_box: Box = OCEAN_REGIONS[0]) -> DataFrame:
-    """Region means of SST and anomaly side by side, one row per day, with coastal rain."""
+def satellite_daily(
+    grid: DataFrame, rain_rates: DataFrame, rain_box: Box = OCEAN_REGIONS[0], start=None, end=None, n_days: int | None = 15
+) -> DataFrame:
+    """Region means of SST and anomaly side by side, one row per image day, with coastal rain.
+
+    The days are those of the grid from ``start`` up to but not including ``end``, the first
+    ``n_days`` of them (all if None). A day without a cell in a region has NULL there.
+    """
+    grid = between_days(grid, "date", start, end)
+    if n_days is not None:
+        grid = first_days(grid, "date", n_days)
+    days = grid.select("date").distinct()
     means = region_daily_mean(grid, {"sst": 100.0, "anom": 100.0})
     regions = ("nino34", "nino12", "nino3", "nino4")
     wide = means.groupBy("date").agg(*[
         F.max(F.when(F.col("region") == r, F.col(f"mean_{v}"))).alias(f"{r}_mean_{name}")
         for r in regions for v, name in (("sst", "sst"), ("anom", "anomaly"))
     ])
-    return with_daily_rain(wide, daily_region_rain(rain_rates, rain_box)).withColumnRenamed(
+    return with_daily_rain(days.join(wide, "date", "left"), daily_region_rain(rain_rates, rain_box)).withColumnRenamed(
         "rain_mm", "coast_precipitation_mm"
     )
 
@@ -152,14 +192,26 @@ def pressure_index(readings: DataFrame) -> DataFrame:
     )
 
 
-def ocean_model(surface: DataFrame, temperature: DataFrame, salinity: DataFrame, currents: DataFrame) -> DataFrame:
-    """Four gridded datasets into one row for each of the five newest days."""
+def ocean_model(
+    surface: DataFrame, temperature: DataFrame, salinity: DataFrame, currents: DataFrame, box: Box = OCEAN_MODEL_REGION
+) -> DataFrame:
+    """Four gridded datasets into one row for each of the five newest days of the surface dataset.
+
+    Means are over the cells of ``box``; the datasets with a ``depth`` count at their shallowest only.
+    """
+    inside = in_box("lat", "lon", box)
+    # Cells outside the box still name the days that the dataset has.
+    surface = surface.select("date", *[F.when(inside, F.col(c)).alias(c) for c in ("zos", "mlotst")])
+
+    def top(df: DataFrame) -> DataFrame:
+        return surface_only(df).where(inside)
+
     return merge_daily(
         surface,
         [
-            (temperature, {"thetao": "thetao_degC"}),
-            (salinity, {"so": "so_psu"}),
-            (currents, {"uo": "uo_velocity_m_s", "vo": "vo_velocity_m_s"}),
+            (top(temperature), {"thetao": "thetao_degC"}),
+            (top(salinity), {"so": "so_psu"}),
+            (top(currents), {"uo": "uo_velocity_m_s", "vo": "vo_velocity_m_s"}),
         ],
         {"zos": "zos_meters", "mlotst": "mlotst_meters"},
     )
@@ -181,6 +233,42 @@ def forecasts(raw: DataFrame) -> DataFrame:
     return explode_rows(arrived, [*_keep(raw), "forecast_date"], F.col("pronostico_diario.pronostico"))
 
 
+def station_counts(raw: DataFrame) -> DataFrame:
+    """Stations and localities of each payload: as its producer counted them, and as they are in it.
+
+    NULL for a half that failed.
+    """
+    rows = _parsed(raw, PAYLOAD_SCHEMAS["inamhi"])
+
+    def of(half: str, value: Column) -> Column:
+        return F.when(F.col(f"{half}.error").isNull(), value)
+
+    def length(items: str) -> Column:
+        return F.when(F.col(items).isNotNull(), F.size(items))
+
+    return rows.select(
+        *_keep(raw),
+        of("estaciones", F.col("estaciones.total_estaciones")).alias("total_estaciones"),
+        of("estaciones", length("estaciones.estaciones")).alias("n_estaciones"),
+        of("pronostico_diario", F.col("pronostico_diario.total_localidades")).alias("total_localidades"),
+        of("pronostico_diario", length("pronostico_diario.pronostico")).alias("n_localidades"),
+    )
+
+
+def tide_records(documents: DataFrame, probes: DataFrame, ts: str = "ts", port: str = TIDE_PORT) -> DataFrame:
+    """Published tide records for the instants of ``probes``, from printed tables of one port.
+
+    The height is interpolated between the printed events around the instant; without both, the
+    harmonic model answers and is named as the origin.
+    """
+    events = tide_events(parse_tide_tables(documents)).select(F.lit(port).alias("puerto"), F.col("event_ts").alias(ts), "height_m")
+    around = bracket(probes.withColumn("puerto", F.lit(port)), events, "puerto", ts=ts)
+    return tide_with_fallback(around, ts).select(
+        *probes.columns, F.col("origin").alias("fuente"), "puerto", F.col("height_m").alias("altura_marea_m"),
+        F.col("trend").alias("tendencia"), F.col("high_tide").alias("pleamar"),
+    )
+
+
 def failed_halves(raw: DataFrame) -> DataFrame:
     """Payload halves that carry an error instead of data."""
     half = F.explode(F.array(*[
@@ -197,7 +285,7 @@ def reservoir_posts(raw: DataFrame) -> DataFrame:
     return bulletins.reservoir_levels(
         posts, F.col("title.rendered"), F.col("excerpt.rendered"), F.col("content.rendered"), keep
     ).select(
-        *_keep(raw), F.lit("CELEC_wp_api").alias("fuente"), F.lit("Daule-Peripa").alias("embalse"),
+        *_keep(raw), F.lit(RESERVOIR_ORIGIN).alias("fuente"), F.lit(RESERVOIR).alias("embalse"),
         F.col("description").alias("descripcion"), F.col("link").alias("url_fuente"),
         F.col("date_gmt").alias("fecha_noticia"), F.col("level_m").alias("nivel_msnm"),
         F.col("max_level_m").alias("nivel_maximo_msnm"),
@@ -211,7 +299,7 @@ def alert_posts(raw: DataFrame) -> DataFrame:
     return bulletins.alerts(
         posts, F.col("title.rendered"), F.col("excerpt.rendered"), F.col("content.rendered"), keep
     ).select(
-        *_keep(raw), F.lit("SNGR_wp_api").alias("fuente"), "canton", F.col("event_type").alias("tipo_evento"),
+        *_keep(raw), F.lit(ALERT_ORIGIN).alias("fuente"), "canton", F.col("event_type").alias("tipo_evento"),
         F.col("severity").alias("severidad"), F.col("description").alias("descripcion"),
         F.col("link").alias("url_fuente"), F.col("date_gmt").alias("hora_evento"),
     )
@@ -237,25 +325,31 @@ def rain_events(raw: DataFrame, cantons: tuple[str, ...] = EVENT_CANTONS) -> Dat
     )
 
 
-def waterways(raw: DataFrame, doc: str) -> DataFrame:
-    """Element lists (nodes and ways) into line and polygon features per document."""
-    elements = _parsed(
-        raw,
-        "elements ARRAY<STRUCT<type: STRING, id: BIGINT, lon: DOUBLE, lat: DOUBLE, nodes: ARRAY<BIGINT>, "
-        "tags: MAP<STRING, STRING>>>",
-    )
-    elements = explode_rows(elements, [doc], F.col("elements"))
-    nodes = elements.where(F.col("type") == "node").select(F.struct(doc, "id").alias("node_id"), "lon", "lat")
-    ways = elements.where(F.col("type") == "way").select(
-        F.struct(doc, "id").alias("way_id"),
-        F.transform("nodes", lambda n: F.struct(F.col(doc).alias(doc), n.alias("id"))).alias("node_ids"),
-        "tags",
+def rain_event_envelope(raw: DataFrame, cantons: tuple[str, ...] = EVENT_CANTONS) -> DataFrame:
+    """The published record: the collection with the features of the chosen cantons only, in its envelope.
+
+    A document stays one row; the other properties of its features are kept.
+    """
+    schema = FEATURE_COLLECTION_SCHEMA.replace("type STRING, features", "type: STRING, features:")
+    rows = _parsed(raw, f"data STRUCT<{schema}>")
+    chosen = F.filter("data.features", lambda f: F.try_element_at(f["properties"], F.lit("canton")).isin(list(cantons)))
+    return rows.select(
+        *_keep(raw), F.struct(F.lit("SGR Eventos Lluvia").alias("source")).alias("metadata"),
+        F.struct(F.col("data.type").alias("type"), F.coalesce(chosen, F.array()).alias("features")).alias("data"),
     )
-    shaped = assemble_ways(ways, nodes)
-    tags = ways.select("way_id", F.col("tags").alias("properties"))
-    return shaped.join(tags, "way_id").select(
-        F.col(f"way_id.{doc}").alias(doc), F.col("way_id.id").alias("way_id"),
-        "geometry_type", "n_points", "coordinates", "properties",
+
+
+def waterways(raw: DataFrame, doc: str) -> DataFrame:
+    """Element lists (nodes and ways) into line and polygon features per document.
+
+    Every node that a way names is in the same document, so a document is shaped where it is read.
+    """
+    shaped = raw.select(doc, document_ways("json_str").alias("ways"))
+    rows = explode_rows(shaped, [doc], F.col("ways"))
+    closed = F.col("geometry_type") == "Polygon"
+    return rows.select(
+        doc, "way_id", "geometry_type", F.size("points").alias("n_points"),
+        F.when(closed, F.to_json(F.array("points"))).otherwise(F.to_json("points")).alias("coordinates"), "properties",
     )
 
 

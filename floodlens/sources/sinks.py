@@ -22,17 +22,21 @@ def land_raw(
     return writer.start()
 
 
-def write_snapshots(scored: DataFrame, path: str, epoch_id: int, as_of: str | None = None) -> None:
-    """Append scored rows by date, replaceable by epoch: a repeated epoch overwrites itself.
+def write_snapshots(
+    scored: DataFrame, path: str, epoch_id: int, as_of: str | None = None, run_id: str = "manual"
+) -> None:
+    """Append scored rows by date, replaceable by run and epoch: a repeated epoch overwrites itself.
 
+    Epoch numbers begin anew with every stream checkpoint, so ``run_id`` (the id of the stream, which
+    its checkpoint keeps) tells the epochs of different checkpoints apart.
     ``as_of`` fixes the stamp; otherwise it is the time of writing.
     """
     now = F.current_timestamp() if as_of is None else F.lit(as_of).cast("timestamp")
     rows = scored.withColumn("computed_at", now).withColumn("date", F.to_date("computed_at"))
     (
-        rows.select(*SNAPSHOT_COLUMNS, F.lit(epoch_id).cast("long").alias("epoch_id"))
+        rows.select(*SNAPSHOT_COLUMNS, F.lit(run_id).alias("run_id"), F.lit(epoch_id).cast("long").alias("epoch_id"))
         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        .partitionBy("date", "epoch_id").parquet(path)
+        .partitionBy("date", "run_id", "epoch_id").parquet(path)
     )
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from floodlens.functions.scalars import explode_rows, pin, round_exact
@@ -24,7 +24,7 @@ MONTHS = (
 )
 WEEKDAYS = ("LU", "MA", "MI", "JU", "VI", "SA", "DO")
 HEADINGS = ("TABLA", "GUAYAQUIL", "HORA", "*")
-MAX_GROUPS = 6  # three months side by side, two sub-columns each
+SUB_COLUMNS = 6  # three months side by side, two sub-columns each
 
 
 def number_repeats(names: Sequence[str]) -> list[str]:
@@ -79,52 +79,77 @@ def column_month(quarter: Column | str, column: Column | str) -> Column:
     return ((quarter - 1) * 3 + F.floor(column / 2) + 1).cast("int")
 
 
-def parse_tide_lines(
-    lines: DataFrame, doc: Sequence[str] = ("doc",), year: str = "year", quarter: str = "quarter"
+def parse_tide_tables(
+    documents: DataFrame, doc: Sequence[str] = ("doc",), year: str = "year", quarter: str = "quarter", text: str = "text"
 ) -> DataFrame:
-    """Printed tide lines into ``event_ts, height_m`` with a ``problem`` for rows that do not parse.
+    """Printed tide tables into ``event_ts, height_m`` with a ``problem`` for groups that do not parse.
 
-    Each line holds up to six groups ``<day or weekday> <HHMM> <height>``. A number starts a day in
-    its sub-column; a weekday code belongs to the last day seen there; other groups are skipped, and
-    so are weekday codes before any day. The window is bounded by one sub-column of one document.
+    A line holds up to six groups ``<day or weekday> <HHMM> <height>``. A number starts a day in its
+    sub-column; a weekday code belongs to the last day seen there. Groups with another mark are text
+    and skipped; a group of a line's seventh and later sub-columns, one that is cut short, and a
+    weekday code before any day are set aside (``bad_layout``). A document stays one row until its
+    groups are dated, so nothing is shuffled.
     """
+    keep = [*doc, year, quarter]
     month_names = F.slice(F.array(*map(F.lit, MONTHS)), (F.col(quarter) - 1) * 3 + 1, F.lit(3))
-    heading = F.array_contains(month_names, F.col("line"))
-    for word in HEADINGS:
-        heading = heading | F.startswith(F.col("line"), F.lit(word))
-    tokens = F.split("line", r"\s+")
-    groups = F.least(F.floor(F.size("tokens") / 3), F.lit(MAX_GROUPS)).cast("int")
 
-    def group(i: Column) -> Column:
+    def is_text(line: Column) -> Column:
+        heading = F.array_contains(month_names, line)
+        for word in HEADINGS:
+            heading = heading | F.startswith(line, F.lit(word))
+        return heading | (line == "")
+
+    lines = F.filter(
+        F.transform(F.split(text, r"\r\n|\r|\n"), lambda line, i: F.struct(i.alias("line_no"), strip_blanks(line).alias("line"))),
+        lambda x: ~is_text(x["line"]),
+    )
+    tokens = F.transform(lines, lambda x: F.struct(x["line_no"].alias("line_no"), F.split(x["line"], r"\s+").alias("tokens")))
+
+    def group(line: Column, i: Column) -> Column:
+        mark = F.get(line["tokens"], i * 3)
         return F.struct(
-            i.alias("column"),
-            F.get("tokens", i * 3).alias("mark"), F.get("tokens", i * 3 + 1).alias("hhmm"),
-            F.get("tokens", i * 3 + 2).alias("height"),
+            line["line_no"].alias("line_no"), i.cast("int").alias("column"), mark.alias("mark"),
+            F.get(line["tokens"], i * 3 + 1).alias("hhmm"), F.get(line["tokens"], i * 3 + 2).alias("height"),
+            mark.rlike(r"^\d+$").alias("number"),
         )
 
-    cells = (
-        pin(lines.where(~heading), [*doc, year, quarter, "line_no"], tokens=tokens)
-        .where(F.size("tokens") >= 3)
-        .transform(explode_rows, [*doc, year, quarter, "line_no"], F.transform(F.sequence(F.lit(0), groups - 1), group))
-        .withColumn("__number", F.col("mark").rlike(r"^\d+$"))
-        .where(F.col("__number") | F.col("mark").isin(list(WEEKDAYS)))
-    )
-    seen = (
-        Window.partitionBy(*doc, "column").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    groups = F.flatten(F.transform(
+        tokens, lambda x: F.transform(F.sequence(F.lit(0), F.ceil(F.size(x["tokens"]) / 3).cast("int") - 1), lambda i: group(x, i))
+    ))
+    marked = F.filter(groups, lambda g: g["number"] | g["mark"].isin(list(WEEKDAYS)))
+    rows = pin(documents, keep, groups=marked)
+    laid_out = lambda g: (g["column"] < SUB_COLUMNS) & g["height"].isNotNull()
+    undated = F.transform(
+        F.filter("groups", lambda g: ~laid_out(g)), lambda g: F.struct(F.lit(None).cast("int").alias("day"), g.alias("g"))
     )
-    day = F.last(F.when(F.col("__number"), F.col("mark").try_cast("int")), ignorenulls=True).over(seen)
-    dated = cells.withColumn("day", day).where(F.col("day").isNotNull())
 
+    def dated(column: int) -> Column:
+        """Groups of one sub-column, cut into runs that begin with a number; each run shares its day."""
+        own = F.filter("groups", lambda g: laid_out(g) & (g["column"] == column))
+        starts = F.filter(F.transform(own, lambda g, i: F.when(g["number"], i)), lambda i: i.isNotNull())
+        first = F.coalesce(F.get(starts, F.lit(0)), F.size(own))
+        none = F.transform(F.slice(own, F.lit(1), first), lambda g: F.struct(F.lit(None).cast("int").alias("day"), g.alias("g")))
+
+        def run(start: Column, k: Column) -> Column:
+            end = F.coalesce(F.get(starts, k + 1), F.size(own))
+            day = F.get(own, start)["mark"].try_cast("int")
+            return F.transform(F.slice(own, start + 1, end - start), lambda g: F.struct(day.alias("day"), g.alias("g")))
+
+        return F.concat(none, F.flatten(F.transform(starts, run)))
+
+    cells = explode_rows(rows, keep, F.concat(undated, *[dated(c) for c in range(SUB_COLUMNS)]))
+    cells = cells.select(*keep, "day", "g.*")
     hour = F.substring("hhmm", 1, 2).try_cast("int")
     minute = F.expr("try_cast(substring(hhmm, 3) AS int)")
     height = F.col("height").try_cast("double")
     event_ts = F.try_make_timestamp(
         F.col(year), column_month(quarter, "column"), F.col("day"), hour, minute, F.lit(0).cast("decimal(8,6)")
     )
-    return dated.select(
-        *doc, year, quarter, "line_no", "column", "day",
+    return cells.select(
+        *keep, "line_no", "column", "day",
         event_ts.alias("event_ts"), height.alias("height_m"),
-        F.when(height.isNull(), "bad_height")
+        F.when(F.col("day").isNull(), "bad_layout")
+        .when(height.isNull(), "bad_height")
         .when(hour.isNull() | minute.isNull(), "bad_time")
         .when(event_ts.isNull(), "bad_date")
         .alias("problem"),
@@ -148,5 +173,4 @@ def tide_history(documents: DataFrame, start_year: int, as_of: Column, doc: Sequ
     """
     last = F.year(as_of) * 4 + F.quarter(as_of)
     wanted = documents.where((F.col("year") >= start_year) & (F.col("year") * 4 + F.col("quarter") <= last))
-    lines = document_lines(wanted, keep=(*doc, "year", "quarter"))
-    return parse_tide_lines(lines, doc).withColumn("origin", F.lit(ORIGIN_TABLE))
+    return parse_tide_tables(wanted, doc).withColumn("origin", F.lit(ORIGIN_TABLE))

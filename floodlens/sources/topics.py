@@ -12,9 +12,17 @@ from floodlens.schemas import TOPIC_SOURCES
 TOPIC_FILE_SCHEMA = "topic STRING, key STRING, value STRING, timestamp TIMESTAMP"
 
 
-def kafka_options(bootstrap: str, topics: Sequence[str]) -> dict[str, str]:
-    """Every topic in one subscription, from the earliest offset, tolerating lost offsets."""
+# Records of a topic outside the map land under this source, so that no committed offset loses data.
+UNMAPPED = "unmapped"
+
+# Records a broker may hand to one micro-batch; without it the first one is the whole history.
+MAX_OFFSETS_PER_TRIGGER = 1_000_000
+
+
+def kafka_options(bootstrap: str, topics: Sequence[str], max_offsets: int = MAX_OFFSETS_PER_TRIGGER) -> dict[str, str]:
+    """Every topic in one subscription, from the earliest offset, in bounded batches, tolerating lost offsets."""
     return {
+        "maxOffsetsPerTrigger": str(max_offsets),
         "kafka.bootstrap.servers": bootstrap,
         "subscribe": ",".join(topics),
         "startingOffsets": "earliest",
@@ -29,18 +37,22 @@ def topic_stream(
     path: str | None = None,
     file_format: str = "parquet",
     max_files_per_trigger: int | None = None,
+    max_offsets_per_trigger: int = MAX_OFFSETS_PER_TRIGGER,
+    mapping: Mapping[str, str] = TOPIC_SOURCES,
 ) -> DataFrame:
     """Raw rows of ``topics`` from a broker (``bootstrap``) or from topic files (``path``)."""
+    if unknown := sorted(set(topics) - set(mapping)):
+        raise ValueError(f"no source is known for the topics {unknown}")
     if (bootstrap is None) == (path is None):
         raise ValueError("name either a broker or a folder of topic files")
     if bootstrap is not None:
-        stream = spark.readStream.format("kafka").options(**kafka_options(bootstrap, topics)).load()
+        stream = spark.readStream.format("kafka").options(**kafka_options(bootstrap, topics, max_offsets_per_trigger)).load()
     else:
         reader = spark.readStream.format(file_format).schema(TOPIC_FILE_SCHEMA)
         if max_files_per_trigger:
             reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
         stream = reader.load(path).where(F.col("topic").isin(list(topics)))
-    return to_raw(stream)
+    return to_raw(stream, mapping)
 
 
 def source_of(topic: Column | str, mapping: Mapping[str, str] = TOPIC_SOURCES) -> Column:
@@ -51,13 +63,13 @@ def source_of(topic: Column | str, mapping: Mapping[str, str] = TOPIC_SOURCES) -
 
 
 def to_raw(records: DataFrame, mapping: Mapping[str, str] = TOPIC_SOURCES) -> DataFrame:
-    """Broker records as raw-zone rows: text, broker time, source and partition date."""
+    """Broker records as raw-zone rows: text, broker time, source (``UNMAPPED`` outside the map) and partition date."""
     return records.select(
         F.col("value").cast("string").alias("json_str"),
         F.col("timestamp").cast("timestamp").alias("kafka_timestamp"),
-        source_of("topic", mapping).alias("source"),
+        F.coalesce(source_of("topic", mapping), F.lit(UNMAPPED)).alias("source"),
         F.to_date(F.col("timestamp").cast("timestamp")).alias("date"),
-    ).where(F.col("source").isNotNull())
+    )
 
 
 def union_sources(frames: Mapping[str, DataFrame]) -> DataFrame:

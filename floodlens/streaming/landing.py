@@ -5,18 +5,18 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from floodlens.functions.risk import DEFAULT_PARAMS, RiskParams
-from floodlens.operators.latest import latest_by_key
 from floodlens.operators.scoring import READINGS, Reading, conditions_from_latest, score_zones
 from floodlens.schemas import TOPIC_SOURCES
 from floodlens.sources.sinks import write_snapshots
-from floodlens.sources.topics import topic_stream
+from floodlens.sources.topics import MAX_OFFSETS_PER_TRIGGER, topic_stream
 from floodlens.sources.zones import read_zones
-from floodlens.streaming.windows import latest_by_source
+from floodlens.streaming.windows import latest_by_source, start_with_run
 
 STATE_SCHEMA = "source STRING, kafka_timestamp TIMESTAMP, json_str STRING"
 
@@ -32,6 +32,7 @@ class MonitorConfig:
     topics: Sequence[str] = tuple(TOPIC_SOURCES)
     interval: str = "60 seconds"
     max_files_per_trigger: int | None = None
+    max_offsets_per_trigger: int = MAX_OFFSETS_PER_TRIGGER
     readings: Sequence[Reading] = READINGS
     params: RiskParams = DEFAULT_PARAMS
     as_of: str | None = None  # fixed stamp for repeatable runs
@@ -53,39 +54,49 @@ class MonitorConfig:
         return f"{self.base}/_checkpoints/monitor"
 
 
-def _slot(config: MonitorConfig, epoch_id: int) -> str:
-    return f"{config.state}/slot={epoch_id % 2}"
+def _slot(config: MonitorConfig, run_id: str, epoch_id: int) -> str:
+    return f"{config.state}/run_id={run_id}/slot={epoch_id % 2}"
 
 
-def land_and_score(batch: DataFrame, epoch_id: int, zones: DataFrame, config: MonitorConfig) -> None:
+def _state_before(spark: SparkSession, config: MonitorConfig, run_id: str, epoch_id: int) -> DataFrame:
+    """Latest readings before an epoch: of the other slot, or of all earlier runs when a checkpoint begins."""
+    fields = ["source", "kafka_timestamp", "json_str"]
+    if epoch_id > 0:
+        return spark.read.schema(STATE_SCHEMA).parquet(_slot(config, run_id, epoch_id - 1)).select(*fields)
+    try:
+        return spark.read.schema(STATE_SCHEMA).parquet(config.state).select(*fields)
+    except AnalysisException:  # no state has been written yet
+        return spark.createDataFrame([], STATE_SCHEMA)
+
+
+def land_and_score(batch: DataFrame, epoch_id: int, zones: DataFrame, config: MonitorConfig, run_id: str = "manual") -> None:
     """One micro-batch: land its rows, renew the latest reading per source, score every zone.
 
     Landing and scoring share the batch, so a score always sees the records that triggered it.
     Everything a repeated epoch writes replaces what its first attempt wrote: raw rows and
-    snapshots by epoch partition, the state by its slot. The state holds one row per source and is
-    read from the other slot, so neither history nor state grows the work of a tick.
+    snapshots by run and epoch, the state by its run's slot. The state holds one row per source and
+    is read from the other slot, so neither history nor state grows the work of a tick; the first
+    tick of a new checkpoint starts from the state of the runs before it and replaces none of their rows.
     """
     spark = batch.sparkSession
     batch = batch.persist()
     try:
         (
-            batch.withColumn("epoch_id", F.lit(epoch_id).cast("long"))
+            batch.withColumn("run_id", F.lit(run_id)).withColumn("epoch_id", F.lit(epoch_id).cast("long"))
+            .hint("rebalance", "source", "date")  # one file or a few per folder; a hot source is split
             .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-            .partitionBy("source", "date", "epoch_id").parquet(config.raw)
+            .partitionBy("source", "date", "run_id", "epoch_id").parquet(config.raw)
         )
         sources = sorted({r.source for r in config.readings} | set(TOPIC_SOURCES.values()))
         fields = ["source", "kafka_timestamp", "json_str"]
-        fresh = latest_by_key(
-            batch, ["source"], "kafka_timestamp", ["json_str"], fields[1:], key_values=sources
-        ).select(*fields)
-        if epoch_id > 0:
-            before = spark.read.schema(STATE_SCHEMA).parquet(_slot(config, epoch_id - 1))
-            fresh = latest_by_source(before.select(*fields).unionByName(fresh)).select(*fields)
-        fresh.coalesce(1).write.mode("overwrite").parquet(_slot(config, epoch_id))
-
-        state = spark.read.schema(STATE_SCHEMA).parquet(_slot(config, epoch_id))
+        fresh = batch.where(F.col("source").isin(sources)).select(*fields)
+        before = _state_before(spark, config, run_id, epoch_id)
+        newest = latest_by_source(before.unionByName(fresh)).select(*fields)  # one row per source
+        newest.coalesce(1).write.mode("overwrite").parquet(_slot(config, run_id, epoch_id))
+
+        state = spark.read.schema(STATE_SCHEMA).parquet(_slot(config, run_id, epoch_id))
         scored = score_zones(zones, conditions_from_latest(state, config.readings), config.params)
-        write_snapshots(scored, config.snapshots, epoch_id, config.as_of)
+        write_snapshots(scored, config.snapshots, epoch_id, config.as_of, run_id)
     finally:
         batch.unpersist()
 
@@ -94,16 +105,15 @@ def start_monitor(spark: SparkSession, config: MonitorConfig, once: bool = False
     """Start the one query that lands and scores every topic."""
     stream = topic_stream(
         spark, config.topics, config.bootstrap, config.topic_files,
-        max_files_per_trigger=config.max_files_per_trigger,
+        max_files_per_trigger=config.max_files_per_trigger, max_offsets_per_trigger=config.max_offsets_per_trigger,
     )
     zones = read_zones(spark, config.zones_path)
     writer = (
         stream.writeStream.queryName("floodlens-monitor")
-        .foreachBatch(lambda batch, epoch: land_and_score(batch, epoch, zones, config))
         .option("checkpointLocation", config.checkpoint).outputMode("append")
     )
     writer = writer.trigger(availableNow=True) if once else writer.trigger(processingTime=config.interval)
-    return writer.start()
+    return start_with_run(writer, lambda batch, epoch, run: land_and_score(batch, epoch, zones, config, run))
 
 
 def run_monitor(spark: SparkSession, config: MonitorConfig, once: bool = True) -> None:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import threading
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 
 def rain_24h(readings: DataFrame, key: str, ts: str, value: str, lateness: str = "2 hours") -> DataFrame:
@@ -41,15 +42,33 @@ def latest_by_source(raw: DataFrame) -> DataFrame:
     )
 
 
+def start_with_run(writer: DataStreamWriter, write: Callable[[DataFrame, int, str], None]) -> StreamingQuery:
+    """Start a stream whose ``write`` also gets the run: the query's id, which stays with its checkpoint."""
+    started = threading.Event()
+    run: list[str] = []
+
+    def tick(batch: DataFrame, epoch_id: int) -> None:
+        started.wait()
+        write(batch, epoch_id, run[0])
+
+    query = writer.foreachBatch(tick).start()
+    run.append(str(query.id))
+    started.set()
+    return query
+
+
 def upsert_by_epoch(stream: DataFrame, path: str, checkpoint: str, once: bool = True) -> StreamingQuery:
-    """Write each epoch's changed rows to a partition of their own; a repeated epoch replaces itself."""
+    """Write each epoch's changed rows to a partition of their own; a repeated epoch replaces itself.
+
+    Partitions are by run and epoch, so a new checkpoint leaves the rows of earlier ones alone.
+    """
 
-    def write(batch: DataFrame, epoch_id: int) -> None:
+    def write(batch: DataFrame, epoch_id: int, run_id: str) -> None:
         (
-            batch.coalesce(1).withColumn("epoch_id", F.lit(epoch_id).cast("long"))
+            batch.withColumn("run_id", F.lit(run_id)).withColumn("epoch_id", F.lit(epoch_id).cast("long"))
             .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-            .partitionBy("epoch_id").parquet(path)
+            .partitionBy("run_id", "epoch_id").parquet(path)
         )
 
-    writer = stream.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(write)
-    return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="60 seconds")).start()
+    writer = stream.writeStream.outputMode("update").option("checkpointLocation", checkpoint)
+    return start_with_run(writer.trigger(availableNow=True) if once else writer.trigger(processingTime="60 seconds"), write)

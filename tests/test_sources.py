@@ -25,7 +25,10 @@ def test_kafka_options_and_map(spark):
     assert options["subscribe"] == "a,b" and options["startingOffsets"] == "earliest" and options["failOnDataLoss"] == "false"
     df = spark.createDataFrame([("mareas-inocar", b"{}"), ("unknown", b"{}")], "topic STRING, value BINARY").withColumn("timestamp", F.lit("2024-01-02 03:04:05"))
     rows = topics.to_raw(df).collect()
-    assert [(r.source, r.json_str, str(r.date)) for r in rows] == [("inocar_mareas", "{}", "2024-01-02")]
+    assert [(r.source, r.json_str, str(r.date)) for r in rows] == [("inocar_mareas", "{}", "2024-01-02"), ("unmapped", "{}", "2024-01-02")]
+    assert int(options["maxOffsetsPerTrigger"]) > 0
+    with pytest.raises(ValueError, match="nowhere"):
+        topics.topic_stream(spark, ["mareas-inocar", "nowhere"], path="/tmp")
     with pytest.raises(ValueError):
         topics.topic_stream(spark)
 
@@ -68,12 +71,13 @@ MA 0630 1.15 LU 0715 2.25
 2 1230 x.y 17 99zz 1.0
 XX 0000 1.0 SA 1800 2.5
 SA 2400 0.1
+DO 0100
 """
 
 
 def test_tide_table(spark):
     docs = spark.createDataFrame([("d", 2024, 1, TIDE)], "doc STRING, year INT, quarter INT, text STRING")
-    parsed = text_tables.parse_tide_lines(text_tables.document_lines(docs, keep=("doc", "year", "quarter"))).persist()
+    parsed = text_tables.parse_tide_tables(docs).persist()
     events = [(r.event_ts, r.height_m) for r in text_tables.tide_events(parsed).orderBy("event_ts").collect()]
     at = lambda m, d, h, mi: dt.datetime(2024, m, d, h, mi)
     assert events == [
@@ -81,7 +85,10 @@ def test_tide_table(spark):
         (at(2, 1, 2, 0), 3.3), (at(2, 16, 2, 45), 4.4), (at(3, 16, 3, 45), 6.6), (at(3, 30, 3, 0), 5.5),
     ]
     bad = sorted((r.problem, r.line_no) for r in text_tables.tide_rejects(parsed).collect())
-    assert bad == [("bad_date", 9), ("bad_height", 7), ("bad_time", 7)]
+    # Line 4 comes before any day, line 5 has a seventh group, line 10 is cut short.
+    assert bad == [("bad_date", 9), ("bad_height", 7), ("bad_layout", 4), ("bad_layout", 5), ("bad_layout", 10), ("bad_time", 7)]
+    plan = text_tables.parse_tide_tables(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Window" not in plan
     assert spark.range(1).select(text_tables.month_number(F.lit("Marzo")).alias("m")).first().m == 3
 
 
@@ -134,7 +141,11 @@ def test_waterways_fall_apart_by_document(spark):
     way = {"type": "way", "id": 5, "nodes": [1, 2], "tags": {"waterway": "river"}}
     a = {"elements": [{"type": "node", "id": 1, "lon": 0, "lat": 0}, {"type": "node", "id": 2, "lon": 1, "lat": 1}, way]}
     b = {"elements": [{"type": "node", "id": 1, "lon": 0, "lat": 0}, way]}
-    rows = normalizers.waterways(raw(spark, a, b).withColumnRenamed("id", "doc"), "doc").collect()
+    odd = [{"elements": None}, {}, [], {"elements": [{"type": "way", "id": "x"}, 7, {"type": "way", "id": 3, "nodes": None, "tags": None}]}]
+    shaped = normalizers.waterways(raw(spark, a, b, *odd).withColumnRenamed("id", "doc"), "doc")
+    assert "Exchange" not in shaped._jdf.queryExecution().executedPlan().toString()
+    rows = shaped.collect()
+    assert rows[0].coordinates == "[[0.0,0.0],[1.0,1.0]]"
     assert [(r.doc, r.way_id, r.geometry_type, r.properties) for r in rows] == [(0, 5, "LineString", {"waterway": "river"})]
 
 
@@ -148,3 +159,40 @@ def test_snapshot_epochs_replace_themselves(spark, tmp_path):
     sinks.compact_partition(spark, path, str(tmp_path / "c"), "2024-01-01", 1)
     assert spark.read.parquet(str(tmp_path / "c")).count() == 2
     assert len(list((tmp_path / "c" / "date=2024-01-01").glob("*.parquet"))) == 1
+
+
+def test_unreadable_payloads_are_set_aside(spark):
+    texts = ['{"canton":"Daule"}', '{"canton":"Dau', "", None, "[1]", "null"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id INT, json_str STRING")
+    problems = {r.id: r.problem for r in normalizers.unreadable_payloads(df).collect()}
+    assert problems == {1: "broken", 2: "missing", 3: "missing", 4: "no_object", 5: "no_object"}
+    assert [r.id for r in normalizers.published(df, "sngr_alertas").collect()] == [0]
+    assert normalizers.published(df, "seguraep").count() == 1
+
+
+def test_satellite_keeps_days_outside_all_regions(spark):
+    grid = spark.createDataFrame(
+        [(dt.date(2024, 1, d), 60.0 if d == 2 else 0.0, -150.0, 100.0 * d, 10.0, 2.0) for d in range(1, 21)],
+        "date DATE, lat DOUBLE, lon DOUBLE, sst DOUBLE, anom DOUBLE, rate DOUBLE")
+    rows = {r.date.day: r for r in normalizers.satellite_daily(grid, grid).collect()}
+    assert sorted(rows) == list(range(1, 16)) and rows[2].nino34_mean_sst is None and rows[3].nino34_mean_sst == 3.0
+    ranged = normalizers.satellite_daily(grid, grid, start="2024-01-02", end="2024-01-05", n_days=None)
+    assert sorted(r.date.day for r in ranged.collect()) == [2, 3, 4]
+
+
+def test_ocean_model_reads_its_region_at_the_surface(spark):
+    rows = [(dt.date(2024, 1, 1), 0.0, -150.0, 0.5, 1.0), (dt.date(2024, 1, 1), 60.0, -150.0, 0.5, 9.0), (dt.date(2024, 1, 1), 0.0, -150.0, 400.0, 9.0),
+            (dt.date(2024, 1, 2), 60.0, 10.0, 0.5, 9.0)]
+    cells = spark.createDataFrame(rows, "date DATE, lat DOUBLE, lon DOUBLE, depth DOUBLE, x DOUBLE")
+    flat = cells.where("depth < 1")
+    named = lambda df, *names: df.select("date", "lat", "lon", "depth", *[F.col("x").alias(c) for c in names])
+    out = normalizers.ocean_model(named(flat, "zos", "mlotst"), named(cells, "thetao"), named(cells, "so"), named(cells, "uo", "vo")).orderBy("date").collect()
+    assert [tuple(r)[1:] for r in out] == [(1.0,) * 6, (None,) * 6]
+
+
+def test_rain_event_envelope_keeps_the_document(spark):
+    feature = lambda c: {"type": "Feature", "geometry": {"type": "Point", "coordinates": [1, 2]}, "properties": {"canton": c, "x": 1}}
+    docs = raw(spark, {"data": {"type": "FeatureCollection", "features": [feature("DAULE"), feature("QUITO")]}}, {"data": {"type": "FeatureCollection", "features": []}}, {})
+    rows = {r.id: r for r in normalizers.rain_event_envelope(docs).collect()}
+    assert [len(rows[i].data.features) for i in range(3)] == [1, 0, 0]
+    assert rows[0].data.features[0].properties == {"canton": "DAULE", "x": "1"} and rows[0].metadata.source == "SGR Eventos Lluvia"

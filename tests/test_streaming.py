@@ -42,7 +42,7 @@ def test_monitor_scores_each_tick_and_survives_a_repeat(spark, sf, tmp_path):
     assert raw_before == v.table(spark, sf, "events").count()
     # The last epoch again, as after a failure before its commit.
     batch = spark.read.parquet(config.raw).where("epoch_id = 2").drop("epoch_id").select("json_str", "kafka_timestamp", "source", "date").checkpoint()
-    land_and_score(batch, 2, v.zones(spark, sf), config)
+    land_and_score(batch, 2, v.zones(spark, sf), config, snaps.first().run_id)
     assert spark.read.parquet(config.raw).count() == raw_before
     again = {r.epoch_id: r["count"] for r in spark.read.parquet(config.snapshots).groupBy("epoch_id").count().collect()}
     assert again == per_epoch
@@ -66,3 +66,31 @@ def test_rain_stream_equals_batch_for_closed_windows(spark, sf, tmp_path):
     query.awaitTermination()
     got = {(r.station, r.window_start): round(r.rain_24h_mm, 6) for r in spark.table("rain").collect()}
     assert got and all(batch[k] == x for k, x in got.items())
+
+
+def test_a_new_checkpoint_replaces_nothing(spark, sf, tmp_path):
+    """Epochs count from 0 again; rows, snapshots and readings of the earlier run stay."""
+    import dataclasses
+    import json
+
+    base = tmp_path / "n"
+    zones = v.zones(spark, sf)
+    write_zones(zones, f"{base}/zones")
+
+    def land(folder, minute, topic, payload):
+        rows = [(topic, "k", json.dumps(payload), dt.datetime(2024, 1, 1, 0, minute))]
+        spark.createDataFrame(rows, "topic STRING, key STRING, value STRING, timestamp TIMESTAMP").write.parquet(f"{base}/{folder}")
+        return MonitorConfig(base=str(base), zones_path=f"{base}/zones", topic_files=f"{base}/{folder}", as_of="2024-02-01 00:00:00")
+
+    @dataclasses.dataclass(frozen=True)
+    class Anew(MonitorConfig):
+        @property
+        def checkpoint(self):
+            return f"{self.base}/_checkpoints/anew"
+
+    run_monitor(spark, land("t1", 1, "mareas-inocar", {"altura_marea_m": 3.3}))
+    run_monitor(spark, Anew(**dataclasses.asdict(land("t2", 2, "nivel-embalse-celec", {"nivel_msnm": 77.0})) | {"readings": MonitorConfig("", "").readings, "params": MonitorConfig("", "").params}))
+    assert spark.read.parquet(f"{base}/raw").count() == 2
+    snaps = spark.read.parquet(f"{base}/snapshots")
+    assert snaps.count() == 2 * zones.count() and snaps.select("run_id").distinct().count() == 2
+    assert {(r.tide_m, r.flow_m3s) for r in snaps.select("tide_m", "flow_m3s").distinct().collect()} >= {(3.3, 77.0)}
