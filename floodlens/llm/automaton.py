@@ -5,6 +5,10 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 
+#: States kept at once; beyond it they are worked out anew (results do not change).
+MOST_STATES = 20_000
+
+
 def tolerance(term: str) -> int:
     """Edits allowed: none in short terms, one from five letters on, two from nine."""
     return 0 if len(term) < 5 else 1 if len(term) < 9 else 2
@@ -27,6 +31,9 @@ class TermAutomaton:
             at[self._path(word, tolerance(word))] = word
         for word in sorted(set(stems)):
             self.stem[self._path(word, 0)] = word
+        self._forget()
+
+    def _forget(self) -> None:
         self.moves: dict[tuple[int, str], int] = {}
         self.states: list[dict[int, int]] = []
         self.numbers: dict[frozenset, int] = {}
@@ -86,6 +93,8 @@ class TermAutomaton:
 
     def find(self, word: str) -> tuple[str, int] | None:
         """The nearest term (ties: first by code point) and its edits; a stem counts as no edit. None if nothing is near."""
+        if len(self.states) > MOST_STATES:
+            self._forget()
         state, moves, stem = self.start, self.moves, None
         for c in word:
             key = (state, c)

@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -34,9 +34,13 @@ MOST_FORMS = 20_000
 MOST_CONTEXT = 500
 #: A term is at least so many times as frequent in toxic documents as in clean ones.
 TIMES = 20
+#: Different words before a term, as a share of the toxic documents that have it.
+VARIETY = 0.2
+#: Weight that a near form needs to count.
+NEAR = 1.0
 WINDOW = 6
 FEATURES = 5
-REMEMBERED = 500_000
+REMEMBERED = 300_000
 
 _EDGE = "\"'“”„«»‘’`*_~()[]{}<>.,;:!?¡¿…-–—%&$#/\\|+="
 _OPEN, _CLOSE = "\"“„«‘", "\"”“»’"
@@ -95,13 +99,13 @@ class Matcher:
         if hit[1] == 0:
             return self.model.weights[hit[0]], True
         weight_ = self.model.forms.get(bare, self.model.unseen)
-        return (weight_, False) if weight_ > 0 else None
+        return (weight_, False) if weight_ > NEAR else None
 
     def matches(self, text: str) -> tuple[list[str], list[tuple[int, float, bool]]]:
         """The words of a text and (place, weight, exact) of its matches."""
         words = text.lower().split()
         if len(self.clean) > REMEMBERED:
-            self.clean = set()
+            self.clean, self.found = set(), {}
         hits = []
         for word in set(words) - self.clean:
             if word not in self.found:
@@ -165,7 +169,7 @@ def _vocabulary(sample: DataFrame) -> DataFrame:
     return in_arrow(sample, count, "word string, a long, b long").groupBy("word").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
 
 
-def _lexicon(words: DataFrame, n1: int, n0: int) -> dict[str, float]:
+def _lexicon(sample: DataFrame, words: DataFrame, n1: int, n0: int) -> dict[str, float]:
     stems = words.where("length(word) > 4").select("a", "b", F.explode(F.expr("transform(sequence(4, least(8, length(word) - 1)), n -> concat(left(word, n), '*'))")).alias("word"))
     stems = stems.groupBy("word").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.count("*").alias("forms")).where("forms > 2")
     both = words.where("length(word) > 2").select("word", "a", "b").unionByName(stems.select("word", "a", "b"))
@@ -174,6 +178,10 @@ def _lexicon(words: DataFrame, n1: int, n0: int) -> dict[str, float]:
     bar = 2 * math.log(max(2, words.count())) + 6
     ratio = {r["word"]: likelihood_ratio(min(r["a"], n1), min(r["b"], n0), n1, n0) for r in likely}
     value = {r["word"]: weight(r["a"], r["b"], n1, n0) for r in likely if ratio[r["word"]] > bar}
+    toxic = {r["word"]: r["a"] for r in likely}
+    varied = _contexts(sample, value)
+    # Words of one text and its copies stand in the same place each time; a term does not.
+    value = {w: v for w, v in value.items() if varied.get(w, 0) >= max(3, VARIETY * min(toxic[w], 100))}
     chosen: dict[str, float] = {}
     for word in sorted(value, key=lambda w: (-ratio[w], -len(w), w)):
         if word[-1] == "*":
@@ -182,9 +190,32 @@ def _lexicon(words: DataFrame, n1: int, n0: int) -> dict[str, float]:
             if nested or ratio[word] < 1.5 * max(own, default=0):
                 continue
         chosen[word] = value[word]
-        if len(chosen) == MOST_TERMS:
-            break
-    return chosen
+    stems_ = tuple(c[:-1] for c in chosen if c[-1] == "*")
+    kept = [w for w in chosen if w[-1] == "*" or not w.startswith(stems_ or ("*",))]
+    return {w: chosen[w] for w in kept[:MOST_TERMS]}
+
+
+def _contexts(sample: DataFrame, words: Iterable[str]) -> dict[str, int]:
+    """How many different words stand before each word, or before the words of a stem, in toxic documents."""
+    terms, stems = {w for w in words if w[-1] != "*"}, tuple(w[:-1] for w in words if w[-1] == "*")
+    by_length = sorted({len(s) for s in stems})
+    known = set(stems)
+
+    def before(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = set()
+            for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                last = ""
+                for word in text.lower().split() if toxic > 0 else ():
+                    word = word.strip(_EDGE)
+                    if word in terms:
+                        found.add((word, last))
+                    found.update((word[:n] + "*", last) for n in by_length if len(word) > n and word[:n] in known)
+                    last = word
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.string()) for i in range(2)], ["word", "before"])
+
+    rows = in_arrow(sample, before, "word string, before string").distinct().groupBy("word").count()
+    return dict(rows.collect())  # one row per candidate term
 
 
 def _forms(words: DataFrame, model: ToxicityModel, n1: int, n0: int) -> None:
@@ -260,7 +291,7 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Toxi
         model.bias = math.inf if n1 else -math.inf
         return model
     words = cut(_vocabulary(sample))
-    model.weights = _lexicon(words, n1, n0)
+    model.weights = _lexicon(sample, words, n1, n0)
     _forms(words, model, n1, n0)
     model.context = _context(sample, model, n1, n0)
     x, y = _features(sample, model)
