@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import html
+import json
 import re
 from collections.abc import Sequence
+from html.entities import html5
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from floodlens.functions.scalars import ColumnLike, as_col
 
@@ -85,21 +84,57 @@ def html_unescape_common(text: ColumnLike) -> Column:
     return F.when(F.contains(text, F.lit("&")), expr).otherwise(text)
 
 
-@F.pandas_udf(T.StringType())
-def _unescape_exact(texts: pd.Series) -> pd.Series:
-    return texts.map(html.unescape, na_action="ignore")
+# The names of HTML5, with their semicolon; those that also stand without one, longest first.
+_NAMED = json.dumps(html5)
+_UNENDED = "|".join(sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n)))
+# Numbers 128 to 159 mean characters of the Windows code page, or themselves where it has none.
+_C1 = [bytes([n]).decode("cp1252", errors="ignore") or chr(n) for n in range(0x80, 0xA0)]
+_REFERENCE = r"^(#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
+_REPLACEMENT = "\N{REPLACEMENT CHARACTER}"
+
+
+def _code_point(number: Column) -> Column:
+    """Character of a numeric reference; nothing for the numbers that HTML5 calls no character."""
+    nothing = (
+        number.between(0x1, 0x8) | (number == 0xB) | number.between(0xE, 0x1F) | (number == 0x7F)
+        | number.between(0xFDD0, 0xFDEF) | (number % 0x10000 >= 0xFFFE)
+    )
+    return (
+        F.when(number.isNull() | (number == 0) | (number > 0x10FFFF) | number.between(0xD800, 0xDFFF), _REPLACEMENT)
+        .when(number.between(0x80, 0x9F), F.get(F.array(*map(F.lit, _C1)), (number - 0x80).cast("int")))
+        .when(nothing, "")
+        .otherwise(F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32"))
+    )
+
+
+def _decode_reference(piece: Column, named: Column) -> Column:
+    """Text after an ampersand, its reference decoded; with the ampersand if it is none."""
+    found = F.regexp_extract(piece, _REFERENCE, 1)
+    rest = F.substring(piece, F.length(found) + 1, F.length(piece))
+    # More digits than these are beyond the last code point.
+    hexadecimal = F.conv(F.nullif(F.regexp_extract(found, "^#[xX]0*([0-9a-fA-F]{1,8});?$", 1), F.lit("")), 16, 10)
+    decimal = F.nullif(F.regexp_extract(found, "^#0*([0-9]{1,10});?$", 1), F.lit(""))
+    number = F.coalesce(hexadecimal, decimal).try_cast("bigint")
+    whole = F.try_element_at(named, found)
+    start = F.regexp_extract(found, f"^(?:{_UNENDED})", 0)
+    begun = F.concat(F.try_element_at(named, start), F.substring(found, F.length(start) + 1, F.length(found)))
+    name = F.coalesce(whole, F.when(start != "", begun), F.concat(F.lit("&"), found))
+    return F.concat(F.when(F.startswith(found, F.lit("#")), _code_point(number)).otherwise(name), rest)
 
 
 def html_unescape(text: ColumnLike) -> Column:
     """Exact HTML5 unescaping.
 
-    Texts whose ampersands all belong to the common set are decoded in the JVM; only the others
-    are handed to the Arrow function (the rest travels as NULL).
+    Texts whose ampersands all belong to the common set are decoded by plain replacement; only in
+    the others is every reference looked at on its own.
     """
     text = as_col(text)
     leftover = F.regexp_replace(text, f"&(?:{_COMMON_NAMES});", "")
     rare = F.contains(text, F.lit("&")) & leftover.rlike("&[#A-Za-z]")
-    return F.when(rare, _unescape_exact(F.when(rare, text))).otherwise(html_unescape_common(text))
+    pieces = F.split(text, "&")
+    named = F.from_json(F.lit(_NAMED), "map<string, string>")
+    decoded = F.transform(F.slice(pieces, 2, F.size(pieces)), lambda p: _decode_reference(p, named))
+    return F.when(rare, F.concat(F.get(pieces, F.lit(0)), F.array_join(decoded, ""))).otherwise(html_unescape_common(text))
 
 
 def letters_only(text: ColumnLike) -> Column:

@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+_shipped: set[str] = set()
+
 
 def build_session(app: str = "floodlens", master: str | None = None, **conf: str) -> SparkSession:
     """Create a session. Partition counts are left to the cluster unless passed in ``conf``."""
@@ -48,3 +52,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Make ``DataFrame.checkpoint`` usable without overriding the cluster's own setting."""
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(shared_dir(spark, "checkpoint"))
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application; Spark's file server hands the archive out."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    top = Path(__file__).parent
+    archive = Path(tempfile.mkdtemp(prefix="floodlens-code-")) / "floodlens_package.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for file in sorted(top.rglob("*.py")):
+            out.write(file, file.relative_to(top.parent))
+    context.addPyFile(str(archive))
+    _shipped.add(context.applicationId)

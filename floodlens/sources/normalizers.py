@@ -19,6 +19,7 @@ from floodlens.operators.payloads import align_params, merge_daily, pair_differe
 from floodlens.operators.series import bracket, tide_with_fallback
 from floodlens.operators.ways import document_ways
 from floodlens.schemas import FEATURE_COLLECTION_SCHEMA, PAYLOAD_SCHEMAS
+from floodlens.session import ship_package
 from floodlens.sources.text_tables import OCEAN_TABLE_COLUMNS, document_lines, parse_blank_table, parse_tide_tables, tide_events
 
 POST_SCHEMA = (
@@ -344,6 +345,7 @@ def waterways(raw: DataFrame, doc: str) -> DataFrame:
 
     Every node that a way names is in the same document, so a document is shaped where it is read.
     """
+    ship_package(raw.sparkSession)
     shaped = raw.select(doc, document_ways("json_str").alias("ways"))
     rows = explode_rows(shaped, [doc], F.col("ways"))
     closed = F.col("geometry_type") == "Polygon"

@@ -19,6 +19,20 @@ def values(spark, column, rows=SAMPLES):
     return [r.y for r in df.select("i", column.alias("y")).orderBy("i").collect()]
 
 
+def test_unescape_of_rare_references(spark):
+    """Numbers, every name with and without its end, prefixes of names, and mixtures."""
+    import random
+    from html.entities import html5
+
+    rng = random.Random(2)
+    numbers = [*range(160), 0xD800, 0xFDD0, 0xFFFE, 0x1FFFF, 0x10FFFF, 0x110000, 10**12, 128512]
+    texts = [f"&#{n};" for n in numbers] + [f"&#x{n:x}" for n in [*numbers, 2**70]] + ["&#;", "&#x0000041;", "&&", "&ampb", "&notit;", "&ltx", "&l;t", "&" + "a" * 40]
+    texts += [f"&{name}" for name in html5] + [f"x&{name.rstrip(';')}{rng.choice(['', 'z', ';z', ' z'])}" for name in html5]
+    parts = ["&", "#", "x", "amp", "lt", ";", "6", "41", "é", "not", "in", " ", "quot", "frac12", "<", "😀"]
+    texts += ["".join(rng.choice(parts) for _ in range(rng.randint(1, 9))) for _ in range(1000)]
+    assert values(spark, tx.html_unescape("s"), texts) == [html.unescape(t) for t in texts]
+
+
 def test_strip_unescape_letters(spark):
     assert values(spark, tx.html_strip("s")) == [re.sub(r"<[^>]+>", " ", s).strip() for s in SAMPLES]
     assert values(spark, tx.html_unescape("s")) == [html.unescape(s) for s in SAMPLES]
