@@ -2,17 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import zipfile
 from collections.abc import Callable
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-import floodlens
-from floodlens.session import ensure_checkpoint_dir
-
-_shipped: set[str] = set()
+from floodlens.session import ensure_checkpoint_dir, ship_package
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,21 +19,7 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def ship(spark: SparkSession) -> None:
-    """Send this package to the Python workers, once per application; Spark's file server hands the archive out."""
-    context = spark.sparkContext
-    if context.applicationId in _shipped:
-        return
-    top = Path(floodlens.__file__).parent
-    archive = Path(tempfile.mkdtemp(prefix="floodlens-code-")) / "floodlens_package.zip"
-    with zipfile.ZipFile(archive, "w") as out:
-        for file in sorted(top.rglob("*.py")):
-            out.write(file, file.relative_to(top.parent))
-    context.addPyFile(str(archive))
-    _shipped.add(context.applicationId)
-
-
 def in_arrow(df: DataFrame, compute: Callable, schema: str) -> DataFrame:
     """``mapInArrow`` with the package at hand in the workers."""
-    ship(df.sparkSession)
+    ship_package(df.sparkSession)
     return df.mapInArrow(compute, schema)

@@ -27,7 +27,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from floodlens.llm.common import cut, in_arrow, ship
+from floodlens.llm.common import cut, in_arrow
+from floodlens.session import ship_package
 
 SCALE = 1024
 TOP = 10
@@ -157,7 +158,7 @@ class PivotIndex:
 
     def _visit(self, visits: DataFrame, k: int) -> DataFrame:
         """The k best of each block for the queries sent there. ``visits``: query_id, x, annulus, queries (their group)."""
-        ship(visits.sparkSession)
+        ship_package(visits.sparkSession)
         width = self.width
         cuts = visits.sparkSession.createDataFrame([(a, c) for a, c in enumerate(self.annuli["cuts"].tolist())], "annulus int, cuts int")
         each = F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("cut")
