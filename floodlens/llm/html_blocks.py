@@ -30,6 +30,7 @@ class Block:
     text: str
     path: tuple[str, ...]  # names of the enclosing elements, outermost first
     names: frozenset[str]  # parts of their class, id and role
+    near: frozenset[str]  # the same of the innermost that has any
     link_chars: int
 
 
@@ -56,7 +57,8 @@ def blocks(page: str | None) -> Iterator[Block]:
             text = _WHITE.sub(" ", html.unescape("".join(parts))).strip()
             if text:
                 outer = [s for s in stack if s[0] not in INLINE]
-                yield Block(text, tuple(s[0] for s in outer), frozenset().union(*(s[1] for s in outer)), link_chars)
+                near = next((s[1] for s in reversed(outer) if s[1]), frozenset())
+                yield Block(text, tuple(s[0] for s in outer), frozenset().union(*(s[1] for s in outer)), near, link_chars)
             parts.clear()
         link_chars = 0
 

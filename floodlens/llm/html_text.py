@@ -25,7 +25,7 @@ from floodlens.llm.html_blocks import Block, blocks
 
 SEPARATOR = "\n\n"
 #: Labelled pages trained on, passes over them, and the strength that keeps weights small.
-PAGES, PASSES, SHRINK = 600, 250, 1e-3
+PAGES, PASSES, SHRINK = 1500, 200, 3e-4
 _ENDS = re.compile(r"[.!?…。][\"'”’»)]*$")
 
 
@@ -37,7 +37,7 @@ def features(page: Sequence[Block]) -> list[list[str]]:
         own = b.path[-1] if b.path else "none"
         links = min(1.0, b.link_chars / max(1, len(b.text)))
         f = ["bias", f"own={own}", f"words={min(7, len(words).bit_length())}", f"links={int(links * 4)}"]
-        f += [f"in={t}" for t in set(b.path)] + [f"named={n}" for n in b.names]
+        f += [f"in={t}" for t in set(b.path)] + [f"named={n}" for n in b.names] + [f"near={n}" for n in b.near]
         f += ["end"] if _ENDS.search(b.text) else []
         f += ["copyright"] if "©" in b.text else []
         f += ["bare"] if not set(b.path) - {"html", "body"} else []
@@ -125,14 +125,15 @@ def train(pages: Sequence[tuple[Sequence[Block], Sequence[bool]]], passes: int =
 
 # Names that sites give to their main text and to what surrounds it.
 MAIN_NAMES = "content article post entry story text body main page single blog news".split()
+NEUTRAL = "container wrapper row col column inner page site layout grid block section".split()
 OTHER = {
     "nav": "nav menu navbar navigation breadcrumb breadcrumbs topbar toc pagination pager".split(),
     "header": "header masthead logo branding banner hero tagline".split(),
-    "footer": "footer bottom colophon copyright legal credits".split(),
-    "aside": "sidebar aside widget related recommended trending popular more rail".split(),
-    "div": "ad ads advert advertisement sponsor sponsored promo cookie consent notice alert gdpr popup modal overlay newsletter subscribe signup "
+    "footer": "footer bottom colophon copyright legal credits contentinfo".split(),
+    "aside": "sidebar side aside widget related recommended trending popular more rail complementary".split(),
+    "div": "ad ads advert advertisement sponsor sponsored promo promoted cookie consent notice alert gdpr popup modal overlay newsletter subscribe signup "
            "share social sharing tags meta byline author login search".split(),
-    "section": "comments comment replies reply discussion respond disqus feedback reactions".split(),
+    "section": "comments comment replies reply responses response discussion respond disqus feedback reactions".split(),
     "form": "form login search subscribe contact newsletter".split(),
 }
 
@@ -162,6 +163,8 @@ class _Layout:
             text = f"<b>{text}" + rng.choice(["</b>", "<br>"])
         if rng.random() < 0.15:
             text = text.replace(" ", f' <a href="/x">{rng.choice(self.words)}</a> ', 1)
+        elif rng.random() < 0.05:
+            text = f'<a href="/x">{text}</a>'
         self.put(tag, text, True, close=rng.random() < 0.9 or tag != "p")
 
     def links(self, tag: str, names: list[str]) -> None:
@@ -178,11 +181,14 @@ class _Layout:
         if kind in ("nav", "aside") and rng.random() < 0.7:
             self.links(tag, names)
             return
-        name = rng.choice(names) + rng.choice(["", "", "-box", "_1", "-wrapper"])
-        text = self.some(*rng.choice([(1, 6), (5, 30), (20, 70)]), rng.choice([".", ""]))
+        name = rng.choice(names) + rng.choice(["", "", "-box", "_1", "-wrapper", f" {rng.choice(NEUTRAL)}"])
+        text = self.some(*rng.choice([(1, 6), (5, 30), (20, 70)]), rng.choice([".", ".", ""]))
+        if rng.random() < 0.35:
+            self.put(rng.choice(["p", "p", "div"]), text, False, f' {rng.choice(["class", "id"])}="{name}"')
+            return
         if kind == "footer":
             text = rng.choice(["&copy; ", "", ""]) + text
-        inner = rng.choice(["", "p", "p", "span", "h3"])
+        inner = rng.choice(["", "p", "p", "span", "h3"]) if kind != "header" else rng.choice(["", "h1", "p", "span"])
         named = tag in ("div", "section") or rng.random() < 0.5
         self.out.append(f"<{tag}" + (f' {rng.choice(["class", "id"])}="{name}"' if named else "") + ">")
         for _ in range(rng.choice([1, 1, 1, 2, 4]) if inner and inner != "span" else 1):
@@ -198,19 +204,31 @@ class _Layout:
         self.out.append('<!DOCTYPE html><html><head><meta charset="utf-8"><title>' + self.some(2, 9) + '</title><style>p{}</style><script>var t="</p>";</script></head><body>')
         for kind in rng.sample(["nav", "header", "div", "div", "form"], rng.randint(0, 3)):
             self.apart(kind)
+        around = [f'<div class="{rng.choice(NEUTRAL)}{rng.choice(["", "-fluid", " main"])}">' for _ in range(rng.choice([0, 0, 0, 1, 2]))]
+        self.out += around
         holder = rng.choices(["article", "main", "named", "nested", "bare"], [5, 2, 4, 3, 1])[0]
         name = rng.choice(MAIN_NAMES) + rng.choice(["", "", "-content", "_body", "-text"])
         opened = {"article": "<article>", "main": "<main>", "named": f'<div class="{name}">', "nested": f'<main><article class="{name}">', "bare": ""}[holder]
         closed = {"article": "</article>", "main": "</main>", "named": "</div>", "nested": "</article></main>", "bare": ""}[holder]
         self.out.append(opened)
         if rng.random() < 0.8:
+            inside = opened and rng.random() < 0.15
+            self.out.append("<header>" if inside else "")
             self.put("h1", self.some(1, 12), True)
+            self.out.append("</header>" if inside else "")
         for _ in range(rng.choice([0, 1, 2, 4, 8, 14])):
             self.prose()
-            if rng.random() < 0.04:
-                self.apart(rng.choice(["div", "aside", "section"]))
+            if rng.random() < 0.15:
+                self.apart(rng.choice(["div", "div", "div", "aside", "section", "form"]))
+        if rng.random() < 0.3:
+            self.apart(rng.choice(["div", "aside", "section", "footer"]))
         if rng.random() < 0.9:
             self.out.append(closed)
+        if rng.random() < 0.1:
+            self.put("p", f"&copy; {self.some(1, 8)}", False)
+        if around and rng.random() < 0.7:
+            self.apart(rng.choice(["aside", "div", "section"]))
+        self.out += ["</div>"] * len(around)
         if rng.random() < 0.8:
             for kind in rng.sample(["section", "aside", "div", "footer", "form", "nav"], rng.randint(0, 4)):
                 self.apart(kind)

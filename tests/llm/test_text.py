@@ -145,3 +145,21 @@ def test_held_out_labels_teach_nothing(spark):
     a, b = (toxicity.learn(docs, x) for x in (labels, turned))
     assert a.weights == b.weights and a.bias == b.bias and (a.beta == b.beta).all()
     assert toxicity.score(docs.limit(0), a).count() == 0
+
+
+PROSE = ["Some ordinary prose that goes on for a while, with a comma and a full stop.", "Another sentence of the article which a reader would want to read in full."]
+NOISE = "Text that is not wanted at all, although it is a long sentence with words."
+STORY = f"<h1>Head line here</h1><p>{PROSE[0]}</p><p>{PROSE[1]}</p>"
+
+
+@pytest.mark.parametrize("body", [
+    *(f"<article>{STORY}<div class='{c}'><p>{NOISE}</p></div></article>" for c in ("comments", "reader-comments", "replies", "related-posts", "ad", "share-buttons")),
+    *(f"<article><h1>Head line here</h1><p>{PROSE[0]}</p><div class='{c}'>{NOISE}</div><p>{PROSE[1]}</p></article>" for c in ("ad", "advert", "sponsored", "promo")),
+    *(f"<div class='{c}'><p>{NOISE}</p></div><article>{STORY}</article>" for c in ("cookie-notice", "alert", "newsletter", "menu", "sidebar")),
+    *(f"<div id='content'>{STORY}</div><{t}><p>{NOISE}</p></{t}>" for t in ("aside", "footer", "form", "nav")),
+    f"<div class='container'><div class='row'><div class='col main-content'>{STORY}</div><div class='col sidebar'><p>{NOISE}</p></div></div></div>",
+    f"<div role='navigation'><a href=a>Home</a></div><div role='main'>{STORY}</div><div role='contentinfo'>{NOISE}</div>",
+    f"<header><h1>Site name</h1><p>Tag line</p></header><article><header><h1>Head line here</h1></header><p>{PROSE[0]}</p><p>{PROSE[1]}</p></article>",
+])
+def test_layouts(body):
+    assert html_text.trained().main_text(f"<html><head><title>T</title></head><body>{body}</body></html>").split("\n\n") == ["Head line here", *PROSE]
