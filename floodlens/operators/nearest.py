@@ -4,9 +4,11 @@ Places are put into a hierarchy of cubes around the unit sphere (each level spli
 four), with one place of each cube as its representative. A point first takes the distance to the
 representatives of the cubes it lies in as an upper bound. Then it walks down the hierarchy and
 keeps only the cubes whose closest possible distance does not exceed the bound, which shrinks with
-every representative it meets. Only cubes at about the distance of the nearest place survive, so
-the work per point grows with the depth, not with the number of places, and dense clusters of
-places or points do not multiply into each other. Straight-line distance on the sphere orders
+every representative it meets. Only cubes at about the distance of the nearest place survive: for
+places spread or clustered anyhow the work per point grows with the depth, and dense clusters of
+places or points do not multiply into each other. Where very many places are almost equally near (a
+circle around a point), all their cubes survive, and the work grows with their number. The depth is
+a parameter, not a property of the data; a cube of the last level is searched whole. Straight-line distance on the sphere orders
 places exactly like ground distance; the final choice is made by the haversine distance itself.
 """
 
@@ -20,6 +22,7 @@ from pyspark.sql import functions as F
 from floodlens.functions.geometry import has_place, haversine_km, unit_vector
 from floodlens.session import ensure_checkpoint_dir
 
+DEPTH = 7  # cube edge of about 780 metres
 MAX_DEPTH = 10  # cube edge of about twelve metres; three 21-bit indices still fit one long
 _SLACK = 1e-9  # straight-line slack that covers the rounding of distances to micro-kilometres
 
@@ -87,16 +90,6 @@ def _on_levels(df: DataFrame, depth: int, columns: Sequence[str]) -> DataFrame:
     return levels.select(*columns, "level", _cube("level").alias("cube"))
 
 
-def _depth(places: DataFrame, max_leaf: int) -> int:
-    """Least depth at which no cube holds more than ``max_leaf`` places (one job, ten rows back)."""
-    fullest = (
-        _on_levels(places, MAX_DEPTH, []).groupBy("level", "cube").agg(F.count(F.lit(1)).alias("n"))
-        .groupBy("level").agg(F.max("n").alias("n")).orderBy("level").collect()
-    )
-    deep = MAX_DEPTH if fullest else 1
-    return next((r["level"] for r in fullest if r["n"] <= max_leaf), deep)
-
-
 def _cells(places: DataFrame, depth: int) -> DataFrame:
     """Non-empty cubes of all levels with their representative (fixed-width hash aggregate)."""
     return (
@@ -130,14 +123,17 @@ def nearest_place(
     keep: Sequence[str] = (),
     fallback: tuple[float, float] | None = None,
     drop_zero_coords: bool = False,
-    max_leaf: int = 64,
+    depth: int = DEPTH,
     digits: int = 6,
 ) -> DataFrame:
     """Add ``place_id``, ``place_lat``, ``place_lon`` and ``distance_km`` of the nearest place.
 
     Equal rounded distances go to the least place id. Points without a place (no coordinates, or no
-    places at all) keep NULLs, or get ``fallback`` as their destination.
+    places at all) keep NULLs, or get ``fallback`` as their destination. ``drop_zero_coords`` holds
+    for points and places: a zero coordinate is no place.
     """
+    if not 1 <= depth <= MAX_DEPTH:
+        raise ValueError(f"depth must be from 1 to {MAX_DEPTH}")
     spark = points.sparkSession
     ensure_checkpoint_dir(spark)
     # Copies of a place collapse to the least id; the index is reused by every level below.
@@ -148,7 +144,6 @@ def nearest_place(
         .select("pid", "plat", "plon", *_place_on_sphere("plat", "plon"))
         .checkpoint()
     )
-    depth = _depth(index, max_leaf)
     cells = _cells(index, depth).checkpoint()
 
     # The answer depends on the coordinates alone: copies of a point are looked up once.

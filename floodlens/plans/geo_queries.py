@@ -46,6 +46,20 @@ def nearest_safe_place(spark, sf):
     return nearest_place(points, v.places(spark, sf), keep=["zone_id"])
 
 
+@query("nearest_nonzero_place", v.with_sql(v.ZONES_SQL, v.PLACES_SQL, body="""
+    SELECT zones.zone_id, place_id, place_lat, place_lon, distance_km FROM zones LEFT JOIN (
+      SELECT *, row_number() OVER (PARTITION BY zone_id ORDER BY distance_km, place_id) AS rn FROM (
+        SELECT zone_id, place_id, p.lat AS place_lat, p.lon AS place_lon,
+               round(6371e0 * 2e0 * atan2(sqrt(a), sqrt(1e0 - a)), 6) AS distance_km
+        FROM (SELECT * FROM zones WHERE lat <> 0 AND lon <> 0) z CROSS JOIN (SELECT * FROM places WHERE lat <> 0 AND lon <> 0) p, LATERAL (
+          SELECT least(1e0, pow(sin((radians(p.lat) - radians(z.lat)) / 2e0), 2) + cos(radians(z.lat)) * cos(radians(p.lat)) * pow(sin((radians(p.lon) - radians(z.lon)) / 2e0), 2)) AS a))) best
+    ON best.zone_id = zones.zone_id AND rn = 1"""))
+def nearest_nonzero_place(spark, sf):
+    """Zero coordinates count as missing, of zones and of places."""
+    points = v.zones(spark, sf).select("zone_id", "lat", "lon")
+    return nearest_place(points, v.places(spark, sf), keep=["zone_id"], drop_zero_coords=True)
+
+
 @query("way_assembly", v.with_sql(v.NODES_SQL, body="""
     , pts AS (SELECT way_id, pos, lon, lat FROM (SELECT way_id, unnest(node_ids) AS node_id, generate_subscripts(node_ids, 1) AS pos FROM ways) JOIN nodes USING (node_id)),
     g AS (SELECT way_id, list([lon, lat] ORDER BY pos) AS coords FROM pts GROUP BY way_id)

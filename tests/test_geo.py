@@ -32,14 +32,14 @@ def world(rng, n, cluster):
     return out
 
 
-@pytest.mark.parametrize("max_leaf", [12, 64])
-def test_nearest_against_brute_force(spark, max_leaf):
-    rng = random.Random(max_leaf)
+@pytest.mark.parametrize("depth", [1, 2, 7])
+def test_nearest_against_brute_force(spark, depth):
+    rng = random.Random(depth)
     places = [(i, *p) for i, p in enumerate(world(rng, 240, (10.0, 20.0)))]
     points = [(i, *p) for i, p in enumerate(world(rng, 300, (10.01, 20.03)))]
     got = {r.pt: r for r in nearest_place(
         spark.createDataFrame(points, "pt INT, lat DOUBLE, lon DOUBLE"),
-        spark.createDataFrame(places, "place_id INT, lat DOUBLE, lon DOUBLE"), max_leaf=max_leaf,
+        spark.createDataFrame(places, "place_id INT, lat DOUBLE, lon DOUBLE"), depth=depth,
     ).collect()}
     assert len(got) == len(points)
     for pt, lat, lon in points:
@@ -48,13 +48,25 @@ def test_nearest_against_brute_force(spark, max_leaf):
         assert abs(km((lat, lon), places[got[pt].place_id][1:]) - best[0]) <= 2e-6
 
 
+def test_nearest_on_a_circle_around_a_cluster(spark):
+    """All places are almost equally far from all points; the answer is exact all the same."""
+    rng = random.Random(6)
+    around = [(40.0 + 5 * math.sin(a), 10.0 + 5 * math.cos(a) / math.cos(math.radians(40))) for a in (2 * math.pi * i / 150 for i in range(150))]
+    places = [(i, *p) for i, p in enumerate(around)]
+    points = [(i, 40.0 + rng.gauss(0, 0.01), 10.0 + rng.gauss(0, 0.01)) for i in range(60)]
+    got = {r.pt: r for r in nearest_place(
+        spark.createDataFrame(points, "pt INT, lat DOUBLE, lon DOUBLE"), spark.createDataFrame(places, "place_id INT, lat DOUBLE, lon DOUBLE")).collect()}
+    for pt, lat, lon in points:
+        assert abs(got[pt].distance_km - min(km((lat, lon), p[1:]) for p in places)) <= 2e-6
+
+
 def test_nearest_edge_cases(spark):
-    points = spark.createDataFrame([(1, 0.0, 0.0), (2, None, 1.0)], "pt INT, lat DOUBLE, lon DOUBLE")
+    points = spark.createDataFrame([(1, 0.0, 0.0), (2, None, 1.0), (3, 0.5, 0.4)], "pt INT, lat DOUBLE, lon DOUBLE")
     places = spark.createDataFrame([(5, 0.0, 0.0), (3, 1.0, 1.0), (4, 1.0, 1.0)], "place_id INT, lat DOUBLE, lon DOUBLE")
     rows = {r.pt: r for r in nearest_place(points, places).collect()}
     assert rows[1].place_id == 5 and rows[2].place_id is None
     dropped = {r.pt: r for r in nearest_place(points, places, drop_zero_coords=True).collect()}
-    assert dropped[1].place_id == 3
+    assert dropped[1].place_id is None and dropped[3].place_id == 3 and rows[3].place_id == 5
     none = {r.pt: r for r in nearest_place(points, places.where("false"), fallback=(-2.175, -79.88)).collect()}
     assert (none[1].place_lat, none[1].place_lon, none[1].distance_km) == (-2.175, -79.88, None)
 
