@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from floodlens.functions.scalars import unwrap_data
@@ -186,6 +186,20 @@ def recent(df: DataFrame, order_by: str, tie_break: Sequence[str] = (), n: int =
     return df.orderBy(F.col(order_by).desc(), *[F.col(c).desc() for c in tie_break]).limit(n)
 
 
+def newest_days_with(df: DataFrame, n: int, day: str = "date") -> DataFrame:
+    """Rows of the newest days that together hold at least ``n`` rows.
+
+    Days are counted by their partition values; the payload is read for the days that remain only.
+    """
+    counts = df.groupBy(day).agg(F.count(F.lit(1)).alias("__n"))
+    newer = Window.orderBy(F.col(day).desc()).rowsBetween(Window.unboundedPreceding, -1)  # one row per day
+    wanted = counts.withColumn("__newer", F.coalesce(F.sum("__n").over(newer), F.lit(0))).where(F.col("__newer") < n)
+    return df.where(F.col(day) >= wanted.agg(F.min(day)).scalar())
+
+
 def recent_alerts(raw: DataFrame, n: int = 20) -> DataFrame:
+    """The newest alerts; a table with a ``date`` column is read from its newest date back."""
     alerts = raw.where(F.col("source") == "sngr_alertas")
+    if "date" in raw.columns and n > 0:
+        alerts = newest_days_with(alerts, n)
     return recent(alerts.select("json_str", "kafka_timestamp"), "kafka_timestamp", ["json_str"], n)

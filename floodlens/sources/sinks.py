@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -41,7 +44,66 @@ def write_snapshots(
 
 
 def read_snapshots(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path).select(*SNAPSHOT_COLUMNS)
+    return read_landed(spark, path).select(*SNAPSHOT_COLUMNS)
+
+
+MARK_SCHEMA = "date DATE, run_id STRING, epoch_id BIGINT, copy STRING, marked_at TIMESTAMP"
+
+
+def _marks(spark: SparkSession, path: str) -> DataFrame | None:
+    """What the newest copy of each date holds: a row per run with its last epoch; None before any compaction."""
+    try:
+        marks = spark.read.schema(MARK_SCHEMA).parquet(f"{path}_marks")
+    except AnalysisException:  # nothing has been compacted
+        return None
+    newest = marks.groupBy("date").agg(F.max_by("copy", F.struct("marked_at", "copy")).alias("copy"))
+    return marks.join(newest, ["date", "copy"])
+
+
+def compact_closed(spark: SparkSession, path: str, before: str, files: int = 1) -> int:
+    """Copy the dates before ``before`` of a table landed by run and epoch into ``files`` files each.
+
+    Run it on a schedule. A date is copied when it has epochs that its newest copy lacks, late rows
+    included; every copy has a folder of its own and counts once its mark is written, so readers of
+    :func:`read_landed` always see each row once. Returns the number of dates copied.
+    """
+    live = spark.read.parquet(path).where(F.col("date") < F.lit(before).cast("date"))
+    epochs = live.groupBy("date", "run_id").agg(F.max("epoch_id").alias("epoch_id"))  # partition values only
+    marks = _marks(spark, path)
+    if marks is not None:
+        epochs = epochs.join(marks.select("date", "run_id", "epoch_id"), ["date", "run_id", "epoch_id"], "left_anti")
+    dates = [r["date"] for r in epochs.select("date").distinct().collect()]
+    if not dates:
+        return 0
+    copy = uuid.uuid4().hex[:12]
+    # What lands from here on is not in the copy, so its epochs are fixed first.
+    held = live.where(F.col("date").isin(dates)).groupBy("date", "run_id").agg(F.max("epoch_id").alias("epoch_id")).collect()
+    held = spark.createDataFrame([(*r, copy) for r in held], "date DATE, run_id STRING, epoch_id BIGINT, copy STRING")
+    last = held.select("date", "run_id", F.col("epoch_id").alias("__last"))
+    rows = live.join(F.broadcast(last), ["date", "run_id"]).where(F.col("epoch_id") <= F.col("__last")).drop("__last")
+    (
+        rows.drop("run_id", "epoch_id").withColumn("copy", F.lit(copy)).repartition(files * len(dates), "date", F.pmod(F.monotonically_increasing_id(), F.lit(files)))
+        .write.mode("append").partitionBy("date", "copy").parquet(f"{path}_closed")
+    )
+    held.withColumn("marked_at", F.current_timestamp()).coalesce(1).write.mode("append").parquet(f"{path}_marks")
+    return len(dates)
+
+
+def read_landed(spark: SparkSession, path: str) -> DataFrame:
+    """A table landed by run and epoch: compacted dates from their newest copy, all that the copies lack from the table.
+
+    ``run_id`` and ``epoch_id`` are left out: a copy does not keep them.
+    """
+    live = spark.read.parquet(path)
+    marks = _marks(spark, path)
+    if marks is None:
+        return live.drop("run_id", "epoch_id")
+    # One row per compacted date and run.
+    last = F.broadcast(marks.select("date", "run_id", F.col("epoch_id").alias("__last")))
+    fresh = live.join(last, ["date", "run_id"], "left").where(F.col("__last").isNull() | (F.col("epoch_id") > F.col("__last")))
+    fresh = fresh.drop("run_id", "epoch_id", "__last")
+    closed = spark.read.parquet(f"{path}_closed").join(F.broadcast(marks.select("date", "copy").distinct()), ["date", "copy"])
+    return fresh.unionByName(closed.select(*fresh.columns))
 
 
 def compact_partition(spark: SparkSession, path: str, target: str, date: str, files: int) -> None:

@@ -120,3 +120,15 @@ def test_latest_row_is_one_aggregate(spark):
     df = spark.range(100).selectExpr("id % 7 AS k", "id AS at", "cast(id AS string) AS payload")
     plan = latest.latest_by_key(df, ["k"], "at")._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and plan.count("Exchange") == 1
+
+
+def test_recent_alerts_read_newest_days_only(spark, raw, tmp_path):
+    rows = [("sngr_alertas", dt.datetime(2024, 1, d, h), f"{d}-{h}") for d in range(1, 11) for h in range(3)] + [("noaa", dt.datetime(2024, 2, 1), "n")]
+    df = spark.createDataFrame(rows, "source STRING, kafka_timestamp TIMESTAMP, json_str STRING").withColumn("date", F.to_date("kafka_timestamp"))
+    df.write.partitionBy("source", "date").parquet(str(tmp_path / "a"))
+    table = spark.read.parquet(str(tmp_path / "a"))
+    for n in (1, 3, 4, 7, 100):
+        want = [r[2] for r in sorted(rows[:30], key=lambda r: r[1], reverse=True)[:n]]
+        assert [r.json_str for r in latest.recent_alerts(table, n).collect()] == want
+    plan = latest.recent_alerts(table, 4)._jdf.queryExecution().executedPlan().toString()
+    assert "isnotnull(date" in plan and "date#" in plan.split("PartitionFilters")[1]

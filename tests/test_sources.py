@@ -196,3 +196,27 @@ def test_rain_event_envelope_keeps_the_document(spark):
     rows = {r.id: r for r in normalizers.rain_event_envelope(docs).collect()}
     assert [len(rows[i].data.features) for i in range(3)] == [1, 0, 0]
     assert rows[0].data.features[0].properties == {"canton": "DAULE", "x": "1"} and rows[0].metadata.source == "SGR Eventos Lluvia"
+
+
+def test_compacted_dates_are_read_once(spark, tmp_path):
+    """Copies hold what was landed, late rows come from the table until the next run, nothing twice."""
+    path = str(tmp_path / "s")
+    schema = "zone_id STRING, sector_name STRING, lat DOUBLE, lon DOUBLE, rain_mm DOUBLE, tide_m DOUBLE, flow_m3s DOUBLE, risk_score DOUBLE, risk_level STRING"
+    row = lambda z: spark.createDataFrame([(z, "n", 1.0, 2.0, 3.0, 4.0, 5.0, 0.5, "alto")], schema)
+
+    def zones_read():
+        return sorted(r.zone_id for r in sinks.read_snapshots(spark, path).collect())
+
+    for epoch, day in enumerate(("2024-01-01", "2024-01-01", "2024-01-02", "2024-01-03")):
+        sinks.write_snapshots(row(f"a{epoch}"), path, epoch, f"{day} 00:00:00", "run1")
+    everything = ["a0", "a1", "a2", "a3"]
+    assert zones_read() == everything
+    assert sinks.compact_closed(spark, path, "2024-01-03") == 2 and zones_read() == everything
+    assert len(list((tmp_path / "s_closed" / "date=2024-01-01").glob("*/*.parquet"))) == 1
+    assert sinks.compact_closed(spark, path, "2024-01-03") == 0
+    sinks.write_snapshots(row("late"), path, 4, "2024-01-01 09:00:00", "run1")
+    sinks.write_snapshots(row("other"), path, 0, "2024-01-02 09:00:00", "run2")
+    everything = sorted([*everything, "late", "other"])
+    assert zones_read() == everything
+    assert sinks.compact_closed(spark, path, "2024-01-03") == 2 and zones_read() == everything
+    assert sinks.compact_closed(spark, path, "2024-01-04") == 1 and zones_read() == everything
