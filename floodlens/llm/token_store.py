@@ -2,9 +2,10 @@
 
 Documents are range-partitioned and sorted by key. Each partition writes one shard:
 
-* ``NAME.ids``: the ids of its documents one after another, little-endian unsigned 32-bit, nothing else;
+* ``NAME.ids``: the ids of its documents one after another, little-endian unsigned, nothing else; 16 bits each if the
+  vocabulary has at most 65,536 entries, else 32;
 * ``NAME.idx``: eight little-endian signed 64-bit numbers (magic, version, rows, rows without key, distinct keys, buckets,
-  two spare), then ``starts`` (rows + 1, int64, in ids), ``keys`` (rows, int64, ascending), ``moves`` (buckets, int64), and
+  bytes of an id, one spare), then ``starts`` (rows + 1, int64, in ids), ``keys`` (rows, int64, ascending), ``moves`` (buckets, int64), and
   by slot ``fingerprint``, ``row`` and ``rows`` (uint32, int64, int64).
 
 A key leads through ``moves`` to its slot in constant time; the fingerprint there tells a key that the shard lacks (but for
@@ -45,8 +46,8 @@ READ_IDS = 1 << 20
 class ShardIndex:
     """The index of one shard, in memory."""
 
-    def __init__(self, keys: np.ndarray, without_key: int, lengths: np.ndarray) -> None:
-        self.keys, self.without_key = keys.astype("<i8"), without_key
+    def __init__(self, keys: np.ndarray, without_key: int, lengths: np.ndarray, width: int) -> None:
+        self.keys, self.without_key, self.width = keys.astype("<i8"), without_key, width
         self.starts = np.concatenate([[0], np.cumsum(lengths)]).astype("<i8")
         distinct, first, rows = np.unique(keys[without_key:], return_index=True, return_counts=True)
         self.moves = perfect_hash.build(distinct).astype("<i8")
@@ -55,7 +56,7 @@ class ShardIndex:
         self.fingerprint[slot], self.row[slot], self.rows[slot] = perfect_hash.fingerprints(distinct), first + without_key, rows
 
     def to_bytes(self) -> bytes:
-        header = np.array([MAGIC, VERSION, len(self.keys), self.without_key, len(self.row), len(self.moves), 0, 0], dtype="<i8")
+        header = np.array([MAGIC, VERSION, len(self.keys), self.without_key, len(self.row), len(self.moves), self.width, 0], dtype="<i8")
         return b"".join(x.tobytes() for x in (header, self.starts, self.keys, self.moves, self.fingerprint, self.row, self.rows))
 
     @classmethod
@@ -64,7 +65,7 @@ class ShardIndex:
         if header[0] != MAGIC or header[1] != VERSION:
             raise ValueError("not an index of this format")
         index, at = cls.__new__(cls), header.nbytes
-        rows, index.without_key, distinct, buckets = map(int, header[2:6])
+        rows, index.without_key, distinct, buckets, index.width = map(int, header[2:7])
         for name, kind, n in (("starts", "<i8", rows + 1), ("keys", "<i8", rows), ("moves", "<i8", buckets),
                               ("fingerprint", "<u4", distinct), ("row", "<i8", distinct), ("rows", "<i8", distinct)):
             setattr(index, name, np.frombuffer(data, kind, n, at))
@@ -93,7 +94,8 @@ def write(docs: DataFrame, base: str | None = None, id_col: str = "doc_id", text
     rows = rows.repartitionByRange("key").sortWithinPartitions("key", "text")
 
     def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = encoding.encoder(tokenizer), np.array([END], dtype="<u4")
+        encoder = encoding.encoder(tokenizer)
+        width = 2 if encoder.library.get_vocab_size() <= 1 << 16 else 4
         part = TaskContext.get().partitionId()
         name, out, keys, lengths, without = f"{part:06d}-{uuid.uuid4().hex[:12]}", None, [], [], 0
         for batch in batches:
@@ -108,11 +110,11 @@ def write(docs: DataFrame, base: str | None = None, id_col: str = "doc_id", text
             for _, held in encoding.chunks(batch.column(1).to_pylist()):
                 ids, counts = encoder.encode(held)
                 ends = np.cumsum(counts)
-                out.write(np.insert(ids.astype("<u4"), ends, end).tobytes())
+                out.write(np.insert(ids.astype(f"<u{width}"), ends, END).tobytes())
                 lengths.append(counts + 1)
         if out is not None:
             out.close()
-            index = ShardIndex(np.concatenate(keys), without, np.concatenate(lengths))
+            index = ShardIndex(np.concatenate(keys), without, np.concatenate(lengths), width)
             with system.open_output_stream(f"{folder}/{name}.idx") as file:
                 file.write(index.to_bytes())
             bounds = index.keys[[without, -1]] if without < len(index.keys) else [None, None]
@@ -125,13 +127,18 @@ def write(docs: DataFrame, base: str | None = None, id_col: str = "doc_id", text
     return shards.select(F.lit(base).alias("base"), *shards.columns, (F.sum("ids").over(before) - F.col("ids")).alias("start"))
 
 
-def _crcs(file, starts: np.ndarray, lengths: np.ndarray) -> Iterator[int]:
-    """Checksum of the ids of rows that lie one after another, read in blocks."""
+def _ids(file, width: int, first: int, last: int) -> np.ndarray:
+    """Ids from one place of a payload up to another, as 32-bit numbers."""
+    file.seek(width * first)
+    return np.frombuffer(file.read(width * (last - first)), f"<u{width}").astype("<u4")
+
+
+def _crcs(file, width: int, starts: np.ndarray, lengths: np.ndarray) -> Iterator[int]:
+    """Checksum of the ids, as 32-bit numbers, of rows that lie one after another; read in blocks."""
     at = 0
     while at < len(starts):
         last = max(at + 1, int(np.searchsorted(starts + lengths, starts[at] + READ_IDS, side="right")))
-        file.seek(4 * int(starts[at]))
-        data = memoryview(file.read(4 * int(starts[last - 1] + lengths[last - 1] - starts[at])))
+        data = memoryview(_ids(file, width, int(starts[at]), int(starts[last - 1] + lengths[last - 1])).tobytes())
         for s, n in zip((4 * (starts[at:last] - starts[at])).tolist(), (4 * lengths[at:last]).tolist()):
             yield zlib.crc32(data[s:s + n])
         at = last
@@ -157,7 +164,7 @@ def read_back(manifest: DataFrame) -> DataFrame:
                 start = index.starts[row]
                 length = index.starts[row + 1] - start
                 with system.open_input_file(f"{folder}/{shard['name']}.ids") as file:
-                    crc = np.fromiter(_crcs(file, start, length), dtype=np.int64, count=len(row))
+                    crc = np.fromiter(_crcs(file, index.width, start, length), dtype=np.int64, count=len(row))
                 keys = pa.array(index.keys, mask=np.arange(len(row)) < index.without_key)
                 yield pa.RecordBatch.from_arrays([keys, pa.array(start + shard["start"]), pa.array(length), pa.array(crc)], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
@@ -194,8 +201,8 @@ def look_up(manifest: DataFrame, keys: DataFrame, key_col: str = "doc_id") -> Da
                     payload = system.open_input_file(f"{folder}/{shards[at]['name']}.ids")
                 first, rows = index.find(np.array([want["key"]]))
                 for row in range(int(first[0]), int(first[0] + rows[0])):
-                    payload.seek(4 * int(index.starts[row]))
-                    out.append((want["key"], np.frombuffer(payload.read(4 * int(index.starts[row + 1] - index.starts[row])), "<u4").astype(np.int64)))
+                    ids = _ids(payload, index.width, int(index.starts[row]), int(index.starts[row + 1]))
+                    out.append((want["key"], ids.astype(np.int64)))
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int64()), pa.array([v for _, v in out], pa.list_(pa.int64()))], ["key", "ids"])
 
     return in_arrow(held, fetch, "key long, ids array<long>")
