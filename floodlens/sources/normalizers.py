@@ -19,7 +19,7 @@ from floodlens.operators.payloads import align_params, merge_daily, pair_differe
 from floodlens.operators.series import bracket, tide_with_fallback
 from floodlens.operators.ways import document_ways
 from floodlens.schemas import FEATURE_COLLECTION_SCHEMA, PAYLOAD_SCHEMAS
-from floodlens.session import ship_package
+from floodlens.session import ensure_checkpoint_dir, ship_package
 from floodlens.sources.text_tables import OCEAN_TABLE_COLUMNS, document_lines, parse_blank_table, parse_tide_tables, tide_events
 
 POST_SCHEMA = (
@@ -260,9 +260,11 @@ def tide_records(documents: DataFrame, probes: DataFrame, ts: str = "ts", port:
     """Published tide records for the instants of ``probes``, from printed tables of one port.
 
     The height is interpolated between the printed events around the instant; without both, the
-    harmonic model answers and is named as the origin.
+    harmonic model answers and is named as the origin. The events, which several steps read, are
+    written to the checkpoint folder once.
     """
-    events = tide_events(parse_tide_tables(documents)).select(F.lit(port).alias("puerto"), F.col("event_ts").alias(ts), "height_m")
+    ensure_checkpoint_dir(documents.sparkSession)
+    events = tide_events(parse_tide_tables(documents)).select(F.lit(port).alias("puerto"), F.col("event_ts").alias(ts), "height_m").checkpoint()
     around = bracket(probes.withColumn("puerto", F.lit(port)), events, "puerto", ts=ts)
     return tide_with_fallback(around, ts).select(
         *probes.columns, F.col("origin").alias("fuente"), "puerto", F.col("height_m").alias("altura_marea_m"),

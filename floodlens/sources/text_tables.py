@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from floodlens.functions.scalars import explode_rows, pin, round_exact
-from floodlens.functions.text import strip_blanks
+from floodlens.functions.text import BLANKS, strip_blanks
 from floodlens.functions.tide_model import ORIGIN_TABLE
+from floodlens.session import ship_package
 
 # Columns of the monthly ocean-index table, after numbering repeated headings.
 OCEAN_TABLE_COLUMNS = (
@@ -79,6 +83,43 @@ def column_month(quarter: Column | str, column: Column | str) -> Column:
     return ((quarter - 1) * 3 + F.floor(column / 2) + 1).cast("int")
 
 
+_GROUPS = T.ArrayType(T.StructType([
+    T.StructField("line_no", T.IntegerType()), T.StructField("column", T.IntegerType()), T.StructField("day", T.IntegerType()),
+    T.StructField("hhmm", T.StringType()), T.StructField("height", T.StringType()),
+]))
+
+
+def tide_groups(text: str | None, quarter: int | None) -> list[dict]:
+    """Groups of one printed table in order, each with the day of its sub-column; no day if it cannot be laid out."""
+    if text is None or quarter is None:
+        return []
+    months = MONTHS[(quarter - 1) * 3:quarter * 3] if quarter > 0 else ()
+    days: dict[int, int | None] = {}
+    out = []
+    for line_no, line in enumerate(re.split("\r\n|\r|\n", text)):
+        line = line.strip(BLANKS)
+        if not line or line in months or line.startswith(HEADINGS):
+            continue
+        tokens = re.split("[ \t\n\x0b\f\r]+", line)
+        for column, at in enumerate(range(0, len(tokens), 3)):
+            mark, hhmm, height = (*tokens[at:at + 3], None, None)[:3]
+            number = re.fullmatch("[0-9]+", mark)
+            if not number and mark not in WEEKDAYS:
+                continue
+            day = None
+            if column < SUB_COLUMNS and height is not None:
+                if number:
+                    days[column] = int(mark) if int(mark) < 2**31 else None
+                day = days.get(column)
+            out.append({"line_no": line_no, "column": column, "day": day, "hhmm": hhmm, "height": height})
+    return out
+
+
+@F.pandas_udf(_GROUPS)
+def _document_groups(texts: pd.Series, quarters: pd.Series) -> pd.Series:
+    return pd.Series([tide_groups(t, None if pd.isna(q) else int(q)) for t, q in zip(texts, quarters)])
+
+
 def parse_tide_tables(
     documents: DataFrame, doc: Sequence[str] = ("doc",), year: str = "year", quarter: str = "quarter", text: str = "text"
 ) -> DataFrame:
@@ -87,58 +128,12 @@ def parse_tide_tables(
     A line holds up to six groups ``<day or weekday> <HHMM> <height>``. A number starts a day in its
     sub-column; a weekday code belongs to the last day seen there. Groups with another mark are text
     and skipped; a group of a line's seventh and later sub-columns, one that is cut short, and a
-    weekday code before any day are set aside (``bad_layout``). A document stays one row until its
-    groups are dated, so nothing is shuffled.
+    weekday code before any day are set aside (``bad_layout``). Groups are dated inside their
+    document, in one pass over its lines, so nothing is shuffled.
     """
     keep = [*doc, year, quarter]
-    month_names = F.slice(F.array(*map(F.lit, MONTHS)), (F.col(quarter) - 1) * 3 + 1, F.lit(3))
-
-    def is_text(line: Column) -> Column:
-        heading = F.array_contains(month_names, line)
-        for word in HEADINGS:
-            heading = heading | F.startswith(line, F.lit(word))
-        return heading | (line == "")
-
-    lines = F.filter(
-        F.transform(F.split(text, r"\r\n|\r|\n"), lambda line, i: F.struct(i.alias("line_no"), strip_blanks(line).alias("line"))),
-        lambda x: ~is_text(x["line"]),
-    )
-    tokens = F.transform(lines, lambda x: F.struct(x["line_no"].alias("line_no"), F.split(x["line"], r"\s+").alias("tokens")))
-
-    def group(line: Column, i: Column) -> Column:
-        mark = F.get(line["tokens"], i * 3)
-        return F.struct(
-            line["line_no"].alias("line_no"), i.cast("int").alias("column"), mark.alias("mark"),
-            F.get(line["tokens"], i * 3 + 1).alias("hhmm"), F.get(line["tokens"], i * 3 + 2).alias("height"),
-            mark.rlike(r"^\d+$").alias("number"),
-        )
-
-    groups = F.flatten(F.transform(
-        tokens, lambda x: F.transform(F.sequence(F.lit(0), F.ceil(F.size(x["tokens"]) / 3).cast("int") - 1), lambda i: group(x, i))
-    ))
-    marked = F.filter(groups, lambda g: g["number"] | g["mark"].isin(list(WEEKDAYS)))
-    rows = pin(documents, keep, groups=marked)
-    laid_out = lambda g: (g["column"] < SUB_COLUMNS) & g["height"].isNotNull()
-    undated = F.transform(
-        F.filter("groups", lambda g: ~laid_out(g)), lambda g: F.struct(F.lit(None).cast("int").alias("day"), g.alias("g"))
-    )
-
-    def dated(column: int) -> Column:
-        """Groups of one sub-column, cut into runs that begin with a number; each run shares its day."""
-        own = F.filter("groups", lambda g: laid_out(g) & (g["column"] == column))
-        starts = F.filter(F.transform(own, lambda g, i: F.when(g["number"], i)), lambda i: i.isNotNull())
-        first = F.coalesce(F.get(starts, F.lit(0)), F.size(own))
-        none = F.transform(F.slice(own, F.lit(1), first), lambda g: F.struct(F.lit(None).cast("int").alias("day"), g.alias("g")))
-
-        def run(start: Column, k: Column) -> Column:
-            end = F.coalesce(F.get(starts, k + 1), F.size(own))
-            day = F.get(own, start)["mark"].try_cast("int")
-            return F.transform(F.slice(own, start + 1, end - start), lambda g: F.struct(day.alias("day"), g.alias("g")))
-
-        return F.concat(none, F.flatten(F.transform(starts, run)))
-
-    cells = explode_rows(rows, keep, F.concat(undated, *[dated(c) for c in range(SUB_COLUMNS)]))
-    cells = cells.select(*keep, "day", "g.*")
+    ship_package(documents.sparkSession)
+    cells = explode_rows(documents, keep, _document_groups(F.col(text), F.col(quarter)))
     hour = F.substring("hhmm", 1, 2).try_cast("int")
     minute = F.expr("try_cast(substring(hhmm, 3) AS int)")
     height = F.col("height").try_cast("double")
