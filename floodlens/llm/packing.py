@@ -27,7 +27,7 @@ from floodlens.llm.common import cut, in_arrow
 TOKENIZER = "word_bpe_49k.json"
 SEQUENCE = 2048
 END = 0
-PART_ROWS = 4_000
+PART_ROWS = 1_000
 MOST_PARTS = 100_000
 
 _SLOT = np.dtype([("length", "i8"), ("first", "i8"), ("each", "i8"), ("sequence", "i8"), ("offset", "i8")])
