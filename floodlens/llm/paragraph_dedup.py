@@ -5,8 +5,9 @@ within ``REACH`` words, so a text copied into another line is cut at the same pl
 repeat when their words are equal, lines of ``LEAST_WORDS`` words or more also when they are near: MinHash signatures of
 their 5-word shingles are banded (``BANDS`` bands of ``ROWS`` values find a pair at similarity 0.8 with probability 0.993),
 lines that collide in a band are joined, the exact Jaccard of their shingle sets is verified, and verified pairs are tied to
-components. Every member of a band is verified against the ``CENTRES`` members of least key, which is every pair in bands of
-up to that many members and a bounded number of pairs beyond; larger groups are tied by the different centres of its bands.
+components. In bands of up to ``CROWD`` members every pair is verified; in a fuller band every member is verified against
+``CENTRES`` members drawn by hash, others in each band, so that pairs stay linear and a large group is tied by its centres.
+A link between two members of a crowd is found if either is a centre or a chain through centres leads from one to the other.
 
 A paragraph stays in the smallest document that holds one of its class. In the others it is marked; marked neighbours grow
 together, and runs of at least ``LEAST_WORDS`` words are the result: shorter repeats are ordinary language.
@@ -37,7 +38,8 @@ SHINGLE, SIMILAR = 5, 0.8
 REACH = 4
 LEAST_WORDS = 20
 BANDS, ROWS = 7, 3
-CENTRES = 8
+#: Bands of up to so many members are compared in full; in fuller ones all members are compared with so many centres.
+CROWD, CENTRES = 64, 16
 #: Bits of the filter that spares rows without a candidate the shuffle; a fixed size, whatever the corpus.
 FILTER_BITS = 1 << 24
 REMEMBERED = 800_000
@@ -193,14 +195,17 @@ def _lines(cut_up: DataFrame) -> DataFrame:
 
 
 def _pairs(cut_up: DataFrame) -> DataFrame:
-    """Pairs of different lines that collide in a band, each with the centres of the band."""
-    banded = cut_up.where("size(line) > 0").select("line", "bands", F.explode(F.sequence(F.lit(0), F.size("bands") - 1)).alias("i"))
-    # Band and line only; equal lines meet once.
-    banded = banded.select(F.expr("bands[i]").alias("band"), F.expr(f"line[i div {BANDS}]").alias("line")).distinct()
-    order = Window.partitionBy("band").orderBy("line")
+    """Pairs of different lines that collide in a band: all of them, or in a crowd those with its centres."""
+    lines = cut_up.where("size(line) > 0").select("line", "bands", F.explode(F.sequence(F.lit(0), F.size("line") - 1)).alias("i"))
+    lines = lines.select(F.expr("line[i]").alias("line"), *[F.expr(f"bands[i * {BANDS} + {b}]").alias(f"band{b}") for b in range(BANDS)])
+    # Equal lines have equal bands; of each only one goes on.
+    lines = lines.groupBy("line").agg(*[F.max(f"band{b}").alias(f"band{b}") for b in range(BANDS)])
+    banded = lines.select("line", F.explode(F.array(*[f"band{b}" for b in range(BANDS)])).alias("band"))
+    # The order differs from band to band, and so do the centres of a crowd that meets in all of them.
+    order = Window.partitionBy("band").orderBy(F.xxhash64("band", "line"), "line")
     placed = banded.withColumn("n", F.count("*").over(Window.partitionBy("band"))).where("n > 1")
-    placed = cut(placed.withColumn("place", F.row_number().over(order)).drop("n"))
-    centres = placed.where(F.col("place") <= CENTRES).select("band", F.col("line").alias("v"), F.col("place").alias("centre"))
+    placed = cut(placed.withColumn("place", F.row_number().over(order)))
+    centres = placed.where((F.col("n") <= CROWD) | (F.col("place") <= CENTRES)).select("band", F.col("line").alias("v"), F.col("place").alias("centre"))
     return placed.join(centres, "band").where("place > centre").select(F.col("line").alias("u"), "v").distinct()
 
 
