@@ -14,6 +14,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from floodlens.session import shared_dir
 
@@ -38,7 +39,7 @@ class DigestIndex:
         return self.spark.catalog.tableExists(self.name)
 
     def entries(self) -> DataFrame:
-        """``digest, keep_id, group_size, keep_rows`` of every distinct text, read without its bucketing.
+        """``digest, keep_id, group_size`` of every distinct text, read without its bucketing.
 
         A plain read lets a join on a digest that many rows share be split; the bucketed table is for :meth:`append`.
         """
@@ -46,12 +47,14 @@ class DigestIndex:
 
     def append(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> None:
         """Add the texts of a batch that the index does not hold. Of equal texts in the batch the largest id stays."""
-        rows = docs.select(F.col(id_col).alias("id"), digest(text_col).alias("digest")).groupBy("digest", "id").agg(F.count("*").alias("n"))
-        new = rows.groupBy("digest").agg(F.max(F.struct("id", "n")).alias("last"), F.sum("n").alias("group_size"))
-        new = new.select("digest", F.col("last.id").alias("keep_id"), "group_size", F.col("last.n").alias("keep_rows"))
-        if self.exists():
-            new = new.join(self.spark.table(self.name).select("digest").hint("merge"), "digest", "left_anti")
-        (new.write.mode("append").format("parquet").option("path", self.path)
+        rows = docs.select(F.col(id_col).alias("id"), digest(text_col).alias("digest"))
+        new = rows.groupBy("digest").agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size"))
+        if not self.exists():
+            self._write(new.where("false"))
+        self._write(new.join(self.spark.table(self.name).select("digest").hint("merge"), "digest", "left_anti"))
+
+    def _write(self, rows: DataFrame) -> None:
+        (rows.write.mode("append").format("parquet").option("path", self.path)
             .bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(self.name))
 
     def decide(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -64,12 +67,17 @@ class DigestIndex:
 
     def keep(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """The rows of ``docs`` that stay, once each, with the columns of ``docs``."""
-        row = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"), digest(text_col).alias("digest"))
-        entries = self.entries().select("digest", "keep_id", "keep_rows").hint("merge")
-        found = row.join(entries, "digest").where(F.col("id").eqNullSafe(F.col("keep_id")))
-        once = found.where("keep_rows = 1").select("row")
-        repeated = found.where("keep_rows > 1").groupBy("digest").agg(F.first("row").alias("row")).select("row")
-        return once.unionByName(repeated).select("row.*")
+        # Joined on digest and id, the copies of a text part before they are shuffled; what repeats both is one document.
+        key = ["digest", "id_key"]
+        row = docs.select(F.struct(*docs.columns).alias("row"), digest(text_col).alias("digest"), _id_key(id_col).alias("id_key"))
+        found = row.join(self.entries().select("digest", _id_key("keep_id").alias("id_key")).hint("merge"), key)
+        place = F.row_number().over(Window.partitionBy(*key).orderBy(F.lit(0)))
+        return found.withColumn("place", place).where("place = 1").select("row.*")
+
+
+def _id_key(id_col: str) -> Column:
+    """An id to join by, null included."""
+    return F.coalesce(F.concat(F.lit("="), F.col(id_col).cast("string")), F.lit("null"))
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
