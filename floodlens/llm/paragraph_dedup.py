@@ -209,23 +209,27 @@ def _pairs(cut_up: DataFrame) -> DataFrame:
     return placed.join(centres, "band").where("place > centre").select(F.col("line").alias("u"), "v").distinct()
 
 
-def _filter_bits(ids: DataFrame) -> DataFrame:
-    """``part, bits``: a bit per hash of an id, ``FILTER_BITS`` in all, in at most FILTER_BITS / 32768 rows of 4 KB."""
-    return ids.select((F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)) + 1).alias("at")).groupBy(F.expr("bitmap_bucket_number(at)").alias("part")).agg(
-        F.expr("bitmap_construct_agg(bitmap_bit_position(at))").alias("bits"))
+def _likely(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """Rows without most of those whose ``key`` is not among ``keys``; an equi-join is to follow.
+
+    A bit per hash of a key is set, ``FILTER_BITS`` in all, in at most FILTER_BITS / 32768 rows of 4 KB, which are broadcast. A
+    row is left out only if its bit is not set, so none that has a partner is lost.
+    """
+    at = (F.pmod(F.xxhash64(key), F.lit(FILTER_BITS)) + 1).alias("_at")
+    bits = keys.select(at).groupBy(F.expr("bitmap_bucket_number(_at)").alias("_part")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(_at))").alias("_bits"))
+    numbered = rows.withColumn("_at", at).withColumn("_part", F.expr("bitmap_bucket_number(_at)")).withColumn("_bit", F.expr("bitmap_bit_position(_at)"))
+    byte = F.expr("cast(conv(hex(substring(_bits, cast(_bit div 8 as int) + 1, 1)), 16, 10) as int)")
+    found = numbered.join(F.broadcast(bits), "_part").where(byte.bitwiseAND(F.expr("shiftleft(1, cast(_bit % 8 as int))")) != 0)
+    return found.select(*rows.columns)
 
 
 def _shingle_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``line, shingles`` for lines ``wanted`` (``line, doc_id, text_key, start, end``)."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    # A document is left out here only if its bit is not set, so none that is wanted is lost.
-    rows = rows.withColumn("at", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)) + 1).withColumn("part", F.expr("bitmap_bucket_number(at)"))
-    rows = rows.join(F.broadcast(_filter_bits(wanted)), "part").withColumn("bit", F.expr("bitmap_bit_position(at)"))
-    byte = F.expr("cast(conv(hex(substring(bits, cast(bit div 8 as int) + 1, 1)), 16, 10) as int)")
-    rows = rows.where(byte.bitwiseAND(F.expr("shiftleft(1, cast(bit % 8 as int))")) != 0).select("doc_id", "text")
-    rows = rows.withColumn("text_key", F.xxhash64("text"))
+    rows = _likely(rows, wanted, "doc_id").withColumn("text_key", F.xxhash64("text"))
     text = F.expr("substring(text, start + 1, end - start)")
-    lines = rows.join(wanted, ["doc_id", "text_key"]).select("line", text.alias("text"))
+    places = wanted.withColumnRenamed("doc_id", "_doc").withColumnRenamed("text_key", "_key")
+    lines = rows.join(places, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("text_key") == F.col("_key"))).select("line", text.alias("text"))
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _hashes()
@@ -265,7 +269,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     repeated = cut(repeated.where("last > keep_id").select("hash", "keep_id"))
     other = F.col("doc_id").isNull() | (F.col("doc_id") > F.col("keep_id"))
     columns = ["doc_id", "text_key", "first", "words", "start", "end", "keep_id"]
-    marked = units.join(repeated, "hash").where(other).select(columns)
+    marked = _likely(units, repeated, "hash").join(repeated, "hash").where(other).select(columns)
 
     near = cut(_near_lines(docs, cut_up, id_col, text_col))
     placed = _lines(cut_up).join(near, "line")

@@ -150,6 +150,8 @@ def test_substring_dedup_finds_planted_repeats_only(spark):
     for s in spans:
         by.setdefault(s.doc_id, []).append(docs.get(s.doc_id, passage)[s.start:s.start + s.length])
     assert set(by) == {17, 23, 30, None}
+    lone = paragraph_dedup.repeated_spans(table(spark, [(None, " ".join([*near[:9], "other", *near[10:]])), (8, " ".join(near))])).collect()
+    assert [(s.doc_id, s.keep_id, s.n_words) for s in lone] == [(None, 8, 80)]
     for i in (17, 23, None):
         assert all(text.lower() in passage for text in by[i]) and max(len(t.split()) for t in by[i]) >= 35
     assert by[30] == [docs[30].split("\n")[-1]]
