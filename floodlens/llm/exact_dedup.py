@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from floodlens.llm.common import cut
 from floodlens.session import shared_dir
 
 
@@ -48,7 +49,8 @@ class DigestIndex:
     def append(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> None:
         """Add the texts of a batch that the index does not hold. Of equal texts in the batch the largest id stays."""
         rows = docs.select(F.col(id_col).alias("id"), digest(text_col).alias("digest"))
-        new = rows.groupBy("digest").agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size"))
+        # Cut, or the optimizer moves the anti-join below the aggregate and shuffles every copy of a text.
+        new = cut(rows.groupBy("digest").agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size")))
         if not self.exists():
             self._write(new.where("false"))
         self._write(new.join(self.spark.table(self.name).select("digest").hint("merge"), "digest", "left_anti"))
