@@ -5,8 +5,8 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 
-#: States kept at once; beyond it they are worked out anew (results do not change).
-MOST_STATES = 20_000
+#: States and moves between them kept at once; beyond it they are worked out anew (results do not change).
+MOST_STATES, MOST_MOVES = 5_000, 100_000
 
 
 def tolerance(term: str) -> int:
@@ -93,7 +93,7 @@ class TermAutomaton:
 
     def find(self, word: str) -> tuple[str, int] | None:
         """The nearest term (ties: first by code point) and its edits; a stem counts as no edit. None if nothing is near."""
-        if len(self.states) > MOST_STATES:
+        if len(self.states) > MOST_STATES or len(self.moves) > MOST_MOVES:
             self._forget()
         state, moves, stem = self.start, self.moves, None
         for c in word:

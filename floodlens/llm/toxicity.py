@@ -33,14 +33,18 @@ MOST_TERMS = 2_000
 MOST_FORMS = 20_000
 MOST_CONTEXT = 500
 #: A term is at least so many times as frequent in toxic documents as in clean ones.
-TIMES = 20
+TIMES = 10
 #: Different words before a term, as a share of the toxic documents that have it.
 VARIETY = 0.2
 #: Weight that a near form needs to count.
 NEAR = 1.0
+#: Weight of a near form where the sample has none.
+MISSPELT = 2.0
 WINDOW = 6
 FEATURES = 5
-REMEMBERED = 300_000
+REMEMBERED = 150_000
+#: Texts taken out of an Arrow batch at once.
+TEXTS = 500
 
 _EDGE = "\"'“”„«»‘’`*_~()[]{}<>.,;:!?¡¿…-–—%&$#/\\|+="
 _OPEN, _CLOSE = "\"“„«‘", "\"”“»’"
@@ -190,8 +194,9 @@ def _lexicon(sample: DataFrame, words: DataFrame, n1: int, n0: int) -> dict[str,
             if nested or ratio[word] < 1.5 * max(own, default=0):
                 continue
         chosen[word] = value[word]
-    stems_ = tuple(c[:-1] for c in chosen if c[-1] == "*")
-    kept = [w for w in chosen if w[-1] == "*" or not w.startswith(stems_ or ("*",))]
+    # A stem stands for its words, but for one that makes up much of it: that is a term of its own, with near forms.
+    stems_ = [c for c in chosen if c[-1] == "*"]
+    kept = [w for w in chosen if w[-1] == "*" or all(ratio[w] >= 0.25 * ratio[s] for s in stems_ if w.startswith(s[:-1]))]
     return {w: chosen[w] for w in kept[:MOST_TERMS]}
 
 
@@ -228,8 +233,9 @@ def _forms(words: DataFrame, model: ToxicityModel, n1: int, n0: int) -> None:
 
     found = in_arrow(words.select("word", "a", "b"), near, "word string, a long, b long").orderBy(F.desc(F.col("a") + F.col("b")), "word").limit(MOST_FORMS).collect()
     model.forms = {r["word"]: weight(r["a"], r["b"], n1, n0) if r["a"] + r["b"] > 2 else -1.0 for r in found}
-    rare = [(r["a"], r["b"]) for r in found if r["a"] + r["b"] <= 2]
-    model.unseen = weight(sum(a for a, _ in rare), sum(b for _, b in rare) + 1, n1, n0) if rare else 1.0
+    # Rare forms tell best how unknown ones do, else all forms, else they count as misspelt terms.
+    like = [(r["a"], r["b"]) for r in found if r["a"] + r["b"] <= 2] or [(r["a"], r["b"]) for r in found]
+    model.unseen = weight(sum(a for a, _ in like), sum(b for _, b in like) + 1, n1, n0) if like else MISSPELT
 
 
 def _context(sample: DataFrame, model: ToxicityModel, n1: int, n0: int) -> dict[str, float]:
@@ -311,9 +317,10 @@ def _matcher(key: bytes, model: ToxicityModel) -> Matcher:
     return _matchers[key]
 
 
-def _scores(model: ToxicityModel, key: bytes, texts: Sequence[str | None]) -> np.ndarray:
+def _scores(model: ToxicityModel, key: bytes, texts: pa.Array) -> np.ndarray:
     matcher = _matcher(key, model)
-    return model.probability(np.array([matcher.features(t or "") for t in texts], dtype=float).reshape(-1, FEATURES))
+    features = [matcher.features(t or "") for at in range(0, len(texts), TEXTS) for t in texts.slice(at, TEXTS).to_pylist()]
+    return model.probability(np.array(features, dtype=float).reshape(-1, FEATURES))
 
 
 def _key() -> bytes:
@@ -328,7 +335,7 @@ def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_scores(model, key, batch.column(1).to_pylist()))], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_scores(model, key, batch.column(1)))], ["doc_id", "score"])
 
     scored = in_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), compute, "doc_id long, score double")
     out = F.coalesce(held_out(), F.lit(False))
@@ -341,6 +348,6 @@ def drop_toxic(docs: DataFrame, model: ToxicityModel, text_col: str = "text") ->
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(_scores(model, key, batch.column(at).to_pylist()) < 0.5))
+            yield batch.filter(pa.array(_scores(model, key, batch.column(at)) < 0.5))
 
     return in_arrow(docs, compute, docs.schema)
