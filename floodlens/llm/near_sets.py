@@ -20,6 +20,8 @@ from floodlens.llm.common import cut
 from floodlens.llm.components import connected_components
 
 CROWD, CENTRES = 64, 16
+#: Members of a shingle that are paired in one block, and words of 64 bits that hold the parities of a set.
+BLOCK, PARITIES = 512, 8
 #: The least similarity as a fraction, so that bounds are whole numbers.
 _PARTS, _OF = 4, 5
 
@@ -43,19 +45,31 @@ def _untied(placed: DataFrame, sets: DataFrame, tied: DataFrame, crowd: int) ->
     crowded = cut(crowded)
     open_ = crowded.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("band")
     members = crowded.join(open_, "band").select("node", "component").distinct()
-    each = members.join(sets, "node").select("node", "component", F.size("shingles").alias("size"), F.explode("shingles").alias("shingle"))
-    each = cut(each)
-    frequent = each.groupBy("shingle").agg(F.count("*").alias("df"))
-    rank = F.row_number().over(Window.partitionBy("node").orderBy("df", "shingle"))
-    prefix = each.join(frequent, "shingle").withColumn("rank", rank).where(f"rank <= size - ceil(size * {_PARTS} / {_OF}) + 1 and df > 1")
-    prefix = cut(prefix.select("shingle", "node", "component", "size"))
+    members = cut(members.join(sets, "node"))
+    each = members.select("node", F.size("shingles").alias("size"), F.explode("shingles").alias("shingle"))
+    frequent = each.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1")
+    rank = F.row_number().over(Window.partitionBy("node").orderBy(F.coalesce("df", F.lit(1)), "shingle"))
+    prefix = each.join(frequent, "shingle", "left").withColumn("rank", rank).where(f"rank <= size - ceil(size * {_PARTS} / {_OF}) + 1 and df > 1")
+    prefix = cut(prefix.join(members.select("node", "component"), "node").select("shingle", "node", "component"))
     held = prefix.groupBy("shingle", "component").agg(F.count("*").alias("members"))
-    held = held.groupBy("shingle").agg(F.max(F.struct("members", "component"))["component"].alias("largest"), F.count("*").alias("components")).where("components > 1")
-    keyed = cut(prefix.join(held.select("shingle", "largest"), "shingle"))
-    u = keyed.where("component <> largest").select("shingle", F.col("node").alias("u"), F.col("component").alias("cu"), F.col("size").alias("nu"))
-    v = keyed.select("shingle", F.col("node").alias("v"), F.col("component").alias("cv"), F.col("size").alias("nv"), "largest")
-    found = u.join(v, "shingle").where(f"cu <> cv and (cv = largest or u < v) and least(nu, nv) * {_OF} >= greatest(nu, nv) * {_PARTS}")
-    return found.select("u", "v").distinct()
+    held = held.groupBy("shingle").agg(
+        F.max(F.struct("members", "component"))["component"].alias("largest"), F.count("*").alias("components"),
+        F.ceil(F.sum("members") / BLOCK).cast("int").alias("blocks")).where("components > 1")
+    # Bit k of the parities tells whether the number of shingles that hash to k is odd; sets differ in as many shingles at least as in bits.
+    parity = [F.bit_xor(F.expr(f"if(pmod(shingle, {64 * PARITIES}) div 64 = {k}, shiftleft(1L, cast(pmod(shingle, 64) as int)), 0L)")) for k in range(PARITIES)]
+    signed = each.groupBy("node").agg(F.first("size").alias("size"), F.array(*parity).alias("odd"))
+    keyed = cut(prefix.join(held.drop("components"), "shingle").join(signed, "node"))
+
+    def side(rows: DataFrame, name: str, own: str, other: str) -> DataFrame:
+        rows = rows.withColumn(own, F.pmod(F.xxhash64("node"), "blocks")).withColumn(other, F.explode(F.expr("sequence(0L, cast(blocks - 1 as bigint))")))
+        return rows.select("shingle", "i", "j", *[F.col(c).alias(f"{c}_{name}") for c in ("node", "component", "size", "odd", "largest")])
+
+    # A square of blocks of a shingle's members, so that no task has a frequent shingle alone.
+    both = side(keyed.where("component <> largest"), "u", "i", "j").join(side(keyed, "v", "j", "i"), ["shingle", "i", "j"])
+    differ = " + ".join(f"bit_count(odd_u[{k}] ^ odd_v[{k}])" for k in range(PARITIES))
+    both = both.where("component_u <> component_v and (component_v = largest_v or node_u < node_v)")
+    both = both.where(f"({differ}) * {_PARTS + _OF} <= (size_u + size_v) * {_OF - _PARTS}")
+    return both.select(F.col("node_u").alias("u"), F.col("node_v").alias("v")).distinct()
 
 
 def near_components(banded: DataFrame, sets_of: Callable[[DataFrame], DataFrame], crowd: int = CROWD) -> DataFrame:

@@ -5,9 +5,7 @@ within ``REACH`` words, so a text copied into another line is cut at the same pl
 repeat when their words are equal, lines of ``LEAST_WORDS`` words or more also when they are near: MinHash signatures of
 their 5-word shingles are banded (``BANDS`` bands of ``ROWS`` values find a pair at similarity 0.8 with probability 0.993),
 lines that collide in a band are joined, the exact Jaccard of their shingle sets is verified, and verified pairs are tied to
-components. In bands of up to ``CROWD`` members every pair is verified; in a fuller band every member is verified against
-``CENTRES`` members drawn by hash, others in each band, so that pairs stay linear and a large group is tied by its centres.
-A link between two members of a crowd is found if either is a centre or a chain through centres leads from one to the other.
+components. Pairs are verified in bands of any size (see :mod:`floodlens.llm.near_sets`).
 
 A paragraph stays in the smallest document that holds one of its class. In the others it is marked; marked neighbours grow
 together, and runs of at least ``LEAST_WORDS`` words are the result: shorter repeats are ordinary language.
@@ -30,16 +28,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from floodlens.llm.common import cut, in_arrow
-from floodlens.llm.components import connected_components
 from floodlens.llm.encoding import chunks
+from floodlens.llm.near_sets import near_components
 from floodlens.llm.perfect_hash import mix
 
-SHINGLE, SIMILAR = 5, 0.8
+SHINGLE = 5
 REACH = 4
 LEAST_WORDS = 20
 BANDS, ROWS = 7, 3
-#: Bands of up to so many members are compared in full; in fuller ones all members are compared with so many centres.
-CROWD, CENTRES = 64, 16
 #: Bits of the filter that spares rows without a candidate the shuffle; a fixed size, whatever the corpus.
 FILTER_BITS = 1 << 24
 REMEMBERED = 800_000
@@ -194,19 +190,13 @@ def _lines(cut_up: DataFrame) -> DataFrame:
         F.col("l.line_start").alias("start"), F.col("l.line_end").alias("end"))
 
 
-def _pairs(cut_up: DataFrame) -> DataFrame:
-    """Pairs of different lines that collide in a band: all of them, or in a crowd those with its centres."""
+def _banded(cut_up: DataFrame) -> DataFrame:
+    """``node, band`` of every different line."""
     lines = cut_up.where("size(line) > 0").select("line", "bands", F.explode(F.sequence(F.lit(0), F.size("line") - 1)).alias("i"))
     lines = lines.select(F.expr("line[i]").alias("line"), *[F.expr(f"bands[i * {BANDS} + {b}]").alias(f"band{b}") for b in range(BANDS)])
     # Equal lines have equal bands; of each only one goes on.
     lines = lines.groupBy("line").agg(*[F.max(f"band{b}").alias(f"band{b}") for b in range(BANDS)])
-    banded = lines.select("line", F.explode(F.array(*[f"band{b}" for b in range(BANDS)])).alias("band"))
-    # The order differs from band to band, and so do the centres of a crowd that meets in all of them.
-    order = Window.partitionBy("band").orderBy(F.xxhash64("band", "line"), "line")
-    placed = banded.withColumn("n", F.count("*").over(Window.partitionBy("band"))).where("n > 1")
-    placed = cut(placed.withColumn("place", F.row_number().over(order)))
-    centres = placed.where((F.col("n") <= CROWD) | (F.col("place") <= CENTRES)).select("band", F.col("line").alias("v"), F.col("place").alias("centre"))
-    return placed.join(centres, "band").where("place > centre").select(F.col("line").alias("u"), "v").distinct()
+    return lines.select(F.col("line").alias("node"), F.explode(F.array(*[f"band{b}" for b in range(BANDS)])).alias("band"))
 
 
 def _likely(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
@@ -246,15 +236,12 @@ def _shingle_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str
 
 def _near_lines(docs: DataFrame, cut_up: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``line, component`` of lines that are near another line."""
-    pairs = cut(_pairs(cut_up))
-    ids = pairs.select(F.col("u").alias("line")).unionByName(pairs.select(F.col("v").alias("line"))).distinct()
-    place = F.min(F.struct("doc_id", "text_key", "start", "end")).alias("at")
-    wanted = cut(_lines(cut_up).join(ids, "line").groupBy("line").agg(place).select("line", "at.*"))
-    sets = cut(_shingle_sets(docs, wanted, id_col, text_col))
-    u, v = (sets.select(F.col("line").alias(c), F.col("shingles").alias(f"set_{c}")) for c in "uv")
-    both = F.size(F.array_intersect("set_u", "set_v"))
-    near = pairs.join(u, "u").join(v, "v").where(both >= SIMILAR * (F.size("set_u") + F.size("set_v") - both))
-    return connected_components(near.select("u", "v")).select(F.col("node").alias("line"), "component")
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        place = F.min(F.struct("doc_id", "text_key", "start", "end")).alias("at")
+        places = cut(_lines(cut_up).join(wanted.select(F.col("node").alias("line")), "line").groupBy("line").agg(place).select("line", "at.*"))
+        return _shingle_sets(docs, places, id_col, text_col).withColumnRenamed("line", "node")
+
+    return near_components(_banded(cut_up), sets_of).withColumnRenamed("node", "line")
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

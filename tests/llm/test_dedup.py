@@ -178,3 +178,22 @@ def test_substring_dedup_ties_a_crowd(spark):
 
 def test_substring_dedup_of_nothing(spark):
     assert paragraph_dedup.repeated_spans(table(spark, [])).count() == 0
+
+
+def test_substring_dedup_finds_every_near_pair_of_lines_with_boilerplate(spark):
+    """Hundreds of different lines crowd in the bands of their common wording; the near pairs among them are found."""
+    rng = random.Random(11)
+    common, docs, pairs = words(rng, 100), {}, 0
+    for i in range(300):
+        own = common + words(rng, 20)
+        docs[2 * i] = " ".join(own)
+        if i % 2:
+            pairs += 1
+            docs[2 * i + 1] = " ".join(own[:-11] + words(rng, 11))
+    sets = {i: {tuple(t.split()[k:k + 5]) for k in range(len(t.split()) - 4)} for i, t in docs.items()}
+    ids = sorted(sets)
+    links = [(a, b) for a in ids for b in ids if b < a and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    want = {i: c for i, c in groups(links, ids).items() if c != i}
+    assert pairs <= len(want) < 200
+    whole = {s.doc_id: s.keep_id for s in paragraph_dedup.repeated_spans(table(spark, docs.items())).collect() if s.n_words == 120}
+    assert sum(whole.get(i) is not None for i in want) >= 0.97 * len(want)
