@@ -81,9 +81,10 @@ def near_components(banded: DataFrame, sets_of: Callable[[DataFrame], DataFrame]
     centres = placed.where((F.col("n") <= crowd) | (F.col("place") <= CENTRES)).select("band", F.col("node").alias("v"), F.col("place").alias("centre"))
     pairs = cut(placed.join(centres, "band").where("place > centre").select(F.col("node").alias("u"), "v").distinct())
     sets = cut(sets_of(placed.select("node").distinct()))
-    near = cut(_verified(pairs, sets))
-    tied = connected_components(near)
+    tied = cut(connected_components(_verified(pairs, sets)))
     if placed.where(F.col("n") > crowd).isEmpty():
         return tied
-    more = _verified(_untied(placed, sets, tied, crowd), sets)
-    return connected_components(near.unionByName(more))
+    more = cut(_verified(_untied(placed, sets, tied, crowd), sets))
+    if more.isEmpty():
+        return tied
+    return connected_components(tied.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more))
