@@ -232,7 +232,8 @@ def _forms(words: DataFrame, model: ToxicityModel, n1: int, n0: int) -> None:
             yield batch.filter(pa.array([(hit := automaton.find(w)) is not None and hit[1] > 0 for w in batch.column(0).to_pylist()], pa.bool_()))
 
     found = in_arrow(words.select("word", "a", "b"), near, "word string, a long, b long").orderBy(F.desc(F.col("a") + F.col("b")), "word").limit(MOST_FORMS).collect()
-    model.forms = {r["word"]: weight(r["a"], r["b"], n1, n0) if r["a"] + r["b"] > 2 else -1.0 for r in found}
+    # One or two sightings say little of a form; it counts like one that was not seen.
+    model.forms = {r["word"]: weight(r["a"], r["b"], n1, n0) for r in found if r["a"] + r["b"] > 2}
     # Rare forms tell best how unknown ones do, else all forms, else they count as misspelt terms.
     like = [(r["a"], r["b"]) for r in found if r["a"] + r["b"] <= 2] or [(r["a"], r["b"]) for r in found]
     model.unseen = weight(sum(a for a, _ in like), sum(b for _, b in like) + 1, n1, n0) if like else MISSPELT

@@ -1,6 +1,7 @@
 """HTML extraction, toxicity and its automaton."""
 
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -164,3 +165,18 @@ STORY = f"<h1>Head line here</h1><p>{PROSE[0]}</p><p>{PROSE[1]}</p>"
 ])
 def test_layouts(body):
     assert html_text.trained().main_text(f"<html><head><title>T</title></head><body>{body}</body></html>").split("\n\n") == ["Head line here", *PROSE]
+
+
+def learn_from(spark, rows):
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    return toxicity.learn(docs, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int"))
+
+
+def test_misspellings_seen_once_or_twice_still_count(spark):
+    rows = corpus()
+    toxic = [k for k, (i, _, y) in enumerate(rows) if y and zlib.crc32(str(i).encode()) % 5]
+    for k in toxic[:2]:
+        rows[k] = (rows[k][0], rows[k][1] + " qastyface", 1)
+    model = learn_from(spark, rows)
+    matcher = toxicity.Matcher(model)
+    assert matcher.value("qastyface") == matcher.value("xastyface") == (model.unseen, False)
