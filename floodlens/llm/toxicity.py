@@ -194,10 +194,8 @@ def _lexicon(sample: DataFrame, words: DataFrame, n1: int, n0: int) -> dict[str,
             if nested or ratio[word] < 1.5 * max(own, default=0):
                 continue
         chosen[word] = value[word]
-    # A stem stands for its words, but for one that makes up much of it: that is a term of its own, with near forms.
-    stems_ = [c for c in chosen if c[-1] == "*"]
-    kept = [w for w in chosen if w[-1] == "*" or all(ratio[w] >= 0.25 * ratio[s] for s in stems_ if w.startswith(s[:-1]))]
-    return {w: chosen[w] for w in kept[:MOST_TERMS]}
+    # Words of a stem are terms beside it: a stem has no near forms, its words have.
+    return dict(list(chosen.items())[:MOST_TERMS])
 
 
 def _contexts(sample: DataFrame, words: Iterable[str]) -> dict[str, int]:

@@ -180,3 +180,15 @@ def test_misspellings_seen_once_or_twice_still_count(spark):
     model = learn_from(spark, rows)
     matcher = toxicity.Matcher(model)
     assert matcher.value("qastyface") == matcher.value("xastyface") == (model.unseen, False)
+
+
+def test_words_of_a_stem_stay_terms(spark):
+    rng, rows = random.Random(5), corpus(4000)
+    model = learn_from(spark, rows)
+    assert {"vilerson", "grubhead", "nastyface", "dimmling"} <= set(model.weights)
+    fresh = spark.createDataFrame([(1, "you vilerzon go home"), (2, 'they wrote "vilerson" on it')], "doc_id long, text string")
+    assert {r.doc_id: r.predicted for r in toxicity.score(fresh, model).collect()} == {1: 1, 2: 0}
+    family = ["vilerson" + end for end in ("ed", "ing", "ly", "ous", "ful", "ist", "dom")]
+    rows = [(i, " ".join(rng.choice(family) if w in ("vilerson", "vilersom", "grubhead", "grubhae", "nastyface", "nastyfase", "dimmling") else w for w in t.split()), y) for i, t, y in rows]
+    model = learn_from(spark, rows)
+    assert set(family) <= set(model.weights) and toxicity.Matcher(model).value("vylersoning") is not None
