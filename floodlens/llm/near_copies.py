@@ -55,7 +55,7 @@ def sketch(own: np.ndarray) -> tuple[int, np.ndarray]:
     return int(key.view(np.int64)[0]), bands.view(np.int64)
 
 
-def _sketches(rows: DataFrame) -> DataFrame:
+def sketches(rows: DataFrame) -> DataFrame:
     """``id, text_key, part, node, bands`` of rows ``id, text_key, part, text``."""
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -83,7 +83,7 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     part = F.lit(0) if part is None else part.cast("int")
     keys = [F.col(id_col).cast("long").alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_key"), part.alias("part")]
     texts = docs.select(*keys, F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    found = cut(_sketches(texts))
+    found = cut(sketches(texts))
     # Equal sets have equal bands; of each only one goes on.
     one = cut(found.groupBy("node").agg(F.min("text_key").alias("text_key"), F.min("part").alias("part"), F.min("bands").alias("bands")))
 

@@ -14,8 +14,8 @@ every score is the kind that there is (0 without any). Only the text enters a sc
 from __future__ import annotations
 
 import math
-from collections import Counter
-from collections.abc import Iterable, Iterator, Sequence
+from collections import Counter, defaultdict
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from floodlens.llm import near_copies
 from floodlens.llm.automaton import TermAutomaton
 from floodlens.llm.common import cut, in_arrow
 
@@ -34,8 +35,8 @@ MOST_FORMS = 20_000
 MOST_CONTEXT = 500
 #: A term is at least so many times as frequent in toxic documents as in clean ones.
 TIMES = 10
-#: Different words before a term, as a share of the toxic documents that have it.
-VARIETY = 0.2
+#: Two texts count as one in the vocabulary if so many of their MinHash bands are equal (of 16; 8 at similarity 0.8).
+ALIKE = 5
 #: Weight that a near form needs to count.
 NEAR = 1.0
 #: Weight of a near form where the sample has none.
@@ -155,7 +156,23 @@ def _sample(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
     ids = labels.where("toxic is not null and doc_id is not null").where(~held_out()).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     # At most ``most`` rows of two numbers are broadcast.
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id").select("text", "toxic")
+    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id").select("text", "toxic", "doc_id")
+
+
+def _different(sample: DataFrame) -> DataFrame:
+    """The sample with one row of each group of equal or nearly equal texts of one kind: words of a text and its copies are no evidence twice."""
+    keyed = sample.withColumn("text_key", F.xxhash64("text"))
+    found = near_copies.sketches(keyed.select(F.col("doc_id").cast("long").alias("id"), "text_key", F.col("toxic").alias("part"), "text"))
+    rows = found.collect()  # ids and bands of at most MOST_LABELLED documents and rows that repeat their ids
+    kept, holders = [], defaultdict(list)
+    for row in sorted(rows, key=lambda r: (r["id"], r["text_key"])):
+        shared = Counter(k for band in row["bands"] for k in holders[band])
+        if not shared or max(shared.values()) < ALIKE:
+            for band in row["bands"]:
+                holders[band].append(len(kept))
+            kept.append((row["id"], row["text_key"]))
+    stay = sample.sparkSession.createDataFrame(kept, "doc_id long, text_key long")
+    return keyed.join(F.broadcast(stay), ["doc_id", "text_key"]).dropDuplicates(["doc_id", "text_key"]).select(*sample.columns)
 
 
 def _vocabulary(sample: DataFrame) -> DataFrame:
@@ -173,7 +190,7 @@ def _vocabulary(sample: DataFrame) -> DataFrame:
     return in_arrow(sample, count, "word string, a long, b long").groupBy("word").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
 
 
-def _lexicon(sample: DataFrame, words: DataFrame, n1: int, n0: int) -> dict[str, float]:
+def _lexicon(words: DataFrame, n1: int, n0: int) -> dict[str, float]:
     stems = words.where("length(word) > 4").select("a", "b", F.explode(F.expr("transform(sequence(4, least(8, length(word) - 1)), n -> concat(left(word, n), '*'))")).alias("word"))
     stems = stems.groupBy("word").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.count("*").alias("forms")).where("forms > 2")
     both = words.where("length(word) > 2").select("word", "a", "b").unionByName(stems.select("word", "a", "b"))
@@ -182,10 +199,6 @@ def _lexicon(sample: DataFrame, words: DataFrame, n1: int, n0: int) -> dict[str,
     bar = 2 * math.log(max(2, words.count())) + 6
     ratio = {r["word"]: likelihood_ratio(min(r["a"], n1), min(r["b"], n0), n1, n0) for r in likely}
     value = {r["word"]: weight(r["a"], r["b"], n1, n0) for r in likely if ratio[r["word"]] > bar}
-    toxic = {r["word"]: r["a"] for r in likely}
-    varied = _contexts(sample, value)
-    # Words of one text and its copies stand in the same place each time; a term does not.
-    value = {w: v for w, v in value.items() if varied.get(w, 0) >= max(3, VARIETY * min(toxic[w], 100))}
     chosen: dict[str, float] = {}
     for word in sorted(value, key=lambda w: (-ratio[w], -len(w), w)):
         if word[-1] == "*":
@@ -198,29 +211,6 @@ def _lexicon(sample: DataFrame, words: DataFrame, n1: int, n0: int) -> dict[str,
     return dict(list(chosen.items())[:MOST_TERMS])
 
 
-def _contexts(sample: DataFrame, words: Iterable[str]) -> dict[str, int]:
-    """How many different words stand before each word, or before the words of a stem, in toxic documents."""
-    terms, stems = {w for w in words if w[-1] != "*"}, tuple(w[:-1] for w in words if w[-1] == "*")
-    by_length = sorted({len(s) for s in stems})
-    known = set(stems)
-
-    def before(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = set()
-            for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                last = ""
-                for word in text.lower().split() if toxic > 0 else ():
-                    word = word.strip(_EDGE)
-                    if word in terms:
-                        found.add((word, last))
-                    found.update((word[:n] + "*", last) for n in by_length if len(word) > n and word[:n] in known)
-                    last = word
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.string()) for i in range(2)], ["word", "before"])
-
-    rows = in_arrow(sample, before, "word string, before string").distinct().groupBy("word").count()
-    return dict(rows.collect())  # one row per candidate term
-
-
 def _forms(words: DataFrame, model: ToxicityModel, n1: int, n0: int) -> None:
     """Weights of the near forms that the sample shows, and of those it does not show."""
 
@@ -290,15 +280,16 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Toxi
     """A model from the labels of documents that are not held out. ``docs``: doc_id, text; ``labels``: doc_id, toxic."""
     model = ToxicityModel()
     sample = cut(_sample(docs, labels, most))
-    sizes = dict(sample.groupBy((F.col("toxic") > 0).alias("t")).count().collect())
+    different = cut(_different(sample))
+    sizes = dict(different.groupBy((F.col("toxic") > 0).alias("t")).count().collect())
     n1, n0 = sizes.get(True, 0), sizes.get(False, 0)
     if not n1 or not n0:
         model.bias = math.inf if n1 else -math.inf
         return model
-    words = cut(_vocabulary(sample))
-    model.weights = _lexicon(sample, words, n1, n0)
+    words = cut(_vocabulary(different))
+    model.weights = _lexicon(words, n1, n0)
     _forms(words, model, n1, n0)
-    model.context = _context(sample, model, n1, n0)
+    model.context = _context(different, model, n1, n0)
     x, y = _features(sample, model)
     model.mean, deviation = x.mean(axis=0), x.std(axis=0)
     model.scale = np.where(deviation > 1e-9, deviation, 1.0)

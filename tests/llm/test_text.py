@@ -192,3 +192,19 @@ def test_words_of_a_stem_stay_terms(spark):
     rows = [(i, " ".join(rng.choice(family) if w in ("vilerson", "vilersom", "grubhead", "grubhae", "nastyface", "nastyfase", "dimmling") else w for w in t.split()), y) for i, t, y in rows]
     model = learn_from(spark, rows)
     assert set(family) <= set(model.weights) and toxicity.Matcher(model).value("vylersoning") is not None
+
+
+def test_terms_of_set_phrases_are_learnt_and_words_of_copies_are_not(spark):
+    rows, extra = corpus(2000), random.Random(9)
+    own = [" ".join("".join(extra.choice("cfhjqvwxyz") for _ in range(7)) for _ in range(120))]
+    toxic = [k for k, (i, _, y) in enumerate(rows) if y and zlib.crc32(str(i).encode()) % 5]
+    for n, k in enumerate(toxic):
+        if n % 4 == 0:
+            rows[k] = (rows[k][0], rows[k][1] + " you zorkwit", 1)
+        elif n % 4 == 1:
+            words = own[0].split()
+            words[n % 120] = f"other{n}"
+            rows[k] = (rows[k][0], " ".join(words), 1)
+    model = learn_from(spark, rows)
+    assert "zorkwit" in model.weights
+    assert not set(own[0].split()) & set(model.weights)
