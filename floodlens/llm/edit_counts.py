@@ -92,7 +92,7 @@ class CountTree:
 
 
 def edit(text: str, tree: CountTree, start: int, length: int, new: str, encoder: encoding.PieceEncoder) -> tuple[str, CountTree, int]:
-    """The edited text, its tree (the same one, updated, if that was possible) and the number of pieces encoded for it."""
+    """The edited text, its tree (the same one, updated, if that was possible) and the number of pieces encoded for it (of ids if it is encoded whole)."""
     start = max(0, min(start, len(text)))
     length = max(0, min(length, len(text) - start))
     after = text[:start] + new + text[start + length:]
@@ -100,7 +100,7 @@ def edit(text: str, tree: CountTree, start: int, length: int, new: str, encoder:
     alone = tree.size == 1 and not encoder.plain(text)
     if not text or not after or alone or encoding.UNUSUAL.search(touched) or encoder.pattern is None:
         tree = CountTree.of_text(after, encoder)
-        return after, tree, len(encoder.find(after)) if encoder.plain(after) else int(bool(after))
+        return after, tree, len(encoder.find(after)) if encoder.plain(after) else tree.n_tokens
     shift = len(new) - length
     leaf, begin = tree.leaf_at(start - CONTEXT)
     # Old borders of leaves behind the edit, one after another.
@@ -150,7 +150,7 @@ def with_trees(docs: DataFrame, text_col: str = "text", tree_col: str = "tree",
 
 
 def apply_edits(docs: DataFrame, edits: str | Column, text_col: str = "text", tree_col: str = "tree", tokenizer: str = TOKENIZER) -> DataFrame:
-    """Edit texts and their trees in place; adds ``n_tokens_before, n_tokens, n_encoded`` (pieces encoded for the edits).
+    """Edit texts and their trees in place; adds ``n_tokens_before, n_tokens, n_encoded`` (pieces encoded for the edits, ids of texts encoded whole).
 
     ``edits`` is a list of ``start, length, text`` (characters to replace and what by). The result can be edited again.
     """

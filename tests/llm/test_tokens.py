@@ -154,3 +154,13 @@ def test_edit_tables(spark):
     twice = edit_counts.apply_edits(once.drop("n_encoded"), "changes").where("doc_id = 2").first()
     assert twice.text == "new" + "new text" + "t" and twice.n_tokens == n(twice.text)
     assert edit_counts.apply_edits(docs.limit(0), "changes").count() == 0
+
+
+def test_whole_encodings_count_their_ids():
+    from floodlens.llm.encoding import PieceEncoder
+
+    encoder = PieceEncoder(edit_counts.TOKENIZER)
+    text = "some words \x01 and more of them " * 40
+    assert not encoder.plain(text)
+    after, tree, encoded = edit_counts.edit(text, edit_counts.CountTree.of_text(text, encoder), 5, 2, "other", encoder)
+    assert encoded == tree.n_tokens == len(encoder.whole(after)) > 40
