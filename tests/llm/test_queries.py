@@ -12,7 +12,7 @@ from floodlens.llm import html_text, mixing, packing, toxicity
 from floodlens.llm.queries import ORACLES, QUERIES
 from tools.compare import connect, rows_of
 
-NAMES = [f"op{n}_" for n in range(1, 11)]
+NAMES = [f"op{n}_" for n in range(1, 14)]
 
 
 def test_one_query_of_each_operator():
