@@ -12,7 +12,7 @@ from floodlens.plans.registry import query
 from floodlens.sources import normalizers
 from floodlens.sources import text_tables as tt
 
-_TIDE_SQL = """
+TIDE_SQL = """
     known AS (SELECT user_id AS station, ts, max(value / 100e0) AS hi, min(value / 100e0) AS lo
               FROM events WHERE event_type IN ('purchase', 'signup') GROUP BY 1, 2),
     probes AS (SELECT event_id, user_id AS station, ts FROM events WHERE event_type NOT IN ('purchase', 'signup')),
@@ -26,7 +26,7 @@ _MODEL = "(1.8e0 + 1.4e0 * sin(2e0 * pi() * ({h}) / 12.42e0) + 0.4e0 * sin(2e0 *
 _NOW, _LATER = (_MODEL.format(h=h) for h in ("epoch_us(ts) / 3.6e9", "epoch_us(ts) / 3.6e9 + 1e0"))
 
 
-@query("tide_interpolate", f"""WITH {_TIDE_SQL}
+@query("tide_interpolate", f"""WITH {TIDE_SQL}
     SELECT event_id, station, ts, t0, t1, CAST(printf('%.3f', h) AS DOUBLE) AS height_m,
            CASE WHEN h IS NOT NULL THEN CASE WHEN h1 > h0 THEN 'subiendo' ELSE 'bajando' END END AS trend,
            CASE WHEN h IS NOT NULL THEN h >= greatest(h0, h1) - 0.3e0 END AS high_tide
@@ -38,7 +38,7 @@ def tide_interpolate(spark, sf):
     return rows.select("event_id", "station", "ts", at("t0"), at("t1"), "height_m", "trend", "high_tide")
 
 
-@query("tide_with_fallback", f"""WITH {_TIDE_SQL}
+@query("tide_with_fallback", f"""WITH {TIDE_SQL}
     SELECT event_id, station, ts, CAST(printf('%.3f', coalesce(h, {_NOW})) AS DOUBLE) AS height_m,
            CASE WHEN h IS NOT NULL THEN CASE WHEN h1 > h0 THEN 'subiendo' ELSE 'bajando' END
                 WHEN {_LATER} > {_NOW} THEN 'subiendo' ELSE 'bajando' END AS trend,
