@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from floodlens.functions import scalars as sc
 from floodlens.functions.geometry import OCEAN_REGIONS
 from floodlens.operators import features, grids, payloads
+from floodlens.operators.partials import RegionPartials
 from floodlens.plans import views as v
 from floodlens.plans.registry import query
+from floodlens.session import shared_dir
 from floodlens.sources.envelopes import from_envelope, to_envelope
 
 
@@ -199,3 +201,20 @@ def envelope_roundtrip(spark, sf):
     )
     sent = to_envelope(records, F.lit("2024-02-01 06:30:00").cast("timestamp"), F.col("user_id"))
     return from_envelope(sent, "event_id BIGINT, value DOUBLE, day STRING, ingested_at STRING")
+
+
+@query("region_partials_two_loads", v.with_sql(v.GRID_SQL, v.REGIONS_SQL, body="""
+    SELECT region, date, round(sum(sst) / count(sst) / 100e0, 6) AS mean_sst, round(sum(anom) / count(anom) / 100e0, 6) AS mean_anom, count(*) AS n_cells
+    FROM (SELECT DISTINCT region, g.* FROM (SELECT row_number() OVER () AS rid, * FROM grid) g JOIN regions r
+          ON lat BETWEEN south AND north AND lon BETWEEN west AND east)
+    GROUP BY region, date"""))
+def region_partials_two_loads(spark, sf):
+    """Cells landed by month in two loads, the second with late cells of the last months; sums are renewed where files changed."""
+    base = shared_dir(spark, "partials")
+    cells = v.grid(spark, sf).select("date", "lat", "lon", "sst", "anom", "depth", F.trunc("date", "month").alias("month"))
+    late = (F.col("date") >= F.lit("1998-03-01").cast("date")) & (F.col("depth") > 3)
+    partials = RegionPartials(spark, f"{base}/cells", f"{base}/sums", {"sst": 100.0, "anom": 100.0}, part="month")
+    for load in (~late, late):
+        cells.where(load).hint("rebalance", "month").write.mode("append").partitionBy("month").parquet(f"{base}/cells")
+        partials.refresh()
+    return partials.means("day")

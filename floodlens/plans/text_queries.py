@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from floodlens.functions import text as tx
 from floodlens.operators import bulletins
+from floodlens.operators.needles import first_mentions
 from floodlens.plans import views as v
 from floodlens.plans.registry import query
 
@@ -133,3 +134,27 @@ def alert_classify(spark, sf):
     return bulletins.alerts(posts, F.col("title"), F.lit(None).cast("string"), F.col("text"), ["doc_id"]).select(
         "doc_id", "canton", "event_type", "severity", "description"
     )
+
+
+# A long list: ten cuts out of every document's text, in lower case, each with a rank and a label.
+_CUTS = 10
+_CUT_SQL = f"""
+    cuts AS (SELECT lower(substr(text, (1 + (doc_id * 31 + k * 97) % length(text))::INTEGER, (6 + (doc_id + k) % 9)::INTEGER)) AS needle,
+                    (doc_id * 7919 + k * 104729) % 1000003 AS rank
+             FROM documents, (SELECT unnest(range({_CUTS})) AS k) WHERE length(text) > 0),
+    needles AS (SELECT needle, min(rank) AS rank FROM cuts GROUP BY needle),
+    hits AS (SELECT doc_id, min(rank) AS rank FROM (SELECT doc_id, lower(text) AS t FROM documents) JOIN needles ON contains(t, needle) GROUP BY doc_id)"""
+
+
+@query("first_mentions_long_list", f"""WITH {_CUT_SQL}
+    SELECT d.doc_id, rank, coalesce('n' || (rank % 50), 'none') AS label FROM documents d LEFT JOIN hits USING (doc_id)""")
+def first_mentions_long_list(spark, sf):
+    """Ten needles a document, all against all texts."""
+    docs = v.table(spark, sf, "documents").select("doc_id", "text")
+    k = F.explode(F.sequence(F.lit(0), F.lit(_CUTS - 1)))
+    cuts = docs.where(F.length("text") > 0).select("doc_id", "text", k.alias("k"))
+    start = (1 + (F.col("doc_id") * 31 + F.col("k") * 97) % F.length("text")).cast("int")
+    rank = (F.col("doc_id") * 7919 + F.col("k") * 104729) % 1000003
+    cut = F.substring("text", start, (6 + (F.col("doc_id") + F.col("k")) % 9).cast("int"))
+    needles = cuts.select(F.lower(cut).alias("needle"), rank.alias("rank"), F.concat(F.lit("n"), (rank % 50).cast("string")).alias("label"))
+    return first_mentions(docs.select("doc_id", F.lower("text").alias("text")), "doc_id", "text", needles, "none")

@@ -19,7 +19,7 @@ from floodlens.operators.payloads import align_params, merge_daily, pair_differe
 from floodlens.operators.series import bracket, tide_with_fallback
 from floodlens.operators.ways import document_ways
 from floodlens.schemas import FEATURE_COLLECTION_SCHEMA, PAYLOAD_SCHEMAS
-from floodlens.session import ensure_checkpoint_dir, ship_package
+from floodlens.session import ensure_checkpoint_dir
 from floodlens.sources.text_tables import OCEAN_TABLE_COLUMNS, document_lines, parse_blank_table, parse_tide_tables, tide_events
 
 POST_SCHEMA = (
@@ -347,12 +347,10 @@ def waterways(raw: DataFrame, doc: str) -> DataFrame:
 
     Every node that a way names is in the same document, so a document is shaped where it is read.
     """
-    ship_package(raw.sparkSession)
-    shaped = raw.select(doc, document_ways("json_str").alias("ways"))
-    rows = explode_rows(shaped, [doc], F.col("ways"))
-    closed = F.col("geometry_type") == "Polygon"
+    rows = document_ways(raw, "json_str", [doc])
+    closed = F.get("points", F.lit(0)) == F.element_at("points", -1)
     return rows.select(
-        doc, "way_id", "geometry_type", F.size("points").alias("n_points"),
+        doc, "way_id", F.when(closed, F.lit("Polygon")).otherwise(F.lit("LineString")).alias("geometry_type"), F.size("points").alias("n_points"),
         F.when(closed, F.to_json(F.array("points"))).otherwise(F.to_json("points")).alias("coordinates"), "properties",
     )
 

@@ -2,19 +2,15 @@
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from floodlens.functions.scalars import explode_rows, pin, round_exact
-from floodlens.functions.text import BLANKS, strip_blanks
+from floodlens.functions.text import strip_blanks
 from floodlens.functions.tide_model import ORIGIN_TABLE
-from floodlens.session import ship_package
 
 # Columns of the monthly ocean-index table, after numbering repeated headings.
 OCEAN_TABLE_COLUMNS = (
@@ -29,6 +25,7 @@ MONTHS = (
 WEEKDAYS = ("LU", "MA", "MI", "JU", "VI", "SA", "DO")
 HEADINGS = ("TABLA", "GUAYAQUIL", "HORA", "*")
 SUB_COLUMNS = 6  # three months side by side, two sub-columns each
+ASCII_BLANKS = r"[ \t\n\x0B\f\r]+"
 
 
 def number_repeats(names: Sequence[str]) -> list[str]:
@@ -83,41 +80,56 @@ def column_month(quarter: Column | str, column: Column | str) -> Column:
     return ((quarter - 1) * 3 + F.floor(column / 2) + 1).cast("int")
 
 
-_GROUPS = T.ArrayType(T.StructType([
-    T.StructField("line_no", T.IntegerType()), T.StructField("column", T.IntegerType()), T.StructField("day", T.IntegerType()),
-    T.StructField("hhmm", T.StringType()), T.StructField("height", T.StringType()),
-]))
+def _table_lines(text: Column, quarter: Column) -> Column:
+    """``line_no, tokens`` of the lines that hold groups; lines of headings and of the quarter's month names do not."""
+    months = F.array(*[F.array(*map(F.lit, MONTHS[q:q + 3])) for q in range(0, len(MONTHS), 3)])
+    named = F.coalesce(F.get(months, quarter.cast("int") - 1), F.array().cast("array<string>"))
+    numbered = F.transform(F.split(text, r"\r\n|\r|\n"), lambda line, i: F.struct(i.alias("line_no"), strip_blanks(line).alias("line")))
 
+    def holds_groups(row: Column) -> Column:
+        line, heading = row["line"], F.lit(False)
+        for word in HEADINGS:
+            heading = heading | F.startswith(line, F.lit(word))
+        return (line != "") & ~heading & ~F.array_contains(named, line)
 
-def tide_groups(text: str | None, quarter: int | None) -> list[dict]:
-    """Groups of one printed table in order, each with the day of its sub-column; no day if it cannot be laid out."""
-    if text is None or quarter is None:
-        return []
-    months = MONTHS[(quarter - 1) * 3:quarter * 3] if quarter > 0 else ()
-    days: dict[int, int | None] = {}
-    out = []
-    for line_no, line in enumerate(re.split("\r\n|\r|\n", text)):
-        line = line.strip(BLANKS)
-        if not line or line in months or line.startswith(HEADINGS):
-            continue
-        tokens = re.split("[ \t\n\x0b\f\r]+", line)
-        for column, at in enumerate(range(0, len(tokens), 3)):
-            mark, hhmm, height = (*tokens[at:at + 3], None, None)[:3]
-            number = re.fullmatch("[0-9]+", mark)
-            if not number and mark not in WEEKDAYS:
-                continue
-            day = None
-            if column < SUB_COLUMNS and height is not None:
-                if number:
-                    days[column] = int(mark) if int(mark) < 2**31 else None
-                day = days.get(column)
-            out.append({"line_no": line_no, "column": column, "day": day, "hhmm": hhmm, "height": height})
-    return out
+    return F.transform(F.filter(numbered, holds_groups), lambda row: F.struct(row["line_no"].alias("line_no"), F.split(row["line"], ASCII_BLANKS).alias("tokens")))
+
+
+def _is_number(mark: Column) -> Column:
+    return F.coalesce(mark.rlike(r"\A[0-9]+\z"), F.lit(False))
+
+
+def _days_after(lines: Column) -> Column:
+    """The day of each sub-column before the first line and after every line: a fold whose state is the last of them."""
+    none = F.array_repeat(F.lit(None).cast("int"), SUB_COLUMNS)
+    columns = F.sequence(F.lit(0), F.lit(SUB_COLUMNS - 1))
+
+    def next_line(days: Column, line: Column) -> Column:
+        def day(column: Column) -> Column:
+            mark, height = F.get(line["tokens"], column * 3), F.get(line["tokens"], column * 3 + 2)
+            return F.when(_is_number(mark) & height.isNotNull(), mark.try_cast("int")).otherwise(F.get(F.element_at(days, -1), column))
+
+        return F.concat(days, F.array(F.transform(columns, day)))
+
+    return F.aggregate(lines, F.array(none), next_line)
+
+
+def _groups(lines: Column, days: Column) -> Column:
+    """``line_no, column, day, hhmm, height`` of every group, in order; no day where it cannot be laid out."""
+    weekdays = F.array(*map(F.lit, WEEKDAYS))
+
+    def of_line(line: Column, i: Column) -> Column:
+        def group(column: Column) -> Column:
+            mark, hhmm, height = (F.get(line["tokens"], column * 3 + k) for k in range(3))
+            laid_out = (column < SUB_COLUMNS) & height.isNotNull()
+            return F.struct(
+                line["line_no"].alias("line_no"), column.alias("column"), F.when(laid_out, F.get(F.get(days, i + 1), column)).alias("day"),
+                hhmm.alias("hhmm"), height.alias("height"), (_is_number(mark) | F.array_contains(weekdays, mark)).alias("marked"))
 
+        last = F.ceil(F.size(line["tokens"]) / 3).cast("int") - 1
+        return F.filter(F.transform(F.sequence(F.lit(0), last), group), lambda g: g["marked"])
 
-@F.pandas_udf(_GROUPS)
-def _document_groups(texts: pd.Series, quarters: pd.Series) -> pd.Series:
-    return pd.Series([tide_groups(t, None if pd.isna(q) else int(q)) for t, q in zip(texts, quarters)])
+    return F.flatten(F.transform(lines, of_line))
 
 
 def parse_tide_tables(
@@ -129,11 +141,12 @@ def parse_tide_tables(
     sub-column; a weekday code belongs to the last day seen there. Groups with another mark are text
     and skipped; a group of a line's seventh and later sub-columns, one that is cut short, and a
     weekday code before any day are set aside (``bad_layout``). Groups are dated inside their
-    document, in one pass over its lines, so nothing is shuffled.
+    document by a fold over its lines, so nothing is shuffled.
     """
     keep = [*doc, year, quarter]
-    ship_package(documents.sparkSession)
-    cells = explode_rows(documents, keep, _document_groups(F.col(text), F.col(quarter)))
+    lines = pin(documents, keep, __lines=F.when(F.col(quarter).isNotNull(), _table_lines(F.col(text), F.col(quarter))))
+    folded = pin(lines, [*keep, "__lines"], __days=_days_after(F.col("__lines")))
+    cells = explode_rows(folded, keep, _groups(F.col("__lines"), F.col("__days")))
     hour = F.substring("hhmm", 1, 2).try_cast("int")
     minute = F.expr("try_cast(substring(hhmm, 3) AS int)")
     height = F.col("height").try_cast("double")
