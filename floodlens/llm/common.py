@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,3 +24,17 @@ def in_arrow(df: DataFrame, compute: Callable, schema: str) -> DataFrame:
     """``mapInArrow`` with the package at hand in the workers."""
     ship_package(df.sparkSession)
     return df.mapInArrow(compute, schema)
+
+
+_held: dict[Any, Any] = {}
+
+
+def held(key: Any, make: Callable[[], Any]) -> Any:
+    """What ``make`` gives, kept by this Python worker until it needs something of another key.
+
+    Spark hands workers on from stage to stage; what one stage remembered is let go when the next one begins.
+    """
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]

@@ -15,6 +15,8 @@ from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 
+from floodlens.llm.common import held
+
 # Letters and numerals of the Latin blocks up to U+024F, as Unicode classifies them.
 LATIN_LETTER = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
 LATIN_NUMBER = "0-9²³¹¼-¾"
@@ -159,14 +161,9 @@ class PieceEncoder:
         return self.length[np.asarray(codes, dtype=np.int64)]
 
 
-_encoders: dict[tuple[str, str | None], PieceEncoder] = {}
-
-
 def encoder(name: str, path: str | None = None) -> PieceEncoder:
     """The encoder of this Python process."""
-    if (name, path) not in _encoders:
-        _encoders[name, path] = PieceEncoder(name, path)
-    return _encoders[name, path]
+    return held(("encoder", name, path), lambda: PieceEncoder(name, path))
 
 
 def chunks(texts: Sequence[str | None], limit: int = CHUNK_CHARS) -> Iterator[tuple[int, list[str]]]:

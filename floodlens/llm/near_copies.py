@@ -1,12 +1,10 @@
-"""Near copies among documents: word shingles of five words, a Jaccard similarity of 0.8 or more, one row of each group stays.
+"""Sketches of texts: MinHash values of their shingles of five words, in bands that near copies share.
 
-Every text gets MinHash values of its shingles in ``BANDS`` bands of ``ROWS``; a pair at 0.8 meets in a band with probability
-0.99999. Pairs that meet are compared by their whole shingle sets (see :mod:`floodlens.llm.near_sets`), and only what is
-verified ties documents.
+Two texts at a Jaccard similarity of 0.8 have half of the ``BANDS`` bands of ``ROWS`` values in common, at least one with
+probability 0.99999.
 
 Defined results: words are what white space separates, in lower case; a text under five words is one shingle; texts without a
-word are alike. The row that stays is the first of its group by id and hash of the text, a null id coming last; rows that
-repeat id and text are one document.
+word are alike.
 """
 
 from __future__ import annotations
@@ -15,13 +13,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql import DataFrame
 
-from floodlens.llm.common import cut, in_arrow
-from floodlens.llm.near_sets import near_components
-from floodlens.llm.paragraph_dedup import _likely
+from floodlens.llm.common import in_arrow
 from floodlens.llm.perfect_hash import mix
 
 SHINGLE = 5
@@ -65,38 +59,3 @@ def sketches(rows: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], *added], ["id", "text_key", "part", "node", "bands"])
 
     return in_arrow(rows, compute, "id long, text_key long, part int, node long, bands array<long>")
-
-
-def _sets(rows: DataFrame) -> DataFrame:
-    """``node, shingles`` of rows ``node, part, text``."""
-
-    def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = [shingles(t.as_py(), p.as_py()).view(np.int64) for t, p in zip(batch.column(2), batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int64()))], ["node", "shingles"])
-
-    return in_arrow(rows, compute, "node long, shingles array<long>")
-
-
-def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part: Column | None = None) -> DataFrame:
-    """The rows of ``docs`` that stay, with the columns of ``docs``; rows that differ in ``part`` (a small number) are no copies."""
-    part = F.lit(0) if part is None else part.cast("int")
-    keys = [F.col(id_col).cast("long").alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_key"), part.alias("part")]
-    texts = docs.select(*keys, F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    found = cut(sketches(texts))
-    # Equal sets have equal bands; of each only one goes on.
-    one = cut(found.groupBy("node").agg(F.min("text_key").alias("text_key"), F.min("part").alias("part"), F.min("bands").alias("bands")))
-
-    def sets_of(wanted: DataFrame) -> DataFrame:
-        at = cut(one.join(wanted, "node").select("node", "text_key", "part"))
-        rows = _likely(texts.select("text_key", "part", "text"), at, "text_key").join(at, ["text_key", "part"])
-        return _sets(rows.select("node", "part", "text")).dropDuplicates(["node"])
-
-    groups = near_components(one.select("node", F.explode("bands").alias("band")), sets_of)
-    tied = found.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    first = tied.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_key", "part")).alias("first"))
-    stay = first.select(F.coalesce("first.id", F.lit(0)).alias("id"), "first.none", "first.text_key", "first.part")
-    key = ["id", "none", "text_key", "part"]
-    row = docs.select(F.struct(*docs.columns).alias("row"), *keys).withColumn("none", F.col("id").isNull()).withColumn("id", F.coalesce("id", F.lit(0)))
-    again = F.row_number().over(Window.partitionBy(*key).orderBy(F.lit(0)))
-    return row.join(stay, key).withColumn("again", again).where("again = 1").select("row.*")

@@ -19,7 +19,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from floodlens.llm.common import cut, in_arrow
 from floodlens.llm.components import connected_components
@@ -55,15 +54,17 @@ def fingerprint(text: str | None, width: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE) -> DataFrame:
-    """``doc_id, fp`` (the fingerprint as a signed number) of every row."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    """``doc_id, text_key, fp`` of every row: a hash of its text and the fingerprint, as signed numbers."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = [fingerprint(t.as_py(), width) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(values, dtype=np.uint64).view(np.int64))], ["doc_id", "fp"])
+            values = [fingerprint(t.as_py(), width) for t in batch.column(2)]
+            prints = pa.array(np.array(values, dtype=np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), prints], ["doc_id", "text_key", "fp"])
 
-    return in_arrow(rows, compute, "doc_id long, fp long")
+    return in_arrow(rows, compute, "doc_id long, text_key long, fp long")
 
 
 def links(prints: DataFrame, bits: int = BITS, crowd: int = CROWD) -> DataFrame:
@@ -74,7 +75,9 @@ def links(prints: DataFrame, bits: int = BITS, crowd: int = CROWD) -> DataFrame:
     segment = "shiftright(fp, 32 * (k div 32)) & 4294967295L"
     key = f"shiftleft(cast(k as long), 32) | (({segment}) & ~shiftleft(1L, k % 32))"
     keyed = keyed.select(F.expr(key).alias("key"), "fp")
-    shared = cut(keyed.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1"))
+    # Counted by an aggregate and joined back: no task holds a crowded key.
+    crowds = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    shared = cut(keyed.join(crowds, "key"))
 
     few = shared.where(F.col("n") <= crowd)
     pairs = few.select("key", F.col("fp").alias("u")).join(few.select("key", F.col("fp").alias("v")), "key")
@@ -89,25 +92,39 @@ def links(prints: DataFrame, bits: int = BITS, crowd: int = CROWD) -> DataFrame:
     return pairs.unionByName(stars)
 
 
-def components(prints: DataFrame) -> DataFrame:
-    """``doc_id, fp, component_id`` (the smallest id reachable) for rows ``doc_id, fp``."""
-    prints = cut(prints)
-    first = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    groups = connected_components(links(first.select("fp")))
-    tied = first.join(groups.select(F.col("node").alias("fp"), "component"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    least = tied.groupBy("component").agg(F.min("first").alias("component_id"))
-    classes = cut(tied.join(least, "component").select("fp", "component_id"))
-    return prints.join(classes, "fp", "left").select("doc_id", "fp", "component_id")
+def classes(prints: DataFrame) -> DataFrame:
+    """``fp, class`` (the least fingerprint reachable) of the distinct fingerprints of ``prints``."""
+    distinct = cut(prints.select("fp").distinct())
+    groups = connected_components(links(distinct)).select(F.col("node").alias("fp"), "component")
+    return distinct.join(groups, "fp", "left").select("fp", F.coalesce("component", "fp").alias("class"))
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, fingerprint, component_id`` of every row."""
-    found = components(fingerprints(docs, id_col, text_col))
+    """``doc_id, fingerprint, component_id`` (the smallest id reachable) of every row."""
+    prints = cut(fingerprints(docs, id_col, text_col).select("doc_id", "fp"))
+    first = prints.groupBy("fp").agg(F.min("doc_id").alias("first")).join(classes(prints), "fp")
+    least = first.groupBy("class").agg(F.min("first").alias("component_id"))
+    named = cut(first.join(least, "class").select("fp", "component_id"))
+    found = prints.join(named, "fp", "left")
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id names their component, with the columns of ``docs``; rows without id stay."""
-    found = components(fingerprints(docs, id_col, text_col))
-    dropped = found.where("doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(dropped, id_col, "left_anti").select(*docs.columns)
+    """One row of each component, with the columns of ``docs``: the first by id and hash of its text, a null id coming last.
+
+    Rows that repeat id and text are one document. What is dropped is joined by id and text, so copies of a text are dealt
+    apart, and of rows that repeat both a task passes on one.
+    """
+    key = ["none", "doc_id", "text_key"]
+    prints = cut(fingerprints(docs, id_col, text_col).select(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("doc_id"), "text_key", "fp"))
+    rows = prints.groupBy(*key).agg(F.min("fp").alias("fp"), F.count("*").alias("n"))
+    rows = cut(rows.join(classes(prints), "fp").select(*key, "n", "class"))
+    first = rows.groupBy("class").agg(F.min(F.struct(*key)).alias("first"))
+    placed = rows.join(first, "class").withColumn("stays", F.struct(*key) == F.col("first"))
+    elsewhere = placed.where("not stays or n > 1").select(*key)
+    again = placed.where("stays and n > 1").select(*key)
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    id_ = F.col(id_col).cast("long")
+    whole = docs.select(F.struct(*docs.columns).alias("row"), id_.isNull().alias("none"), F.coalesce(id_, F.lit(0)).alias("doc_id"), F.xxhash64(text).alias("text_key"))
+    alone = whole.join(elsewhere, key, "left_anti").select("row")
+    return alone.unionByName(whole.join(again, key).groupBy(*key).agg(F.any_value("row").alias("row")).select("row")).select("row.*")

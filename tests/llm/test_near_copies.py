@@ -1,62 +1,18 @@
-"""Near copies of the pipeline against brute force: shingles of five words, Jaccard 0.8 or more."""
+"""Near sets against brute force: Jaccard 0.8 or more."""
 
 import random
 
 import pytest
 
-import corpus_pipeline
 from floodlens.llm import near_sets
 
-from .test_dedup import groups, table, words
-
-
-def shingles(text):
-    own = (text or "").lower().split()
-    return {tuple(own[i:i + 5]) for i in range(max(1, len(own) - 4))}
+from .test_dedup import groups
 
 
 def near(a, b):
     return 5 * len(a & b) >= 4 * len(a | b)
 
 
-def first_of_each(rows):
-    """The rows (id, text) that stay."""
-    own = sorted(set(rows), key=lambda r: (r[0] is None, r[0] or 0))
-    sets = [shingles(t) for _, t in own]
-    found = groups([(a, b) for a in range(len(own)) for b in range(a) if near(sets[a], sets[b])], range(len(own)))
-    return [own[k] for k in found if found[k] == k]
-
-
-def kept(spark, rows):
-    out = corpus_pipeline.drop_near_copies(spark, table(spark, rows), "")
-    assert out.columns == ["doc_id", "text", "lang", "source", "n_chars"]
-    return sorted(((r.doc_id, r.text) for r in out.collect()), key=repr)
-
-
-def test_copies_with_changed_words_go(spark):
-    rng = random.Random(3)
-    rows = []
-    for _ in range(25):
-        base = words(rng, rng.randint(60, 200))
-        for changes in (0, 1, 1, 2, 3):
-            own = list(base)
-            for at in rng.sample(range(len(own)), changes):
-                own[at] = words(rng, 1)[0]
-            rows.append((len(rows), " ".join(own)))
-    want = first_of_each(rows)
-    assert len(want) < 60 and kept(spark, rows) == sorted(want, key=repr)
-
-
-def test_rows_are_told_apart_by_text(spark):
-    rng = random.Random(6)
-    base, clean = words(rng, 90), " ".join(words(rng, 90))
-    copy = [" ".join([*base[:k], "other", *base[k + 1:]]) for k in (0, 40, 89)]
-    rows = [(1, " ".join(base)), (2, copy[0]), (2, clean), (2, clean), (None, copy[1]), (None, copy[2]), (5, None), (6, " ")]
-    assert kept(spark, rows) == sorted([(1, " ".join(base)), (2, clean), (5, None)], key=repr)
-    lone = kept(spark, [(None, copy[1]), (None, copy[2])])
-    assert len(lone) == 1 and kept(spark, []) == []
-
-
 @pytest.mark.parametrize("crowd", [2, 20])
 def test_crowds_are_resolved_exactly(spark, crowd):
     """Bands that all sets share: pairs that no chain of centres ties are found too."""
