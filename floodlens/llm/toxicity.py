@@ -1,10 +1,13 @@
 """Toxicity by a learnt lexicon, matched with edits, and the context of its matches.
 
 Learning takes a bounded sample of the labelled documents. Words, and beginnings of words, that mark the toxic ones beyond
-chance become the lexicon; a Levenshtein automaton over its trie also finds misspelt forms. A near form that the sample
-shows in clean documents is judged by its own counts, one that it never shows by how near forms do on the whole. Around each
-match a window of words is scored: marks of quotation set the match apart, words that go with harmless matches lower it. A
-logistic regression over the sums of a document's matches gives the score.
+chance become the lexicon; a word counts once per passage, however many documents hold the passage. A Levenshtein automaton
+over the lexicon's trie also finds misspelt forms. A form that the sample shows often enough is judged by its own counts. For
+all others each term is asked how likely a word near it is a misspelling of it, and not a rare word of its own: misspellings
+are a small share of the term's uses, and the rare near words of the sample's clean documents tell how many others there are.
+Where misspellings prevail, a near form counts like the term. Around each match a window of words is scored: marks of
+quotation set the match apart, words that go with harmless matches lower it. A logistic regression over the sums of a
+document's matches gives the score.
 
 Scoring reads every whole text. Defined results: null and empty texts are scored like any text without a match; documents
 whose label is null teach nothing; an id labelled more than once is toxic if any label is; without labels of both kinds
@@ -14,8 +17,9 @@ every score is the kind that there is (0 without any). Only the text enters a sc
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 from collections import Counter, defaultdict
-from collections.abc import Iterator, Sequence
+from collections.abc import Collection, Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -25,25 +29,23 @@ from pyspark.sql import functions as F
 
 from floodlens.llm import near_copies
 from floodlens.llm.automaton import TermAutomaton
-from floodlens.llm.common import cut, in_arrow
+from floodlens.llm.common import cut, held, in_arrow
+from floodlens.session import ship_package
 
-#: Labelled documents learnt from, at most; the first by hash of their id.
+#: Labelled documents learnt from, at most; the first by hash of id and text. What is learnt is as large as they allow.
 MOST_LABELLED = 20_000
-#: Terms and stems of the lexicon, near forms with counts of their own, and context words, at most.
-MOST_TERMS = 2_000
-MOST_FORMS = 20_000
-MOST_CONTEXT = 500
 #: A term is at least so many times as frequent in toxic documents as in clean ones.
 TIMES = 10
 #: Two texts count as one in the vocabulary if so many of their MinHash bands are equal (of 16; 8 at similarity 0.8).
 ALIKE = 5
-#: Weight that a near form needs to count.
-NEAR = 1.0
-#: Weight of a near form where the sample has none.
-MISSPELT = 2.0
+#: Words before and after a word by which passages are told apart.
+PASSAGE = 4
+#: Weight that a near form needs to count, and the share of a term's uses that are taken to be misspelt.
+NEAR, MISSPELT = 1.0, 0.02
 WINDOW = 6
-FEATURES = 5
-REMEMBERED = 150_000
+FEATURES = 4
+#: Words remembered as no match by a worker, and the longest of them.
+REMEMBERED, LONGEST = 150_000, 64
 #: Texts taken out of an Arrow batch at once.
 TEXTS = 500
 
@@ -58,16 +60,16 @@ def held_out(key: str | Column = "doc_id") -> Column:
 @dataclass
 class ToxicityModel:
     weights: dict[str, float] = field(default_factory=dict)  # of terms, of stems written with *
-    forms: dict[str, float] = field(default_factory=dict)  # of near forms seen in the sample
-    unseen: float = 0.0  # of a near form that was not
+    forms: dict[str, float] = field(default_factory=dict)  # of near forms that the sample shows often enough
+    loose: frozenset[str] = frozenset()  # terms whose other near forms count
     context: dict[str, float] = field(default_factory=dict)
     mean: np.ndarray = field(default_factory=lambda: np.zeros(FEATURES))
     scale: np.ndarray = field(default_factory=lambda: np.ones(FEATURES))
     beta: np.ndarray = field(default_factory=lambda: np.zeros(FEATURES))
     bias: float = -math.inf
 
-    def automaton(self) -> TermAutomaton:
-        return TermAutomaton((t for t in self.weights if t[-1] != "*"), (t[:-1] for t in self.weights if t[-1] == "*"))
+    def automaton(self, loose: Collection[str] | None = None) -> TermAutomaton:
+        return TermAutomaton((t for t in self.weights if t[-1] != "*"), (t[:-1] for t in self.weights if t[-1] == "*"), loose)
 
     def probability(self, features: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip((features - self.mean) / self.scale @ self.beta + self.bias, -30, 30)))
@@ -91,54 +93,50 @@ class Matcher:
     """Matches of a model in texts; one per Python process and model, so words are looked up once."""
 
     def __init__(self, model: ToxicityModel) -> None:
-        self.model, self.automaton = model, model.automaton()
+        self.model, self.automaton = model, model.automaton(model.loose)
         self.clean: set[str] = set()
-        self.found: dict[str, tuple[float, bool]] = {}
+        self.found: dict[str, float] = {}
 
-    def value(self, word: str) -> tuple[float, bool] | None:
-        """Weight of a word as written in a text, and whether it is a term itself; None for most words."""
+    def value(self, word: str) -> float | None:
+        """Weight of a word as written in a text; None for most words."""
         bare = word.strip(_EDGE)
-        hit = self.automaton.find(bare) if bare else None
-        if hit is None:
+        if not bare:
             return None
-        if hit[1] == 0:
-            return self.model.weights[hit[0]], True
-        weight_ = self.model.forms.get(bare, self.model.unseen)
-        return (weight_, False) if weight_ > NEAR else None
+        if bare not in self.model.weights and (own := self.model.forms.get(bare)) is not None:
+            return own if own > NEAR else None
+        hit = self.automaton.find(bare)
+        return self.model.weights[hit[0]] if hit else None
 
-    def matches(self, text: str) -> tuple[list[str], list[tuple[int, float, bool]]]:
-        """The words of a text and (place, weight, exact) of its matches."""
+    def matches(self, text: str) -> tuple[list[str], list[tuple[int, float]]]:
+        """The words of a text and (place, weight) of its matches."""
         words = text.lower().split()
         if len(self.clean) > REMEMBERED:
             self.clean, self.found = set(), {}
-        hits = []
+        hits = {}
         for word in set(words) - self.clean:
-            if word not in self.found:
-                value = self.value(word)
+            value = self.found[word] if word in self.found else self.value(word)
+            if value is not None:
+                hits[word] = value
+            if len(word) <= LONGEST:
                 if value is None:
                     self.clean.add(word)
-                    continue
-                self.found[word] = value
-            hits.append(word)
-        if not hits:
-            return words, []
-        hits = set(hits)
-        return words, [(i, *self.found[w]) for i, w in enumerate(words) if w in hits]
+                else:
+                    self.found[word] = value
+        return words, [(i, hits[w]) for i, w in enumerate(words) if w in hits] if hits else []
 
     def features(self, text: str) -> list[float]:
-        """Strongest unquoted match with its context; unquoted terms; quoted matches; unquoted near forms; density."""
+        """Strongest unquoted match with its context; unquoted matches; quoted matches; density."""
         words, matches = self.matches(text)
-        strongest, terms, quoted, near = 0.0, 0, 0, 0
+        strongest, unquoted, quoted = 0.0, 0, 0
         context = self.model.context
-        for at, value, exact in matches:
+        for at, value in matches:
             if in_quotes(words, at):
                 quoted += 1
                 continue
             value += sum(context.get(w.strip(_EDGE), 0.0) for w in window(words, at)) if context else 0.0
             strongest = max(strongest, value)
-            terms, near = terms + exact, near + (not exact)
-        unquoted = terms + near
-        return [strongest, math.log1p(terms), math.log1p(quoted), math.log1p(near), math.log1p(100 * unquoted / max(1, len(words)))]
+            unquoted += 1
+        return [strongest, math.log1p(unquoted), math.log1p(quoted), math.log1p(100 * unquoted / max(1, len(words)))]
 
 
 def window(words: Sequence[str], at: int) -> list[str]:
@@ -152,18 +150,21 @@ def in_quotes(words: Sequence[str], at: int) -> bool:
 
 
 def _sample(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
-    """``text, toxic`` of at most ``most`` labelled documents that are not held out."""
+    """``doc_id, text_key, text, toxic`` of at most ``most`` labelled documents that are not held out, each id and text once."""
     ids = labels.where("toxic is not null and doc_id is not null").where(~held_out()).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-    ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    # At most ``most`` rows of two numbers are broadcast.
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id").select("text", "toxic", "doc_id")
+    order = [F.xxhash64("doc_id"), "doc_id"]
+    ids = ids.orderBy(*order).limit(most)
+    text = F.coalesce("text", F.lit(""))
+    # At most ``most`` rows of two numbers are broadcast, also where an id has many texts.
+    rows = cut(docs.select("doc_id", F.xxhash64(text).alias("text_key"), text.alias("text")).join(F.broadcast(ids), "doc_id"))
+    first = rows.select("doc_id", "text_key").distinct().orderBy(F.xxhash64("doc_id", "text_key"), "doc_id", "text_key").limit(most)
+    return rows.join(F.broadcast(first), ["doc_id", "text_key"]).dropDuplicates(["doc_id", "text_key"])
 
 
 def _different(sample: DataFrame) -> DataFrame:
     """The sample with one row of each group of equal or nearly equal texts of one kind: words of a text and its copies are no evidence twice."""
-    keyed = sample.withColumn("text_key", F.xxhash64("text"))
-    found = near_copies.sketches(keyed.select(F.col("doc_id").cast("long").alias("id"), "text_key", F.col("toxic").alias("part"), "text"))
-    rows = found.collect()  # ids and bands of at most MOST_LABELLED documents and rows that repeat their ids
+    found = near_copies.sketches(sample.select(F.col("doc_id").cast("long").alias("id"), "text_key", F.col("toxic").alias("part"), "text"))
+    rows = found.collect()  # ids and bands of at most MOST_LABELLED documents
     kept, holders = [], defaultdict(list)
     for row in sorted(rows, key=lambda r: (r["id"], r["text_key"])):
         shared = Counter(k for band in row["bands"] for k in holders[band])
@@ -172,59 +173,90 @@ def _different(sample: DataFrame) -> DataFrame:
                 holders[band].append(len(kept))
             kept.append((row["id"], row["text_key"]))
     stay = sample.sparkSession.createDataFrame(kept, "doc_id long, text_key long")
-    return keyed.join(F.broadcast(stay), ["doc_id", "text_key"]).dropDuplicates(["doc_id", "text_key"]).select(*sample.columns)
+    return sample.join(F.broadcast(stay), ["doc_id", "text_key"])
 
 
 def _vocabulary(sample: DataFrame) -> DataFrame:
-    """``word, a, b``: number of toxic and of clean documents of the sample with the word."""
+    """``word, a, b``: number of toxic and of clean passages of the sample with the word, one a document at most."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            seen: tuple[Counter, Counter] = (Counter(), Counter())
-            for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                seen[toxic > 0].update({w.strip(_EDGE) for w in text.lower().split()})
-            words = [w for w in seen[0].keys() | seen[1].keys() if w]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(words, pa.string()), *(pa.array([side[w] for w in words], pa.int64()) for side in (seen[1], seen[0]))], ["word", "a", "b"])
+    def passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
 
-    return in_arrow(sample, count, "word string, a long, b long").groupBy("word").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+        for batch in batches:
+            for at in range(0, len(batch), TEXTS):
+                rows: set[tuple[str, int, bool]] = set()
+                some = batch.slice(at, TEXTS)
+                for text, toxic in zip(some.column(0).to_pylist(), some.column(1).to_pylist()):
+                    words = text.lower().split()
+                    first: dict[str, int] = {}
+                    for i, w in enumerate(words):
+                        first.setdefault(w.strip(_EDGE), i)
+                    first.pop("", None)
+                    rows.update((w, xxhash.xxh3_64_intdigest(" ".join(words[max(0, i - PASSAGE):i + PASSAGE + 1])) >> 1, toxic > 0) for w, i in first.items())
+                words, places, kinds = zip(*rows) if rows else ((), (), ())
+                yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(places, pa.int64()), pa.array(kinds, pa.bool_())], ["word", "place", "toxic"])
+
+    each = in_arrow(sample.select("text", "toxic"), passages, "word string, place long, toxic boolean").distinct()
+    toxic = F.col("toxic").cast("long")
+    return each.groupBy("word").agg(F.sum(toxic).alias("a"), F.sum(1 - toxic).alias("b"))
+
+
+def _stands_out(a: Column, b: Column, n1: int, n0: int, bar: float) -> Column:
+    """Whether counts ``a`` of ``n1`` are larger than ``b`` of ``n0`` by a likelihood ratio over ``bar``."""
+    def term(x: Column, n: int, p: Column) -> Column:
+        return F.when(x > 0, x * F.log(p)).otherwise(0.0) + F.when(x < n, (n - x) * F.log(1 - p)).otherwise(0.0)
+
+    p = (a + b) / F.lit(float(n1 + n0))
+    ratio = 2 * (term(a, n1, a / float(n1)) + term(b, n0, b / float(n0)) - term(a, n1, p) - term(b, n0, p))
+    return (a * n0 > b * n1) & (ratio > bar)
 
 
 def _lexicon(words: DataFrame, n1: int, n0: int) -> dict[str, float]:
     stems = words.where("length(word) > 4").select("a", "b", F.explode(F.expr("transform(sequence(4, least(8, length(word) - 1)), n -> concat(left(word, n), '*'))")).alias("word"))
     stems = stems.groupBy("word").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.count("*").alias("forms")).where("forms > 2")
     both = words.where("length(word) > 2").select("word", "a", "b").unionByName(stems.select("word", "a", "b"))
-    likely = both.where(F.col("a") * n0 > TIMES * F.col("b") * n1).where("a > 2").orderBy(F.desc(F.col("a") - F.col("b")), "word").limit(4 * MOST_TERMS).collect()
-    # A word must stand out among as many words as there are.
+    both = both.select("word", F.least("a", F.lit(n1)).alias("a"), F.least("b", F.lit(n0)).alias("b"))
+    # A word must stand out among as many words as there are; that alone bounds how many do.
     bar = 2 * math.log(max(2, words.count())) + 6
-    ratio = {r["word"]: likelihood_ratio(min(r["a"], n1), min(r["b"], n0), n1, n0) for r in likely}
-    value = {r["word"]: weight(r["a"], r["b"], n1, n0) for r in likely if ratio[r["word"]] > bar}
+    likely = both.where(F.col("a") * n0 > TIMES * F.col("b") * n1).where("a > 2").where(_stands_out(F.col("a"), F.col("b"), n1, n0, bar)).collect()
+    ratio = {r["word"]: likelihood_ratio(r["a"], r["b"], n1, n0) for r in likely}
     chosen: dict[str, float] = {}
+    value = {r["word"]: weight(r["a"], r["b"], n1, n0) for r in likely}
+    alone = sorted(w for w in value if w[-1] != "*")
     for word in sorted(value, key=lambda w: (-ratio[w], -len(w), w)):
         if word[-1] == "*":
-            own = [ratio[w] for w in value if w[-1] != "*" and w.startswith(word[:-1])]
-            nested = any(c[-1] == "*" and (c.startswith(word[:-1]) or word.startswith(c[:-1])) for c in chosen)
+            own = [ratio[w] for w in alone[bisect_left(alone, word[:-1]):bisect_left(alone, word[:-1] + "\U0010ffff")]]
+            nested = any(word[:n] + "*" in chosen for n in range(4, len(word) - 1)) or any(c[-1] == "*" and c.startswith(word[:-1]) for c in chosen)
             if nested or ratio[word] < 1.5 * max(own, default=0):
                 continue
         chosen[word] = value[word]
     # Words of a stem are terms beside it: a stem has no near forms, its words have.
-    return dict(list(chosen.items())[:MOST_TERMS])
+    return chosen
 
 
 def _forms(words: DataFrame, model: ToxicityModel, n1: int, n0: int) -> None:
-    """Weights of the near forms that the sample shows, and of those it does not show."""
+    """Weights of near forms that the sample shows more than twice, and the terms whose rarer near forms count."""
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = model.automaton()
         for batch in batches:
-            yield batch.filter(pa.array([(hit := automaton.find(w)) is not None and hit[1] > 0 for w in batch.column(0).to_pylist()], pa.bool_()))
-
-    found = in_arrow(words.select("word", "a", "b"), near, "word string, a long, b long").orderBy(F.desc(F.col("a") + F.col("b")), "word").limit(MOST_FORMS).collect()
-    # One or two sightings say little of a form; it counts like one that was not seen.
-    model.forms = {r["word"]: weight(r["a"], r["b"], n1, n0) for r in found if r["a"] + r["b"] > 2}
-    # Rare forms tell best how unknown ones do, else all forms, else they count as misspelt terms.
-    like = [(r["a"], r["b"]) for r in found if r["a"] + r["b"] <= 2] or [(r["a"], r["b"]) for r in found]
-    model.unseen = weight(sum(a for a, _ in like), sum(b for _, b in like) + 1, n1, n0) if like else MISSPELT
+            hits = [automaton.find(w) for w in batch.column(0).to_pylist()]
+            keep = pa.array([hit is not None and hit[1] > 0 for hit in hits], pa.bool_())
+            found = batch.filter(keep)
+            yield pa.RecordBatch.from_arrays([*found.columns, pa.array([hit[0] for hit in hits if hit is not None and hit[1] > 0], pa.string())], ["word", "a", "b", "term"])
+
+    found = cut(in_arrow(words.select("word", "a", "b"), near, "word string, a long, b long, term string"))
+    model.forms = {r["word"]: weight(r["a"], r["b"], n1, n0) for r in found.where("a + b > 2").collect()}
+    # One or two sightings say little of a form, but all such forms of a term together say what words near it are.
+    rare = {r["term"]: (r["a"], r["b"]) for r in found.where("a + b <= 2").groupBy("term").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).collect()}
+    terms = [t for t in model.weights if t[-1] != "*"]
+    uses = {r["word"]: r["a"] for r in words.join(F.broadcast(words.sparkSession.createDataFrame([(t,) for t in terms], "word string")), "word").collect()}
+    loose = set()
+    for term in terms:
+        a, b = rare.get(term, (0, 0))
+        if math.log((MISSPELT * uses[term] + a) / (n1 + 1)) - math.log((b + 0.5) / (n0 + 1)) > NEAR:
+            loose.add(term)
+    model.loose = frozenset(loose)
 
 
 def _context(sample: DataFrame, model: ToxicityModel, n1: int, n0: int) -> dict[str, float]:
@@ -232,19 +264,20 @@ def _context(sample: DataFrame, model: ToxicityModel, n1: int, n0: int) -> dict[
         matcher = Matcher(model)
         for batch in batches:
             rows = Counter()
-            for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                words, matches = matcher.matches(text)
-                rows.update((w, toxic) for w in {x.strip(_EDGE) for at, _, _ in matches for x in window(words, at)} if w)
+            for text, toxic in zip(batch.column(0), batch.column(1).to_pylist()):
+                words, matches = matcher.matches(text.as_py())
+                rows.update((w, toxic) for w in {x.strip(_EDGE) for at, _ in matches for x in window(words, at)} if w)
             out = list(rows.items())
             yield pa.RecordBatch.from_arrays(
                 [pa.array([k[0] for k, _ in out], pa.string()), pa.array([v * (k[1] > 0) for k, v in out], pa.int64()), pa.array([v * (k[1] == 0) for k, v in out], pa.int64())],
                 ["word", "a", "b"])
 
-    found = in_arrow(sample, around, "word string, a long, b long").groupBy("word").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    found = in_arrow(sample.select("text", "toxic"), around, "word string, a long, b long").groupBy("word").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     # Words of harmless matches: the more often beside clean matches, the less a match beside them says.
-    harmless = found.where("b >= 5").orderBy(F.desc("b"), "word").limit(4 * MOST_CONTEXT).collect()
-    ranked = sorted((weight(r["a"], r["b"], n1, n0), r["word"]) for r in harmless if likelihood_ratio(min(r["b"], n0), min(r["a"], n1), n0, n1) > 25)
-    return {w: v for v, w in ranked[:MOST_CONTEXT] if v < 0 and w not in model.weights}
+    a, b = F.least("a", F.lit(n1)), F.least("b", F.lit(n0))
+    harmless = found.where("b >= 5").where(_stands_out(b, a, n0, n1, 25.0)).collect()
+    ranked = {r["word"]: weight(r["a"], r["b"], n1, n0) for r in harmless}
+    return {w: v for w, v in ranked.items() if v < 0 and w not in model.weights}
 
 
 def _features(sample: DataFrame, model: ToxicityModel) -> tuple[np.ndarray, np.ndarray]:
@@ -253,11 +286,11 @@ def _features(sample: DataFrame, model: ToxicityModel) -> tuple[np.ndarray, np.n
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(model)
         for batch in batches:
-            values = np.array([matcher.features(t) for t in batch.column(0).to_pylist()], dtype=float).reshape(-1, FEATURES)
+            values = np.array([matcher.features(t.as_py()) for t in batch.column(0)], dtype=float).reshape(-1, FEATURES)
             yield pa.RecordBatch.from_arrays([*(pa.array(values[:, i]) for i in range(FEATURES)), batch.column(1)], [*names, "toxic"])
 
     schema = ", ".join(f"{n} double" for n in names) + ", toxic int"
-    grouped = in_arrow(sample, compute, schema).groupBy(*names, "toxic").count().collect()  # at most one row per sampled document
+    grouped = in_arrow(sample.select("text", "toxic"), compute, schema).groupBy(*names, "toxic").count().collect()  # at most one row per sampled document
     rows = np.array([[r[n] for n in names] for r in grouped], dtype=float).reshape(-1, FEATURES)
     return np.repeat(rows, [r["count"] for r in grouped], axis=0), np.repeat([float(r["toxic"] > 0) for r in grouped], [r["count"] for r in grouped])
 
@@ -297,18 +330,8 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Toxi
     return model
 
 
-_matchers: dict[bytes, Matcher] = {}
-
-
-def _matcher(key: bytes, model: ToxicityModel) -> Matcher:
-    if key not in _matchers:
-        _matchers.clear()
-        _matchers[key] = Matcher(model)
-    return _matchers[key]
-
-
 def _scores(model: ToxicityModel, key: bytes, texts: pa.Array) -> np.ndarray:
-    matcher = _matcher(key, model)
+    matcher = held(("matcher", key), lambda: Matcher(model))
     features = [matcher.features(t or "") for at in range(0, len(texts), TEXTS) for t in texts.slice(at, TEXTS).to_pylist()]
     return model.probability(np.array(features, dtype=float).reshape(-1, FEATURES))
 
@@ -333,11 +356,14 @@ def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, model: ToxicityModel, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that the model does not call toxic, with the columns of ``docs``."""
-    key, at = _key(), docs.columns.index(text_col)
+    """The rows of ``docs`` that the model does not call toxic, with the columns of ``docs``. Only texts go to Python, only scores come back."""
+    key = _key()
 
-    def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array(_scores(model, key, batch.column(at)) < 0.5))
+    def compute(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            yield pa.array(_scores(model, key, texts))
 
-    return in_arrow(docs, compute, docs.schema)
+    compute.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    ship_package(docs.sparkSession)
+    toxic = F.arrow_udf(compute, "double")
+    return docs.where(toxic(F.col(text_col).cast("string")) < 0.5)
