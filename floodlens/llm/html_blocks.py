@@ -18,8 +18,19 @@ CLOSES = {  # a start tag ends an open element of these kinds, up to the nearest
     "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",),
 }
 CONTAINERS = frozenset("article aside body div dl fieldset footer form header html main nav ol section table ul".split())
+HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())  # what a head may hold
+CLOSED_HOLDERS = frozenset("svg math select option".split())  # a block of text ends these
+FLOW = CONTAINERS | frozenset("address blockquote center dd details dialog dt figure h1 h2 h3 h4 h5 h6 hr li p pre td th tr".split())
+MAIN = frozenset("body main article".split())  # these end every silent element but a template
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$)", re.S)
+# Words that class names are often joined from.
+NAME_WORDS = (
+    "advert article banner breadcrumb comment consent content cookie discussion entry feedback footer header masthead navigation newsletter "
+    "pagination popup promo recommend related reply response respond share sidebar social sponsor story subscribe widget".split())
+
+# A value is quoted as a whole or ends at white space; quotes elsewhere are ordinary characters.
+_VALUE = r"\"[^\"]*(?:\"|$)|'[^']*(?:'|$)|[^\s>\"'][^\s>]*+"
+_TOKEN = re.compile(rf"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>=]|=\s*+(?:{_VALUE})?)*+)(?:>|$)", re.S)
 _NAMED = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^\s>]+))", re.I | re.S)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 _WHITE = re.compile(r"\s+")
@@ -38,7 +49,21 @@ def _names(attributes: str) -> frozenset[str]:
     if "=" not in attributes:
         return frozenset()
     found = (v for _, a, b, c in _NAMED.findall(attributes) for v in (a or b or c,))
-    return frozenset(p.lower() for v in found for p in _PART.findall(v) if not p.isdigit())
+    parts = {p.lower() for v in found for p in _PART.findall(v) if not p.isdigit()}
+    # Of words written as one, those that are known; the plural counts as the word itself.
+    return frozenset(parts | {w for p in parts for w in NAME_WORDS if p != w and p != w + "s" and (p.startswith(w) or p.endswith((w, w + "s")))})
+
+
+class _LastEnd:
+    """Where the last end tag of a name begins in a page, -1 if it has none."""
+
+    def __init__(self, page: str) -> None:
+        self.page, self.found = page, {}
+
+    def of(self, name: str) -> int:
+        if name not in self.found:
+            self.found[name] = max((m.start() for m in re.finditer(rf"</{name}(?![a-zA-Z0-9:-])", self.page, re.I)), default=-1)
+        return self.found[name]
 
 
 def blocks(page: str | None) -> Iterator[Block]:
@@ -47,6 +72,7 @@ def blocks(page: str | None) -> Iterator[Block]:
     if not page:
         return
     stack: list[tuple[str, frozenset[str]]] = []
+    last_end = _LastEnd(page)
     parts: list[str] = []
     link_chars = 0
     links = silent = 0
@@ -73,6 +99,8 @@ def blocks(page: str | None) -> Iterator[Block]:
     while at < end:
         tag = _TOKEN.search(page, at)
         text = page[at:tag.start() if tag else end]
+        if silent and stack and stack[-1][0] == "head" and text.strip():
+            pop_to(len(stack) - 1)  # a head holds no text
         if text and not silent:
             parts.append(text)
             link_chars += len(text) if links else 0
@@ -97,6 +125,12 @@ def blocks(page: str | None) -> Iterator[Block]:
             if place >= 0:
                 pop_to(place)
             continue
+        if silent:
+            for i, (holder, _) in enumerate(stack):
+                over = name not in HEAD if holder == "head" else name in FLOW if holder in CLOSED_HOLDERS else name in MAIN and holder in SILENT and holder != "template"
+                if over:
+                    pop_to(i)
+                    break
         if name not in INLINE:
             yield from flush()
             ends = CLOSES.get(name, ())
@@ -107,6 +141,10 @@ def blocks(page: str | None) -> Iterator[Block]:
                     break
         if tag[3].rstrip().endswith("/") and name in SILENT:
             continue
+        if name in SILENT and name not in RAW and name not in CLOSED_HOLDERS and name != "head" and last_end.of(name) < at:
+            if name != "button":
+                continue  # never closed: what follows is not its content
+            name = "option"  # its label goes on to the next block
         if name in RAW:
             close = re.compile(rf"</{name}\s*>", re.I).search(page, at)
             at = close.end() if close else end

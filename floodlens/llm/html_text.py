@@ -199,9 +199,30 @@ class _Layout:
                 self.labels.append(False)
         self.out.append(f"</{tag}>")
 
+    def comments(self) -> None:
+        """A list of what readers wrote, with their names and dates."""
+        rng = self.rng
+        tag, item = rng.choice([("ol", "li"), ("ul", "li"), ("div", "div"), ("section", "article")])
+        name = rng.choice(["commentlist", "comment-list", "comments", "commentsArea", "comment-thread", "replies", "discussion_thread"])
+        self.out.append(f"<{tag} {rng.choice(['class', 'id'])}={name}>" if rng.random() < 0.3 else f'<{tag} class="{name}">')
+        for _ in range(rng.randint(1, 5)):
+            self.out.append(f"<{item}" + rng.choice(["", ' class="comment"', f' class="comment depth-{rng.randint(1, 4)}"', " id=reply-1"]) + ">")
+            if rng.random() < 0.6:
+                self.put(rng.choice(["cite", "span", "p", "h4", "div"]), self.some(1, 3), False)
+                if self.out[-1].startswith(("<cite", "<span")):  # runs on into the text
+                    self.labels.pop()
+            self.put(rng.choice(["p", "p", "div"]) if rng.random() < 0.8 or self.out[-1].startswith(("<cite", "<span")) else "p", self.some(3, 60, rng.choice([".", "!", ""])), False)
+            if self.out[-2].startswith(("<cite", "<span")):
+                self.labels.append(False)
+            self.out.append(f"</{item}>" if item != "li" or rng.random() < 0.7 else "")
+        self.out.append(f"</{tag}>")
+
     def build(self) -> str:
         rng = self.rng
-        self.out.append('<!DOCTYPE html><html><head><meta charset="utf-8"><title>' + self.some(2, 9) + '</title><style>p{}</style><script>var t="</p>";</script></head><body>')
+        self.out.append('<!DOCTYPE html><html><head><meta charset="utf-8"><title>' + self.some(2, 9) + '</title><style>p{}</style><script>var t="</p>";</script>')
+        self.out.append(rng.choices(["</head><body>", "<body>", "</head>", ""], [7, 1, 1, 1])[0])
+        if rng.random() < 0.05:
+            self.out.append(rng.choice(["<object data=x>", "<p title=it's>", "<svg>", '<select name="a">']))
         for kind in rng.sample(["nav", "header", "div", "div", "form"], rng.randint(0, 3)):
             self.apart(kind)
         around = [f'<div class="{rng.choice(NEUTRAL)}{rng.choice(["", "-fluid", " main"])}">' for _ in range(rng.choice([0, 0, 0, 1, 2]))]
@@ -222,10 +243,14 @@ class _Layout:
                 self.apart(rng.choice(["div", "div", "div", "aside", "section", "form"]))
         if rng.random() < 0.3:
             self.apart(rng.choice(["div", "aside", "section", "footer"]))
+        if rng.random() < 0.15:
+            self.comments()
         if rng.random() < 0.9:
             self.out.append(closed)
         if rng.random() < 0.1:
             self.put("p", f"&copy; {self.some(1, 8)}", False)
+        if rng.random() < 0.15:
+            self.comments()
         if around and rng.random() < 0.7:
             self.apart(rng.choice(["aside", "div", "section"]))
         self.out += ["</div>"] * len(around)

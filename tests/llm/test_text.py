@@ -252,3 +252,39 @@ def test_sample_is_bounded_where_ids_repeat(spark):
     sample = toxicity._sample(docs, labels, 30)
     assert sample.count() == sample.select("doc_id", "text").distinct().count() == 30
     assert set(toxicity._sample(docs, labels, 1_000).columns) == {"doc_id", "text_key", "text", "toxic"}
+
+
+WANT = ["Head line here", *PROSE]
+#: Beginnings and ends of pages that browsers forgive; none hides the article or shows anything else.
+BEGINS = ["<html><head><title>T</title></head><body>", "<html><head><title>T</title><body>", "<head><title>T</title><meta name=x>", "<title>T</title>",
+          "<html><head><title>T</title><body class=it's>"]
+SHAPES = ["<object data=a>", "<div title=it's>", "<svg><path d='m'>", "<video src=a>", "<select><option>one<option>two", "<button>press", "<canvas id=c>", "<math>",
+          "<audio controls>", '<a href=x"y></a>', "<template>", ""]
+
+
+@pytest.mark.parametrize("shape", SHAPES)
+def test_articles_behind_tags_left_open(shape):
+    for begin in BEGINS:
+        for comments in ("", f'<ol class="commentlist"><li>{NOISE}</li><li><p>{NOISE}</p></ol>', f"<ul id=commentsArea><li>{NOISE}<li>{NOISE}</ul>"):
+            for page in (f"{begin}{shape}<article>{STORY}{comments}</article>", f"{begin}{shape}<main>{STORY}</main>{comments}</body></html>"):
+                assert html_text.trained().main_text(page).split("\n\n") == WANT, page
+
+
+def test_silent_elements_that_are_closed_stay_silent():
+    page = f"<body><template><article>{STORY}</article></template><object><p>{NOISE}</p></object><button><div>press</div></button><select><option>a</select><article>{STORY}</article>"
+    assert html_text.trained().main_text(page).split("\n\n") == WANT
+
+
+def test_held_out_layouts():
+    right = total = 0
+    for page, labels in html_text.labelled_pages(300, seed=7):
+        found = list(blocks(page))
+        assert len(found) == len(labels)
+        decoded = html_text.trained().decode(found)
+        right, total = right + sum(a == b for a, b in zip(decoded, labels)), total + len(labels)
+    assert right >= 0.995 * total
+
+
+def test_names_written_as_one():
+    names = next(blocks('<div class="commentlist sidebarLeft relatedposts"><p>x</p></div>')).names
+    assert {"comment", "commentlist", "sidebar", "related"} <= names
