@@ -76,10 +76,23 @@ def test_index_takes_batches(spark):
     index.append(table(spark, []))
     rows = {r.text_sha256: (r.keep_id, r.group_size) for r in index.decide(table(spark, [(10, "a"), (11, "c"), (12, "")])).collect()}
     sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
-    assert rows == {sha("a"): (9, 2), sha("c"): (11, 1), sha(""): (12, 1)}
+    assert rows == {sha("a"): (10, 3), sha("c"): (11, 1), sha(""): (12, 1)}  # counts and ids of the later batch too
     again = exact_dedup.DigestIndex(spark, index.path, index.name, buckets=3)
-    again.append(table(spark, [(13, "d"), (14, "b")]))
-    assert again.entries().count() == 5
+    for _ in range(2):  # the same batch twice, as after a failure, counts once
+        again.append(table(spark, [(13, "d"), (14, "b"), (1, "a")]), batch="third")
+    entries = {r.keep_id: r.group_size for r in again.entries().collect()}
+    assert entries == {10: 4, 11: 1, 12: 1, 13: 1, 14: 2}
+    # The anti-join left out what the index knew: one row per digest.
+    assert spark.table(index.name).count() == spark.table(index.name).select("digest").distinct().count() == 5
+
+
+def test_batches_decide_like_one(spark):
+    rng = random.Random(3)
+    rows = [(rng.choice([None, *range(60)]), rng.choice(["x", "y", "", None, *(f"t{i}" for i in range(30))])) for _ in range(150)]
+    one, many = (sorted(map(repr, exact_dedup.exact_dedup(table(spark, rows), batches=n).collect())) for n in (1, 4))
+    assert one == many
+    kept = [sorted(((r.doc_id, r.text or "") for r in exact_dedup.drop_exact_copies(table(spark, rows), batches=n).collect()), key=repr) for n in (1, 4)]
+    assert kept[0] == kept[1] and len(kept[0]) == len({t or "" for _, t in rows})
 
 
 def slow_fingerprint(text):
