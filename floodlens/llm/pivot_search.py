@@ -5,14 +5,16 @@ Whole-number vectors x are lifted by one coordinate, sqrt(M - |x|^2) with M the
 vector is keyed by its nearest pivot and its distance from it. Keys are gathered into annuli, runs of distances around one
 pivot, cut into blocks of about ``BLOCK_ROWS`` vectors.
 
-A query first searches the block that its distances to the pivots bound best. The k-th score found gives a radius; by the
-triangle inequality an annulus [a, b] around a pivot at distance d from the query holds nothing nearer than max(d - b, a - d),
-so of all annuli, sorted by that bound, the query goes on only to those within its radius. Products are whole numbers,
-computed exactly. Queries meet blocks in groups of bounded size on both sides.
+By the triangle inequality an annulus [a, b] around a pivot at distance d from the query holds nothing nearer than
+max(d - b, a - d). A query walks the annuli in the order of that bound, in rounds of one, four, sixteen and so on; the k-th
+score found so far gives a radius, which shrinks from round to round, and the walk ends at the first bound beyond it. Products
+are whole numbers, computed exactly: in doubles where they stay below 2**53, else as whole numbers of any size. Queries meet
+blocks in groups of bounded size on both sides.
 
 Defined results: vectors that are null, empty or hold null or non-finite components take no part, nor does a row without id;
 shorter vectors count as ending in zeros; rows that repeat an id are candidates of their own, but never of a query of that
-id, and such a query is answered once; ties go to the smaller id; an empty table gives no row.
+id, and such a query is answered once; ties go to the smaller id; components and scores beyond a long count as its ends; an
+empty table gives no row.
 """
 
 from __future__ import annotations
@@ -38,6 +40,9 @@ SAMPLE, PIVOTS, ROUNDS = 4_000, 32, 5
 STEPS = 256
 BLOCK_ROWS = 2_048
 QUERY_ROWS = 512
+#: Annuli of a round, as a multiple of those of the round before.
+GROWTH = 4
+_LOW, _HIGH = -(1 << 63), (1 << 63) - 1
 _FOUND = "query_id long, vec_id long, score long"
 
 
@@ -46,11 +51,14 @@ def whole_numbers(vectors: DataFrame, id_col: str, vector_col: str, scale: int =
     v = F.col(vector_col)
     finite = F.forall(v, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c.cast("double")) < F.lit(math.inf)))
     taken = vectors.where(F.col(id_col).isNotNull() & v.isNotNull() & (F.size(v) > 0) & finite)
-    return taken.select(F.col(id_col).cast("long").alias("vec_id"), F.transform(v, lambda c: F.floor(c.cast("double") * scale).cast("long")).alias("x"))
+    def whole(c: Column) -> Column:
+        return F.floor(F.greatest(F.least(c.cast("double") * scale, F.lit(float(_HIGH))), F.lit(float(_LOW)))).cast("long")
 
+    return taken.select(F.col(id_col).cast("long").alias("vec_id"), F.transform(v, whole).alias("x"))
 
-def _matrix(column: pa.ListArray | pa.ChunkedArray | pd.Series, width: int) -> np.ndarray:
-    """Rows of whole numbers as doubles, zeros after their end. Products stay exact below 2**53."""
+
+def _matrix(column: pa.ListArray | pa.ChunkedArray | pd.Series, width: int, kind: type = np.float64) -> np.ndarray:
+    """Rows of whole numbers, zeros after their end."""
     if isinstance(column, pd.Series):
         lengths = column.map(len).to_numpy(dtype=np.int64)
         flat = np.concatenate(column.to_list()) if len(column) else np.empty(0)
@@ -58,8 +66,8 @@ def _matrix(column: pa.ListArray | pa.ChunkedArray | pd.Series, width: int) -> n
         lengths = np.diff(column.offsets.to_numpy())
         flat = column.flatten().to_numpy()
     if len(lengths) and (lengths == width).all():
-        return flat.reshape(-1, width).astype(np.float64)
-    out = np.zeros((len(lengths), width))
+        return flat.reshape(-1, width).astype(kind)
+    out = np.zeros((len(lengths), width), dtype=kind)
     out[np.arange(width) < lengths[:, None]] = flat
     return out
 
@@ -77,6 +85,15 @@ def fit_pivots(sample: np.ndarray, pivots: int = PIVOTS, rounds: int = ROUNDS) -
     return centres
 
 
+def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Inner products of all rows of two whole-number matrices, as longs."""
+    most = [max(map(abs, (int(x.min()), int(x.max())))) if x.size else 0 for x in (a, b)]
+    if most[0] * most[1] * a.shape[1] < 1 << 53:
+        return (a.astype(np.float64) @ b.T.astype(np.float64)).astype(np.int64)
+    wide = a.astype(object) @ b.T.astype(object)
+    return np.clip(wide, _LOW, _HIGH).astype(np.int64)
+
+
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum((a**2).sum(axis=1)[:, None] + (b**2).sum(axis=1) - 2 * a @ b.T, 0))
 
@@ -88,7 +105,7 @@ def _best(products: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
         at = np.flatnonzero(products >= bar)
     else:
         at = np.arange(len(products))
-    return at[np.lexsort((ids[at], -products[at]))[:k]]
+    return at[np.lexsort((ids[at], np.invert(products[at])))[:k]]  # ~s falls as s rises, also at the ends of a long
 
 
 class PivotIndex:
@@ -96,7 +113,7 @@ class PivotIndex:
 
     def __init__(self, vectors: DataFrame, pivots: int = PIVOTS) -> None:
         vectors = cut(vectors)
-        shape = vectors.agg(F.max(F.size("x")), F.max(F.aggregate("x", F.lit(0).cast("long"), lambda s, c: s + c * c)), F.count("*")).first()
+        shape = vectors.agg(F.max(F.size("x")), F.max(F.aggregate("x", F.lit(0.0), lambda s, c: s + c.cast("double") * c.cast("double"))), F.count("*")).first()
         self.width, self.longest, self.rows = shape[0] or 0, float(shape[1] or 0), shape[2]
         if not self.rows:
             return
@@ -139,12 +156,12 @@ class PivotIndex:
 
     def _bounds(self) -> Callable[[np.ndarray], np.ndarray]:
         """A function that gives, for each query and annulus, a distance that no vector of the annulus is below."""
-        pivots, own = self.pivots, self.annuli["pivot"].to_numpy()
+        pivots, own, margin = self.pivots, self.annuli["pivot"].to_numpy(), 1 + math.sqrt(self.longest)
         low, high = self.annuli["low"].to_numpy() * self.step, self.annuli["high"].to_numpy() * self.step
 
         def bounds(queries: np.ndarray) -> np.ndarray:
             distance = _distances(np.hstack([queries, np.zeros((len(queries), 1))]), pivots)[:, own]
-            return np.maximum(np.maximum(distance - high, low - distance), 0) - 1e-6 * (1 + distance)
+            return np.maximum(np.maximum(distance - high, low - distance), 0) - 1e-6 * (margin + distance)
 
         return bounds
 
@@ -169,11 +186,11 @@ class PivotIndex:
         def search(sent: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
             ids, out = block["vec_id"].to_numpy(), []
             if len(ids) and len(sent):
-                products = _matrix(sent["x"], width) @ _matrix(block["x_"], width).T
-                for query, row in zip(sent["query_id"], products):
+                scores = products(_matrix(sent["x"], width, np.int64), _matrix(block["x_"], width, np.int64))
+                for query, row in zip(sent["query_id"], scores):
                     others = np.flatnonzero(ids != query)
                     at = others[_best(row[others], ids[others], k)]
-                    out.append(pd.DataFrame({"query_id": query, "vec_id": ids[at], "score": row[at].astype(np.int64)}))
+                    out.append(pd.DataFrame({"query_id": query, "vec_id": ids[at], "score": row[at]}))
             return pd.concat(out) if out else pd.DataFrame({n: pd.Series(dtype="int64") for n in ("query_id", "vec_id", "score")})
 
         return sent.groupBy("annulus", "cut", "queries").cogroup(blocks.groupBy("annulus_", "cut_", "queries_")).applyInPandas(search, _FOUND)
@@ -189,36 +206,46 @@ class PivotIndex:
         width, bounds, longest = self.width, self._bounds(), self.longest
         enough = self.annuli["n"].to_numpy() > k
 
-        def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            """Each query with the annulus of the least bound that has candidates enough, or else the least bound of all."""
-            for batch in batches:
-                bound = bounds(_matrix(batch.column(1), width))
-                at = np.where(enough, bound, np.inf if enough.any() else bound).argmin(axis=1)
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at.astype(np.int32))], ["query_id", "x", "queries", "annulus"])
-
-        def further(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            """Each query with every other annulus within the radius that its k-th score leaves."""
-            for batch in batches:
-                x = _matrix(batch.column(1), width)
-                bound = bounds(x)
-                kth = batch.column(4).fill_null(0).to_numpy(zero_copy_only=False)
-                missing = batch.column(4).is_null().to_numpy(zero_copy_only=False)
-                radius = np.sqrt(np.maximum((x**2).sum(axis=1) + longest - 2 * kth.astype(float), 0))
-                go = (bound <= radius[:, None]) | missing[:, None]
-                go[np.arange(len(x)), batch.column(3).to_numpy()] = False
-                row, annulus = np.nonzero(go)
-                row = pa.array(row)
-                yield pa.RecordBatch.from_arrays([*(batch.column(i).take(row) for i in range(3)), pa.array(annulus.astype(np.int32))], ["query_id", "x", "queries", "annulus"])
+        def walk(start: int, n: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+            """Each query with the annuli ``start`` to ``start + n`` of its order that its radius reaches."""
+
+            def visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                for batch in batches:
+                    x = _matrix(batch.column(1), width)
+                    bound = bounds(x)
+                    # First the least bound of those with candidates enough, then all others by their bound.
+                    first = np.where(enough, bound, np.inf if enough.any() else bound).argmin(axis=1)
+                    key = bound.copy()
+                    key[np.arange(len(x)), first] = -np.inf
+                    order = key.argsort(axis=1, kind="stable")[:, start:start + n]
+                    kth = batch.column(3).to_numpy(zero_copy_only=False)
+                    # Without k scores so far, or with one at the end of a long, nothing is out of reach.
+                    open_ = np.isnan(kth) | (kth <= float(_LOW))
+                    radius = np.sqrt(np.maximum((x**2).sum(axis=1) + longest - 2 * np.where(open_, 0, kth), 0))
+                    go = (np.take_along_axis(bound, order, axis=1) <= radius[:, None]) | open_[:, None]
+                    row, place = np.nonzero(go)
+                    at = pa.array(row)
+                    yield pa.RecordBatch.from_arrays([*(batch.column(i).take(at) for i in range(3)), pa.array(order[row, place].astype(np.int32))], ["query_id", "x", "queries", "annulus"])
+
+            return visits
 
         schema = "query_id long, x array<long>, queries int, annulus int"
-        begun = cut(in_arrow(queries, nearest, schema))
-        first = cut(self._visit(begun, k))
         order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-        ranked = first.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-        kth = ranked.where(F.col("rank") == k).select("query_id", F.col("score").alias("kth"))
-        rest = self._visit(in_arrow(begun.join(kth, "query_id", "left"), further, schema), k)
-        found = ranked.select("query_id", "vec_id", "score").unionByName(rest)
-        return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        found, start, n = None, 0, 1
+        while start < len(self.annuli):
+            if found is None:
+                state = queries.withColumn("kth", F.lit(None).cast("double"))
+            else:
+                kth = found.where(F.col("rank") == k).select("query_id", F.col("score").cast("double").alias("kth"))
+                state = queries.join(kth, "query_id", "left")
+            visits = cut(in_arrow(state.select("query_id", "x", "queries", "kth"), walk(start, n), schema))
+            if visits.isEmpty():  # every query has met a bound beyond its radius
+                break
+            every = self._visit(visits, k)
+            every = every if found is None else every.unionByName(found.select("query_id", "vec_id", "score"))
+            found = cut(every.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k))
+            start, n = start + n, n * GROWTH
+        return found.select("query_id", "rank", "vec_id", "score")
 
 
 def top_k(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = TOP, scale: int = SCALE) -> DataFrame:

@@ -55,6 +55,30 @@ def test_index_leaves_blocks_out(spark):
     assert (bounds > 1000).mean() > 0.5
 
 
+@pytest.mark.parametrize("size", [3e7, 1e10, 2.0**40, 1e300])
+def test_great_components(spark, size):
+    """Exact beyond what doubles hold; scores beyond a long count as its ends."""
+    rng = np.random.default_rng(2)
+    rows = [(i, (size * np.round(rng.uniform(-1, 1, 4), 6)).tolist(), 0) for i in range(0, 400, 4)] + [(1, [1.0, 2.0, 3.0, 4.0], 0), (2, [size, 0.0, 0.0, 1.0], 0)]
+    have = sorted(map(tuple, pivot_search.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), F.col("vec_id") % 100 == 0).collect()))
+    low, high = -(1 << 63), (1 << 63) - 1
+    clamp = lambda x: max(low, min(high, x))
+    whole = {i: [clamp(math.floor(min(max(1024 * c, float(low)), float(high)))) for c in v] for i, v, _ in rows}
+    want = []
+    for q in (i for i in whole if i % 100 == 0):
+        scored = sorted((-clamp(sum(a * b for a, b in zip(whole[q], y))), i) for i, y in whole.items() if i != q)
+        want += [(q, r, i, -s) for r, (s, i) in enumerate(scored[:10], 1)]
+    assert have == sorted(want)
+
+
+def test_products_equal_whole_numbers():
+    rng = np.random.default_rng(4)
+    for reach in (10, 1 << 20, 1 << 30, 1 << 45, 1 << 62):
+        a, b = rng.integers(-reach, reach, (5, 6)), rng.integers(-reach, reach, (7, 6))
+        clamp = lambda x: max(-(1 << 63), min((1 << 63) - 1, x))
+        assert pivot_search.products(a, b).tolist() == [[clamp(sum(p * q for p, q in zip(x, y))) for y in b.tolist()] for x in a.tolist()]
+
+
 DOCS = "doc_id long, text string, source string"
 
 
