@@ -143,7 +143,7 @@ def with_trees(docs: DataFrame, text_col: str = "text", tree_col: str = "tree",
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoding.encoder(tokenizer)
         for batch in batches:
-            trees = [CountTree.of_text(t or "", encoder) for t in batch.column(at).to_pylist()]
+            trees = [CountTree.of_text(t.as_py() or "", encoder) for t in batch.column(at)]
             yield pa.RecordBatch.from_arrays([*batch.columns, _tree_array(trees)], [*names, tree_col])
 
     return in_arrow(docs, build, StructType([*docs.schema.fields, StructField(tree_col, TREE)]))
@@ -156,7 +156,10 @@ def apply_edits(docs: DataFrame, edits: str | Column, text_col: str = "text", tr
     """
     added = ["n_tokens_before", "n_tokens", "n_encoded"]
     names = [c for c in docs.columns if c not in added]
-    rows = docs.select(*names, (F.col(edits) if isinstance(edits, str) else edits).cast(f"array<{EDIT}>").alias("_edits"))
+    own = "edits"
+    while own in map(str.lower, names):
+        own += "_"
+    rows = docs.select(*names, (F.col(edits) if isinstance(edits, str) else edits).cast(f"array<{EDIT}>").alias(own))
     text_at, tree_at = names.index(text_col), names.index(tree_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -154,6 +154,8 @@ def test_edit_tables(spark):
     twice = edit_counts.apply_edits(once.drop("n_encoded"), "changes").where("doc_id = 2").first()
     assert twice.text == "new" + "new text" + "t" and twice.n_tokens == n(twice.text)
     assert edit_counts.apply_edits(docs.limit(0), "changes").count() == 0
+    clashing = edit_counts.apply_edits(docs.selectExpr("*", "1 as _edits", "2 as EDITS", "3 as edits_"), "changes")
+    assert clashing.count() == docs.count() and {"_edits", "EDITS", "edits_"} <= set(clashing.columns)
 
 
 def test_whole_encodings_count_their_ids():
