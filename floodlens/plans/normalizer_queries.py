@@ -255,21 +255,35 @@ def _posts(spark, sf, lead):
 
 @query("normalize_reservoir_posts", """
     SELECT doc_id, 'Daule-Peripa' AS embalse, 'http://example.com/' || doc_id AS url_fuente, '2024-01-31T10:00:00' AS fecha_noticia,
-           (60 + doc_id % 40 + 0.5e0)::DOUBLE AS nivel_msnm, NULL::DOUBLE AS nivel_maximo_msnm,
-           'El embalse se encuentra en los ' || (60 + doc_id % 40) || ',5 m.s.n.m.' AS descripcion
-    FROM documents WHERE lang <> 'de'""")
+           CASE doc_id % 4 WHEN 0 THEN 60 + doc_id % 40 + 0.5e0 WHEN 1 THEN 60 + doc_id % 40 + 0e0 END AS nivel_msnm,
+           CASE doc_id % 4 WHEN 1 THEN 85.25e0 WHEN 2 THEN 60 + doc_id % 40 + 0.9e0 END AS nivel_maximo_msnm,
+           CASE doc_id % 4 WHEN 0 THEN 'El embalse se encuentra en los ' || (60 + doc_id % 40) || ',5 m.s.n.m.'
+                WHEN 1 THEN 'La cota del embalse se ubica en ' || (60 + doc_id % 40) || ' msnm. Su nivel máximo es 85,25 m.s.n.m.'
+                ELSE 'Embalse: su nivel máximo es ' || (60 + doc_id % 40) || '.9 (m.s.n.m.)' END AS descripcion
+    FROM documents WHERE lang <> 'de' AND doc_id % 4 < 3""")
 def reservoir_posts(spark, sf):
     level = (F.col("doc_id") % 40 + 60).cast("string")
-    lead = F.when(F.col("lang") != "de", F.concat(F.lit("El embalse se encuentra en los "), level, F.lit(",5 m.s.n.m."))).otherwise("Nada")
+    leads = F.array(
+        F.concat(F.lit("El embalse se encuentra en los "), level, F.lit(",5 m.s.n.m.")),
+        F.concat(F.lit("La cota del embalse se ubica en "), level, F.lit(" msnm. Su nivel máximo es 85,25 m.s.n.m.")),
+        F.concat(F.lit("Embalse: su nivel máximo es "), level, F.lit(".9 (m.s.n.m.)")), F.lit("El embalse no tiene novedades"))
+    lead = F.when(F.col("lang") != "de", F.get(leads, (F.col("doc_id") % 4).cast("int"))).otherwise("Nada")
     return n.reservoir_posts(_posts(spark, sf, lead)).drop("fuente")
 
 
 @query("normalize_alert_posts", """
-    SELECT doc_id, 'Daule' AS canton, 'desbordamiento_rio' AS tipo_evento, 'alta' AS severidad, 'Desborde en Daule, alerta naranja' AS descripcion,
-           'http://example.com/' || doc_id AS url_fuente, '2024-01-31T10:00:00' AS hora_evento
-    FROM documents WHERE lang <> 'de'""")
+    SELECT doc_id, canton, tipo_evento, severidad, descripcion, 'http://example.com/' || doc_id AS url_fuente, '2024-01-31T10:00:00' AS hora_evento
+    FROM documents JOIN (VALUES
+      (0, 'Daule', 'desbordamiento_rio', 'alta', 'Desborde en Daule, alerta naranja'), (1, 'Guayaquil', 'inundacion', 'critica', 'Alerta ROJA por inundación en Guayaquil y Daule'),
+      (2, 'Durán', 'colapso_alcantarillado', 'media', 'Colapso de alcantarillado en Durán'), (3, 'El Empalme', 'deslizamiento', 'media', 'El Empalme: deslizamiento, alerta amarilla'),
+      (4, 'Salitre', 'inundacion', 'media', 'Lluvias en SALITRE'), (5, 'Samborondón', 'deslizamiento', 'critica', 'Samborondón: deslizamiento y desborde, alerta roja y naranja'))
+      AS t(k, canton, tipo_evento, severidad, descripcion) ON k = doc_id % 7
+    WHERE lang <> 'de'""")
 def alert_posts(spark, sf):
-    lead = F.when(F.col("lang") != "de", "Desborde en Daule, alerta naranja").otherwise("Nada")
+    leads = F.array(*map(F.lit, (
+        "Desborde en Daule, alerta naranja", "Alerta ROJA por inundación en Guayaquil y Daule", "Colapso de alcantarillado en Durán",
+        "El Empalme: deslizamiento, alerta amarilla", "Lluvias en SALITRE", "Samborondón: deslizamiento y desborde, alerta roja y naranja", "Reunión en Quito")))
+    lead = F.when(F.col("lang") != "de", F.get(leads, (F.col("doc_id") % 7).cast("int"))).otherwise("Nada")
     return n.alert_posts(_posts(spark, sf, lead)).drop("fuente")
 
 

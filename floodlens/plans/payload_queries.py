@@ -11,7 +11,9 @@ from floodlens.operators.partials import RegionPartials
 from floodlens.plans import views as v
 from floodlens.plans.registry import query
 from floodlens.session import shared_dir
-from floodlens.sources.envelopes import from_envelope, to_envelope
+from floodlens.sources.envelopes import from_envelope, to_envelope, write_topic
+from floodlens.sources.sinks import land_raw
+from floodlens.sources.topics import topic_stream
 
 
 @query("zip_arrays", """
@@ -195,12 +197,18 @@ def property_lookup(spark, sf):
            CASE WHEN event_type = 'error' THEN 'sent-' || event_id ELSE '2024-02-01T06:30:00.000000+00:00' END AS ingested_at
     FROM events""")
 def envelope_roundtrip(spark, sf):
+    """Envelopes sent to a topic, consumed from it as a stream, landed and read."""
     records = v.table(spark, sf, "events").select(
         "user_id", "event_id", "value", F.to_date("ts").alias("day"),
         F.when(F.col("event_type") == "error", F.concat(F.lit("sent-"), F.col("event_id").cast("string"))).alias("ingested_at"),
     )
     sent = to_envelope(records, F.lit("2024-02-01 06:30:00").cast("timestamp"), F.col("user_id"))
-    return from_envelope(sent, "event_id BIGINT, value DOUBLE, day STRING, ingested_at STRING")
+    base, topic = shared_dir(spark, "envelopes"), "mareas-inocar"
+    write_topic(sent, topic, path=f"{base}/topic")
+    stream = topic_stream(spark, [topic], path=f"{base}/topic", keep=["key"])
+    land_raw(stream, f"{base}/raw", f"{base}/_checkpoint", once=True).awaitTermination()
+    landed = spark.read.parquet(f"{base}/raw").select(F.col("key").cast("string").alias("key"), F.col("json_str").alias("value"))
+    return from_envelope(landed, "event_id BIGINT, value DOUBLE, day STRING, ingested_at STRING")
 
 
 @query("region_partials_two_loads", v.with_sql(v.GRID_SQL, v.REGIONS_SQL, body="""

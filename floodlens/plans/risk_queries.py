@@ -45,28 +45,28 @@ RISK_CURRENT_SQL = v.with_sql(
 @query("risk_current", RISK_CURRENT_SQL)
 def risk_current(spark, sf):
     """Risk now, for every zone, from the newest reading of each source."""
-    scored = scoring.score_zones(v.zones(spark, sf), scoring.current_conditions(v.raw(spark, sf)))
+    scored = scoring.score_zones(v.zones(spark, sf), scoring.current_conditions(v.landed_raw(spark, sf)))
     return scored.withColumn("as_of", v.ntz("as_of"))
 
 
 @query("current_conditions", v.with_sql(
     v.RAW_SQL, v.LATEST_SQL, v.CONDITIONS_SQL, body="SELECT rain_mm, tide_m, flow_m3s, as_of FROM conditions"))
 def current_conditions(spark, sf):
-    row = scoring.current_conditions(v.raw(spark, sf))
+    row = scoring.current_conditions(v.landed_raw(spark, sf))
     return row.select("rain_mm", "tide_m", "flow_m3s", v.ntz("as_of").alias("as_of"))
 
 
 @query("latest_payload_by_source", v.with_sql(
     v.RAW_SQL, v.LATEST_SQL, body="SELECT source, kafka_timestamp, json_str FROM latest"))
 def latest_payload_by_source(spark, sf):
-    rows = latest.latest_payload(v.raw(spark, sf), sorted(TOPIC_SOURCES.values()))
+    rows = latest.latest_payload(v.landed_raw(spark, sf), sorted(TOPIC_SOURCES.values()))
     return rows.select("source", v.ntz("kafka_timestamp").alias("kafka_timestamp"), "json_str")
 
 
 @query("latest_payload_unwrapped", v.with_sql(v.RAW_SQL, v.LATEST_SQL, body="""
     SELECT source, coalesce(CAST(json_extract(json_str, '$.data') AS VARCHAR), json_str) AS json_str FROM latest"""))
 def latest_payload_unwrapped(spark, sf):
-    rows = latest.latest_payload(v.raw(spark, sf), sorted(TOPIC_SOURCES.values()), unwrap=True)
+    rows = latest.latest_payload(v.landed_raw(spark, sf), sorted(TOPIC_SOURCES.values()), unwrap=True)
     return rows.select("source", "json_str")
 
 

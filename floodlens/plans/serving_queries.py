@@ -8,7 +8,6 @@ from floodlens.functions.risk import LEVELS
 from floodlens.operators import latest
 from floodlens.plans import views as v
 from floodlens.plans.registry import query
-from floodlens.session import shared_dir
 
 DOMAINS = {"risk_level": LEVELS}
 _SNAP = (v.ZONES_SQL, v.SNAPSHOTS_SQL)
@@ -27,7 +26,7 @@ def _last(c: str) -> str:
            (SELECT max(computed_at) FROM newest) AS updated_at
     FROM vals LEFT JOIN zones z ON z.zone_id = vals.zone_id"""))
 def latest_risk_by_zone(spark, sf):
-    rows = latest.latest_risk(v.snapshots(spark, sf), v.zones(spark, sf), DOMAINS)
+    rows = latest.latest_risk(v.landed_snapshots(spark, sf), v.zones(spark, sf), DOMAINS)
     return rows.withColumns({c: v.ntz(c) for c in ("computed_at", "updated_at")})
 
 
@@ -74,7 +73,7 @@ def history_series(spark, sf):
 @query("latest_partition_scan", v.with_sql(*_SNAP, body=f"""
     SELECT zone_id, sector_name, lat, lon, {_COLS} FROM snapshots WHERE date = (SELECT max(date) FROM snapshots)"""))
 def latest_partition_scan(spark, sf):
-    rows = latest.latest_partition(v.snapshots(spark, sf), "date")
+    rows = latest.latest_partition(v.landed_snapshots(spark, sf), "date")
     return rows.withColumn("computed_at", v.ntz("computed_at"))
 
 
@@ -83,9 +82,7 @@ def latest_partition_scan(spark, sf):
     WHERE date BETWEEN DATE '2024-01-05' AND DATE '2024-01-20'"""))
 def partition_range_scan(spark, sf):
     """Raw table written by source and date, then read for a closed range of dates."""
-    path = shared_dir(spark, "raw")
-    v.raw(spark, sf).write.partitionBy("source", "date").parquet(path)
-    rows = latest.partition_range(spark.read.parquet(path), "date", "2024-01-05", "2024-01-20")
+    rows = latest.partition_range(v.landed_raw(spark, sf), "date", "2024-01-05", "2024-01-20")
     return rows.select("source", "json_str", v.ntz("kafka_timestamp").alias("kafka_timestamp"), "date")
 
 
@@ -93,4 +90,4 @@ def partition_range_scan(spark, sf):
     SELECT json_str, kafka_timestamp FROM raw WHERE source = 'sngr_alertas'
     ORDER BY kafka_timestamp DESC, json_str DESC LIMIT 20"""))
 def recent_alerts(spark, sf):
-    return latest.recent_alerts(v.raw(spark, sf)).withColumn("kafka_timestamp", v.ntz("kafka_timestamp"))
+    return latest.recent_alerts(v.landed_raw(spark, sf)).withColumn("kafka_timestamp", v.ntz("kafka_timestamp"))

@@ -85,18 +85,37 @@ _BULLETIN = "CASE doc_id % 7 " + " ".join(
     f"WHEN {i} THEN '{a}' || {_NUMBER} || '{b}'" for i, (a, b) in enumerate(LEVEL_SENTENCES)) + " END"
 
 
+# What the twins look for, written out here: patterns of the level, of the maximum, reservoir words, cantons, events, severities.
+_UNIT_SQL = r"\(?m\.?\s*s\.?\s*n\.?\s*m\.?\)?"
+_LEVELS_SQL = (
+    r"embalse\s+se\s+encuentra\s+en\s+(?:los|el)?\s*(\d{1,3}(?:[.,]\d{1,2})?)\s*(?:metros(?:\s+sobre\s+el\s+nivel\s+del\s+mar)?\s*)?" + _UNIT_SQL,
+    r"cota\s+del\s+embalse[^.]{0,120}?alcanz[oó]\s+(?:su\s+m[aá]ximo\s+nivel\s+normal\s+de\s+operaci[oó]n\s*,?\s*)?(?:es\s+decir\s+|los\s+|el\s+)?"
+    r"(\d{1,3}(?:[.,]\d{1,2})?)\s*" + _UNIT_SQL,
+    r"cota\s+del\s+embalse[^.]{0,80}?(?:se\s+ubic[ao]|se\s+registr[ao]|registr[ao]|se\s+encuentra)\s+en\s+(\d{1,3}(?:[.,]\d{1,2})?)\s*" + _UNIT_SQL,
+)
+_MAXIMUM_SQL = r"nivel\s+m[aá]ximo\s+es\s+(\d{1,3}(?:[.,]\d{1,2})?)\s*" + _UNIT_SQL
+_RESERVOIR_SQL = ("embalse", "daule", "peripa", "cota", "compuertas", "descarga")
+_CANTON_SQL = """CASE WHEN contains(b, 'guayaquil') THEN 'Guayaquil' WHEN contains(b, 'daule') THEN 'Daule' WHEN contains(b, 'samborondón') THEN 'Samborondón'
+    WHEN contains(b, 'durán') THEN 'Durán' WHEN contains(b, 'nobol') THEN 'Nobol' WHEN contains(b, 'salitre') THEN 'Salitre'
+    WHEN contains(b, 'santa lucía') THEN 'Santa Lucía' WHEN contains(b, 'palestina') THEN 'Palestina' WHEN contains(b, 'balzar') THEN 'Balzar'
+    WHEN contains(b, 'colimes') THEN 'Colimes' WHEN contains(b, 'el empalme') THEN 'El Empalme' END"""
+_EVENT_SQL = """CASE WHEN contains(b, 'inundaci') THEN 'inundacion' WHEN contains(b, 'desliz') THEN 'deslizamiento' WHEN contains(b, 'desbord') THEN 'desbordamiento_rio'
+    WHEN contains(b, 'alcantarill') THEN 'colapso_alcantarillado' ELSE 'inundacion' END"""
+_SEVERITY_SQL = "CASE WHEN contains(b, 'roja') THEN 'critica' WHEN contains(b, 'naranja') THEN 'alta' ELSE 'media' END"
+
+
 def _level_sql(pattern: str) -> str:
     return f"try_cast(replace(nullif(regexp_extract(t, '(?i){pattern}', 1), ''), ',', '.') AS DOUBLE)"
 
 
 @query("level_extract", f"""
     SELECT doc_id, description, level_m, max_level_m FROM (
-      SELECT doc_id, description, coalesce({', '.join(_level_sql(p) for p in tx.LEVEL_PATTERNS)}) AS level_m,
-             {_level_sql(tx.MAX_LEVEL_PATTERN)} AS max_level_m
+      SELECT doc_id, description, coalesce({', '.join(map(_level_sql, _LEVELS_SQL))}) AS level_m,
+             {_level_sql(_MAXIMUM_SQL)} AS max_level_m
       FROM (SELECT doc_id, {_tags_sql(_common_sql('title'))} AS description,
                    {_tags_sql(_common_sql('title'))} || ' ' || {_tags_sql(_common_sql('lead'))} || ' ' || {_tags_sql(_common_sql('text'))} AS t
             FROM (SELECT doc_id, '<b>' || source || '</b> &amp; ' || lang AS title, '<p>' || {_BULLETIN} || '</p>' AS lead, text FROM documents))
-      WHERE {' OR '.join(f"contains(lower({_letters_sql('t')}), '{w}')" for w in tx.RESERVOIR_WORDS)})
+      WHERE {' OR '.join(f"contains(lower({_letters_sql('t')}), '{w}')" for w in _RESERVOIR_SQL)})
     WHERE level_m IS NOT NULL OR max_level_m IS NOT NULL""")
 def level_extract(spark, sf):
     number = (F.col("doc_id") % 20 + 70).cast("string")
@@ -122,9 +141,7 @@ ALERT_SENTENCES = (
         SELECT doc_id, {_tags_sql('title')} AS description,
                {_letters_sql(_tags_sql('title') + " || ' ' || '' || ' ' || " + _tags_sql('text'))} AS body
         FROM (SELECT doc_id, '<h1>' || (CASE doc_id % 9 {' '.join(f"WHEN {i} THEN '{s}'" for i, s in enumerate(ALERT_SENTENCES))} END) || '</h1>' AS title, text FROM documents))),
-      LATERAL (SELECT CASE {' '.join(f"WHEN contains(b, '{c.lower()}') THEN '{c}'" for c in tx.CANTONS)} END AS canton,
-               CASE {' '.join(f"WHEN contains(b, '{n}') THEN '{lab}'" for n, lab in tx.EVENT_STEMS)} ELSE '{tx.EVENT_DEFAULT}' END AS event_type,
-               CASE {' '.join(f"WHEN contains(b, '{n}') THEN '{lab}'" for n, lab in tx.SEVERITY_WORDS)} ELSE '{tx.SEVERITY_DEFAULT}' END AS severity)
+      LATERAL (SELECT {_CANTON_SQL} AS canton, {_EVENT_SQL} AS event_type, {_SEVERITY_SQL} AS severity)
     WHERE canton IS NOT NULL""")
 def alert_classify(spark, sf):
     titles = F.array(*[F.lit(f"<h1>{s}</h1>") for s in ALERT_SENTENCES])

@@ -9,10 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from floodlens.functions.geometry import OCEAN_REGIONS
 from floodlens.functions.risk import with_risk
 from floodlens.operators.scoring import Scenario
-from floodlens.session import pin_utc
+from floodlens.session import pin_utc, shared_dir
 from floodlens.sources.topics import to_raw
 
 EVENT_TOPICS = {
@@ -108,6 +107,29 @@ def raw(spark: SparkSession, sf: str) -> DataFrame:
     return to_raw(topic_records(table(spark, sf, "events")))
 
 
+_landed: dict[tuple[str, str, str], str] = {}
+
+
+def _landed_table(spark: SparkSession, sf: str, name: str, rows: DataFrame, *by: str) -> DataFrame:
+    """``rows`` as a table of files partitioned by ``by``, written once per application and input."""
+    key = (spark.sparkContext.applicationId, sf, name)
+    if key not in _landed:
+        path = shared_dir(spark, f"landed-{name}")
+        rows.hint("rebalance", *by).write.partitionBy(*by).parquet(path)
+        _landed[key] = path
+    return spark.read.parquet(_landed[key])
+
+
+def landed_raw(spark: SparkSession, sf: str) -> DataFrame:
+    """The raw zone as the landing job leaves it: by source and date."""
+    return _landed_table(spark, sf, "raw", raw(spark, sf), "source", "date")
+
+
+def landed_snapshots(spark: SparkSession, sf: str) -> DataFrame:
+    """The scored snapshots by date."""
+    return _landed_table(spark, sf, "snapshots", snapshots(spark, sf), "date")
+
+
 def event_stream(spark: SparkSession, sf: str) -> DataFrame:
     """The events table as a file stream."""
     schema = table(spark, sf, "events").schema
@@ -226,9 +248,10 @@ grid AS (
          l_discount + 0e0 AS rate, l_returnflag, l_tax, l_linenumber AS depth
   FROM lineitem)"""
 
-REGIONS_SQL = "regions(region, west, south, east, north) AS (VALUES " + ", ".join(
-    f"('{b.region}', {b.west!r}, {b.south!r}, {b.east!r}, {b.north!r})" for b in OCEAN_REGIONS
-) + ")"
+REGIONS_SQL = """
+regions(region, west, south, east, north) AS (VALUES
+  ('nino12', -90e0, -10e0, -80e0, 0e0), ('nino3', -150e0, -5e0, -90e0, 5e0), ('nino34', -170e0, -5e0, -120e0, 5e0),
+  ('nino4', 160e0, -5e0, 180e0, 5e0), ('nino4', -180e0, -5e0, -150e0, 5e0))"""
 
 
 def places(spark: SparkSession, sf: str) -> DataFrame:

@@ -39,8 +39,9 @@ def topic_stream(
     max_files_per_trigger: int | None = None,
     max_offsets_per_trigger: int = MAX_OFFSETS_PER_TRIGGER,
     mapping: Mapping[str, str] = TOPIC_SOURCES,
+    keep: Sequence[str] = (),
 ) -> DataFrame:
-    """Raw rows of ``topics`` from a broker (``bootstrap``) or from topic files (``path``)."""
+    """Raw rows of ``topics`` from a broker (``bootstrap``) or from topic files (``path``), with the record's columns ``keep``."""
     if unknown := sorted(set(topics) - set(mapping)):
         raise ValueError(f"no source is known for the topics {unknown}")
     if (bootstrap is None) == (path is None):
@@ -52,7 +53,7 @@ def topic_stream(
         if max_files_per_trigger:
             reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
         stream = reader.load(path).where(F.col("topic").isin(list(topics)))
-    return to_raw(stream, mapping)
+    return to_raw(stream, mapping, keep)
 
 
 def source_of(topic: Column | str, mapping: Mapping[str, str] = TOPIC_SOURCES) -> Column:
@@ -62,13 +63,14 @@ def source_of(topic: Column | str, mapping: Mapping[str, str] = TOPIC_SOURCES) -
     return F.try_element_at(F.create_map(*pairs), topic)
 
 
-def to_raw(records: DataFrame, mapping: Mapping[str, str] = TOPIC_SOURCES) -> DataFrame:
-    """Broker records as raw-zone rows: text, broker time, source (``UNMAPPED`` outside the map) and partition date."""
+def to_raw(records: DataFrame, mapping: Mapping[str, str] = TOPIC_SOURCES, keep: Sequence[str] = ()) -> DataFrame:
+    """Broker records as raw-zone rows: text, broker time, source (``UNMAPPED`` outside the map) and partition date, and ``keep``."""
     return records.select(
         F.col("value").cast("string").alias("json_str"),
         F.col("timestamp").cast("timestamp").alias("kafka_timestamp"),
         F.coalesce(source_of("topic", mapping), F.lit(UNMAPPED)).alias("source"),
         F.to_date(F.col("timestamp").cast("timestamp")).alias("date"),
+        *keep,
     )
 
 
