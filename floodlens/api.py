@@ -9,6 +9,7 @@ newest alerts                   ``recent_alerts(raw, n)``
 what-if scenarios               ``simulate(zones, scenarios)``
 features of a GeoJSON layer     ``read_geojson(spark, path)``, ``read_layers(spark, path)``
 land and score topics           ``run_monitor(spark, config, once)``
+upkeep of landed tables         ``compact_closed(spark, path, before)``, ``expire_closed(spark, path, grace)``
 ==============================  =======================================================
 """
 
@@ -22,6 +23,6 @@ from floodlens.operators.scoring import (  # noqa: F401
 from floodlens.operators.series import bracket, interpolate, tide_with_fallback  # noqa: F401
 from floodlens.session import build_session  # noqa: F401
 from floodlens.sources.layers import read_geojson, read_layers  # noqa: F401
-from floodlens.sources.sinks import compact_partition, read_snapshots  # noqa: F401
+from floodlens.sources.sinks import compact_closed, expire_closed, read_landed, read_snapshots  # noqa: F401
 from floodlens.sources.zones import read_zones  # noqa: F401
 from floodlens.streaming.landing import MonitorConfig, run_monitor  # noqa: F401

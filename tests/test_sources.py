@@ -156,9 +156,8 @@ def test_snapshot_epochs_replace_themselves(spark, tmp_path):
         sinks.write_snapshots(df, path, epoch, "2024-01-01 00:00:00")
     rows = sinks.read_snapshots(spark, path)
     assert rows.count() == 2 and dict(rows.dtypes)["risk_score"] == "double"
-    sinks.compact_partition(spark, path, str(tmp_path / "c"), "2024-01-01", 1)
-    assert spark.read.parquet(str(tmp_path / "c")).count() == 2
-    assert len(list((tmp_path / "c" / "date=2024-01-01").glob("*.parquet"))) == 1
+    assert sinks.compact_closed(spark, path, "2024-01-02") == 1
+    assert len(list((tmp_path / "s_closed" / "date=2024-01-01").rglob("*.parquet"))) == 1 and sinks.read_snapshots(spark, path).count() == 2
 
 
 def test_unreadable_payloads_are_set_aside(spark):
@@ -220,3 +219,53 @@ def test_compacted_dates_are_read_once(spark, tmp_path):
     assert zones_read() == everything
     assert sinks.compact_closed(spark, path, "2024-01-03") == 2 and zones_read() == everything
     assert sinks.compact_closed(spark, path, "2024-01-04") == 1 and zones_read() == everything
+
+
+def test_folders_go_after_their_copy_and_no_row_with_them(spark, tmp_path):
+    df = spark.createDataFrame([("Z", "n", 1.0, 2.0, 3.0, 4.0, 5.0, 0.5, "alto")], "zone_id STRING, sector_name STRING, lat DOUBLE, lon DOUBLE, rain_mm DOUBLE, tide_m DOUBLE, flow_m3s DOUBLE, risk_score DOUBLE, risk_level STRING")
+    path = str(tmp_path / "s")
+    folders = lambda: len(list((tmp_path / "s").rglob("epoch_id=*")))
+    for epoch, day in ((0, 1), (1, 1), (2, 2), (3, 3)):
+        sinks.write_snapshots(df, path, epoch, f"2024-01-0{day} 00:00:00", "run")
+    assert sinks.expire_closed(spark, path, "0 seconds") == 0  # nothing has been copied
+    assert sinks.compact_closed(spark, path, "2024-01-03") == 2
+    assert sinks.expire_closed(spark, path, "1 day") == 0 and folders() == 4
+    assert sinks.expire_closed(spark, path, "0 seconds") == 3 and folders() == 1
+    assert sinks.read_snapshots(spark, path).count() == 4 and sinks.compact_closed(spark, path, "2024-01-03") == 0
+    # Late rows of a date whose folders are gone, from this run and another: the next copy holds all of them.
+    sinks.write_snapshots(df, path, 4, "2024-01-01 00:00:00", "run")
+    sinks.write_snapshots(df, path, 0, "2024-01-01 00:00:00", "other")
+    assert sinks.read_snapshots(spark, path).count() == 6
+    assert sinks.compact_closed(spark, path, "2024-01-03") == 1 and sinks.read_snapshots(spark, path).count() == 6
+    assert sinks.expire_closed(spark, path, "0 seconds") == 3  # two epochs and the older copy
+    assert sinks.read_snapshots(spark, path).count() == 6 and folders() == 1
+    assert sinks.compact_closed(spark, path, "2024-01-09") == 1 and sinks.expire_closed(spark, path, "0 seconds") == 1
+    assert folders() == 0 and sinks.read_snapshots(spark, path).count() == 6 and sinks.compact_closed(spark, path, "2024-01-09") == 0
+
+
+def test_tide_tables_and_waterways_need_no_python_worker(spark):
+    docs = spark.createDataFrame([("d", 2024, 1, TIDE)], "doc STRING, year INT, quarter INT, text STRING")
+    plans = [text_tables.parse_tide_tables(docs), normalizers.waterways(raw(spark, {"elements": []}), "id")]
+    for df in plans:
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
+
+
+def test_tide_table_documents_of_all_kinds(spark):
+    rows = [("n", 2024, 1, None), ("e", 2024, 1, ""), ("q", 2024, None, "1 0030 1.10"), ("z", 2024, 0, "1 0030 1.10"), ("w", 2024, 1, "\xa01 0030 1.10\r\n  MA\t0630  1.15 "), ("big", 2024, 1, "99999999999 0030 1.0")]
+    parsed = text_tables.parse_tide_tables(spark.createDataFrame(rows, "doc STRING, year INT, quarter INT, text STRING")).collect()
+    assert sorted((r.doc, r.line_no, r.day, r.problem) for r in parsed if r.doc in "wz") == [("w", 0, 1, None), ("w", 1, 1, None), ("z", 0, 1, "bad_date")]
+    assert {r.doc: r.problem for r in parsed if r.doc in ("n", "e", "q", "big")} == {"big": "bad_layout"}
+
+
+def test_ways_with_odd_elements(spark):
+    node = lambda i, lon, lat: {"type": "node", "id": i, "lon": lon, "lat": lat}
+    many = [node(i, i % 180, i % 90) for i in range(5000)]
+    doc = {"elements": [
+        node(1, 0.5, 0), node(1, 2.5, 1), node(2, 3, 4), node(3, "x", 4), node(4.0, 1, 1), {"type": "node", "id": 5}, *many[10:],
+        {"type": "way", "id": 7, "nodes": [1, 2, 99999, 3, 4.0, 5, 4999, "2", None], "tags": {"a": "b", "n": 5, "z": None, "o": {"k": [1]}}},
+        {"type": "way", "id": 8, "nodes": [2, 1, 2]}, {"type": "way", "id": 9, "nodes": "x"}, {"type": "way", "id": 10, "nodes": [1, 77777]}, {"type": 5, "id": 11}, None, []]}
+    rows = {r.way_id: r for r in normalizers.waterways(raw(spark, doc).withColumnRenamed("id", "doc"), "doc").collect()}
+    assert set(rows) == {7, 8} and rows[8].geometry_type == "Polygon" and rows[7].geometry_type == "LineString"
+    assert json.loads(rows[7].coordinates) == [[2.5, 1.0], [3.0, 4.0], [4999 % 180, 4999 % 90]]
+    assert rows[7].properties == {"a": "b", "n": "5", "o": '{"k":[1]}'}
