@@ -1,13 +1,15 @@
 """Byte-level BPE encoding and decoding through a shuffle of distinct words.
 
-Texts are cut into words by the pattern of the rank file, and no merge crosses a word. So documents are taken in chunks of
-bounded size; a chunk lists its distinct words, and each of its documents the places of its words in that list, in order of
-position. Words of all chunks are shuffled, each distinct one of the corpus is encoded once, its ids are joined back to the
-chunks that hold it, and every chunk is put together again by position. A frequent word is one row per chunk, not one per
-occurrence. Decoding joins ids with the table of the tokens' bytes, which is as large as the vocabulary.
+Texts are cut into words by the pattern of the rank file, and no merge crosses a word. Every task takes its documents in
+chunks of bounded size; a chunk lists its distinct words, and each of its documents the places of its words in that list, in
+order of position. The lists are dealt by a hash of the word into buckets, which are shuffled; there every distinct word of
+the corpus is encoded once, its ids go back to the chunks that hold it, and each chunk is put together again by position. A
+word travels once per chunk, not once per occurrence, however frequent it is; lists are packed, a row for each chunk and
+bucket. Decoding joins ids with the table of the tokens' bytes, which is as large as the vocabulary.
 
-The chunked texts are written to the checkpoint folder: what is put together again are the very chunks whose words were
-encoded, also after a lost executor.
+Word lists and documents of a chunk are told apart in two passes over the table, so that neither is stored. A table read
+from files comes in the same order again, also for a lost executor; where it does not, sums of the lists do not agree, and
+the job fails rather than mix chunks up.
 
 Defined results: null texts are empty and have no id; rows that repeat, and rows without id, are encoded like any other; ids
 outside the vocabulary are an error, null lists decode to no byte.
@@ -16,9 +18,10 @@ outside the vocabulary are an error, null lists decode to no byte.
 from __future__ import annotations
 
 import base64
+import math
 import re
-from collections import Counter
-from collections.abc import Iterator, Sequence
+import zlib
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -26,14 +29,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from floodlens.llm.common import cut, in_arrow
-from floodlens.llm.encoding import BYTE_PIECES, UNUSUAL, chunks, vocabulary
+from floodlens.llm.common import in_arrow
+from floodlens.llm.encoding import BYTE_PIECES, UNUSUAL, vocabulary
+from floodlens.session import ship_package
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
-#: Characters of a chunk, or one text.
-CHUNK_CHARS = 2_000_000
-
-_PARTS = "chunk long, code int, word string, place int, doc_id {}, codes binary"
+#: Characters of a chunk, or one text, and of the text that a bucket's words come from.
+CHUNK_CHARS, BUCKET_CHARS = 16_000_000, 4_000_000
+#: Words or ids put together at once.
+AT_ONCE = 500_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -51,8 +55,14 @@ def split(text: str) -> list[str]:
 
 @lru_cache(maxsize=1)
 def _plain():
-    """The same pattern spelt out for Latin texts, which the standard library cuts faster."""
-    return re.compile(BYTE_PIECES).findall
+    """The same pattern spelt out for Latin texts, which the standard library cuts faster; what is most frequent goes first.
+
+    The contractions, which begin with a mark, only have to come before the marks.
+    """
+    parts = BYTE_PIECES.split("|")
+    contractions = [p for p in parts if p[0] == "'"]
+    letters, numbers, *rest = parts[len(contractions):]
+    return re.compile("|".join([letters, numbers, *contractions, *rest])).findall
 
 
 class _Splitter:
@@ -95,97 +105,188 @@ def _splitter() -> _Splitter:
 
 def pack_codes(codes: np.ndarray) -> bytes:
     """Whole numbers in groups of seven bits, the lowest first; all but the last of a number have the eighth bit set."""
-    codes = codes.astype(np.uint64)
+    if not len(codes):
+        return b""
+    codes, most = codes.astype(np.int64), int(codes.max())
     lengths = np.ones(len(codes), dtype=np.int64)
-    for k in range(1, 10):
-        lengths += (codes >> np.uint64(7 * k)) > 0
-    ends = np.cumsum(lengths)
-    step = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - lengths, lengths)
-    more = step < np.repeat(lengths, lengths) - 1
-    out = (np.repeat(codes, lengths) >> (7 * step).astype(np.uint64)) & np.uint64(127)
-    return (out.astype(np.uint8) | (more.astype(np.uint8) << 7)).tobytes()
+    for k in range(7, most.bit_length(), 7):
+        lengths += codes >= 1 << k
+    start = np.cumsum(lengths) - lengths
+    out = np.empty(int(start[-1] + lengths[-1]), dtype=np.uint8)
+    out[start] = codes & 127
+    while (more := lengths > 1).any():  # the next group of those that have one
+        out[start[more]] |= 128
+        codes, start, lengths = codes[more] >> 7, start[more] + 1, lengths[more] - 1
+        out[start] = codes & 127
+    return out.tobytes()
 
 
 def unpack_codes(packed: np.ndarray) -> np.ndarray:
     """The numbers of :func:`pack_codes`, from its bytes."""
     if not len(packed):
         return np.empty(0, dtype=np.int64)
-    last = packed < 128
-    first = np.concatenate([[0], np.flatnonzero(last)[:-1] + 1])
-    lengths = np.diff(np.append(first, len(packed)))
-    step = np.arange(len(packed)) - np.repeat(first, lengths)
-    return np.add.reduceat((packed & 127).astype(np.int64) << (7 * step), first)
+    ends = np.flatnonzero(packed < 128)
+    start = np.concatenate([[0], ends[:-1] + 1])
+    out = (packed[start] & 127).astype(np.int64)
+    at, step = np.flatnonzero(ends > start), 7
+    while len(at):
+        out[at] |= (packed[start[at] + step // 7] & 127).astype(np.int64) << step
+        at = at[ends[at] > start[at] + step // 7]
+        step += 7
+    return out
 
 
-def chunked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = CHUNK_CHARS) -> DataFrame:
-    """Two kinds of rows per chunk: ``code, word`` for its distinct words, ``place, doc_id, codes`` for its documents."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    kind = rows.schema["doc_id"].dataType.simpleString()
-
-    def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
+class _Codes(dict):
+    """Word -> number, in order of first appearance."""
 
-        chunk = TaskContext.get().partitionId() << 32
-        for batch in batches:
-            for at, texts in chunks((x.as_py() for x in batch.column(1)), size):
-                yield from _chunk_rows(chunk, batch.column(0).slice(at, len(texts)), texts)
-                chunk += 1
+    def __missing__(self, word: str) -> int:
+        self[word] = number = len(self)
+        return number
 
-    return in_arrow(rows, compute, _PARTS.format(kind))
 
+class Chunk:
+    """Documents taken together: their distinct words by bucket, and the places of each document's words."""
 
-def _chunk_rows(chunk: int, ids: pa.Array, texts: Sequence[str]) -> Iterator[pa.RecordBatch]:
-    number: dict[str, int] = {}
-    codes = [[number.setdefault(w, len(number)) for w in split(text)] for text in texts]
-    # Frequent words get small codes.
-    count = Counter()
-    for some in codes:
-        count.update(some)
-    rank = np.empty(len(number), dtype=np.int64)
-    rank[sorted(count, key=lambda c: -count[c])] = np.arange(len(number))
-    names = ["chunk", "code", "word", "place", "doc_id", "codes"]
+    def __init__(self) -> None:
+        self.number, self.codes, self.ids, self.chars = _Codes(), [], [], 0
+
+    def add(self, text: str, doc_id: pa.Array) -> None:
+        found = split(text)
+        self.codes.append(np.fromiter(map(self.number.__getitem__, found), dtype=np.int32, count=len(found)))
+        self.ids.append(doc_id)
+        self.chars += len(text)
+
+    def word_rows(self, buckets: int) -> tuple[np.ndarray, list[tuple[int, bytes, bytes]]]:
+        """The numbers of the words bucket by bucket, and (bucket, lengths, words) of every bucket that has any."""
+        words = [w.encode() for w in self.number]
+        bucket = np.fromiter(map(zlib.crc32, words), dtype=np.int64, count=len(words)) % buckets
+        order = np.argsort(bucket, kind="stable")
+        words, bucket = [words[i] for i in order.tolist()], bucket[order]
+        starts = np.flatnonzero(np.diff(bucket, prepend=-1))
+        rows = []
+        for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(words)]):
+            rows.append((int(bucket[a]), pack_codes(np.fromiter(map(len, words[a:b]), dtype=np.int64, count=b - a)), b"".join(words[a:b])))
+        return order, rows
+
+    def place_rows(self, buckets: int) -> tuple[bytes, int, list[bytes]]:
+        """The place in the lists of the words by falling frequency, the sum of the lists, and the documents' words as ranks
+        in that frequency, so that frequent words take one byte."""
+        order, lists = self.word_rows(buckets)
+        place = np.empty(len(order), dtype=np.int64)
+        place[order] = np.arange(len(order))
+        codes = np.concatenate(self.codes)
+        by_rank = np.argsort(-np.bincount(codes, minlength=len(order)), kind="stable")
+        rank = np.empty(len(order), dtype=np.int64)
+        rank[by_rank] = np.arange(len(order))
+        packed = np.frombuffer(pack_codes(rank[codes]), dtype=np.uint8)
+        # A document ends where the last byte of its last number does.
+        last = np.concatenate([[0], np.flatnonzero(packed < 128) + 1])
+        ends = last[np.cumsum([0, *map(len, self.codes)])].tolist()
+        packed = packed.tobytes()
+        total = sum(_sum(lengths, words) for _, lengths, words in lists)
+        return pack_codes(place[by_rank]), total, [packed[a:b] for a, b in zip(ends[:-1], ends[1:])]
+
+
+def _sum(lengths: bytes, words: bytes) -> int:
+    return zlib.crc32(words, zlib.crc32(lengths))
+
+
+def _chunks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[int, Chunk]]:
+    """Numbered chunks of this task's rows (doc_id, text)."""
+    from pyspark import TaskContext
+
+    number, chunk = TaskContext.get().partitionId() << 32, Chunk()
+    for batch in batches:
+        for i, text in enumerate(batch.column(1)):
+            chunk.add(text.as_py() or "", batch.column(0).slice(i, 1))
+            if chunk.chars >= size:
+                yield number, chunk
+                number, chunk = number + 1, Chunk()
+    if chunk.ids:
+        yield number, chunk
+
+
+def word_lists(docs: DataFrame, buckets: int, size: int = CHUNK_CHARS) -> DataFrame:
+    """``chunk, bucket, lengths, words``: the distinct words of every chunk of ``docs`` (doc_id, text), packed by bucket."""
 
-    def rows(n: int, code, word, place, doc_id, packed) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([
-            pa.array(np.full(n, chunk)), pa.nulls(n, pa.int32()) if code is None else pa.array(code, pa.int32()),
-            pa.nulls(n, pa.string()) if word is None else pa.array(word, pa.string()),
-            pa.nulls(n, pa.int32()) if place is None else pa.array(place, pa.int32()),
-            pa.nulls(n, ids.type) if doc_id is None else doc_id, pa.nulls(n, pa.binary()) if packed is None else pa.array(packed, pa.binary())], names)
+    def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number, chunk in _chunks(batches, size):
+            _, rows = chunk.word_rows(buckets)
+            if rows:
+                bucket, lengths, words = zip(*rows)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([number] * len(rows), pa.int64()), pa.array(bucket, pa.int32()), pa.array(lengths, pa.binary()), pa.array(words, pa.binary())],
+                    ["chunk", "bucket", "lengths", "words"])
 
-    yield rows(len(number), rank, list(number), None, None, None)
-    yield rows(len(texts), None, None, np.arange(len(texts)), ids, [pack_codes(rank[np.asarray(some, dtype=np.int64)]) for some in codes])
+    return in_arrow(docs, compute, "chunk long, bucket int, lengths binary, words binary")
 
 
-def encode_words(words: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
-    """``word, ids`` of rows with a distinct ``word`` each."""
-    shared = words.sparkSession.sparkContext.broadcast(ranks)  # the vocabulary
+def document_places(docs: DataFrame, buckets: int, size: int = CHUNK_CHARS) -> DataFrame:
+    """``chunk, place, doc_id, codes, total``: the documents of every chunk, after a row with the places of its ranks."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import tiktoken
+        for number, chunk in _chunks(batches, size):
+            places, total, codes = chunk.place_rows(buckets)
+            n, ids = len(codes) + 1, pa.concat_arrays([pa.nulls(1, chunk.ids[0].type), *chunk.ids])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([number] * n, pa.int64()), pa.array(np.arange(-1, n - 1), pa.int32()), ids, pa.array([places, *codes], pa.binary()),
+                 pa.array([total] + [None] * (n - 1), pa.int64())],
+                ["chunk", "place", "doc_id", "codes", "total"])
 
-        whole = tiktoken.Encoding("words", pat_str=r"(?s:.+)", mergeable_ranks=shared.value, special_tokens={})
-        for batch in batches:
-            ids = [whole.encode_ordinary(w) for w in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["word", "ids"])
+    return in_arrow(docs, compute, f"chunk long, place int, doc_id {kind}, codes binary, total long")
 
-    return in_arrow(words.select("word"), compute, "word string, ids array<int>")
 
+def encode_words(lists: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
+    """``of_chunk, bucket, counts, ids, total``: the ids of every list, each distinct word of a bucket encoded once."""
+    shared = lists.sparkSession.sparkContext.broadcast(ranks)  # the vocabulary
+    kind = _id_kind(len(ranks))
+    ship_package(lists.sparkSession)
 
-def _put_together(documents: pa.Table, words: pa.Table) -> pa.Table:
+    def compute(table: pa.Table) -> pa.Table:
+        import tiktoken
+
+        whole = tiktoken.Encoding("words", pat_str=r"(?s:.+)", mergeable_ranks=shared.value, special_tokens={})
+        known: dict[bytes, list[int]] = {}
+        counts, ids, totals = [], [], []
+        for packed, joined in zip(table["lengths"].to_pylist(), table["words"].to_pylist()):
+            ends = np.cumsum(unpack_codes(np.frombuffer(packed, dtype=np.uint8))).tolist()
+            found = []
+            for a, b in zip([0, *ends[:-1]], ends):
+                word = joined[a:b]
+                if word not in known:
+                    known[word] = whole.encode_ordinary(word.decode())
+                found.append(known[word])
+            counts.append(pack_codes(np.fromiter(map(len, found), dtype=np.int64, count=len(found))))
+            ids.append(np.array([i for some in found for i in some], dtype=kind).tobytes())
+            totals.append(_sum(packed, joined))
+        columns = [table["chunk"], table["bucket"], pa.array(counts, pa.binary()), pa.array(ids, pa.binary()), pa.array(totals, pa.int64())]
+        return pa.table(columns, ["of_chunk", "bucket", "counts", "ids", "total"])
+
+    return lists.groupBy("bucket").applyInArrow(compute, "of_chunk long, bucket int, counts binary, ids binary, total long")
+
+
+def _id_kind(tokens: int) -> type:
+    return np.uint16 if tokens <= 1 << 16 else np.uint32
+
+
+def put_together(documents: pa.Table, lists: pa.Table, kind: type) -> pa.Table:
     """The ids of a chunk's documents, from the ids of its words."""
-    documents, words = documents.sort_by("place").combine_chunks(), words.sort_by("code").combine_chunks()
-    lists = words["ids"].combine_chunks()
-    flat, offsets = lists.flatten().to_numpy(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
-    if len(words) and words["code"][-1].as_py() != len(words) - 1:
-        raise RuntimeError("a chunk lacks some of its words")
-    packed = documents["codes"].combine_chunks()
-    ends, parts = [0], []
-    for i in range(len(packed)):
-        codes = unpack_codes(np.frombuffer(packed[i].as_buffer(), dtype=np.uint8))
-        parts.append(_gather(flat, offsets, codes))
-        ends.append(ends[-1] + len(parts[-1]))
-    ids = np.concatenate(parts) if parts else np.empty(0, np.int32)
-    return pa.table([documents["doc_id"], pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))], ["doc_id", "ids"])
+    documents, lists = documents.sort_by("place").combine_chunks(), lists.sort_by("bucket")
+    packed = documents["codes"].to_pylist()
+    counts = unpack_codes(np.frombuffer(b"".join(lists["counts"].to_pylist()), dtype=np.uint8))
+    flat = np.frombuffer(b"".join(lists["ids"].to_pylist()), dtype=kind).astype(np.int32)
+    offsets = np.concatenate([[0], np.cumsum(counts)])
+    place = unpack_codes(np.frombuffer(packed[0], dtype=np.uint8)) if packed else np.empty(0, np.int64)
+    if len(place) != len(counts) or documents["total"][0].as_py() != sum(lists["total"].to_pylist()):
+        raise RuntimeError("the rows came in another order when they were read again")
+    joined = np.frombuffer(b"".join(packed[1:]), dtype=np.uint8)
+    at = place[unpack_codes(joined)]
+    ends = np.concatenate([[0], np.cumsum(counts[at])])  # of the ids of the words so far
+    words = np.concatenate([[0], np.cumsum(joined < 128)])[np.cumsum([0, *map(len, packed[1:])])]  # before each document
+    ids = np.concatenate([np.empty(0, np.int32), *(_gather(flat, offsets, at[k:k + AT_ONCE]) for k in range(0, len(at), AT_ONCE))])
+    lists = pa.ListArray.from_arrays(pa.array(ends[words], pa.int32()), pa.array(ids))
+    return pa.table([documents["doc_id"].slice(1), lists], ["doc_id", "ids"])
 
 
 def _gather(flat: np.ndarray, offsets: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -196,15 +297,20 @@ def _gather(flat: np.ndarray, offsets: np.ndarray, at: np.ndarray) -> np.ndarray
     return flat[np.repeat(offsets[at] - (ends - lengths), lengths) + np.arange(total)]
 
 
-def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, size: int = CHUNK_CHARS) -> DataFrame:
+def encode(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, size: int = CHUNK_CHARS, buckets: int | None = None
+) -> DataFrame:
     """``doc_id, ids`` of every row, as the ``tiktoken`` library encodes its whole text. ``path``: a rank file the driver reads."""
-    parts = cut(chunked(docs, id_col, text_col, size))
-    words = parts.where("word is not null").select("chunk", "code", "word")
-    ids = encode_words(words.select("word").distinct(), read_ranks(path or vocabulary(RANKS)))
-    back = words.join(ids, "word").select(F.col("chunk").alias("of_chunk"), "code", "ids")
-    documents = parts.where("place is not null").select("chunk", "place", "doc_id", "codes")
-    schema = f"doc_id {parts.schema['doc_id'].dataType.simpleString()}, ids array<int>"
-    return documents.groupBy("chunk").cogroup(back.groupBy("of_chunk")).applyInArrow(_put_together, schema)
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    if buckets is None:
+        chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
+        buckets = max(1, math.ceil(chars / BUCKET_CHARS))
+    ranks = read_ranks(path or vocabulary(RANKS))
+    kind = _id_kind(len(ranks))
+    encoded = encode_words(word_lists(rows, buckets, size), ranks)
+    documents = document_places(rows, buckets, size)
+    schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids array<int>"
+    return documents.groupBy("chunk").cogroup(encoded.groupBy("of_chunk")).applyInArrow(lambda a, b: put_together(a, b, kind), schema)
 
 
 def token_bytes(spark: SparkSession, path: str | None = None) -> DataFrame:
@@ -216,26 +322,42 @@ def token_bytes(spark: SparkSession, path: str | None = None) -> DataFrame:
 def decode(encoded: DataFrame, tokens: DataFrame, ids_col: str = "ids", into: str = "decoded") -> DataFrame:
     """``encoded`` with the bytes of its ids in the column ``into``. ``tokens``: id, bytes; as many rows as the vocabulary has."""
     table = tokens.orderBy("id").toPandas()
-    known = table["id"].to_numpy()
-    lengths = table["bytes"].map(len).to_numpy(dtype=np.int64)
-    shared = encoded.sparkSession.sparkContext.broadcast((known, np.concatenate([[0], np.cumsum(lengths)]), b"".join(table["bytes"])))
+    lengths = np.zeros(int(table["id"].max()) + 1, dtype=np.int64)
+    lengths[table["id"]] = table["bytes"].map(len)
+    shared = encoded.sparkSession.sparkContext.broadcast((np.concatenate([[0], np.cumsum(lengths)]), b"".join(table["bytes"])))
     at = encoded.columns.index(ids_col)
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, offsets, joined = shared.value
+        offsets, joined = shared.value
         flat = np.frombuffer(joined, dtype=np.uint8)
         for batch in batches:
-            decoded = []
-            for ids in batch.column(at):
-                ids = np.asarray(ids.values.to_numpy(zero_copy_only=False) if ids.is_valid else [], dtype=np.int64)
-                row = np.minimum(np.searchsorted(known, ids), len(known) - 1)
-                if (known[row] != ids).any():
+            for some in _slices(batch, at):
+                lists = some.column(at)
+                ids = lists.flatten().to_numpy()
+                known = (ids >= 0) & (ids < len(offsets) - 1)
+                if not known.all() or not np.diff(offsets)[ids].all():
                     raise ValueError("an id is not in the vocabulary")
-                decoded.append(_gather(flat, offsets, row).tobytes())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(decoded, pa.binary())], [*batch.schema.names, into])
+                ends = np.concatenate([[0], np.cumsum(np.diff(offsets)[ids])])
+                counts = np.array([0 if n is None else n for n in lists.value_lengths().to_pylist()], dtype=np.int64)
+                ends = ends[np.concatenate([[0], np.cumsum(counts)])].tolist()
+                decoded = _gather(flat, offsets, ids).tobytes()
+                decoded = pa.array([decoded[a:b] for a, b in zip(ends[:-1], ends[1:])], pa.binary())
+                yield pa.RecordBatch.from_arrays([*some.columns, decoded], [*batch.schema.names, into])
 
     return in_arrow(encoded, compute, f"{_ddl(encoded)}, {into} binary")
 
 
+def _slices(batch: pa.RecordBatch, at: int) -> Iterator[pa.RecordBatch]:
+    """Runs of rows with about ``AT_ONCE`` ids, or one row."""
+    begin, held = 0, 0
+    for i, n in enumerate(batch.column(at).value_lengths().to_pylist()):
+        held += n or 0
+        if held >= AT_ONCE:
+            yield batch.slice(begin, i + 1 - begin)
+            begin, held = i + 1, 0
+    if begin < len(batch):
+        yield batch.slice(begin)
+
+
 def _ddl(df: DataFrame) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)

@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import public_tokenizers
 import tiktoken
@@ -54,12 +55,33 @@ def test_empty_table_and_ids(spark):
         word_bpe.decode(spark.createDataFrame([(1, [60_000])], "doc_id long, ids array<int>"), tokens).collect()
 
 
-def test_each_word_is_encoded_once(spark):
-    docs = spark.createDataFrame([(i, "the same few words again and again") for i in range(500)], "doc_id long, text string").repartition(5)
-    parts = word_bpe.chunked(docs, size=1_000)
-    words = parts.where("word is not null").select("word").distinct()
-    assert words.count() == 6 and parts.where("place is not null").count() == 500
-    assert parts.where("word is not null").groupBy("chunk", "word").count().where("count > 1").isEmpty()
+def test_a_word_travels_once_per_chunk(spark):
+    docs = spark.createDataFrame([(i, "the same few words again and again") for i in range(500)], "doc_id long, text string").repartition(5).select("doc_id", "text")
+    lists = word_bpe.word_lists(docs, 3, size=1_000).collect()
+    assert len({r.chunk for r in lists}) > 5 and len({(r.chunk, r.bucket) for r in lists}) == len(lists)
+    for chunk in {r.chunk for r in lists}:
+        joined = [(r.lengths, r.words) for r in lists if r.chunk == chunk]
+        assert sum(len(n) for n, _ in joined) == 6 and sorted(b"".join(w for _, w in joined)) == sorted(b"the same few words again and")
+    assert word_bpe.document_places(docs, 3, size=1_000).where("place >= 0").count() == 500
+
+
+def test_rows_in_another_order_are_an_error():
+    def chunk(texts):
+        own = word_bpe.Chunk()
+        for i, t in enumerate(texts):
+            own.add(t, pa.array([i]))
+        return own
+
+    def both(first, second):
+        places, total, codes = chunk(first).place_rows(2)
+        documents = pa.table({"place": [-1, *range(len(codes))], "doc_id": [None, *range(len(codes))], "codes": [places, *codes], "total": [total] + [None] * len(codes)})
+        lists = chunk(second).word_rows(2)[1]
+        ids = [(b, word_bpe.pack_codes(np.ones(len(n), np.int64)), np.arange(len(n), dtype=np.uint16).tobytes(), word_bpe._sum(n, w)) for b, n, w in lists]
+        return word_bpe.put_together(documents, pa.table(dict(zip(["bucket", "counts", "ids", "total"], map(list, zip(*ids))))), np.uint16)
+
+    assert both(["a b c", "b a"], ["a b c", "b a"]).num_rows == 2
+    with pytest.raises(RuntimeError):
+        both(["a b c", "b a"], ["a b d", "b a"])
 
 
 def test_codes_round_trip():
