@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from floodlens.operators.features import LAYERS
+from floodlens.operators.drift import shape_drift
 from floodlens.plans import views as v
 from floodlens.plans.registry import query
 from floodlens.sources import normalizers as n
@@ -369,6 +370,31 @@ def unreadable_payloads(spark, sf):
     return n.unreadable_payloads(raw).groupBy("source", "problem").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("payload_shape_drift", """
+    WITH e AS (SELECT event_id, event_type, CAST(ts AS DATE) AS date, day(ts) AS d FROM events WHERE event_type IN ('view', 'click'))
+    SELECT 'celec_embalse' AS source, date, 'nivel_msnm' AS field, 'type' AS problem, 'double' AS expected, 'string' AS found
+    FROM e WHERE event_type = 'click' AND d % 5 = 1 GROUP BY date
+    UNION ALL SELECT 'celec_embalse', date, 'embalse', 'gone', 'string', NULL FROM e WHERE event_type = 'click' AND d % 5 = 2 GROUP BY date
+    UNION ALL SELECT 'celec_embalse', date, 'nuevo', 'new', NULL, 'object' FROM e WHERE event_type = 'click' AND d % 5 = 3 GROUP BY date
+    UNION ALL SELECT 'inocar_mareas', date, 'altura_marea_m', 'type', 'double', CASE WHEN count(DISTINCT event_id % 2) = 2 THEN 'variant' ELSE 'string' END
+    FROM e WHERE event_type = 'view' AND d % 4 = 0 GROUP BY date HAVING count(*) FILTER (event_id % 2 = 0) > 0""")
+def payload_shape_drift(spark, sf):
+    """Payloads of two sources: on some days a number is text, a field is missing or one is new; broken texts count for nothing."""
+    day = F.dayofmonth("ts")
+    number = F.col("value").cast("decimal(12,2)").cast("string")
+    level = F.when(day % 5 == 1, F.concat(F.lit('"'), number, F.lit('"'))).otherwise(number)
+    reservoir = F.concat(
+        F.lit('{"fuente":"f","descripcion":"d","url_fuente":"u","fecha_noticia":"n","nivel_maximo_msnm":null,"nivel_msnm":'), level,
+        F.when(day % 5 != 2, ',"embalse":"Daule-Peripa"').otherwise(""), F.when(day % 5 == 3, ',"nuevo":{"x":1,"y":[2]}').otherwise(""), F.lit("}"))
+    height = F.when((day % 4 == 0) & (F.col("event_id") % 2 == 0), F.concat(F.lit('"'), number, F.lit('"'))).otherwise(number)
+    tide = F.concat(F.lit('{"fuente":"f","puerto":"p","tendencia":null,"pleamar":true,"altura_marea_m":'), height, F.lit("}"))
+    events = v.table(spark, sf, "events").where(F.col("event_type").isin("view", "click")).withColumn("date", F.to_date("ts"))
+    whole = events.select(
+        F.when(F.col("event_type") == "view", "inocar_mareas").otherwise("celec_embalse").alias("source"), "date",
+        F.when(F.col("event_type") == "view", tide).otherwise(reservoir).alias("json_str"))
+    return shape_drift(whole.unionByName(whole.withColumn("json_str", F.expr("left(json_str, 9)"))))
+
+
 @query("normalize_waterways", """
     SELECT o_orderkey, 7::BIGINT AS way_id, CASE WHEN o_orderstatus = 'F' THEN 'Polygon' ELSE 'LineString' END AS geometry_type,
            CASE WHEN o_orderstatus = 'F' THEN 4 ELSE 3 END AS n_points, 'river' AS waterway,
