@@ -1,15 +1,15 @@
 """Exact nearest place by great-circle distance without comparing all pairs.
 
-Places are put into a hierarchy of cubes around the unit sphere (each level splits an edge by
-four), with one place of each cube as its representative. A point first takes the distance to the
-representatives of the cubes it lies in as an upper bound. Then it walks down the hierarchy and
-keeps only the cubes whose closest possible distance does not exceed the bound, which shrinks with
-every representative it meets. Only cubes at about the distance of the nearest place survive: for
-places spread or clustered anyhow the work per point grows with the depth, and dense clusters of
-places or points do not multiply into each other. Where very many places are almost equally near (a
-circle around a point), all their cubes survive, and the work grows with their number. The depth is
-a parameter, not a property of the data; a cube of the last level is searched whole. Straight-line distance on the sphere orders
-places exactly like ground distance; the final choice is made by the haversine distance itself.
+Points and places are each put into a hierarchy of cubes around the unit sphere (a level splits an edge by four); a cube keeps
+the tight box around what it holds, a cube of places also one place as its representative. Both hierarchies are walked
+together: a cube of points meets a cube of places. The farthest corner of the points' box from a representative bounds how far
+the nearest place of any of its points can be, and place cubes whose box is farther than the least such bound fall away.
+Then the point cubes split, take over what is left, and the place cubes split. So points that lie together share a walk down to
+the cube where they part, a cube with one point is that point, a cube with one place is not split any more, and the walk ends
+where both hierarchies do: on spread data a few levels, on dense clusters up to ``depth``. A cube of the last level is searched
+whole. Where very many places are almost equally near (a circle around a point) they all stay until the end, and the work
+grows with their number. Straight-line distance on the sphere orders places exactly like ground distance; the final choice is
+made by the haversine distance itself.
 """
 
 from __future__ import annotations
@@ -52,24 +52,28 @@ def _parent(cube: Column) -> Column:
     return F.shiftleft(ix, 42).bitwiseOR(F.shiftleft(iy, 21)).bitwiseOR(iz)
 
 
-def _axis_gap(v: Column, index: Column, edge: float) -> Column:
-    low = index * F.lit(edge) - F.lit(1.0)
-    return F.greatest(low - v, F.lit(0.0), v - low - F.lit(edge))
+_AXES = ("x", "y", "z")
+#: Columns of a cube of points, of a cube of places, and of its representative.
+_POINTS = ("acube", *(f"a{end}{c}" for c in _AXES for end in ("lo", "hi")))
+_PLACES = ("cube", "n", *(f"b{end}{c}" for c in _AXES for end in ("lo", "hi")), "pid", "plat", "plon", "rx", "ry", "rz")
 
 
-def _gap2(x: Column, y: Column, z: Column, cube: Column, level: int) -> Column:
-    """Square of the least straight-line distance from a point to a cube."""
-    mask = F.lit((1 << 21) - 1)
-    ix, iy, iz = F.shiftright(cube, 42), F.shiftright(cube, 21).bitwiseAND(mask), cube.bitwiseAND(mask)
-    edge = _edge(level)
-    gx, gy, gz = _axis_gap(x, ix, edge), _axis_gap(y, iy, edge), _axis_gap(z, iz, edge)
-    return gx * gx + gy * gy + gz * gz
+def _gap2() -> Column:
+    """Square of the least straight-line distance between the box of the points and the box of the places."""
+    total = F.lit(0.0)
+    for c in _AXES:
+        gap = F.greatest(F.lit(0.0), F.col(f"blo{c}") - F.col(f"ahi{c}"), F.col(f"alo{c}") - F.col(f"bhi{c}"))
+        total = total + gap * gap
+    return total
 
 
-def _dist2(rx: str, ry: str, rz: str) -> Column:
-    """Square of the straight-line distance from the point to another position."""
-    dx, dy, dz = F.col("x") - F.col(rx), F.col("y") - F.col(ry), F.col("z") - F.col(rz)
-    return dx * dx + dy * dy + dz * dz
+def _far2() -> Column:
+    """Square of the greatest straight-line distance from the box of the points to the representative."""
+    total = F.lit(0.0)
+    for c in _AXES:
+        far = F.greatest(F.abs(F.col(f"ahi{c}") - F.col(f"r{c}")), F.abs(F.col(f"r{c}") - F.col(f"alo{c}")))
+        total = total + far * far
+    return total
 
 
 def _reach2(bound: Column) -> Column:
@@ -77,10 +81,9 @@ def _reach2(bound: Column) -> Column:
     return reach * reach
 
 
-def _within(square: str | Column) -> Column:
+def _within(square: Column) -> Column:
     """Not farther than the bound. No not-null filters are inferred from a coalesced condition;
     pushed down, they would recompute the walk."""
-    square = F.col(square) if isinstance(square, str) else square
     return F.coalesce(square <= _reach2(F.col("bound")), F.lit(False))
 
 
@@ -90,28 +93,41 @@ def _on_levels(df: DataFrame, depth: int, columns: Sequence[str]) -> DataFrame:
     return levels.select(*columns, "level", _cube("level").alias("cube"))
 
 
-def _cells(places: DataFrame, depth: int) -> DataFrame:
-    """Non-empty cubes of all levels with their representative (fixed-width hash aggregate)."""
-    return (
-        _on_levels(places, depth, ["pid", "x", "y", "z"])
-        .groupBy("level", "cube").agg(*[F.max_by(c, "pid").alias(f"r{c}") for c in "xyz"])
-    )
+def _boxes(prefix: str) -> list[Column]:
+    return [f(c).alias(f"{prefix}{end}{c}") for c in _AXES for end, f in (("lo", F.min), ("hi", F.max))]
 
 
-def _narrow(opened: DataFrame, level: int) -> DataFrame:
-    """Drop the cubes that cannot hold a nearest place, before and after tightening the bound."""
-    per_spot = Window.partitionBy("slat", "slon")
-    gap = _gap2(F.col("x"), F.col("y"), F.col("z"), F.col("cube"), level)
-    return (
-        opened.withColumns({"gap2": gap, "far2": _dist2("rx", "ry", "rz")})
-        .where(_within("gap2"))
-        .withColumn("bound", F.least("bound", F.min("far2").over(per_spot)))
-        .where(_within("gap2"))
-        .select(*_SPOT, "bound", "cube")
-    )
+def _place_cubes(places: DataFrame, depth: int) -> DataFrame:
+    """Non-empty cubes of all levels: number and box of their places, and the greatest place id's place."""
+    which = [F.max_by(c, "pid").alias(n) for c, n in (("plat", "plat"), ("plon", "plon"), ("x", "rx"), ("y", "ry"), ("z", "rz"))]
+    grouped = _on_levels(places, depth, ["pid", "plat", "plon", *_AXES]).groupBy("level", "cube")
+    return grouped.agg(F.count(F.lit(1)).alias("n"), *_boxes("b"), F.max("pid").alias("pid"), *which)
+
+
+def _point_cubes(spots: DataFrame, depth: int) -> DataFrame:
+    grouped = _on_levels(spots, depth, list(_AXES)).groupBy("level", F.col("cube").alias("acube"))
+    return grouped.agg(F.count(F.lit(1)).alias("an"), *_boxes("a"))
+
+
+def _tightened(pairs: DataFrame) -> DataFrame:
+    """Pairs that may hold a nearest place, with the least bound that their point cube has met."""
+    per_cube = Window.partitionBy("acube")
+    near = pairs.where(_within(_gap2())).withColumn("bound", F.least("bound", F.min(_far2()).over(per_cube)))
+    return near.where(_within(_gap2())).select(*_POINTS, *_PLACES, "bound")
+
 
+def _split_points(walk: DataFrame, cubes: DataFrame) -> DataFrame:
+    """The walk of every point cube of a level handed on to its cubes of the next one."""
+    below = cubes.select(_parent(F.col("acube")).alias("aparent"), *[F.col(c).alias(f"new_{c}") for c in _POINTS])
+    opened = walk.join(below, F.col("acube") == F.col("aparent"))
+    return opened.select(*[F.col(f"new_{c}").alias(c) for c in _POINTS], *_PLACES, "bound").where(_within(_gap2()))
 
-_SPOT = ("slat", "slon", "x", "y", "z")
+
+def _split_places(walk: DataFrame, cubes: DataFrame) -> DataFrame:
+    """Place cubes of a level opened, but for those with one place."""
+    below = cubes.select(_parent(F.col("cube")).alias("parent"), *[F.col(c).alias(f"new_{c}") for c in _PLACES])
+    opened = walk.join(below, (F.col("cube") == F.col("parent")) & (F.col("n") > 1), "left")
+    return opened.select(*_POINTS, *[F.coalesce(f"new_{c}", c).alias(c) for c in _PLACES], "bound")
 
 
 def nearest_place(
@@ -144,38 +160,35 @@ def nearest_place(
         .select("pid", "plat", "plon", *_place_on_sphere("plat", "plon"))
         .checkpoint()
     )
-    cells = _cells(index, depth).checkpoint()
-
     # The answer depends on the coordinates alone: copies of a point are looked up once.
     spots = (
         points.where(has_place(lat, lon, drop_zero_coords)).select(F.col(lat).alias("slat"), F.col(lon).alias("slon")).distinct()
         .select("slat", "slon", *_place_on_sphere("slat", "slon"))
+        .checkpoint()
     )
-    # First bound: the best representative of the cubes around the point; 4 is the square of the diameter.
-    around = _on_levels(spots, depth, _SPOT).join(cells, ["level", "cube"], "left")
-    bounded = around.groupBy(*_SPOT).agg(F.coalesce(F.min(_dist2("rx", "ry", "rz")), F.lit(4.0)).alias("bound"))
-
-    # Level one has at most 64 cubes: they travel as one array value.
-    top = cells.where("level = 1").agg(F.collect_list(F.struct("cube", "rx", "ry", "rz"))).scalar()
-    walk = _narrow(
-        bounded.withColumn("__top", top).select(*_SPOT, "bound", F.explode_outer("__top").alias("c"))
-        .select(*_SPOT, "bound", "c.*"),
-        1,
-    )
-    for level in range(2, depth + 1):
-        below = cells.where(F.col("level") == level).select(
-            _parent(F.col("cube")).alias("parent"), F.col("cube").alias("child"), "rx", "ry", "rz"
-        )
-        opened = walk.join(below, F.col("cube") == F.col("parent")).withColumn("cube", F.col("child"))
-        walk = _narrow(opened, level)
-
-    here = index.select(
-        _cube(depth).alias("leaf"), "pid", "plat", "plon",
-        *[F.col(c).alias(f"r{c}") for c in "xyz"],
-    )
+    cubes, point_cubes = _place_cubes(index, depth).checkpoint(), _point_cubes(spots, depth).checkpoint()
+    # Below the level where every cube holds one place, and every cube one point, there is nothing to split.
+    ends = [df.where(F.col(n) > 1).agg(F.max("level")).first()[0] or 0 for df, n in ((cubes, "n"), (point_cubes, "an"))]
+    last = min(depth, max(ends) + 1)
+
+    # Level one has at most 64 cubes: they travel as one array value. 4 is the square of the diameter.
+    top = cubes.where("level = 1").agg(F.collect_list(F.struct(*_PLACES))).scalar()
+    first = point_cubes.where("level = 1").withColumn("__top", top).withColumn("bound", F.lit(4.0))
+    walk = _tightened(first.select(*_POINTS, "bound", F.explode_outer("__top").alias("c")).select(*_POINTS, "bound", "c.*"))
+    for level in range(2, last + 1):
+        walk = _split_points(walk, point_cubes.where(F.col("level") == level))
+        walk = _tightened(_split_places(walk, cubes.where(F.col("level") == level)))
+
+    # The points themselves, against the places left: a cube's only one, or all that a cube of the last level holds.
+    own = spots.select("slat", "slon", _cube(last).alias("own"), *[F.col(c).alias(f"s{c}") for c in _AXES])
+    met = walk.join(own, F.col("acube") == F.col("own")).withColumns({f"a{end}{c}": F.col(f"s{c}") for c in _AXES for end in ("lo", "hi")})
+    met = met.where(_within(_gap2()))
+    here = index.select(_cube(last).alias("leaf"), *[F.col(c).alias(f"new_{n}") for c, n in (("pid", "pid"), ("plat", "plat"), ("plon", "plon"), ("x", "rx"), ("y", "ry"), ("z", "rz"))])
+    found = met.join(here, (F.col("cube") == F.col("leaf")) & (F.col("n") > 1), "left")
+    found = found.select("slat", "slon", *[F.col(f"a{end}{c}") for c in _AXES for end in ("lo", "hi")], "bound",
+                         *[F.coalesce(f"new_{c}", c).alias(c) for c in ("pid", "plat", "plon", "rx", "ry", "rz")])
     nearest = (
-        walk.join(here, F.col("cube") == F.col("leaf"))
-        .where(_within(_dist2("rx", "ry", "rz")))
+        found.where(_within(_far2()))
         .withColumn("d", F.round(haversine_km("slat", "slon", "plat", "plon"), digits))
         .groupBy("slat", "slon")
         .agg(F.min(F.struct("d", "pid", "plat", "plon")).alias("best"))

@@ -60,6 +60,24 @@ def test_nearest_on_a_circle_around_a_cluster(spark):
         assert abs(got[pt].distance_km - min(km((lat, lon), p[1:]) for p in places)) <= 2e-6
 
 
+def test_nearest_of_points_and_places_in_clusters(spark):
+    """Points that share cubes down to the last level, places that do, and both far apart; ties go to the least id."""
+    rng = random.Random(12)
+    around = lambda lat, lon, r, n: [(lat + rng.uniform(-r, r), lon + rng.uniform(-r, r)) for _ in range(n)]
+    spots = around(-2.2, -79.9, 1e-4, 150) + around(45.0, 179.999, 0.5, 60) + around(0, 0, 80, 60) + [(90.0, 0.0), (-90.0, 10.0), (0.0, 180.0), (0.0, -180.0)]
+    sites = around(-2.2, -79.9, 1e-3, 120) + around(-2.2, -79.7, 1e-5, 80) + around(10, 10, 60, 40)
+    points = [(i, a, o) for i, (a, o) in enumerate(spots)]
+    places = [(1000 + i, a, o) for i, (a, o) in enumerate(sites)] + [(1, *sites[0]), (2000, *sites[0])]
+    for depth in (2, 7):
+        got = {r.pt: r for r in nearest_place(
+            spark.createDataFrame(points, "pt INT, lat DOUBLE, lon DOUBLE"), spark.createDataFrame(places, "place_id INT, lat DOUBLE, lon DOUBLE"), depth=depth).collect()}
+        for pt, lat, lon in points:
+            best = min(km((lat, lon), p[1:]) for p in places)
+            assert abs(got[pt].distance_km - best) <= 2e-6
+            assert abs(km((lat, lon), next(p[1:] for p in places if p[0] == got[pt].place_id)) - best) <= 2e-6
+        assert not {r.place_id for r in got.values()} & {1000, 2000}
+
+
 def test_nearest_edge_cases(spark):
     points = spark.createDataFrame([(1, 0.0, 0.0), (2, None, 1.0), (3, 0.5, 0.4)], "pt INT, lat DOUBLE, lon DOUBLE")
     places = spark.createDataFrame([(5, 0.0, 0.0), (3, 1.0, 1.0), (4, 1.0, 1.0)], "place_id INT, lat DOUBLE, lon DOUBLE")
