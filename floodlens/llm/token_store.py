@@ -1,6 +1,7 @@
 """Token ids on disk: raw payload files with a minimal perfect hash index for keyed access.
 
-Documents are range-partitioned and sorted by key. Each partition writes one shard:
+Documents are range-partitioned by key and the beginning of their text, and sorted by key and text, so rows without key, or of one
+key, may fill many shards. Each partition writes one shard:
 
 * ``NAME.ids``: the ids of its documents one after another, little-endian unsigned, nothing else; 16 bits each if the
   vocabulary has at most 65,536 entries, else 32;
@@ -13,8 +14,8 @@ one in 2**32), the row there its place in ``starts``. Files of a failed attempt
 a shard exists once the checkpointed manifest names it.
 
 Defined results: null texts are empty, so a document is at least its end id; rows that repeat a key lie side by side, ordered
-by text, and the index gives the first and their number; rows without key come first and can be read but not looked up; an
-empty table gives no shard.
+by text, within a shard and from shard to shard, and each shard's index gives its first and their number; rows without key come
+first and can be read but not looked up; an empty table gives no shard.
 """
 
 from __future__ import annotations
@@ -39,6 +40,8 @@ TOKENIZER = "byte_bpe_50k.json"
 END = 0
 MAGIC, VERSION = 0x58444953444B4F54, 1
 _HEADER = 8
+#: Characters of a text by which rows of one key, or of none, are dealt to shards.
+PREFIX = 24
 #: Ids read from a payload file at once.
 READ_IDS = 1 << 20
 
@@ -91,7 +94,8 @@ def write(docs: DataFrame, base: str | None = None, id_col: str = "doc_id", text
     """
     base = base or shared_dir(docs.sparkSession, "token-store")
     rows = docs.select(F.col(id_col).cast("long").alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = rows.repartitionByRange("key").sortWithinPartitions("key", "text")
+    # Equal beginnings stay together; the sort goes on by the whole text.
+    rows = rows.repartitionByRange("key", F.substring("text", 1, PREFIX)).sortWithinPartitions("key", "text")
 
     def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoding.encoder(tokenizer)
@@ -174,17 +178,20 @@ def read_back(manifest: DataFrame) -> DataFrame:
 def look_up(manifest: DataFrame, keys: DataFrame, key_col: str = "doc_id") -> DataFrame:
     """``key, ids`` (array) for every stored document of the keys asked for; a key that is not stored has no row.
 
-    Shards do not overlap, so the bounds in the manifest (one row per shard, held by the driver) lead a key to one of them.
+    Shards follow one another, so the bounds in the manifest (one row per shard, held by the driver) lead a key to the one that
+    holds it, or to all of a key that fills several.
     """
-    shards = manifest.where("last_key is not null").orderBy("part").select("base", "name", "last_key").collect()
-    last = np.array([s["last_key"] for s in shards], dtype=np.int64)
+    shards = manifest.where("last_key is not null").orderBy("part").select("base", "name", "first_key", "last_key").collect()
+    first_keys, last_keys = (np.array([s[c] for s in shards], dtype=np.int64) for c in ("first_key", "last_key"))
     wanted = keys.select(F.col(key_col).cast("long").alias("key")).where("key is not null").distinct()
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = np.searchsorted(last, batch.column(0).to_numpy())
-            inside = pa.array(at < len(last))
-            yield pa.RecordBatch.from_arrays([pa.array(at), batch.column(0)], ["shard", "key"]).filter(inside)
+            keys = batch.column(0).to_numpy()
+            begin, end = np.searchsorted(last_keys, keys), np.searchsorted(first_keys, keys, side="right")
+            n = np.maximum(end - begin, 0)
+            each = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(begin, n) + each), pa.array(np.repeat(keys, n))], ["shard", "key"])
 
     held = in_arrow(wanted, route, "shard long, key long").repartition("shard").sortWithinPartitions("shard", "key")
 

@@ -56,6 +56,21 @@ def test_token_store_round_trip(spark):
     assert sorted((r.key, r.ids) for r in found) == want
 
 
+def test_rows_without_key_and_of_one_key_fill_many_shards(spark):
+    docs = [(None, f"{i % 97} text {i}") for i in range(400)] + [(7, f"{i % 89} other {i}") for i in range(400)] + [(i, "single") for i in range(20, 60)]
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # small tables would be one shard
+    try:
+        manifest = token_store.write(spark.createDataFrame(docs, DOCS))
+        assert manifest.agg({"rows": "max"}).first()[0] < 0.4 * len(docs)
+        assert [tuple(r) for r in token_store.read_back(manifest).orderBy("start").collect()] == stored(docs)
+        found = token_store.look_up(manifest, spark.createDataFrame([(7,), (25,), (8,)], "doc_id long")).collect()
+        assert sorted(r.key for r in found) == [7] * 400 + [25]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_token_store_of_nothing(spark):
     manifest = token_store.write(spark.createDataFrame([], DOCS))
     assert manifest.count() == 0 and token_store.read_back(manifest).count() == 0
