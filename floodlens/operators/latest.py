@@ -203,3 +203,16 @@ def recent_alerts(raw: DataFrame, n: int = 20) -> DataFrame:
     if "date" in raw.columns and n > 0:
         alerts = newest_days_with(alerts, n)
     return recent(alerts.select("json_str", "kafka_timestamp"), "kafka_timestamp", ["json_str"], n)
+
+
+def source_status(raw: DataFrame, sources: Sequence[str]) -> DataFrame:
+    """``source, is_empty, n_records, n_days, newest_day`` of every named source, those without a record too.
+
+    On a table partitioned by source and date the counts come from partition values and file footers.
+    """
+    named = raw.sparkSession.createDataFrame([(s,) for s in sources], "source STRING")
+    counts = raw.groupBy("source", "date").agg(F.count(F.lit(1)).alias("n"))
+    held = counts.groupBy("source").agg(F.sum("n").alias("n_records"), F.count(F.lit(1)).alias("n_days"), F.max("date").alias("newest_day"))
+    n = F.coalesce("n_records", F.lit(0))
+    return named.join(held, "source", "left").select(
+        "source", (n == 0).alias("is_empty"), n.alias("n_records"), F.coalesce("n_days", F.lit(0)).alias("n_days"), "newest_day")

@@ -8,6 +8,7 @@ from floodlens.functions.risk import LEVELS
 from floodlens.operators import latest
 from floodlens.plans import views as v
 from floodlens.plans.registry import query
+from floodlens.schemas import TOPIC_SOURCES
 
 DOMAINS = {"risk_level": LEVELS}
 _SNAP = (v.ZONES_SQL, v.SNAPSHOTS_SQL)
@@ -91,3 +92,13 @@ def partition_range_scan(spark, sf):
     ORDER BY kafka_timestamp DESC, json_str DESC LIMIT 20"""))
 def recent_alerts(spark, sf):
     return latest.recent_alerts(v.landed_raw(spark, sf)).withColumn("kafka_timestamp", v.ntz("kafka_timestamp"))
+
+
+@query("source_status", v.with_sql(v.RAW_SQL, body="""
+    SELECT s.source, count(raw.event_id) = 0 AS is_empty, count(raw.event_id) AS n_records, count(DISTINCT raw.date) AS n_days, max(raw.date) AS newest_day
+    FROM (SELECT unnest(['gee', 'noaa', 'open_meteo', 'nasa_power', 'openweathermap', 'enso_indexes', 'copernicus', 'inamhi', 'sgr_eventos', 'seguraep',
+                         'guayas_osm', 'celec_embalse', 'inocar_mareas', 'sngr_alertas', 'ndbc_buoys']) AS source) s
+    LEFT JOIN raw ON raw.source = s.source GROUP BY s.source"""))
+def source_status(spark, sf):
+    """What every source of the map has landed; most have nothing."""
+    return latest.source_status(v.landed_raw(spark, sf), sorted(TOPIC_SOURCES.values()))
