@@ -16,10 +16,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from floodlens.llm.common import cut
+from floodlens.llm.common import cut, cut_table
 from floodlens.llm.components import connected_components
 
 CROWD, CENTRES = 64, 16
+#: Members of a part of a crowd.
+PART = 4_096
 #: Members of a shingle that are paired in one block, and words of 64 bits that hold the parities of a set.
 BLOCK, PARITIES = 512, 8
 #: The least similarity as a fraction, so that bounds are whole numbers.
@@ -27,10 +29,27 @@ _PARTS, _OF = 4, 5
 
 
 def _placed(banded: DataFrame) -> DataFrame:
-    # The order differs from band to band, and so do the centres of a crowd that meets in all of them.
-    order = Window.partitionBy("band").orderBy(F.xxhash64("band", "node"), "node")
-    placed = banded.withColumn("n", F.count("*").over(Window.partitionBy("band"))).where("n > 1")
-    return placed.withColumn("place", F.row_number().over(order))
+    """``node, band, n, h``: the members of bands that have more than one, with their number and an order of their own.
+
+    The order differs from band to band, and so do the centres of a crowd that meets in all of them.
+    """
+    counts = banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+    return banded.join(counts, "band").select("node", "band", "n", F.xxhash64("band", "node").alias("h"))
+
+
+def _centres(placed: DataFrame, crowd: int) -> DataFrame:
+    """``band, v, centre``: all members of small bands, the first few in the order of a crowd, each with its place in that order.
+
+    A crowd is cut into parts by its order's hash, and only the first of every part are looked at together.
+    """
+    first = F.struct("h", "node")
+    small = placed.where(F.col("n") <= crowd).select("band", "node", first.alias("centre"))
+    parts = F.pmod(F.xxhash64("h"), F.ceil(F.col("n") / PART))
+    in_part = Window.partitionBy("band", "part").orderBy("h", "node")
+    crowds = placed.where(F.col("n") > crowd).withColumn("part", parts).withColumn("k", F.row_number().over(in_part)).where(F.col("k") <= CENTRES)
+    in_band = Window.partitionBy("band").orderBy("h", "node")
+    crowds = crowds.withColumn("k", F.row_number().over(in_band)).where(F.col("k") <= CENTRES).select("band", "node", first.alias("centre"))
+    return small.unionByName(crowds).select("band", F.col("node").alias("v"), "centre")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -42,15 +61,15 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def _untied(placed: DataFrame, sets: DataFrame, tied: DataFrame, crowd: int) -> DataFrame:
     """Pairs ``u, v`` of members of crowded bands that are in different components and share one of their rarest shingles."""
     crowded = placed.where(F.col("n") > crowd).select("node", "band").join(tied, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    crowded = cut(crowded)
+    crowded = cut_table(crowded)
     open_ = crowded.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("band")
     members = crowded.join(open_, "band").select("node", "component").distinct()
-    members = cut(members.join(sets, "node"))
+    members = cut_table(members.join(sets, "node"))
     each = members.select("node", F.size("shingles").alias("size"), F.explode("shingles").alias("shingle"))
     frequent = each.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1")
     rank = F.row_number().over(Window.partitionBy("node").orderBy(F.coalesce("df", F.lit(1)), "shingle"))
     prefix = each.join(frequent, "shingle", "left").withColumn("rank", rank).where(f"rank <= size - ceil(size * {_PARTS} / {_OF}) + 1 and df > 1")
-    prefix = cut(prefix.join(members.select("node", "component"), "node").select("shingle", "node", "component"))
+    prefix = cut_table(prefix.join(members.select("node", "component"), "node").select("shingle", "node", "component"))
     held = prefix.groupBy("shingle", "component").agg(F.count("*").alias("members"))
     held = held.groupBy("shingle").agg(
         F.max(F.struct("members", "component"))["component"].alias("largest"), F.count("*").alias("components"),
@@ -58,7 +77,7 @@ def _untied(placed: DataFrame, sets: DataFrame, tied: DataFrame, crowd: int) ->
     # Bit k of the parities tells whether the number of shingles that hash to k is odd; sets differ in as many shingles at least as in bits.
     parity = [F.bit_xor(F.expr(f"if(pmod(shingle, {64 * PARITIES}) div 64 = {k}, shiftleft(1L, cast(pmod(shingle, 64) as int)), 0L)")) for k in range(PARITIES)]
     signed = each.groupBy("node").agg(F.first("size").alias("size"), F.array(*parity).alias("odd"))
-    keyed = cut(prefix.join(held.drop("components"), "shingle").join(signed, "node"))
+    keyed = cut_table(prefix.join(held.drop("components"), "shingle").join(signed, "node"))
 
     def side(rows: DataFrame, name: str, own: str, other: str) -> DataFrame:
         rows = rows.withColumn(own, F.pmod(F.xxhash64("node"), "blocks")).withColumn(other, F.explode(F.expr("sequence(0L, cast(blocks - 1 as bigint))")))
@@ -77,9 +96,9 @@ def near_components(banded: DataFrame, sets_of: Callable[[DataFrame], DataFrame]
 
     ``banded`` has ``node, band`` for each distinct set and band; ``sets_of`` gives ``node, shingles`` for a table of ``node``.
     """
-    placed = cut(_placed(banded))
-    centres = placed.where((F.col("n") <= crowd) | (F.col("place") <= CENTRES)).select("band", F.col("node").alias("v"), F.col("place").alias("centre"))
-    pairs = cut(placed.join(centres, "band").where("place > centre").select(F.col("node").alias("u"), "v").distinct())
+    placed = cut_table(_placed(banded))
+    pairs = placed.join(_centres(placed, crowd), "band").where(F.struct("h", "node") > F.col("centre"))
+    pairs = cut_table(pairs.select(F.col("node").alias("u"), "v").distinct())
     sets = cut(sets_of(placed.select("node").distinct()))
     tied = cut(connected_components(_verified(pairs, sets)))
     if placed.where(F.col("n") > crowd).isEmpty():

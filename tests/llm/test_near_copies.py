@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from floodlens.llm import near_sets
 
@@ -29,3 +30,16 @@ def test_crowds_are_resolved_exactly(spark, crowd):
     as_sets = {i: set(s) for i, s in sets.items()}
     want = groups([(a, b) for a in sets for b in range(a) if near(as_sets[a], as_sets[b])], sets)
     assert len(set(want.values())) > 100 and {i: have.get(i, i) for i in sets} == want
+
+
+def test_a_hot_band_is_dealt_over_tasks(spark):
+    """200,000 members of one band: what its centres come from, and the pairs with them, lie in no single task."""
+    members = spark.range(200_000).select(F.xxhash64("id").alias("node"), F.lit(1).cast("long").alias("band"))
+    more = spark.range(50).select(F.col("id").alias("node"), (F.floor(F.col("id") / 2) + 10).cast("long").alias("band"))
+    placed = near_sets._placed(members.unionByName(more))
+    parts = placed.where("n > 64").withColumn("part", F.pmod(F.xxhash64("h"), F.ceil(F.col("n") / near_sets.PART)))
+    assert parts.groupBy("part").count().agg(F.max("count")).first()[0] < 0.05 * 200_000
+    centres = near_sets._centres(placed, 64)
+    first = [r.node for r in placed.where("band = 1").orderBy("h", "node").limit(near_sets.CENTRES).collect()]
+    assert sorted(r.v for r in centres.where("band = 1").collect()) == sorted(first)
+    assert centres.where("band <> 1").count() == 50
