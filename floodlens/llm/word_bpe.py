@@ -35,7 +35,7 @@ from floodlens.session import ship_package
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: Characters of a chunk, or one text, and of the text that a bucket's words come from.
-CHUNK_CHARS, BUCKET_CHARS = 16_000_000, 4_000_000
+CHUNK_CHARS, BUCKET_CHARS = 8_000_000, 4_000_000
 #: Words or ids put together at once.
 AT_ONCE = 500_000
 
