@@ -33,7 +33,7 @@ COUNTED, COUNT_PARTS = 1 << 20, 256
 #: Sets that a worker puts in order together.
 SORTED = 1_024
 #: Sizes of one class differ by less than this factor.
-CLASS = 1.04
+CLASS = 1.02
 #: The least similarity as a fraction, so that bounds are whole numbers.
 _PARTS, _OF = 4, 5
 
@@ -144,19 +144,25 @@ def _untied(placed: DataFrame, sets: DataFrame, tied: DataFrame, crowd: int) ->
     members = crowded.join(open_, "band").select("node", "component").distinct()
     ordered = cut_table(_ordered(cut_table(members.join(sets, "node"))))
     first = ordered.select("node", "component", "size", F.posexplode("first").alias("place", "shingle"))
-    held = first.groupBy("shingle", "component").agg(F.count("*").alias("members"))
-    held = held.groupBy("shingle").agg(F.max(F.struct("members", "component"))["component"].alias("largest"), F.count("*").alias("components"))
     # Two sets have no more in common than follows their first common shingle, so one that has it at this place is near to none that is larger than this.
-    most = F.expr(f"({_OF} * size - {_PARTS + _OF} * place) div {_PARTS}").cast("int")
-    keyed = first.join(held.where("components > 1").drop("components"), "shingle").join(ordered.select("node", "odd"), "node")
-    keyed = cut_table(keyed.withColumn("most", most).withColumn("in_largest", F.expr("component = largest")).drop("largest", "place"))
+    first = first.withColumn("most", F.expr(f"({_OF} * size - {_PARTS + _OF} * place) div {_PARTS}").cast("int")).drop("place")
+    short = F.col("most") >= F.col("size")
+    held = first.groupBy("shingle", "component").agg(
+        F.count("*").alias("members"), F.min(F.when(short, F.col("size"))).alias("low"), F.max(F.when(short, F.col("size"))).alias("high"),
+        F.max(F.when(short, F.col("most"))).alias("reach"))
+    held = held.groupBy("shingle").agg(
+        F.max(F.struct("members", "component"))["component"].alias("largest"), F.count("*").alias("components"),
+        F.min("low").alias("low"), F.max("high").alias("high"), F.max("reach").alias("reach")).where("components > 1 and low is not null")
+    keyed = first.join(held.drop("components"), "shingle").join(ordered.select("node", "odd"), "node")
+    keyed = cut_table(keyed.withColumn("in_largest", F.expr("component = largest")).drop("largest"))
 
     # The larger set of a pair is u. Pairs within the largest component of a shingle are not looked at.
     key = ["shingle", "class_u", "class_v", "largest_v"]
     own, columns = _classes("size", "size")[0], ["node", "component", "size", "most", "odd"]
-    u = keyed.withColumn("largest_v", F.explode(F.expr("if(in_largest, array(false), array(false, true))"))).withColumn("class_u", own)
-    u = u.withColumn("class_v", F.explode(_classes(f"ceil(size * {_PARTS} / {_OF})", "least(size, most)")))
-    v = keyed.where("most >= size").withColumnRenamed("in_largest", "largest_v").withColumn("class_v", own)
+    u = keyed.withColumn("least", F.expr(f"greatest(low, ceil(size * {_PARTS} / {_OF}))")).withColumn("greatest", F.expr("least(high, size, most)"))
+    u = u.where("least <= greatest and size <= reach").withColumn("largest_v", F.explode(F.expr("if(in_largest, array(false), array(false, true))")))
+    u = u.withColumn("class_u", own).withColumn("class_v", F.explode(_classes("least", "greatest")))
+    v = keyed.where(short).withColumnRenamed("in_largest", "largest_v").withColumn("class_v", own)
     v = v.withColumn("class_u", F.explode(_classes("size", "most")))
     u, v = (rows.select(*key, *[F.col(c).alias(f"{c}_{name}") for c in columns]) for rows, name in ((u, "u"), (v, "v")))
     # The smaller sets of a key in blocks, so that no task has a frequent shingle alone.
