@@ -1,19 +1,31 @@
-"""First mention of a long list of needles in texts, through an inverted index on the needles' rarest n-grams.
+"""First mention of a long list of needles in texts: the least ranks first, the rest through an inverted index.
 
-A text that contains a needle contains every n-gram of it. So each needle is indexed under one n-gram only, the one that the
-fewest texts hold; texts meet needles by an equality join on n-grams, and only pairs that meet are tested. The number of pairs
-follows how rare the needles are, not the product of both tables, and no list, index or text is collected or broadcast by
-hand.
+Only the first mention of a text is asked for, so the needles are met in the order of their ranks: a bounded head of the list is
+sent to all workers, and a text that contains one of it is settled and never taken apart. What the heads leave unsettled meets the
+rest of the list by an index. A text that contains a needle contains every n-gram of it, so each needle is indexed under one n-gram
+only, the one that the fewest texts hold; texts meet needles by an equality join on n-grams, and only pairs that meet are
+tested. The number of pairs follows how rare the needles are, not the product of both tables.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from floodlens.session import ensure_checkpoint_dir
+from floodlens.operators.needle_trie import NeedleTrie
+from floodlens.session import ensure_checkpoint_dir, ship_package
 
 GRAM = 5
+#: Needles of the heads that are sent to the workers one after another, and how many bytes each has on the average at most.
+HEADS, NEEDLE_BYTES = (1 << 14, 1 << 17), 32
+#: A worker meets this many needles of a head first, then with the texts left as many times this more, and so on.
+STEP = 1 << 8
 
 
 def _text_grams(texts: DataFrame, key: str, size: int) -> DataFrame:
@@ -36,18 +48,51 @@ def rarest_grams(needles: DataFrame, grams: DataFrame) -> DataFrame:
     return rarest.where("rarest.n > 0").select("nid", "rarest.gram")
 
 
-def first_mentions(texts: DataFrame, key: str, text: str, needles: DataFrame, default: str | None = None, gram: int = GRAM) -> DataFrame:
-    """``key, rank, label`` of every row of ``texts``: of the needles that its text contains the one of the least rank.
+def _head(listed: DataFrame, after: int, most: int) -> list[tuple[int, bytes]]:
+    """``nid`` and bytes of the needles that come next in a sorted list: ``most`` at most, and of bounded length together."""
+    due = listed.where(F.col("nid") > after)
+    sizes = due.select("nid", F.octet_length("needle")).take(most)
+    fit = int(np.searchsorted(np.cumsum([n for _, n in sizes]), most * NEEDLE_BYTES, "right"))
+    if not fit:
+        return []
+    return [(nid, bytes(n)) for nid, n in due.where(F.col("nid") <= sizes[fit - 1][0]).select("nid", F.col("needle").cast("binary")).take(fit)]
 
-    ``needles``: ``needle, label, rank``; ties of rank go to the least label. Texts are compared as they are, so both sides
-    are brought to lower case before. A text without any needle, null ones too, has no rank and the label ``default``. ``key``
-    tells rows apart; rows that repeat it are one text, the greatest. An empty needle is in every text; null ones are in none.
-    """
-    spark = texts.sparkSession
-    ensure_checkpoint_dir(spark)
-    rows = texts.groupBy(key).agg(F.max(text).alias("__text"))
-    listed = needles.where("needle is not null and rank is not null").groupBy("needle").agg(F.min(F.struct("rank", "label")).alias("best"))
-    listed = listed.select(F.xxhash64("needle").alias("nid"), "needle", F.char_length("needle").alias("size"), "best").checkpoint()
+
+def _met(rows: DataFrame, key: str, head: Sequence[tuple[int, bytes]]) -> DataFrame:
+    """``key, nid, __text``: the first needle of ``head`` in each text; the text (``key, __text``) stays where there is none."""
+    ship_package(rows.sparkSession)
+    nids, needles = np.array([nid for nid, _ in head], np.int64), [n for _, n in head]
+    tries, at = [], 0
+    while at < len(needles):
+        more = STEP * max(1, at)
+        tries.append((at, NeedleTrie(needles[at : at + more])))
+        at += more
+    shared = rows.sparkSession.sparkContext.broadcast((nids, tries))
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nids, tries = shared.value
+        for batch in batches:
+            texts = batch.column(1)
+            place = np.full(len(batch), len(nids), np.int64)
+            left = np.flatnonzero(texts.is_valid().to_numpy(zero_copy_only=False))
+            for at, trie in tries:
+                some = texts.take(pa.array(left)).cast(pa.large_binary())
+                offsets = np.frombuffer(some.buffers()[1], np.int64)[some.offset : some.offset + len(some) + 1]
+                found = trie.first(np.frombuffer(some.buffers()[2] or b"", np.uint8), offsets) if len(some) else np.empty(0, np.int64)
+                place[left] = np.where(found < trie.none, at + found, len(nids))
+                left = left[found == trie.none]
+            settled = place < len(nids)
+            which = pa.array(nids[np.minimum(place, len(nids) - 1)], pa.int64(), mask=~settled)
+            yield pa.RecordBatch.from_arrays([batch.column(0), which, pc.if_else(pa.array(settled), pa.scalar(None, texts.type), texts)], names=[key, "nid", "__text"])
+
+    kind = rows.schema[key]
+    schema = T.StructType([kind, T.StructField("nid", T.LongType()), T.StructField("__text", T.BinaryType())])
+    met = rows.select(key, F.col("__text").cast("binary")).mapInArrow(meet, schema)
+    return met.withColumn("__text", F.col("__text").cast("string"))
+
+
+def _indexed(rows: DataFrame, key: str, listed: DataFrame, gram: int) -> DataFrame:
+    """``key, best`` of every text (``key, __text``) by the index of all of ``listed``."""
     found = []
     # Needles shorter than an n-gram are indexed whole: at most as many sizes as an n-gram has letters.
     for size in sorted({min(gram, r["size"]) for r in listed.select("size").where(f"size < {gram}").distinct().collect()} | {gram}):
@@ -65,5 +110,37 @@ def first_mentions(texts: DataFrame, key: str, text: str, needles: DataFrame, de
     every = found[0]
     for more in found[1:]:
         every = every.unionByName(more)
-    best = every.groupBy(key).agg(F.min("best").alias("best"))
-    return rows.select(key).join(best, key, "left").select(key, F.col("best.rank").alias("rank"), F.coalesce("best.label", F.lit(default)).alias("label"))
+    return rows.select(key).join(every.groupBy(key).agg(F.min("best").alias("best")), key, "left")
+
+
+def first_mentions(texts: DataFrame, key: str, text: str, needles: DataFrame, default: str | None = None, gram: int = GRAM) -> DataFrame:
+    """``key, rank, label`` of every row of ``texts``: of the needles that its text contains the one of the least rank.
+
+    ``needles``: ``needle, label, rank``; ties of rank go to the least label. Texts are compared as they are, so both sides
+    are brought to lower case before. A text without any needle, null ones too, has no rank and the label ``default``. ``key``
+    tells rows apart; rows that repeat it are one text, the greatest. An empty needle is in every text; null ones are in none.
+    """
+    spark = texts.sparkSession
+    ensure_checkpoint_dir(spark)
+    rows = texts.groupBy(key).agg(F.max(text).alias("__text")).select(key, F.when(F.col(key).isNotNull(), F.col("__text")).alias("__text"))
+    listed = needles.where("needle is not null and rank is not null").groupBy("needle").agg(F.min(F.struct("rank", "label")).alias("best"))
+    # The numbers follow the order of the ranks.
+    listed = listed.orderBy("best", "needle").select(F.monotonically_increasing_id().alias("nid"), "needle", F.char_length("needle").alias("size"), "best").checkpoint()
+    told, last = [], -1
+    for most in HEADS:
+        head = _head(listed, last, most)
+        if not head:
+            break
+        own = listed.where((F.col("nid") > last) & (F.col("nid") <= head[-1][0])).select("nid", "best")  # as many rows as the head has
+        met, last = _met(rows.hint("rebalance") if told else rows, key, head).checkpoint(), head[-1][0]
+        told.append(met.where("__text is null").join(F.broadcast(own), "nid", "left").select(key, "best"))
+        rows = met.where("__text is not null").select(key, "__text")
+        if rows.isEmpty():
+            break
+    rest = listed.where(F.col("nid") > last)
+    if not told or not rows.isEmpty():
+        told.append(_indexed(rows, key, rest, gram) if not rest.isEmpty() else rows.select(key, F.lit(None).cast(listed.schema["best"].dataType).alias("best")))
+    best = told[0]
+    for more in told[1:]:
+        best = best.unionByName(more)
+    return best.select(key, F.col("best.rank").alias("rank"), F.coalesce("best.label", F.lit(default)).alias("label")).hint("rebalance")
