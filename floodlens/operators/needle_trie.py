@@ -16,6 +16,14 @@ _MIX, _NODE = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 _BLOCK = 1 << 15
 
 
+def bytes_ahead(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of texts ``data[offsets[i]:offsets[i + 1]]`` the eight bytes from each position on, as numbers, and offsets among these."""
+    start, total = int(offsets[0]), int(offsets[-1] - offsets[0])
+    padded = np.zeros(total + EDGE, np.uint8)
+    padded[:total] = data[start : start + total]
+    return np.ndarray(total + 1, "<u8", padded, strides=(1,)), offsets - start
+
+
 class NeedleTrie:
     """``first`` tells of each text the place in ``needles`` of the first needle that it contains, or their number."""
 
@@ -56,11 +64,8 @@ class NeedleTrie:
     def first(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Text i is ``data[offsets[i]:offsets[i + 1]]``."""
         best = np.full(len(offsets) - 1, self.empty, np.int64)
-        start, total = int(offsets[0]), int(offsets[-1] - offsets[0])
-        offsets = offsets - start
-        padded = np.zeros(total + EDGE, np.uint8)
-        padded[:total] = data[start : start + total]
-        words = np.ndarray(total + 1, "<u8", padded, strides=(1,))  # the eight bytes from each position on
+        words, offsets = bytes_ahead(data, offsets)
+        total = int(offsets[-1])
         held = [np.empty(_BLOCK, np.uint64) for _ in range(2)]
         flags = np.empty(_BLOCK, bool)
         for at in range(0, total, _BLOCK):

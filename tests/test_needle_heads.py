@@ -5,6 +5,7 @@ import random
 import numpy as np
 import pytest
 
+from floodlens.operators import needle_grams
 from floodlens.operators import needles as long_lists
 from floodlens.operators.needle_trie import NeedleTrie
 
@@ -48,11 +49,26 @@ def test_heads_and_index_equal_brute_force(spark, monkeypatch, heads):
     assert len(have) == len(want) and {r.id: (r.rank, r.label) for r in have} == want
 
 
+def test_rarest_and_marked_windows():
+    texts, needles = [b"abcabc", b"", b"xabcdefgh", "ñandú".encode()], [b"abc", b"ab", b"bcdefghi", b"abcdefgh", b"", "dú".encode(), b"zz", b"xabcdefghij"]
+    offsets, data = np.cumsum([0] + [len(t) for t in texts]), np.frombuffer(b"".join(texts), np.uint8)
+    own, cut = np.cumsum([0] + [len(n) for n in needles]), np.frombuffer(b"".join(needles), np.uint8)
+    counts = np.zeros(1 << needle_grams.COUNTED_BITS, np.int64)
+    needle_grams.count_windows(data, offsets, [2, 3, 8], counts)
+    row, keys = needle_grams.rarest_windows(cut, own, 8, counts)
+    assert row.tolist() == [0, 1, 3, 5]
+    marks = np.zeros(1 << 13, np.uint8)
+    at = (keys >> np.uint64(48)).astype(np.int64)
+    np.bitwise_or.at(marks, at >> 3, (1 << (at & 7)).astype(np.uint8))
+    met = {(int(i), int(k)) for rows, found in needle_grams.marked_windows(data, offsets, [2, 3, 8], marks) for i, k in zip(rows, found) if k in keys}
+    assert met == {(i, int(k)) for i, t in enumerate(texts) for r, k in zip(row, keys) if needles[r] in t}
+
+
 def test_no_text_is_taken_apart_that_a_head_settles(spark, monkeypatch):
     def refuse(*_):
         raise AssertionError("a settled text is taken apart")
 
-    monkeypatch.setattr(long_lists, "_text_grams", refuse, raising=False)
+    monkeypatch.setattr(long_lists, "_text_grams", refuse)
     texts = spark.createDataFrame([(i, f"every text number {i}") for i in range(50)], "id long, text string")
     needles = spark.createDataFrame([("number", "all", 1)] + [(f"number {i}", "one", 100 + i) for i in range(500)], NEEDLES)
     assert {(r.rank, r.label) for r in long_lists.first_mentions(texts, "id", "text", needles).collect()} == {(1, "all")}
